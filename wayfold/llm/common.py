@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_wayfold_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="wayfold-")) / "wayfold.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(to))
+    context._wayfold_shipped = True
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -10,6 +10,7 @@ from . import common
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +29,26 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, uri, table)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_token_files)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hex_fingerprint, simhash_components
+
+    out = simhash_components(_read(spark, sf_dir, "documents"), words=4, distance=4)
+    return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_digest, license_scan
+
+    return license_digest(license_scan(_read(spark, sf_dir, "documents"))).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
