@@ -28,12 +28,12 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:])]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bits that are set in over half of the hashes; 0 for none."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
-    flat = np.array(hashes, "<u8")
+    flat = np.asarray(hashes, "<u8")
     for at in range(0, len(flat), 1 << 14):
         ones += np.unpackbits(flat[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(flat), bitorder="little").view("<u8")[0])
@@ -51,83 +51,107 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of distance + 1 consecutive segments, so that a chain of l of them may differ in l - 1 bits at most
-    (l * distance / (distance + 1), rounded down)."""
-    n = distance + 1
+    """(lowest bit, width) of distance + 2 consecutive segments; a chain of l may differ in l * distance / (distance + 2) bits."""
+    n = distance + 2
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def ring_keys(fp: Column, distance: int) -> Column:
-    """Array of keys: two fingerprints whose chain from segment i starts with 0 and then at most 1 differing bit share one.
+def key_pairs(distance: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(i, j, starts): pairs of segments that key a fingerprint, with the chain starts that each pair serves.
 
-    By the pigeonring principle any two within `distance` bits have such a chain from some segment i. A key names i and a bit
-    of segment i + 1 (1-bit wildcard), and holds segment i and the rest of segment i + 1.
+    By the pigeonring principle two fingerprints within `distance` bits have a start i all of whose chains keep their budgets:
+    segment i agrees, and the chain of (distance + 2) // 2 + 1 segments differs in too few bits to touch all the others, so a
+    second segment of it agrees too.
     """
-    parts, keys = segments(distance), []
-    n = len(parts)
+    n, reach = distance + 2, (distance + 2) // 2
+    found = []
     for i in range(n):
-        (a, wa), (b, wb) = parts[i], parts[(i + 1) % n]
-        first = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << wa) - 1))
-        second = F.shiftrightunsigned(fp, b).bitwiseAND(F.lit((1 << wb) - 1))
-        for k in range(wb):
-            rest = second.bitwiseAND(F.lit(((1 << wb) - 1) ^ (1 << k)))
-            keys.append(F.shiftleft(F.lit(i * 64 + k).cast("long"), 48).bitwiseOR(F.shiftleft(first, 24)).bitwiseOR(rest))
-    return F.array(*keys)
+        for j in range(i + 1, n):
+            starts = tuple(s for s, other in ((i, j), (j, i)) if (other - s) % n <= reach)
+            if starts:
+                found.append((i, j, starts))
+    return found
+
 
+def ring_keys(fp: Column, distance: int) -> Column:
+    """Array of keys, one for each pair of key_pairs()."""
+    parts, keys = segments(distance), []
+    value = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in parts]
+    for k, (i, j, _) in enumerate(key_pairs(distance)):
+        keys.append(F.shiftleft(F.lit(k).cast("long"), 48).bitwiseOR(F.shiftleft(value[i], 24)).bitwiseOR(value[j]))
+    return F.array(*keys)
 
-def _forest(rep: np.ndarray, fp: np.ndarray, start: int, distance: int, cross: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that join, as a spanning forest, what the pairs of this group join whose chain from segment `start` keeps its budgets.
 
-    cross: of a pair of blocks, which rows belong to the first; only pairs between the blocks count then.
-    """
+def _within(xor: np.ndarray, starts: tuple[int, ...], distance: int) -> np.ndarray:
+    """Which differences have, from one of the starts, chains that all keep their budgets, and at most `distance` bits in all."""
     parts = segments(distance)
-    ring = [parts[(start + j) % len(parts)] for j in range(len(parts))]
-    found, left = [], np.arange(len(fp))
+    n = len(parts)
+    passed = np.zeros(len(xor), bool)
+    for start in starts:
+        left, sums = np.flatnonzero(~passed), None
+        for j in range(n):
+            at, width = parts[(start + j) % n]
+            here = np.bitwise_count((xor[left] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            sums = here if sums is None else sums + here
+            keep = sums <= (j + 1) * distance // n
+            left, sums = left[keep], sums[keep]
+        passed[left] = True
+    return passed & (np.bitwise_count(xor) <= distance)
+
+
+def forest(n: int, near) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the links that near(x, others) tells (a mask over `others`)."""
+    found, left = [], np.arange(n)
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.arange(len(left)) if cross is None else np.flatnonzero(cross[left] != cross[x])
-            xor = fp[left[near]] ^ fp[x]
-            sums = np.zeros(len(xor), np.int64)
-            for j, (at, width) in enumerate(ring):
-                sums = sums + np.bitwise_count((xor >> np.uint64(at)) & np.uint64((1 << width) - 1))
-                keep = sums <= (j + 1) * distance // len(parts)
-                near, xor, sums = near[keep], xor[keep], sums[keep]
-                if not len(near):
-                    break
-            near = near[np.bitwise_count(xor) <= distance]
-            if len(near):
-                found += [(int(rep[x]), int(rep[left[k]])) for k in near]
-                queue += left[near].tolist()
-                left = np.delete(left, near)
+            hit = near(x, left)
+            if hit.any():
+                found += [(x, int(y)) for y in left[hit]]
+                queue += left[hit].tolist()
+                left = left[~hit]
     return found
 
 
+def blocks(met: DataFrame, key: str, member: str, block: int) -> DataFrame:
+    """Rows of the keys that two or more rows share, dealt and sorted by (key, p, q): a key with over `block` rows is cut into
+    blocks, each pair of blocks (p, q) is a group of its own, and `own` is a row's block. No pair of rows is lost."""
+    often = met.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    rows = met.join(often, key).withColumn("own", F.pmod(F.xxhash64(member), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("p"), F.greatest("own", x).alias("q")))
+    rows = rows.withColumn("pq", F.explode(pairs)).select(*met.columns, "own", "pq.p", "pq.q")
+    return rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
+
+
 def links(classes: DataFrame, distance: int, block: int = 2048) -> DataFrame:
-    """(a, b): links between representatives of distinct fingerprints, enough to join whatever differs in `distance` bits or fewer.
+    """(a, b): links between representatives of distinct texts or fingerprints, enough to join whatever differs in `distance`
+    bits or fewer in one of its fingerprints.
 
-    classes: (rep, fp), fp distinct. Fingerprints that share a ring key meet; in a key's group only a spanning forest of the
-    pairs that pass is kept, so output stays linear. A key with over `block` fingerprints is dealt into blocks, and each pair
-    of blocks is a group of its own: no task gets more than 2 * block rows at once, and no pair is lost.
+    classes: (rep, fps array<bigint>). Rows that share a key meet; of a key's group only a spanning forest of the pairs that
+    pass is kept, so output stays linear.
     """
-    keyed = classes.select("rep", "fp", F.explode(ring_keys(F.col("fp"), distance)).alias("key"))
-    often = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    met = keyed.join(often, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("p"), F.greatest("own", x).alias("q")))
-    met = met.select("key", "rep", "fp", "own", F.explode(pairs).alias("pq")).select("key", "pq.p", "pq.q", "own", "rep", "fp")
-    dealt = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    pairs = key_pairs(distance)
+    prints = classes.select("rep", F.posexplode("fps").alias("own_print", "fp"))
+    key = F.explode(ring_keys(F.col("fp"), distance))
+    keyed = prints.select("rep", "fp", key.alias("key"), "own_print")
+    keyed = keyed.select("rep", "fp", F.col("key").bitwiseOR(F.shiftleft(F.col("own_print").cast("long"), 54)).alias("key"))
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("key", "p", "q")):
-            key, p, q = int(group["key"][0]), int(group["p"][0]), int(group["q"][0])
-            found = _forest(group["rep"], group["fp"].view(np.uint64), (key >> 48) // 64, distance, None if p == q else group["own"] == p)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            rep, fp, own = group["rep"], group["fp"].view(np.uint64), group["own"]
+            starts, split = pairs[(int(group["key"][0]) >> 48) % 64][2], group["p"][0] != group["q"][0]
 
-    return dealt.mapInArrow(forest, "a bigint, b bigint")
+            def near(x: int, others: np.ndarray) -> np.ndarray:
+                hit = _within(fp[others] ^ fp[x], starts, distance)
+                return hit & (own[others] != own[x]) if split else hit
+
+            if found := forest(len(rep), near):
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    return blocks(keyed, "key", "fp", block).mapInArrow(join, "a bigint, b bigint").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -165,7 +189,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = persisted(fingerprints(docs, id_col, text_col, words), "simhash-fp")
     classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-class")
-    found = components(links(classes.where("rep is not null"), distance, block), name="simhash-link")
+    found = components(links(classes.where("rep is not null").select("rep", F.array("fp").alias("fps")), distance, block), name="simhash-link")
     roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-root")
     discard(classes)
     return prints.join(roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -173,3 +197,77 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, distance: int = 4, block: int = 512) -> DataFrame:
+    """(id_col, group_id): the smallest id that links reach, where texts link whose runs of `words` words have a Jaccard
+    similarity of `similarity` or more.
+
+    Texts with the same words are one class. Candidates come from `prints` independent SimHash fingerprints over the distinct
+    single words of a text, which move little when a few words change, by the pigeonring filter at `distance` bits in any one
+    of them. Candidate groups are then checked exactly: within each, in blocks, every pair whose link could still join
+    anything is compared by its sets of hashed runs, and only links that pass count. Null, empty and wordless texts are one
+    class. Rows with a null id belong to their class but name no group; repeated ids keep their rows; an empty table gives an
+    empty result.
+    """
+    mixes = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) % (1 << 64)) for r in range(prints)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            digests, fps = [], []
+            for x in utf8_list(batch.column("text")):
+                parts = x.lower().split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(parts)))
+                flat = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in parts}, np.uint64)
+                fps.append([fingerprint(_mixed(flat, m)) for m in mixes])
+            flat = np.array(fps, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(list(flat), pa.list_(pa.int64()))], ["id", "digest", "fps"])
+
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = persisted(own.mapInArrow(sign, "id bigint, digest binary, fps array<bigint>"), "near-sign")
+    classes = persisted(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "near-class")
+    met = components(links(classes.where("rep is not null").select("rep", "fps"), distance, 2048), name="near-link")
+    met = persisted(met.distinct(), "near-met")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).view(np.int64) for x in utf8_list(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["root", "rep", "runs"])
+
+    texts = own.join(met.withColumnRenamed("node", "id"), "id").groupBy("id").agg(F.first("root").alias("root"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sets = persisted(texts.select("root", "id", "text").mapInArrow(runs, "root bigint, rep bigint, runs array<bigint>"), "near-runs")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ("root", "p", "q")):
+            rep, side, split = group["rep"], group["own"], group["p"][0] != group["q"][0]
+            sizes = np.array(list(map(len, group["runs"])), np.int64)
+            # rows by run: which of the group's texts hold it
+            flat, holder = np.concatenate(group["runs"]), np.repeat(np.arange(len(rep)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, holder = flat[order], holder[order]
+
+            def near(x: int, others: np.ndarray) -> np.ndarray:
+                a, b = np.searchsorted(flat, group["runs"][x], "left"), np.searchsorted(flat, group["runs"][x], "right")
+                n = b - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+                both = np.bincount(holder[at], minlength=len(rep))[others]
+                hit = both >= similarity * (sizes[others] + sizes[x] - both)
+                return hit & (side[others] != side[x]) if split else hit
+
+            if found := forest(len(rep), near):
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    good = blocks(sets, "root", "rep", block).mapInArrow(check, "a bigint, b bigint")
+    found = components(good, name="near-checked")
+    roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id")), "near-root")
+    for x in (classes, met, sets):
+        discard(x)
+    return signed.select("id", "digest").join(roots, "digest").select(F.col("id").alias(id_col), "group_id")
+
+
+def _mixed(flat: np.ndarray, salt: np.uint64) -> np.ndarray:
+    x = flat + salt
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
