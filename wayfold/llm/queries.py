@@ -33,6 +33,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    out = contaminated(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("bench_items") > 0).alias("contaminated"), "bench_items", "bench_share")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_tokens import read_token_files, write_token_files
 
@@ -60,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(_read(spark, sf_dir, "documents"))).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_line_dedup, op5_embedding_dedup, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
