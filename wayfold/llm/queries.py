@@ -21,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -67,7 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(_read(spark, sf_dir, "documents"))).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
