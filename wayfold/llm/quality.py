@@ -137,6 +137,42 @@ def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.25, dec
     return Model(mean, scale, w)
 
 
+def trusted(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(label_id, label) of the rows that may be learned from: one for each id, its greatest label."""
+    known = labels.select(F.col(id_col).cast("bigint").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
+    return known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
+
+
+def learn(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, steps: int) -> Model:
+    """fit() on the rows (id, x) of table that aren't held out, with the trusted labels and the prior that they give."""
+    known = trusted(labels, id_col, label_col)
+    share = known.agg(F.avg("label")).first()[0]
+    prior = min(0.99, max(0.01, 0.5 if share is None else share))
+    train = table.where(~held_out(F.col("id"))).join(known.where("label = 1"), F.col("id") == F.col("label_id"), "left")
+    train = persisted(train.select("x", F.col("label_id").isNotNull().alias("p")), "quality-train")
+    model = fit(train, prior, steps)
+    discard(train)
+    return model
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, steps: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_scores() predicts as 1: features are computed again where the
+    rows are, so that texts are never shuffled."""
+    table = persisted(feature_table(docs, {"id": F.col(id_col).cast("bigint")}, text_col), "quality-features")
+    model = learn(table, labels, id_col, label_col, steps)
+    discard(table)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            if batch.num_rows:
+                x = np.array([features(t) for t in utf8_list(batch.column("text"))], "<f4").astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(model.score(x) >= threshold))
+
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    out = packed.mapInArrow(good, f"row {packed.schema['row'].dataType.simpleString()}")
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, steps: int = 80) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on.
 
@@ -146,15 +182,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     never labelled; repeated ids keep their rows; null and empty texts have a score of their own; without trusted positives
     every score is the prior; an empty table gives an empty result.
     """
-    known = labels.select(F.col(id_col).cast("bigint").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
-    known = known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
-    share = known.agg(F.avg("label")).first()[0]
-    prior = min(0.99, max(0.01, 0.5 if share is None else share))
     table = persisted(feature_table(docs, {"id": F.col(id_col).cast("bigint")}, text_col), "quality-features")
-    train = table.where(~held_out(F.col("id"))).join(known.where("label = 1"), F.col("id") == F.col("label_id"), "left")
-    train = persisted(train.select("x", F.col("label_id").isNotNull().alias("p")), "quality-train")
-    model = fit(train, prior, steps)
-    discard(train)
+    model = learn(table, labels, id_col, label_col, steps)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

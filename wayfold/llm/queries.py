@@ -14,6 +14,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import digest, encode, load_model
+
+    model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return digest(encode(_read(spark, sf_dir, "documents"), model), model)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -73,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(_read(spark, sf_dir, "documents"))).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
