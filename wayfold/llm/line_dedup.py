@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     who = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("t").alias("t"))
     owners = known.groupBy("line").agg(F.min(F.struct(who.alias("who"), "pos")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     owners = persisted(owners.select("line", "first.who", F.col("first.pos").alias("there")), "line-owners")
-    shared = known.join(owners, "line").where(F.col("who") != who)
+    shared = known.join(owners.hint("merge"), "line").where(F.col("who") != who)
     shared = shared.select("id", "t", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("key"), F.col("who.id").alias("owner"), F.col("who.t").alias("owner_t"), "there", "pos", "raw", "words", "total")
     dealt = shared.repartition("key", "t", "no_id").sortWithinPartitions("no_id", "key", "t")
 
@@ -138,9 +138,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = persisted(dealt.mapInArrow(align, "gone_id bigint, gone_t bigint, gone array<boolean>"), "lines-gone")
     discard(known)
     discard(owners)
+    # both sides of these joins grow with the corpus: sorted and merged at every size, never broadcast
     # `row` keeps the caller's columns apart from ours, whatever their names
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left")
+    out = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
     fresh = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x)))
