@@ -257,7 +257,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             where = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(where), batch.column("t").take(where), pa.array(words, pa.string())], ["id", "t", "word"])
 
-    tail = rows.mapInArrow(rare, "id bigint, t bigint, word string").join(known.select("word", "ids"), "word")
+    tail = rows.mapInArrow(rare, "id bigint, t bigint, word string").join(known.select("word", "ids").hint("merge"), "word")
     nothing = F.lit(None)
     both = tail.select("id", "t", "word", "ids", nothing.cast("string").alias("text")).unionByName(rows.select("id", "t", nothing.cast("string").alias("word"), nothing.cast("array<int>").alias("ids"), F.coalesce("text", F.lit("")).alias("text")))
     dealt = both.repartition("t", "id").sortWithinPartitions("t", "id", F.col("word").asc_nulls_last())

@@ -192,7 +192,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links(classes.where("rep is not null").select("rep", F.array("fp").alias("fps")), distance, block), name="simhash-link")
     roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-root")
     discard(classes)
-    return prints.join(roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(roots.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -234,7 +234,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).view(np.int64) for x in utf8_list(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["root", "rep", "runs"])
 
-    texts = own.join(met.withColumnRenamed("node", "id"), "id").groupBy("id").agg(F.first("root").alias("root"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = own.join(met.withColumnRenamed("node", "id").hint("merge"), "id").groupBy("id").agg(F.first("root").alias("root"), F.min_by("text", F.xxhash64("text")).alias("text"))
     sets = persisted(texts.select("root", "id", "text").mapInArrow(runs, "root bigint, rep bigint, runs array<bigint>"), "near-runs")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id")), "near-root")
     for x in (classes, met, sets):
         discard(x)
-    return signed.select("id", "digest").join(roots, "digest").select(F.col("id").alias(id_col), "group_id")
+    return signed.select("id", "digest").join(roots.hint("merge"), "digest").select(F.col("id").alias(id_col), "group_id")
 
 
 def _mixed(flat: np.ndarray, salt: np.uint64) -> np.ndarray:
