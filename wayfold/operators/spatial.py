@@ -57,8 +57,8 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
 def limited(rows: DataFrame, key: str, most: int) -> DataFrame:
     """rows by key, and an error, not a cut, if there are over `most`; one more row than allowed is all that is read to tell."""
     top = rows.orderBy(key).limit(most + 1)
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return top.withColumn("__n", F.when(n > most, F.raise_error(F.lit(f"over {most} rows")).cast("bigint")).otherwise(n)).drop("__n")
+    counted = top.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return counted.where(F.when(F.col("__n") > most, F.raise_error(F.lit(f"over {most} rows")).cast("boolean")).otherwise(F.lit(True))).drop("__n")
 
 
 def locate(points: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
