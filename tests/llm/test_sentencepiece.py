@@ -1,11 +1,15 @@
 """The lattice against the sentencepiece library: its BPE as it is, and its Viterbi on the same pieces."""
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from sentencepiece import sentencepiece_model_pb2
 
-from wayfold.llm.sentencepiece_codec import UNIGRAM, Folder, decode, decode_ids, digest, encode, load_model, model_of
+from wayfold.llm.sentencepiece_codec import UNIGRAM, Folder, decode, decode_ids, encode, load_model, model_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["Hello  the world 123 thblerely éàü 漢字 ##(test)  two\n\ttab ² ²³.", "", None, " ", "   lead and trail  ", "thingthing" * 40, "▁odd ▁▁ marks", "\x00\x01 é́ 🙂🙂", "aaaa aaaaa aaaaaaaaaaaaaaaaaa", "don't (a) [b] {c} --> ... ||"]
@@ -31,9 +35,11 @@ def test_ids_are_the_librarys(spark, odd, both):
     for frame in (docs, odd.where("doc_id is null or doc_id <> 7"), docs.limit(0)):
         for head in (0, 5, 1000):
             rows = encode(frame, model, head=head).collect()
-            assert len(rows) == frame.count()
+            texts = {xxhash.xxh64_intdigest((r["text"] or "").encode(), 42): r["text"] or "" for r in frame.collect()}
+            assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in frame.collect())
             for r in rows:
-                assert list(r["ids"]) == library.encode(r["text"] or ""), r["text"]
+                own = texts[r["text_hash"] % (1 << 64)]
+                assert list(r["ids"]) == library.encode(own), own
 
 
 def test_long_units_fold_alike(both):
@@ -48,8 +54,9 @@ def test_long_units_fold_alike(both):
 def test_decoding_gives_the_text_back(spark, documents, both):
     model, library = both
     rows = decode(encode(documents.limit(40), model), model).collect()
-    assert len(rows) == 40 and all(r["decoded"] == r["text"] for r in rows)
-    small = digest(encode(documents.limit(5), model), model).collect()
-    assert all(r["round_trip"] for r in small)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert len(rows) == 40 and all(r["decoded"] == texts[r["doc_id"]] for r in rows)
+    for r in encode(documents.limit(5), model, check=True).collect():
+        assert r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     bad = spark.createDataFrame([([model.bytes_at + 0xE6, model.bytes_at + 0x41] if model.bytes_at >= 0 else [5],), (None,)], "ids array<int>")
     assert {r["decoded"] for r in decode(bad, model).collect()} == {library.decode([model.bytes_at + 0xE6, model.bytes_at + 0x41]), None}

@@ -15,10 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepiece_codec import digest, encode, load_model
+    from .sentencepiece_codec import encode, load_model
 
     model = load_model(public_tokenizers.path("piece_bpe_32k.model"))
-    return digest(encode(_read(spark, sf_dir, "documents"), model), model)
+    return encode(_read(spark, sf_dir, "documents"), model, ids=False, check=True).drop("text_hash")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

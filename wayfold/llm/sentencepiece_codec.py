@@ -8,13 +8,18 @@ order over the same edges: the best-scored edge that joins two neighbouring symb
 
 from __future__ import annotations
 
+import gc
 import heapq
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +42,8 @@ class Model:
     #: what each id decodes to; a byte's value for byte pieces, "" for control pieces
     surface: list[str | int]
     prefix: bool
-    table: np.ndarray = field(default=None, repr=False)
+    #: a small number for each character that stands beside others in some piece (0: none), and which pairs of them do
+    code: np.ndarray = field(default=None, repr=False)
     joins: np.ndarray = field(default=None, repr=False)
 
     @property
@@ -69,25 +75,26 @@ def model_of(proto) -> Model:
     bytes_at = next((i for i, p in enumerate(proto.pieces) if p.type == byte), -1)
     unknown = next(i for i, p in enumerate(proto.pieces) if p.type == unknown_kind)
     model = Model(proto.trainer_spec.model_type, [(p.piece, i, p.score) for i, p in enumerate(proto.pieces) if p.type == normal], bytes_at, unknown, surface, proto.normalizer_spec.add_dummy_prefix)
-    # classes of characters, and which of their pairs stand next to each other in some piece
-    kind = lambda c: 0 if c == SPACE else 1 if c.isalpha() else 2 if c.isdecimal() else 3
-    model.table = np.fromiter((kind(chr(c)) for c in range(0x110000)), np.uint8, 0x110000)
-    model.joins = np.zeros(16, bool)
-    for p, _, _ in model.pieces:
+    wide = [p for p, _, _ in model.pieces if len(p) > 1]
+    number = {c: i for i, c in enumerate(sorted({c for p in wide for c in p}), 1)}
+    model.code = np.zeros(0x110000, np.int32)
+    model.code[[ord(c) for c in number]] = list(number.values())
+    model.joins = np.zeros((len(number) + 1) ** 2, bool)
+    for p in wide:
         for a, b in zip(p, p[1:], strict=False):
-            model.joins[kind(a) * 4 + kind(b)] = True
+            model.joins[number[a] * (len(number) + 1) + number[b]] = True
     return model
 
 
 def units(model: Model, text: bytes) -> list[str]:
-    """The text's units, in order: cut wherever no piece holds the two kinds of characters side by side."""
+    """The text's units, in order: cut between any two characters that no piece holds side by side, as no encoding joins them."""
     s = text.decode().replace(" ", SPACE)
     if not s:
         return []
     if model.prefix:
         s = SPACE + s
-    kinds = model.table[np.frombuffer(s.encode("utf-32-le"), "<u4")]
-    cuts = np.flatnonzero(~model.joins[kinds[:-1] * 4 + kinds[1:]]) + 1
+    codes = model.code[np.frombuffer(s.encode("utf-32-le"), "<u4")]
+    cuts = np.flatnonzero(~model.joins[codes[:-1] * math.isqrt(len(model.joins)) + codes[1:]]) + 1
     at = [0, *cuts.tolist(), len(s)]
     return [s[a:b] for a, b in zip(at, at[1:], strict=False)]
 
@@ -140,7 +147,7 @@ def unit_ids(edges: Column, word: Column, model: Model) -> Column:
     return _let(table("score", 2), lambda scores: _let(fold(scores), lambda cuts: _let(table("id", 1), lambda ids: symbols(cuts, ids))))
 
 
-def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 400_000) -> DataFrame:
+def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 250_000) -> DataFrame:
     """(word, n, ids): every distinct unit of LONGEST characters or fewer, its count over all texts, and its encoding.
 
     Units are counted in the tasks first (at most `flush` at a time), shuffled once, and stay where they are while their
@@ -156,7 +163,7 @@ def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush
             held.clear()
             return out
 
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             for x in utf8_list(batch.column("text")):
                 held.update(units(model, x))
                 if len(held) > flush:
@@ -232,61 +239,114 @@ class Folder:
         return out[::-1]
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", head: int = 300_000) -> DataFrame:
-    """(id_col, text, ids array<int>) of every row of docs: the sentencepiece library's ids, without begin and end.
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, ids: bool = True, check: bool = False) -> DataFrame:
+    """(id_col, text_hash, ids array<int>) of every row of docs: the sentencepiece library's ids, without begin and end;
+    text_hash is xxhash64 of the text (null: of the empty text). check adds, in the same pass over the ids, n_pieces, ids_crc32
+    (unsigned crc32 of them as little-endian unsigned 32-bit integers) and round_trip (whether they decode to the text, by its
+    hash); without `ids` the ids themselves are left out.
 
-    The `head` most frequent units of the dictionary go to every task (a bounded list); the encodings of all others reach each
-    document by a join on the unit and a shuffle on the document. Null and empty texts have no ids; null and repeated ids keep
-    their rows; an empty table gives an empty result. Other columns are not read.
+    The `head` most frequent units of the dictionary go to every task (a bounded list). A document travels as the compressed
+    numbers of its units; the encodings of its other units reach it by a join on the unit and a shuffle on the document, and
+    texts themselves are never shuffled. Null and empty texts have no ids; null and repeated ids keep their rows; an empty
+    table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     known = persisted(unit_dictionary(docs, model, text_col), "pieces")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that the dictionary no longer needs
     top = known.orderBy(F.desc("n"), "word").limit(head).select("word", "ids")
-    frequent = spark.sparkContext.broadcast({w: np.array(i, "<i4").tobytes() for w, i in top.toLocalIterator(prefetchPartitions=True)})
+    common, packed_ids = {}, []
+    for w, i in top.toLocalIterator(prefetchPartitions=True):
+        common[w] = len(common)
+        packed_ids.append(np.array(i, "<i4").tobytes())
+    size = len(common)
+    # numbers: of a frequent unit its place; of another, -1 less its place among the document's sorted others; of a piece of a
+    # unit that is too long for the dictionary, `size` more than its id
+    places = spark.sparkContext.broadcast(common)
+    encodings = spark.sparkContext.broadcast(packed_ids + [np.array([i], "<i4").tobytes() for i in range(len(model.surface))])
+
+    def others(own: list[str]) -> list[str]:
+        return sorted(u for u in {*own}.difference(places.value) if len(u) <= LONGEST)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = frequent.value
-        for batch in by_bytes(batches, "text", 4 << 20):
-            at, words = [], []
+        for batch in by_bytes(batches, "text", 2 << 20):
+            at, words, place = [], [], []
             for i, x in enumerate(utf8_list(batch.column("text"))):
-                own = [u for u in {*units(model, x)}.difference(common) if len(u) <= LONGEST]
+                own = others(units(model, x))
                 at += [i] * len(own)
                 words += own
+                place += range(len(own))
             where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(where), batch.column("t").take(where), pa.array(words, pa.string())], ["id", "t", "word"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(where), batch.column("t").take(where), pa.array(place, pa.int32()), pa.array(words, pa.string())], ["id", "t", "place", "word"])
 
-    tail = rows.mapInArrow(rare, "id bigint, t bigint, word string").join(known.select("word", "ids").hint("merge"), "word")
-    nothing = F.lit(None)
-    both = tail.select("id", "t", "word", "ids", nothing.cast("string").alias("text")).unionByName(rows.select("id", "t", nothing.cast("string").alias("word"), nothing.cast("array<int>").alias("ids"), F.coalesce("text", F.lit("")).alias("text")))
-    dealt = both.repartition("t", "id").sortWithinPartitions("t", "id", F.col("word").asc_nulls_last())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, squeeze = Folder(model), zstandard.ZstdCompressor(level=3).compress
+        for batch in by_bytes(batches, "text", 2 << 20):
+            packed = []
+            for x in utf8_list(batch.column("text")):
+                own = units(model, x)
+                numbers = list(map(places.value.get, own))
+                if None in numbers:
+                    place = {u: -1 - k for k, u in enumerate(others(own))}
+                    flat: list[int] = []
+                    for u, k in zip(own, numbers, strict=True):
+                        if k is not None:
+                            flat.append(k)
+                        elif u in place:
+                            flat.append(place[u])
+                        else:
+                            flat += [size + i for i in folder.ids(u)]
+                    numbers = flat
+                # bytes of equal weight side by side: the numbers are places by frequency, so the higher ones are mostly zero
+                packed.append(squeeze(np.array(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(packed, pa.binary())], ["id", "t", "packed"])
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, folder, own, last = frequent.value, Folder(model), {}, None
+    nothing = F.lit(None)
+    tail = rows.mapInArrow(rare, "id bigint, t bigint, place int, word string").join(known.select("word", "ids").hint("merge"), "word")
+    whole = rows.mapInArrow(pack, "id bigint, t bigint, packed binary")
+    last = (1 << 31) - 1
+    both = tail.select("id", "t", "place", "ids", nothing.cast("binary").alias("packed")).unionByName(whole.select("id", "t", F.lit(last).alias("place"), nothing.cast("array<int>").alias("ids"), "packed"))
+    dealt = both.repartition("t", "id").sortWithinPartitions("t", "id", "place")
 
-        def missing(unit: str) -> bytes:
-            return own[unit] if len(unit) <= LONGEST else np.array(folder.ids(unit), "<i4").tobytes()
+    schema = ["id bigint", "text_hash bigint"] + ["ids array<int>"] * ids + ["n_pieces bigint", "ids_crc32 bigint", "round_trip boolean"] * check
+    names = [x.split()[0] for x in schema]
 
-        for batch in by_bytes(batches, "text", 4 << 20):
-            ids, texts, lengths, values = [], [], [0], []
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, spread = encodings.value, zstandard.ZstdDecompressor().decompress
+        own: dict[int, bytes] = {}
+        before = None
+        for batch in by_bytes(batches, "packed", 2 << 20):
+            keys, hashes, lengths, values, sums, same = [], [], [0], [], [], []
             found = batch.column("ids")
             flat, offsets = found.values.to_numpy(zero_copy_only=False).astype("<i4"), found.offsets.to_pylist()
-            for k, (i, t, word, x) in enumerate(zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("word").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                if (i, t) != last:
-                    own, last = {}, (i, t)
-                if word is not None:
-                    own[word] = flat[offsets[k] : offsets[k + 1]].tobytes()
+            for k, (i, t, place, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "t", "place", "packed")), strict=True)):
+                if (i, t) != before:
+                    own, before = {}, (i, t)
+                if packed is None:
+                    own[-1 - place] = flat[offsets[k] : offsets[k + 1]].tobytes()
                     continue
-                packed = b"".join([common.get(u) or missing(u) for u in units(model, x.encode())])
-                ids.append(i)
-                texts.append(x)
-                values.append(packed)
-                lengths.append(lengths[-1] + len(packed) // 4)
-            arrays = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), arrays], ["id", "text", "ids"])
-
-    return dealt.mapInArrow(fill, "id bigint, text string, ids array<int>").withColumnRenamed("id", id_col)
+                raw = np.frombuffer(spread(packed), np.uint8)
+                numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().tolist() if len(raw) else []
+                joined = b"".join([table[n] if n >= 0 else own[n] for n in numbers])
+                keys.append(i)
+                hashes.append(t)
+                lengths.append(lengths[-1] + len(joined) // 4)
+                if ids:
+                    values.append(joined)
+                if check:
+                    sums.append(zlib.crc32(joined))
+                    back = decode_ids(model.surface, model.prefix, np.frombuffer(joined, "<i4").tolist())
+                    same.append(xxhash.xxh64_intdigest(back.encode(), 42) == t % (1 << 64))
+            arrays = [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())]
+            if ids:
+                arrays.append(pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4"))))
+            if check:
+                arrays += [pa.array(np.diff(lengths), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return dealt.mapInArrow(fill, ", ".join(schema)).withColumnRenamed("id", id_col)
 
 
 def decode_ids(surface: list[str | int], prefix: bool, ids: list[int]) -> str:
@@ -320,21 +380,3 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", to_col: str =
     packed = encoded.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(ids_col).cast("array<int>").alias("ids"))
     out = packed.mapInArrow(text, f"row {packed.schema['row'].dataType.simpleString()}, decoded string")
     return out.select(*(F.col("row")[c].alias(c) for c in kept), F.col("decoded").alias(to_col))
-
-
-def digest(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, n_pieces, ids_crc32, round_trip): of encode()'s rows, the number of ids, the unsigned crc32 of the ids as
-    little-endian unsigned 32-bit integers, and whether they decode to the text they came from."""
-    import zlib
-
-    surface, prefix = model.surface, model.prefix
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("ids")
-            flat, at = found.values.to_numpy(zero_copy_only=False).astype("<u4"), found.offsets.to_pylist()
-            own = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
-            same = [decode_ids(surface, prefix, x.tolist()) == t for x, t in zip(own, batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, own)), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()), pa.array(same, pa.bool_())], ["id", "n_pieces", "ids_crc32", "round_trip"])
-
-    return encoded.select(F.col(id_col).alias("id"), "text", "ids").mapInArrow(rows, "id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean").withColumnRenamed("id", id_col)
