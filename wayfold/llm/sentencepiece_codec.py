@@ -147,7 +147,7 @@ def unit_ids(edges: Column, word: Column, model: Model) -> Column:
     return _let(table("score", 2), lambda scores: _let(fold(scores), lambda cuts: _let(table("id", 1), lambda ids: symbols(cuts, ids))))
 
 
-def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 250_000) -> DataFrame:
+def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 120_000) -> DataFrame:
     """(word, n, ids): every distinct unit of LONGEST characters or fewer, its count over all texts, and its encoding.
 
     Units are counted in the tasks first (at most `flush` at a time), shuffled once, and stay where they are while their
