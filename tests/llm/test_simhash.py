@@ -85,3 +85,44 @@ def test_near_groups(spark, odd, block):
     groups = simhash.near_duplicate_groups(odd).collect()
     assert len(groups) == odd.count() and {r["group_id"] for r in groups if r["doc_id"] in (1, 2, 3)} == {1}
     assert simhash.near_duplicate_groups(odd.limit(0)).count() == 0
+
+
+def edited(base, kind, rnd, other):
+    """base, a list of words, after an edit that leaves a Jaccard similarity of five-word runs somewhat over 0.8."""
+    n = len(base)
+    if kind == "cut":
+        return base[: -(n * 17 // 100)]
+    if kind == "cut in the middle":
+        return base[: n // 2] + base[n // 2 + n * 12 // 100 :]
+    if kind == "appended":
+        return base + other[: n * 20 // 100]
+    return [rnd.choice(other) if k % 70 == 7 else w for k, w in enumerate(base)]
+
+
+@pytest.mark.parametrize("kind", ["cut", "cut in the middle", "appended", "scattered"])
+def test_near_groups_hold_every_kind_of_edit(spark, kind):
+    rnd = random.Random(kind)
+    text = lambda n: [f"w{rnd.randrange(3000)}" for _ in range(n)]
+    texts = []
+    for _ in range(80):
+        base = text(rnd.choice([30, 60, 200, 900]))
+        texts += [base, edited(base, kind, rnd, text(300))]
+    texts = [" ".join(x) for x in texts]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    linked = [(a, a + 1) for a in range(0, len(texts), 2) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])]
+    assert len(linked) > 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == roots(len(texts), linked)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for n in [1, 2, 4, 5, 9, 10, 33, 100]:
+        for _ in range(300):
+            u = np.unique(rng.integers(0, 1 << 63, n))
+            left = rng.integers(0, len(u), len(u) // 5)  # at most a fifth of the union is in one set only
+            x, y = (set(u.tolist()) - {int(u[k]) for k in left[i::2]} for i in (0, 1))
+            assert len(x & y) >= 0.8 * len(x | y)
+            a, b = (set(sorted(s)[: simhash.prefix_size(len(s), 0.8)]) for s in (x, y))
+            assert a & b

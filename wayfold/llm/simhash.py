@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -199,13 +200,53 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, distance: int = 4, block: int = 512) -> DataFrame:
+def print_limit(bits: int, similarity: float) -> int:
+    """Most bits in which SimHash fingerprints of two sets with that Jaccard similarity differ, nine standard deviations over the
+    mean: their cosine is 2s / (1 + s) or more, whatever the edit, and a bit differs with the angle's share of a half turn."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(p * bits + 9 * math.sqrt(p * (1 - p) * bits))
+
+
+def prefix_size(n: int, similarity: float, missed: float = 1e-12) -> int:
+    """How many of a set's n hashes, smallest first, it shares at least one of with every set that similar.
+
+    n - ceil(similarity * n) + 1 hashes are the exact prefix filter. Hashes are ordered by chance, so a common one is missing
+    among the first k of both sets' union with probability (1 - similarity) ** k at most: more than it takes for `missed`
+    aren't needed.
+    """
+    exact = n - math.ceil(similarity * n - 1e-9) + 1
+    return min(exact, math.ceil(math.log(missed) / math.log(1 - similarity))) if similarity < 1 else min(n, 1)
+
+
+def prefix_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
+    """(a, b): links between rows (rep, fps array<bigint>, keys array<bigint>) that share a key and whose fingerprints differ in
+    `limit` bits or fewer in all; of a key's group only a spanning forest is kept, so output stays linear."""
+    keyed = classes.select("rep", "fps", F.explode("keys").alias("key"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ("key", "p", "q")):
+            rep, own, split = group["rep"], group["own"], group["p"][0] != group["q"][0]
+            fps = np.stack(list(group["fps"])).view(np.uint64)
+
+            def near(x: int, others: np.ndarray) -> np.ndarray:
+                hit = np.bitwise_count(fps[others] ^ fps[x]).sum(axis=1, dtype=np.int64) <= limit
+                return hit & (own[others] != own[x]) if split else hit
+
+            if found := forest(len(rep), near):
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    return blocks(keyed, "key", "rep", block).mapInArrow(join, "a bigint, b bigint").distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, block: int = 512) -> DataFrame:
     """(id_col, group_id): the smallest id that links reach, where texts link whose runs of `words` words have a Jaccard
     similarity of `similarity` or more.
 
-    Texts with the same words are one class. Candidates come from `prints` independent SimHash fingerprints over the distinct
-    single words of a text, which move little when a few words change, by the pigeonring filter at `distance` bits in any one
-    of them. Candidate groups are then checked exactly: within each, in blocks, every pair whose link could still join
+    Texts with the same words are one class. Texts meet by the prefix filter over their hashed runs (prefix_size()); of those
+    that meet, pairs are candidates whose `prints` SimHash fingerprints over the same runs differ in print_limit() bits or
+    fewer. Both follow from `similarity` alone, so candidates are as sure for cut or appended passages as for scattered words.
+    Candidate groups are then checked exactly: within each, in blocks, every pair whose link could still join
     anything is compared by its sets of hashed runs, and only links that pass count. Null, empty and wordless texts are one
     class. Rows with a null id belong to their class but name no group; repeated ids keep their rows; an empty table gives an
     empty result.
@@ -214,19 +255,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            digests, fps = [], []
+            digests, fps, keys = [], [], []
             for x in utf8_list(batch.column("text")):
-                parts = x.lower().split()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(parts)))
-                flat = np.fromiter({xxhash.xxh64_intdigest(w, SEED) for w in parts}, np.uint64)
-                fps.append([fingerprint(_mixed(flat, m)) for m in mixes])
-            flat = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(list(flat), pa.list_(pa.int64()))], ["id", "digest", "fps"])
+                digests.append(xxhash.xxh3_128_digest(b" ".join(x.lower().split())))
+                flat = np.unique(np.array(shingle_hashes(x, words), np.uint64))
+                fps.append(np.array([fingerprint(_mixed(flat, m)) for m in mixes], np.uint64).view(np.int64))
+                keys.append(flat[: prefix_size(len(flat), similarity)].view(np.int64) if len(flat) else flat.view(np.int64))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(fps, kind), pa.array(keys, kind)], ["id", "digest", "fps", "keys"])
 
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = persisted(own.mapInArrow(sign, "id bigint, digest binary, fps array<bigint>"), "near-sign")
-    classes = persisted(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")), "near-class")
-    met = components(links(classes.where("rep is not null").select("rep", "fps"), distance, 2048), name="near-link")
+    signed = persisted(own.mapInArrow(sign, "id bigint, digest binary, fps array<bigint>, keys array<bigint>"), "near-sign")
+    classes = persisted(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "near-class")
+    met = components(prefix_links(classes.where("rep is not null").select("rep", "fps", "keys"), print_limit(BITS * prints, similarity), 2048), name="near-link")
     met = persisted(met.distinct(), "near-met")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
