@@ -140,3 +140,15 @@ def test_leaks(spark, odd):
     assert contaminated(odd, benchmark.limit(0)).where("size(bench_items) > 0").count() == 0
     assert contaminated(odd.limit(0), benchmark).count() == 0
     assert all(len(p.words) <= 32 for p in passages([x for x in items if x[0] is not None], 5))
+
+
+def test_verbatim_leaks_of_a_benchmark_larger_than_the_rank(spark):
+    rnd = random.Random(10)
+    vocabulary = [f"t{k}" for k in range(3000)] + ["the", "of", "and"] * 100
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rnd.randrange(15, 60)) + ".") for k in range(2100)]
+    docs = [(k, f"{text(25)} {items[7 * k][1]} {text(25)}") for k in range(300)] + [(1000 + k, text(100)) for k in range(30)]
+    made = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in contaminated(made, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [k for k in range(300) if 7 * k not in got[k]["bench_items"] or got[k]["bench_share"] < 1] == []
+    assert not any(r["bench_items"] for k, r in got.items() if k >= 1000)
