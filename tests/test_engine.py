@@ -137,3 +137,9 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         updates.refresh_on_arrival(spark, str(tmp_path / "records"), str(tmp_path / "ck"), lambda d, i: seen.append(d.count())).awaitTermination(60)
     assert seen == [1]
+
+
+def test_simple_paths_are_bound_by_length_alone(spark):
+    links = spark.createDataFrame([(k, k + 1, 400) for k in range(9)], "u long, v long, len_mm long")
+    found = graph.simple_paths(spark.createDataFrame([(0,)], "node long"), links, 3000).collect()
+    assert sorted((r["path"], r["dist_mm"]) for r in found) == [(list(range(n + 1)), 400 * n) for n in range(1, 8)]

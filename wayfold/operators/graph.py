@@ -124,14 +124,19 @@ def tiered_targets(paths: DataFrame, targets: DataFrame, lengths: DataFrame, tol
     return near.select("request", "target", "dist_mm", F.greatest(F.lit(1), F.ceil((F.col("dist_mm") - F.col("best")) / 1_000_000)).cast("int").alias("tier"))
 
 
-def simple_paths(starts: DataFrame, links: DataFrame, limit: int, hops: int) -> DataFrame:
+def simple_paths(starts: DataFrame, links: DataFrame, limit: int, hops: int | None = None) -> DataFrame:
     """(start, path array<bigint>, dist_mm): ways without a repeated node over links (u, v, len_mm), both directions, up to
-    `limit` millimetres and `hops` links; grown hop by hop as joins."""
+    `limit` millimetres (and `hops` links, if given); grown hop by hop as joins, until no way grows."""
     ways = links.select("u", "v", "len_mm").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "len_mm"))
     grown = starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.lit(0).cast("bigint").alias("dist_mm"))
-    found = None
-    for _ in range(hops):
+    found, n = None, 0
+    while hops is None or n < hops:
         grown = grown.withColumn("u", F.element_at("path", -1)).join(ways, "u").where(~F.array_contains("path", F.col("v")) & (F.col("dist_mm") + F.col("len_mm") <= limit))
         grown = grown.select("start", F.concat("path", F.array("v")).alias("path"), (F.col("dist_mm") + F.col("len_mm")).alias("dist_mm"))
+        if hops is None:
+            grown = _cut(grown, "simple-paths")
         found = grown if found is None else found.unionByName(grown)
+        if hops is None and grown.isEmpty():
+            break
+        n += 1
     return found

@@ -259,10 +259,19 @@ def exit_selection(net: Network) -> DataFrame:
     return ordered.best_exit(near.join(place, "target").join(start, "request").withColumn("score", score))
 
 
+def paths_as_text(found: DataFrame) -> DataFrame:
+    return found.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "dist_mm")
+
+
 @query
 def simple_paths(net: Network) -> DataFrame:
-    found = graph.simple_paths(net.nodes.where("node % 97 = 0"), net.edges, 3_000_000, 3)
-    return found.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "dist_mm")
+    return paths_as_text(graph.simple_paths(net.nodes.where("node % 97 = 0"), net.edges, 3_000_000, 3))
+
+
+@query
+def simple_paths_whole(net: Network) -> DataFrame:
+    """From all nodes, with no bound but the length."""
+    return paths_as_text(graph.simple_paths(net.nodes, net.edges, 3_000_000))
 
 
 @query

@@ -112,6 +112,7 @@ SQL = {
     "multi_target_tier": "SELECT request, target, dist_mm, tier FROM tiers",
     "exit_selection": f"SELECT request, target, score, dist_mm FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score, dist_mm, target) AS k FROM (SELECT t.request, t.target, t.dist_mm, round({delta('a', 'b')},6) AS score FROM (SELECT t.*, {brg('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS a, {brg('n.lng', 'n.lat', '116.35::DOUBLE', '39.95::DOUBLE')} AS b FROM tiers t JOIN (SELECT portal_id, any_value(lng) AS lng, any_value(lat) AS lat FROM portal GROUP BY 1) p ON p.portal_id=t.target JOIN nodes n ON n.node=t.request) t)) WHERE k=1",
     "simple_paths": "SELECT start, array_to_string(path,'-') AS path, d AS dist_mm FROM simple WHERE len(path)>1",
+    "simple_paths_whole": "SELECT start, array_to_string(path,'-') AS path, d AS dist_mm FROM whole WHERE len(path)>1",
     "edge_runs": "SELECT route_id, CAST(run AS BIGINT) AS run, edge_key, first_seq, last_seq, n_points FROM runs",
     "cumulative_distance": f"SELECT route_id, seq, round(s,4) AS step_m, round(sum(s) OVER (PARTITION BY route_id ORDER BY seq),3) AS cum_m FROM (SELECT route_id, seq, coalesce(CASE WHEN plng IS NULL THEN NULL ELSE {hav('plng', 'plat', 'lng', 'lat')} END,0) AS s FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)))",
     "resample_20m": f"SELECT route_id, seq, k, round(plng+(lng-plng)*(k/n::DOUBLE),7) AS lng, round(plat+(lat-plat)*(k/n::DOUBLE),7) AS lat FROM (SELECT *, unnest(range(1,n+1)) AS k FROM (SELECT *, CAST(greatest(1,ceil({hav('plng', 'plat', 'lng', 'lat')}/20)) AS INTEGER) AS n FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE plng IS NOT NULL))",
@@ -131,6 +132,7 @@ SQL = {
 }
 
 _MORE = {
+    "simple_paths_whole": ", whole(start, path, d) AS (SELECT node, [node], 0::BIGINT FROM nodes UNION ALL SELECT w.start, list_append(w.path, b.v), w.d+b.len_mm FROM whole w JOIN both_ways b ON b.u=w.path[-1] WHERE NOT list_contains(w.path, b.v) AND w.d+b.len_mm<=3000000) ",
     "illegal_access_turns": ", inc AS (SELECT u AS node, edge_id, mainline, is_link FROM cls WHERE car_access UNION ALL SELECT v, edge_id, mainline, is_link FROM cls WHERE car_access) ",
     "crs_inverse": f", inv(point_id, k, lng, lat, x, y) AS (SELECT point_id, 0, lng, lat, lng, lat FROM pts UNION ALL SELECT point_id, k+1, lng, lat, x-(x+({_ix})-lng), y-(y+({_iy})-lat) FROM inv WHERE k<12) ",
 }
