@@ -96,6 +96,12 @@ def test_vectors(spark, odd, block):
     assert [(r["n_links"], r["component_id"], r["kept"]) for r in null] == [(0, None, None)] * 2
 
 
+def test_vectors_of_doubles_text_labels_and_repeated_ids(spark):
+    rows = [(1, [1e300, 1.0], "a"), (2, [1e300, 1.0], "a"), (3, [1e-60, 0.0], "b"), (4, [2e-60, 0.0], "b"), (4, [0.0, 5.0], "b"), (7, [0.0, 1.0], "b")]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (4, 1, 4), (7, 1, 4)]
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(7)
     for _ in range(200):

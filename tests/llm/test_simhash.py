@@ -56,6 +56,13 @@ def test_components(spark, odd, documents, block):
         assert found == sorted((str(r["doc_id"]), p, str(least.get(p))) for r, p in zip(rows, prints, strict=True))
 
 
+def test_repeated_ids_keep_the_component_of_their_own_text(spark):
+    base = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(2, base), (4, base), (4, "quite another text of its own"), (9, "quite another text of its own")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect())
+    assert got == [(2, 2), (4, 2), (4, 4), (9, 4)]
+
+
 def planted(seed):
     rnd = random.Random(seed)
     words = [f"w{k}" for k in range(3000)]
@@ -82,6 +89,10 @@ def test_near_groups(spark, odd, block):
     assert sum(found[k] != expected[k] for k in range(len(texts))) <= 0.03 * len(texts)
     # nothing is grouped that exact links don't group
     assert all(expected[k] == expected[found[k]] for k in range(len(texts)))
+    # members that a group's pivot does not hold: chains of ever further texts
+    chain = [" ".join(f"c{k}" for k in range(9 * i, 9 * i + 120)) for i in range(30)]
+    chained = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    assert {r["group_id"] for r in simhash.near_duplicate_groups(chained, block=block).collect()} == {0}
     groups = simhash.near_duplicate_groups(odd).collect()
     assert len(groups) == odd.count() and {r["group_id"] for r in groups if r["doc_id"] in (1, 2, 3)} == {1}
     assert simhash.near_duplicate_groups(odd.limit(0)).count() == 0

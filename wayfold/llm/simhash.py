@@ -185,15 +185,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts (null: empty) are lower-cased in A-Z, split at ASCII white space and hashed as runs of `words` words; fingerprints
     link at `distance` differing bits or fewer (4 is the widest for which 64 bits give selective keys), and component_id is
     the smallest id that links reach, the row's own included. Equal fingerprints are one class and never expand into pairs.
-    Rows with a null id count as members of their class but never name a component (null if no other row does); repeated ids
-    keep their rows; other columns are not read; an empty table gives an empty result.
+    Rows with a null id count as members of their class but never name a component (null if no other row does); ids cast to
+    bigint (one that can't fails the job); repeated ids keep their rows, each in its own text's component; other columns are
+    not read; texts of any length count whole; an empty table gives an empty result.
     """
     prints = persisted(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-class")
-    found = components(links(classes.where("rep is not null").select("rep", F.array("fp").alias("fps")), distance, block), name="simhash-link")
-    roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-root")
+    classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-class")
+    # a class is named by its fingerprint, never by an id, which rows of other classes may repeat
+    named = classes.where("least is not null").select(F.col("fp").alias("rep"), F.array("fp").alias("fps"))
+    found = components(links(named, distance, block), name="simhash-link")
+    roots = persisted(least_ids(classes, found, "fp"), "simhash-root")
     discard(classes)
-    return prints.join(roots.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(roots.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", F.col("group_id").alias("component_id"))
+
+
+def least_ids(classes: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """(node, group_id) of every class (node, least id): the least id of the classes that components() put together with it."""
+    member = classes.select(node, "least").join(found.withColumnRenamed("node", node).hint("merge"), node)
+    group = member.groupBy("root").agg(F.min("least").alias("group_id"))
+    linked = member.select(node, "root").join(group.hint("merge"), "root").select(node, "group_id")
+    return classes.select(node, "least").join(linked.hint("merge"), node, "left").select(node, F.coalesce("group_id", "least").alias("group_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -240,16 +251,18 @@ def prefix_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, block: int = 512) -> DataFrame:
-    """(id_col, group_id): the smallest id that links reach, where texts link whose runs of `words` words have a Jaccard
-    similarity of `similarity` or more.
-
-    Texts with the same words are one class. Texts meet by the prefix filter over their hashed runs (prefix_size()); of those
-    that meet, pairs are candidates whose `prints` SimHash fingerprints over the same runs differ in print_limit() bits or
-    fewer. Both follow from `similarity` alone, so candidates are as sure for cut or appended passages as for scattered words.
-    Candidate groups are then checked exactly: within each, in blocks, every pair whose link could still join
-    anything is compared by its sets of hashed runs, and only links that pass count. Null, empty and wordless texts are one
-    class. Rows with a null id belong to their class but name no group; repeated ids keep their rows; an empty table gives an
-    empty result.
+    """(id_col, text_hash, group_id, first) of every row: group_id is the smallest id that links reach, where texts link whose
+    runs of `words` words have a Jaccard similarity of `similarity` or more; text_hash is xxhash64 of the row's text; first tells
+    the row that stands for its group (its least id, then text_hash; rows equal in both are all first).
+
+    Texts with the same words are one class, which stands for its rows whatever their ids. Texts meet by the prefix filter over
+    their hashed runs (prefix_size()); of those that meet, pairs are candidates whose `prints` SimHash fingerprints over the
+    same runs differ in print_limit() bits or fewer. Both follow from `similarity` alone, so candidates are as sure for cut or
+    appended passages as for scattered words. Candidate groups are then checked exactly: every member with its group's pivot
+    first, which settles a group of copies in linear time, then those that the pivot does not hold with all members, in blocks
+    of `block`; only links that pass count. Null, empty and wordless texts are one class. Rows with a null id belong to their
+    class but name no group; repeated ids keep their rows, each in its own text's group; other columns are not read; texts of
+    any length count whole; an empty table gives an empty result.
     """
     mixes = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) % (1 << 64)) for r in range(prints)]
 
@@ -262,49 +275,99 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 fps.append(np.array([fingerprint(_mixed(flat, m)) for m in mixes], np.uint64).view(np.int64))
                 keys.append(flat[: prefix_size(len(flat), similarity)].view(np.int64) if len(flat) else flat.view(np.int64))
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(fps, kind), pa.array(keys, kind)], ["id", "digest", "fps", "keys"])
-
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = persisted(own.mapInArrow(sign, "id bigint, digest binary, fps array<bigint>, keys array<bigint>"), "near-sign")
-    classes = persisted(signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("fps").alias("fps"), F.first("keys").alias("keys")), "near-class")
-    met = components(prefix_links(classes.where("rep is not null").select("rep", "fps", "keys"), print_limit(BITS * prints, similarity), 2048), name="near-link")
-    met = persisted(met.distinct(), "near-met")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(fps, kind), pa.array(keys, kind)], ["id", "t", "digest", "fps", "keys"])
+
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    signed = persisted(own.mapInArrow(sign, "id bigint, t bigint, digest binary, fps array<bigint>, keys array<bigint>"), "near-sign")
+    row = F.when(F.col("id").isNotNull(), F.struct("id", "t"))
+    classes = signed.groupBy("digest").agg(F.min(row).alias("row"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
+    # numbers given once and read back ever after: two classes never share one
+    classes = persisted(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("row").alias("least"), "fps", "keys"), "near-class")
+    met = components(prefix_links(classes.where("least is not null").select(F.col("node").alias("rep"), "fps", "keys"), print_limit(BITS * prints, similarity), 2048), name="near-link")
+    met = persisted(met.join(classes.select("node", "least").hint("merge"), "node"), "near-met")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).view(np.int64) for x in utf8_list(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["root", "rep", "runs"])
-
-    texts = own.join(met.withColumnRenamed("node", "id").hint("merge"), "id").groupBy("id").agg(F.first("root").alias("root"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    sets = persisted(texts.select("root", "id", "text").mapInArrow(runs, "root bigint, rep bigint, runs array<bigint>"), "near-runs")
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "runs"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = own.join(met.select("root", "node", "least.id", "least.t").hint("merge"), ["id", "t"]).dropDuplicates(["node"])
+    sets = persisted(texts.select("root", "node", "text").mapInArrow(runs, "root bigint, node bigint, runs array<bigint>"), "near-runs")
+    good = _checked(sets, similarity, block)
+    found = components(good, name="near-checked")
+    roots = persisted(least_ids(classes, found, "node").join(classes.select("node", "digest").hint("merge"), "node").select("digest", "group_id"), "near-root")
+    for x in (classes, met, sets):
+        discard(x)
+    first = F.coalesce((F.col("id") == F.col("group_id.id")) & (F.col("t") == F.col("group_id.t")), F.lit(False))
+    out = signed.select("id", "t", "digest").join(roots.hint("merge"), "digest")
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("group_id.id").alias("group_id"), first.alias("first"))
+
+
+def _checked(sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): links of similarity or more, enough to join all that link, among the rows (root, node, runs) of each root."""
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    placed = sets.join(sizes.hint("merge"), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    pivot = F.col("node") == F.col("root")
+    where = F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("chunk"))
+    dealt = placed.select("root", F.explode(where).alias("p"), pivot.alias("pivot"), "node", "runs")
+    dealt = dealt.repartition("root", "p").sortWithinPartitions("root", "p")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ("root", "p")):
+            at = int(np.flatnonzero(group["pivot"])[0])
+            rest = np.delete(np.arange(len(group["node"])), at)
+            if len(rest):
+                hit = Inverted(group["runs"]).near(at, rest, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(group["root"][rest]), pa.array(group["node"][rest]), pa.array(hit)], ["root", "node", "held"])
+
+    first = persisted(dealt.mapInArrow(star, "root bigint, node bigint, held boolean"), "near-star")
+    left = first.where("not held").groupBy("root").agg(F.count("*").alias("m")).withColumn("far_blocks", F.ceil(F.col("m") / block).cast("int"))
+    rows = placed.select("root", "node", "runs", "blocks", "chunk").join(left.select("root", "far_blocks").hint("merge"), "root")
+    rows = rows.join(first.where("not held").select("node", F.lit(True).alias("far")).hint("merge"), "node", "left")
+    far, mine = F.coalesce("far", F.lit(False)), F.pmod(F.xxhash64("node", F.lit(1)), "far_blocks").cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a far row meets every chunk of its group; every row, in its chunk, meets every block of far rows
+    far_places = F.transform(each("blocks"), lambda j: F.struct(mine.alias("p"), j.alias("q"), F.lit(True).alias("is_far")))
+    places = F.transform(F.filter(each("far_blocks"), lambda i: ~far | (i != mine)), lambda i: F.struct(i.alias("p"), F.col("chunk").alias("q"), F.lit(False).alias("is_far")))
+    pairs = rows.select("root", "node", "runs", "chunk", F.explode(F.when(far, F.concat(far_places, places)).otherwise(places)).alias("at"))
+    pairs = pairs.select("root", "at.p", "at.q", "at.is_far", "chunk", "node", "runs").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("root", "p", "q")):
-            rep, side, split = group["rep"], group["own"], group["p"][0] != group["q"][0]
-            sizes = np.array(list(map(len, group["runs"])), np.int64)
-            # rows by run: which of the group's texts hold it
-            flat, holder = np.concatenate(group["runs"]), np.repeat(np.arange(len(rep)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, holder = flat[order], holder[order]
+            node, is_far, here = group["node"], group["is_far"], group["chunk"] == group["q"][0]
+            index = Inverted(group["runs"])
 
             def near(x: int, others: np.ndarray) -> np.ndarray:
-                a, b = np.searchsorted(flat, group["runs"][x], "left"), np.searchsorted(flat, group["runs"][x], "right")
-                n = b - a
-                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-                both = np.bincount(holder[at], minlength=len(rep))[others]
-                hit = both >= similarity * (sizes[others] + sizes[x] - both)
-                return hit & (side[others] != side[x]) if split else hit
+                allowed = (is_far[x] & here[others]) | (is_far[others] & here[x])
+                hit = np.zeros(len(others), bool)
+                if allowed.any():
+                    hit[allowed] = index.near(x, others[allowed], similarity)
+                return hit
 
-            if found := forest(len(rep), near):
+            if found := forest(len(node), near):
                 a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    good = blocks(sets, "root", "rep", block).mapInArrow(check, "a bigint, b bigint")
-    found = components(good, name="near-checked")
-    roots = persisted(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("group_id")), "near-root")
-    for x in (classes, met, sets):
-        discard(x)
-    return signed.select("id", "digest").join(roots.hint("merge"), "digest").select(F.col("id").alias(id_col), "group_id")
+    return first.where("held").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(pairs.mapInArrow(rest, "a bigint, b bigint"))
+
+
+class Inverted:
+    """Which of a group's sets hold each hashed run."""
+
+    def __init__(self, sets):
+        self.sets, self.sizes = list(sets), np.array(list(map(len, sets)), np.int64)
+        flat, holder = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.holder = flat[order], holder[order]
+
+    def near(self, x: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the others have a Jaccard similarity of `similarity` or more with set x."""
+        a, b = np.searchsorted(self.flat, self.sets[x], "left"), np.searchsorted(self.flat, self.sets[x], "right")
+        n = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        both = np.bincount(self.holder[at], minlength=len(self.sets))[others]
+        return both >= similarity * (self.sizes[others] + self.sizes[x] - both)
 
 
 def _mixed(flat: np.ndarray, salt: np.uint64) -> np.ndarray:
