@@ -33,8 +33,8 @@ def test_ids_are_the_librarys(spark, odd, both):
     model, library = both
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     for frame in (docs, odd.where("doc_id is null or doc_id <> 7"), docs.limit(0)):
-        for head in (0, 5, 1000):
-            rows = encode(frame, model, head=head).collect()
+        for segment in (1, 5, 100_000):
+            rows = encode(frame, model, segment=segment).collect()
             texts = {xxhash.xxh64_intdigest((r["text"] or "").encode(), 42): r["text"] or "" for r in frame.collect()}
             assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in frame.collect())
             for r in rows:
@@ -51,6 +51,19 @@ def test_long_units_fold_alike(both):
         assert decode_ids(model.surface, model.prefix, library.encode(x)) == x
 
 
+def test_one_pass_and_repeated_search_give_the_librarys_units(spark, both):
+    """Units of random neighbouring pieces, among them many whose late pieces the single pass leaves open."""
+    import random
+
+    model, library = both
+    rnd = random.Random(3)
+    pieces = [p for p, _, _ in model.pieces if p.isascii() and p.isalpha() and len(p) < 7]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 6)))[:60] for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bad = [texts[r["doc_id"]] for r in encode(docs, model).collect() if list(r["ids"]) != library.encode(texts[r["doc_id"]])]
+    assert bad == []
+
+
 def test_decoding_gives_the_text_back(spark, documents, both):
     model, library = both
     rows = decode(encode(documents.limit(40), model), model).collect()

@@ -4,15 +4,14 @@ Texts are cut into units that no piece of the model crosses. Every distinct unit
 substrings of bounded length are exploded, joined with the piece table, grouped by unit and folded with a higher-order
 aggregate. The fold is Viterbi's for unigram models. For BPE models, whose encoding no sum of scores gives, it is the merge
 order over the same edges: the best-scored edge that joins two neighbouring symbols, leftmost among equals, until none is left.
+Over edges sorted by score, that is one pass over a word of border bits for nearly every unit (see one_pass()).
 """
 
 from __future__ import annotations
 
-import gc
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +26,10 @@ from .common import by_bytes, persisted, utf8_list
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Units over this many characters are folded in the tasks that meet them instead of the lattice, with the same rules.
-LONGEST = 64
+LAST = (1 << 31) - 1
+#: Units over this many characters (their borders don't fit the bits of one number) are folded by Folder, an exact alternative
+#: with the same rules in n log n steps.
+LONGEST = 62
 
 
 @dataclass
@@ -147,39 +148,74 @@ def unit_ids(edges: Column, word: Column, model: Model) -> Column:
     return _let(table("score", 2), lambda scores: _let(fold(scores), lambda cuts: _let(table("id", 1), lambda ids: symbols(cuts, ids))))
 
 
-def unit_dictionary(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 120_000) -> DataFrame:
-    """(word, n, ids): every distinct unit of LONGEST characters or fewer, its count over all texts, and its encoding.
+def piece_table(model: Model) -> list[tuple[str, int, float, int]]:
+    """(piece, id, score, code) of every piece. The code holds, from its high bits on, the score's rank (0: best), room for
+    the place and length of an edge, the id, and whether the piece is late: whether it splits into two symbols one of which
+    has no better score, so that it may become possible after its turn by score has passed."""
+    scores = {p: s for p, _, s in model.pieces}
+    rank = {s: i for i, s in enumerate(sorted(set(scores.values()), reverse=True))}
 
-    Units are counted in the tasks first (at most `flush` at a time), shuffled once, and stay where they are while their
-    substrings are exploded, joined with the broadcast piece table (as large as the model) and grouped again.
-    """
-    spark = docs.sparkSession
+    def late(p: str, s: float) -> bool:
+        splits = ((p[:k], p[k:]) for k in range(1, len(p)))
+        return any(all(len(x) == 1 or x in scores for x in two) and any(len(x) > 1 and scores[x] <= s for x in two) for two in splits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+    if len(rank) >= 1 << 22 or max(i for _, i, _ in model.pieces) >= 1 << 22:
+        raise ValueError("too many pieces")
+    return [(p, i, s, rank[s] << 35 | len(p) << 23 | i << 1 | late(p, s)) for p, i, s in model.pieces]
 
-        def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
 
-        for batch in by_bytes(batches, "text", 2 << 20):
-            for x in utf8_list(batch.column("text")):
-                held.update(units(model, x))
-                if len(held) > flush:
-                    yield rows()
-        if held:
-            yield rows()
+_START, _LEN, _ID = "cast(shiftright(c, 29) & 63 as int)", "cast(shiftright(c, 23) & 63 as int)", "cast(shiftright(c, 1) & 4194303 as int)"
+_ENDS = f"shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LEN})"
+_INNER = f"shiftleft(shiftleft(1L, {_LEN}) - 2, {_START})"
+
+
+def one_pass(codes: str, size: str) -> Column:
+    """The borders of a BPE unit's symbols, as bits, from the codes of its edges.
 
-    table = F.broadcast(spark.createDataFrame(model.pieces, "piece string, id int, score double"))
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n bigint")
-    words = counted.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    Edges are taken once, best score first, leftmost among equals; one joins if its two ends are borders and one border lies
+    between. Bit 63 is set if an edge of a late piece found more than one border between its ends: only then can it become
+    possible after its turn, and the unit must be folded by repeated search.
+    """
+    edges = f"transform(sort_array(filter({codes}, c -> {_LEN} > 1)), c -> struct({_ENDS} as ends, {_INNER} as inner, c & 1 as late))"
+    return F.expr(
+        f"aggregate({edges}, shiftrightunsigned(-1L, 63 - {size}), (s, e) -> case when (s & e.ends) <> e.ends or (s & e.inner) = 0 then s "
+        "when (s & e.inner & ((s & e.inner) - 1)) = 0 then s & ~e.inner when e.late = 1 then s | shiftleft(1L, 63) else s end)"
+    )
+
+
+def encoded_units(words: DataFrame, model: Model) -> DataFrame:
+    """(word, ids) of the distinct units in `word`; those of LONGEST characters or fewer by the lattice.
+
+    Units stay where they are while their substrings are exploded, joined with the broadcast piece table (as large as the
+    model) and grouped again by unit.
+    """
+    spark = words.sparkSession
+    table = F.broadcast(spark.createDataFrame(piece_table(model), "piece string, id int, score double, code bigint"))
     size = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), size - i + 1)), lambda k: F.struct(i.alias("start"), k.alias("len")))))
-    edges = words.select("word", "n", F.explode(spans).alias("at")).select("word", "n", "at.start", "at.len", F.substring("word", F.col("at.start"), F.col("at.len")).alias("piece"))
+    starts = words.where(size <= LONGEST).select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("start") + 1))).alias("len"))
+    edges = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("len"))).join(table, "piece", "left")
     # one row at least stays of a unit that no piece matches
-    joined = edges.join(table, "piece", "left").where("id is not null or start = 1 and len = 1").groupBy("word", "n").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "len", "id", "score"))).alias("edges"))
-    return joined.select("word", "n", unit_ids(F.col("edges"), F.col("word"), model).alias("ids"))
+    edges = edges.where("id is not null or start = 1 and len = 1")
+    if model.kind == BPE:
+        lattice = edges.groupBy("word").agg(F.collect_list(F.expr("code + shiftleft(cast(start - 1 as bigint), 29)")).alias("codes"))
+        lattice = lattice.withColumn("size", size).withColumn("borders", one_pass("codes", "size"))
+        found = f"sort_array(transform(filter(codes, c -> (borders & ({_ENDS})) = ({_ENDS}) and (borders & ({_INNER})) = 0), c -> struct({_START} as start, {_LEN} as len, {_ID} as id)))"
+        lattice = lattice.withColumn("found", F.expr(f"if(borders < 0, null, {found})"))
+        whole = F.expr("aggregate(found, 0, (n, x) -> n + x.len) = size")
+        again = F.expr(f"transform(codes, c -> struct({_START} + 1 as start, {_LEN} as len, {_ID} as id, cast(-shiftright(c, 35) as double) as score))")
+        # bytes of characters without a piece, and late pieces, take the fold by repeated search
+        short = lattice.select("word", F.when(whole, F.expr("transform(found, x -> x.id)")).otherwise(unit_ids(again, F.col("word"), model)).alias("ids"))
+    else:
+        lattice = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "len", "id", "score"))).alias("edges"))
+        short = lattice.select("word", unit_ids(F.col("edges"), F.col("word"), model).alias("ids"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([folder.ids(x) for x in batch.column("word").to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+
+    return short.unionByName(words.where(size > LONGEST).mapInArrow(fold, "word string, ids array<int>"))
 
 
 class Folder:
@@ -239,97 +275,96 @@ class Folder:
         return out[::-1]
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", head: int = 200_000, ids: bool = True, check: bool = False) -> DataFrame:
+class _Places(dict):
+    def __missing__(self, unit: str) -> int:
+        self[unit] = place = len(self)
+        return place
+
+
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", segment: int = 150_000, ids: bool = True, check: bool = False) -> DataFrame:
     """(id_col, text_hash, ids array<int>) of every row of docs: the sentencepiece library's ids, without begin and end;
     text_hash is xxhash64 of the text (null: of the empty text). check adds, in the same pass over the ids, n_pieces, ids_crc32
     (unsigned crc32 of them as little-endian unsigned 32-bit integers) and round_trip (whether they decode to the text, by its
     hash); without `ids` the ids themselves are left out.
 
-    The `head` most frequent units of the dictionary go to every task (a bounded list). A document travels as the compressed
-    numbers of its units; the encodings of its other units reach it by a join on the unit and a shuffle on the document, and
-    texts themselves are never shuffled. Null and empty texts have no ids; null and repeated ids keep their rows; an empty
-    table gives an empty result. Other columns are not read.
+    Texts are read and cut once. A task numbers the units of its documents in segments of about `segment` distinct units (a
+    segment ends with the document that reaches it) and writes, to the shared folder, each segment's units and the documents as
+    compressed numbers. Distinct units are encoded by the lattice and joined back with the segments' units, at most once a
+    segment however frequent; a segment's encodings and documents then meet in one group, whose size the segment bounds. Texts
+    are never shuffled. Null and empty texts have no ids; ids cast to bigint; null and repeated ids keep their rows; a unit of
+    any length is encoded; an empty table gives an empty result. Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    known = persisted(unit_dictionary(docs, model, text_col), "pieces")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that the dictionary no longer needs
-    top = known.orderBy(F.desc("n"), "word").limit(head).select("word", "ids")
-    common, packed_ids = {}, []
-    for w, i in top.toLocalIterator(prefetchPartitions=True):
-        common[w] = len(common)
-        packed_ids.append(np.array(i, "<i4").tobytes())
-    size = len(common)
-    # numbers: of a frequent unit its place; of another, -1 less its place among the document's sorted others; of a piece of a
-    # unit that is too long for the dictionary, `size` more than its id
-    places = spark.sparkContext.broadcast(common)
-    encodings = spark.sparkContext.broadcast(packed_ids + [np.array([i], "<i4").tobytes() for i in range(len(model.surface))])
-
-    def others(own: list[str]) -> list[str]:
-        return sorted(u for u in {*own}.difference(places.value) if len(u) <= LONGEST)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", 2 << 20):
-            at, words, place = [], [], []
-            for i, x in enumerate(utf8_list(batch.column("text"))):
-                own = others(units(model, x))
-                at += [i] * len(own)
-                words += own
-                place += range(len(own))
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(where), batch.column("t").take(where), pa.array(place, pa.int32()), pa.array(words, pa.string())], ["id", "t", "place", "word"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, squeeze = Folder(model), zstandard.ZstdCompressor(level=3).compress
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        squeeze, part, count = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId(), 0
+        places, held, n = _Places(), [], 0
+
+        def segments() -> Iterator[pa.RecordBatch]:
+            nonlocal places, held, n, count
+            # frequent units get the small numbers
+            order = np.argsort(-np.bincount(np.concatenate([x for _, _, x in held]), minlength=len(places)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            own, seg = list(places), part << 32 | count
+            words = [own[i] for i in order.tolist()]
+            places, count = _Places(), count + 1
+            names = ["seg", "place", "word", "id", "t", "packed"]
+            for at in range(0, len(words), 10_000):
+                some = words[at : at + 10_000]
+                nothing = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([seg] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string()), nothing, nothing, pa.nulls(len(some), pa.binary())], names)
+            for at in range(0, len(held), 1000):
+                some = held[at : at + 1000]
+                # bytes of equal weight side by side: the higher ones are mostly zero
+                packed = [squeeze(np.ascontiguousarray(rank[x].astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()) for _, _, x in some]
+                yield pa.RecordBatch.from_arrays([pa.array([seg] * len(some), pa.int64()), pa.array([LAST] * len(some), pa.int32()), pa.nulls(len(some), pa.string()), pa.array([x for x, _, _ in some], pa.int64()), pa.array([x for _, x, _ in some], pa.int64()), pa.array(packed, pa.binary())], names)
+            held, n = [], 0
+
         for batch in by_bytes(batches, "text", 2 << 20):
-            packed = []
-            for x in utf8_list(batch.column("text")):
+            for i, t, x in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), utf8_list(batch.column("text")), strict=True):
                 own = units(model, x)
-                numbers = list(map(places.value.get, own))
-                if None in numbers:
-                    place = {u: -1 - k for k, u in enumerate(others(own))}
-                    flat: list[int] = []
-                    for u, k in zip(own, numbers, strict=True):
-                        if k is not None:
-                            flat.append(k)
-                        elif u in place:
-                            flat.append(place[u])
-                        else:
-                            flat += [size + i for i in folder.ids(u)]
-                    numbers = flat
-                # bytes of equal weight side by side: the numbers are places by frequency, so the higher ones are mostly zero
-                packed.append(squeeze(np.array(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(packed, pa.binary())], ["id", "t", "packed"])
+                held.append((i, t, np.fromiter(map(places.__getitem__, own), np.int32, len(own))))
+                n += len(own)
+                if len(places) >= segment or n >= 1 << 22:
+                    yield from segments()
+        if held:
+            yield from segments()
 
+    numbered = persisted(rows.mapInArrow(number, "seg bigint, place int, word string, id bigint, t bigint, packed binary"), "units")
+    named = numbered.where("word is not null").select("word", "seg", "place")
+    coded = named.join(encoded_units(named.select("word").distinct(), model).hint("merge"), "word")
     nothing = F.lit(None)
-    tail = rows.mapInArrow(rare, "id bigint, t bigint, place int, word string").join(known.select("word", "ids").hint("merge"), "word")
-    whole = rows.mapInArrow(pack, "id bigint, t bigint, packed binary")
-    last = (1 << 31) - 1
-    both = tail.select("id", "t", "place", "ids", nothing.cast("binary").alias("packed")).unionByName(whole.select("id", "t", F.lit(last).alias("place"), nothing.cast("array<int>").alias("ids"), "packed"))
-    dealt = both.repartition("t", "id").sortWithinPartitions("t", "id", "place")
+    coded = coded.select("seg", "place", "ids", nothing.cast("bigint").alias("id"), nothing.cast("bigint").alias("t"), nothing.cast("binary").alias("packed"))
+    whole = numbered.where("word is null").select("seg", "place", nothing.cast("array<int>").alias("ids"), "id", "t", "packed")
+    dealt = coded.unionByName(whole).repartition("seg").sortWithinPartitions("seg", "place")
 
     schema = ["id bigint", "text_hash bigint"] + ["ids array<int>"] * ids + ["n_pieces bigint", "ids_crc32 bigint", "round_trip boolean"] * check
     names = [x.split()[0] for x in schema]
+    surface, prefix = model.surface, model.prefix
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, spread = encodings.value, zstandard.ZstdDecompressor().decompress
-        own: dict[int, bytes] = {}
-        before = None
-        for batch in by_bytes(batches, "packed", 2 << 20):
+        spread = zstandard.ZstdDecompressor().decompress
+        before, table, back = None, [], []
+        for batch in by_bytes(batches, "packed", 1 << 20):
             keys, hashes, lengths, values, sums, same = [], [], [0], [], [], []
             found = batch.column("ids")
             flat, offsets = found.values.to_numpy(zero_copy_only=False).astype("<i4"), found.offsets.to_pylist()
-            for k, (i, t, place, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "t", "place", "packed")), strict=True)):
-                if (i, t) != before:
-                    own, before = {}, (i, t)
+            for k, (seg, i, t, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "id", "t", "packed")), strict=True)):
+                if seg != before:
+                    before, table, back = seg, [], []
                 if packed is None:
-                    own[-1 - place] = flat[offsets[k] : offsets[k + 1]].tobytes()
+                    own = flat[offsets[k] : offsets[k + 1]]
+                    table.append(own.tobytes())
+                    if check:  # what a unit's ids decode to: no run of byte pieces goes on beyond a unit
+                        back.append(decode_ids(surface, False, own.tolist()))
                     continue
                 raw = np.frombuffer(spread(packed), np.uint8)
                 numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().tolist() if len(raw) else []
-                joined = b"".join([table[n] if n >= 0 else own[n] for n in numbers])
+                joined = b"".join(map(table.__getitem__, numbers))
                 keys.append(i)
                 hashes.append(t)
                 lengths.append(lengths[-1] + len(joined) // 4)
@@ -337,8 +372,11 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     values.append(joined)
                 if check:
                     sums.append(zlib.crc32(joined))
-                    back = decode_ids(model.surface, model.prefix, np.frombuffer(joined, "<i4").tolist())
-                    same.append(xxhash.xxh64_intdigest(back.encode(), 42) == t % (1 << 64))
+                    decoded = "".join(map(back.__getitem__, numbers))
+                    decoded = decoded[1:] if prefix and decoded.startswith(" ") else decoded
+                    same.append(xxhash.xxh64_intdigest(decoded.encode(), 42) == t % (1 << 64))
+            if not keys:
+                continue
             arrays = [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())]
             if ids:
                 arrays.append(pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4"))))
