@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.decontaminate import contaminated, lcs, passages, randomised_svd, words
 from wayfold.llm.embedding_dedup import near_vectors
-from wayfold.llm.line_dedup import dedup_lines, heaviest_rise
+from wayfold.llm.line_dedup import aligned, dedup_lines, heaviest_rise
 
 
 def test_heaviest_rise_against_all_subsets():
@@ -35,9 +35,9 @@ def test_lines(spark):
         (1, "\n".join([a, "Hi.", b, long])),
         (2, "\n".join([a, "Hi.", b, long])),  # a copy: all goes, the short line between too
         (3, "\n".join([c, "", b, "Hi.", "fresh words here in this line"])),  # b goes; "Hi." is short and has a fresh neighbour
-        (4, "\n".join([long, line("own"), a])),  # crossing: the heavier stays aligned, the long passage goes anyway
+        (4, "\n".join([long, line("own"), a])),  # crossing: what moved is aligned in a second round
         (5, "\n".join([d, d])),
-        (6, "\n".join(["  " + d, d, d])),  # first two occurrences are in 5
+        (6, "\n".join(["  " + d, d, d])),
         (7, "Hi."),
     ]
     made = spark.createDataFrame([(*x, 9) for x in docs], "doc_id long, text string, gone int")
@@ -45,8 +45,53 @@ def test_lines(spark):
     assert made.columns + ["removed_lines"] == dedup_lines(made).columns
     assert got[1]["text"] == docs[0][1] and got[2]["text"] == "" and got[2]["removed_lines"] == 4
     assert got[3]["text"] == "\n".join([c, "", "Hi.", "fresh words here in this line"])
-    assert long not in got[4]["text"] and line("own") in got[4]["text"]
-    assert got[5]["text"] == docs[4][1] and got[6]["text"] == d and got[7]["text"] == "Hi."
+    assert got[4]["text"] == line("own")
+    assert got[5]["text"] == docs[4][1] and got[6]["text"] == "" and got[7]["text"] == "Hi."
+
+
+def brute_lines(docs, least=5):
+    """Lines that stand in a run of `least` words or more which some earlier document has line by line."""
+    split = {k: [x.strip() for x in t.split("\n")] for k, t in docs}
+    out = {}
+    for k, _ in docs:
+        own = [(i, x) for i, x in enumerate(split[k]) if x]
+        gone = set()
+        for other, _ in docs:
+            if other >= k:
+                continue
+            there = [x for x in split[other] if x]
+            for a in range(len(own)):
+                for c in range(len(there)):
+                    n = 0
+                    while a + n < len(own) and c + n < len(there) and own[a + n][1] == there[c + n]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in own[a : a + n]) >= least:
+                        gone |= {i for i, _ in own[a : a + n]}
+        out[k] = "\n".join(x for i, x in enumerate(split[k]) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 4096])
+def test_lines_against_all_pairs(spark, block):
+    rnd = random.Random(8)
+    pool = ["a", "b b", "c c c", "", "d d d d", "e e e e e", "f f f f f f f"] + [f"g{k} {k}" for k in range(5)]
+    docs = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for k in range(60)]
+    # an aligned block whose lines other, earlier documents own
+    docs += [(100, "aa bb"), (101, "cc dd"), (102, "aa bb\ncc dd\nee ff"), (103, "x y z\naa bb\ncc dd\nee ff\nu v w")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()}
+    assert got == brute_lines(docs) and got[103] == "x y z\nu v w"
+    fewer = [d for d in docs if d[0] % 3]
+    less = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(fewer, "doc_id long, text string"), block=block).collect()}
+    assert all(len(got[k]) <= len(less[k]) for k in less)  # more earlier documents never delete less
+
+
+def test_alignment_rises_on_both_sides():
+    rnd = random.Random(6)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcdefgh") for _ in range(rnd.randrange(12))] for _ in range(2))
+        found = aligned(a, b, [1] * len(b))
+        assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+    assert aligned(list("abcxyz"), list("abqxyz"), [1] * 6) == [(0, 0), (1, 1), (3, 3), (4, 4), (5, 5)]
 
 
 def test_lines_of_odd_rows(odd, documents):
