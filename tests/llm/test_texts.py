@@ -7,7 +7,7 @@ import numpy as np
 
 from wayfold.llm.language_id import grams, identify_languages
 from wayfold.llm.license_scan import PHRASES, TEMPLATES, Automaton, Scanner, license_digest, license_scan, words
-from wayfold.llm.quality import feature_table, fit, keep_good, quality_scores
+from wayfold.llm.quality import NAMES, estimated_prior, feature_table, fit, keep_good, quality_scores
 
 
 def test_grams_by_hand():
@@ -77,6 +77,38 @@ def test_quality_of_odd_rows(spark, odd):
         assert len(rows) == frame.count() and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_text(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    d = len(NAMES)
+    rows = []
+    for prior in (0.3, 0.8):
+        good = rng.random(4000) < prior
+        x = rng.standard_normal((4000, d)) + np.where(good, 1.5, -1.5)[:, None] * (np.arange(d) < 3)
+        rows += [(prior, r.astype("<f4").tobytes(), bool(g and k % 3 == 0)) for k, (r, g) in enumerate(zip(x, good, strict=True))]
+    table = spark.createDataFrame(rows, "prior double, x binary, p boolean")
+    for prior in (0.3, 0.8):
+        assert abs(estimated_prior(table.where(F.col("prior") == prior).select("x", "p"), 60) - prior) < 0.1
+
+
+def test_fit_minimises_the_risk_of_brute_force(spark):
+    """The distributed fit against the same risk written out over all rows at once."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, len(NAMES))).astype("<f4")
+    p = x[:, 0] + rng.standard_normal(600) > 0.8
+    table = spark.createDataFrame([(r.tobytes(), bool(q)) for r, q in zip(x, p, strict=True)], "x binary, p boolean").repartition(3)
+    model = fit(table, 0.4, steps=120)
+    z = np.column_stack([np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8), np.ones(600)])
+
+    def risk(w):
+        s = 1 / (1 + np.exp(-z @ w))
+        return 0.4 * -np.log(s[p]).mean() + max(0.0, -np.log(1 - s).mean() - 0.4 * -np.log(1 - s[p]).mean()) + 0.005 * (w[:-1] ** 2).sum()
+
+    least = risk(model.w)
+    assert all(least <= risk(model.w + step * rng.standard_normal(len(model.w))) + 2e-3 for step in (0.02, 0.1, 0.5) for _ in range(200))
+
+
 def test_negative_risk_is_kept_from_falling_below_zero(spark, documents):
     from pyspark.sql import functions as F
 

@@ -15,7 +15,7 @@ from .common import by_bytes, discard, held_out, persisted, utf8_list
 
 LETTER, UPPER, DIGIT, SPACE, MARK, SYMBOL, OTHER = range(7)
 #: Features of a text, in order; see features().
-NAMES = ("upper", "digit", "mark", "symbol", "other", "length", "word_length", "distinct", "top_word", "same_word", "shout", "bars", "lines", "pairs", "empty")
+NAMES = ("upper", "digit", "mark", "symbol", "other", "length", "word_length", "distinct", "top_word", "same_word", "lines", "pairs", "empty")
 
 
 @cache
@@ -51,8 +51,6 @@ def features(text: bytes) -> list[float]:
         len(counts) / n,
         max(counts.values()) / n if n > 20 else 0.0,
         float(np.sqrt(same)),
-        float(np.sqrt(min(1.0, text.count(b"!!") / n))),
-        float(np.sqrt(min(1.0, counts.get(b"|", 0) / n))),
         float(np.sqrt(min(1.0, text.count(b"\n") / n))),
         pairs,
         0.0,
@@ -88,7 +86,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.25, decay: float = 1e-3) -> Model:
+def passed(table: DataFrame, work) -> np.ndarray:
+    """The sum over all rows of work(features, trusted), an array of fixed size, added up in each task; [0] without rows."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = work(_matrix(batch.column("x")), batch.column("p").to_numpy(zero_copy_only=False).astype(bool))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total, np.float64).tobytes()], pa.binary())], ["sum"])
+
+    return sum((np.frombuffer(r[0]) for r in table.mapInArrow(part, "sum binary").collect()), np.zeros(1))
+
+
+def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.1, decay: float = 1e-2) -> Model:
     """Minimises the non-negative unbiased risk prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]) with logistic loss.
 
     table: x, and `p`, true for trusted positives; every row counts as unlabelled. Each step is one pass over all rows that
@@ -96,19 +109,7 @@ def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.25, dec
     """
     d = len(NAMES)
 
-    def passed(work) -> np.ndarray:
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                if batch.num_rows:
-                    own = work(_matrix(batch.column("x")), batch.column("p").to_numpy(zero_copy_only=False).astype(bool))
-                    total = own if total is None else total + own
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
-
-        return sum((np.frombuffer(r[0]) for r in table.mapInArrow(part, "sum binary").collect()), np.zeros(1))
-
-    sums = passed(lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
+    sums = passed(table, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
     if len(sums) == 1 or not sums[1]:
         return Model(np.zeros(d), np.ones(d), np.append(np.zeros(d), np.log(prior / (1 - prior))))
     n_u, n_p, mean = sums[0], sums[1], sums[2 : 2 + d] / sums[0]
@@ -126,7 +127,7 @@ def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.25, dec
             # gradients of l(+) are (s - 1) z, of l(-) s z
             return np.concatenate([[lost.sum(), lost[p].sum()], s @ z, s[p] @ z[p], (s[p] - 1) @ z[p]])
 
-        g = passed(gradient)
+        g = passed(table, gradient)
         negative = g[0] / n_u - prior * g[1] / n_p
         g_u, g_n, g_p = g[2 : 3 + d] / n_u, g[3 + d : 4 + 2 * d] / n_p, g[4 + 2 * d :] / n_p
         # below zero the negative risk is raised again instead of lowered further
@@ -137,6 +138,29 @@ def fit(table: DataFrame, prior: float, steps: int = 80, rate: float = 0.25, dec
     return Model(mean, scale, w)
 
 
+def estimated_prior(table: DataFrame, steps: int, bins: int = 512) -> float:
+    """The share of positives among the unlabelled rows of table (x, p).
+
+    Unlabelled text is a mixture, so that whatever texts are chosen, at least prior * (their share among positives) of all text
+    is among them: the prior is at most the ratio of the two shares, and meets it where negatives are absent. Texts are chosen
+    by the score of a model that another half of the rows gave (by hash of their features), from a fifth of the positives to
+    all; the least ratio of each half counts, and both halves are averaged. 0.5 without positives.
+    """
+    rows, found = table.withColumn("half", F.pmod(F.xxhash64("x"), F.lit(2))), []
+    for half in (0, 1):
+        model = fit(rows.where(F.col("half") == half), 0.5, steps)
+
+        def histogram(x: np.ndarray, p: np.ndarray, model: Model = model) -> np.ndarray:
+            at = np.minimum((model.score(x) * bins).astype(int), bins - 1)
+            return np.concatenate([np.bincount(at, minlength=bins), np.bincount(at[p], minlength=bins)])
+
+        held = passed(rows.where(F.col("half") == 1 - half), histogram)
+        if len(held) > 1 and held[bins:].any():
+            u, p = (np.cumsum(h[::-1]) / h.sum() for h in (held[:bins], held[bins:]))
+            found.append(float((u / np.maximum(p, 1e-12))[p >= 0.2].min()))
+    return min(0.99, max(0.01, float(np.mean(found)))) if found else 0.5
+
+
 def trusted(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """(label_id, label) of the rows that may be learned from: one for each id, its greatest label."""
     known = labels.select(F.col(id_col).cast("bigint").alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label_id is not null and label in (0, 1)")
@@ -144,13 +168,11 @@ def trusted(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def learn(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, steps: int) -> Model:
-    """fit() on the rows (id, x) of table that aren't held out, with the trusted labels and the prior that they give."""
+    """fit() on the rows (id, x) of table that aren't held out, with the trusted positives and the estimated prior."""
     known = trusted(labels, id_col, label_col)
-    share = known.agg(F.avg("label")).first()[0]
-    prior = min(0.99, max(0.01, 0.5 if share is None else share))
     train = table.where(~held_out(F.col("id"))).join(known.where("label = 1"), F.col("id") == F.col("label_id"), "left")
     train = persisted(train.select("x", F.col("label_id").isNotNull().alias("p")), "quality-train")
-    model = fit(train, prior, steps)
+    model = fit(train, estimated_prior(train, max(1, steps // 2)), steps)
     discard(train)
     return model
 
@@ -177,10 +199,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id_col, held_out, score, predicted) of every row of docs; predicted is 1 from `threshold` on.
 
     Trusted positives are the texts whose label is 1, unlabelled text is all of docs, both without the held-out rows
-    (held_out()); the class prior is the share of ones among the labels that aren't held out (a label that an id has twice
-    counts once, as its greatest), 0.5 without any, and kept within 0.01 and 0.99. Scores see the text alone. A null id is
-    never labelled; repeated ids keep their rows; null and empty texts have a score of their own; without trusted positives
-    every score is the prior; an empty table gives an empty result.
+    (held_out()); labels of 0 are not used, and a label that an id has twice counts once, as its greatest. The class prior is
+    estimated from both (estimated_prior()). Scores see the whole text alone, however long. A null id is never labelled;
+    repeated ids keep their rows; null and empty texts have a score of their own, and equal texts equal scores; without trusted
+    positives every score is the prior; ids cast to bigint; other columns are not read, whatever their names; an empty table
+    gives an empty result.
     """
     table = persisted(feature_table(docs, {"id": F.col(id_col).cast("bigint")}, text_col), "quality-features")
     model = learn(table, labels, id_col, label_col, steps)
