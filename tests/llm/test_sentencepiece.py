@@ -33,8 +33,8 @@ def test_ids_are_the_librarys(spark, odd, both):
     model, library = both
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     for frame in (docs, odd.where("doc_id is null or doc_id <> 7"), docs.limit(0)):
-        for segment in (1, 5, 100_000):
-            rows = encode(frame, model, segment=segment).collect()
+        for segment, head in ((1, 0), (5, 7), (100_000, 1000)):
+            rows = encode(frame, model, segment=segment, head=head).collect()
             texts = {xxhash.xxh64_intdigest((r["text"] or "").encode(), 42): r["text"] or "" for r in frame.collect()}
             assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in frame.collect())
             for r in rows:

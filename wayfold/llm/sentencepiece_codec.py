@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,11 +23,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, persisted, utf8_list
+from .binary_tokens import _open, _put
+from .common import by_bytes, discard, fresh_path, persisted, utf8_list
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-LAST = (1 << 31) - 1
 #: Units over this many characters (their borders don't fit the bits of one number) are folded by Folder, an exact alternative
 #: with the same rules in n log n steps.
 LONGEST = 62
@@ -165,18 +166,17 @@ def piece_table(model: Model) -> list[tuple[str, int, float, int]]:
 
 
 _START, _LEN, _ID = "cast(shiftright(c, 29) & 63 as int)", "cast(shiftright(c, 23) & 63 as int)", "cast(shiftright(c, 1) & 4194303 as int)"
-_ENDS = f"shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LEN})"
-_INNER = f"shiftleft(shiftleft(1L, {_LEN}) - 2, {_START})"
+#: An edge from its code: start from 0, len, id, whether late, the bits of its two ends and those of the borders between.
+_EDGE = f"struct({_START} as start, {_LEN} as len, {_ID} as id, c & 1 as late, shiftleft(1L, {_START}) | shiftleft(1L, {_START} + {_LEN}) as ends, shiftleft(shiftleft(1L, {_LEN}) - 2, {_START}) as inner)"
 
 
-def one_pass(codes: str, size: str) -> Column:
-    """The borders of a BPE unit's symbols, as bits, from the codes of its edges.
+def one_pass(edges: str, size: str) -> Column:
+    """The borders of a BPE unit's symbols, as bits, from its edges, sorted by code.
 
     Edges are taken once, best score first, leftmost among equals; one joins if its two ends are borders and one border lies
     between. Bit 63 is set if an edge of a late piece found more than one border between its ends: only then can it become
     possible after its turn, and the unit must be folded by repeated search.
     """
-    edges = f"transform(sort_array(filter({codes}, c -> {_LEN} > 1)), c -> struct({_ENDS} as ends, {_INNER} as inner, c & 1 as late))"
     return F.expr(
         f"aggregate({edges}, shiftrightunsigned(-1L, 63 - {size}), (s, e) -> case when (s & e.ends) <> e.ends or (s & e.inner) = 0 then s "
         "when (s & e.inner & ((s & e.inner) - 1)) = 0 then s & ~e.inner when e.late = 1 then s | shiftleft(1L, 63) else s end)"
@@ -193,19 +193,27 @@ def encoded_units(words: DataFrame, model: Model) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(piece_table(model), "piece string, id int, score double, code bigint"))
     size = F.length("word")
     starts = words.where(size <= LONGEST).select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("start") + 1))).alias("len"))
+    least = F.lit(1)
+    if model.kind == BPE:  # single characters join nothing; one row stays for each unit all the same
+        starts, least = starts.where("start < size or start = 1"), F.when(F.col("start") == 1, 1).otherwise(2)
+    spans = starts.select("word", "start", F.explode(F.sequence(least, F.least(F.lit(model.longest), F.col("size") - F.col("start") + 1))).alias("len"))
     edges = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("len"))).join(table, "piece", "left")
-    # one row at least stays of a unit that no piece matches
     edges = edges.where("id is not null or start = 1 and len = 1")
     if model.kind == BPE:
-        lattice = edges.groupBy("word").agg(F.collect_list(F.expr("code + shiftleft(cast(start - 1 as bigint), 29)")).alias("codes"))
-        lattice = lattice.withColumn("size", size).withColumn("borders", one_pass("codes", "size"))
-        found = f"sort_array(transform(filter(codes, c -> (borders & ({_ENDS})) = ({_ENDS}) and (borders & ({_INNER})) = 0), c -> struct({_START} as start, {_LEN} as len, {_ID} as id)))"
-        lattice = lattice.withColumn("found", F.expr(f"if(borders < 0, null, {found})"))
-        whole = F.expr("aggregate(found, 0, (n, x) -> n + x.len) = size")
-        again = F.expr(f"transform(codes, c -> struct({_START} + 1 as start, {_LEN} as len, {_ID} as id, cast(-shiftright(c, 35) as double) as score))")
-        # bytes of characters without a piece, and late pieces, take the fold by repeated search
-        short = lattice.select("word", F.when(whole, F.expr("transform(found, x -> x.id)")).otherwise(unit_ids(again, F.col("word"), model)).alias("ids"))
+        # the ids of single characters stand in a constant array by code point
+        single = {ord(p): i for p, i, _ in model.pieces if len(p) == 1}
+        by_point = ",".join(str(single.get(c, -1)) for c in range(max(single, default=0) + 1))
+        lattice = edges.groupBy("word").agg(F.collect_list(F.expr("case when len > 1 then code + shiftleft(cast(start - 1 as bigint), 29) end")).alias("codes"))
+        lattice = lattice.select("word", "codes", size.alias("size"), F.expr(f"transform(sort_array(codes), c -> {_EDGE})").alias("edges")).withColumn("borders", one_pass("edges", "size"))
+        joined = "transform(filter(edges, e -> (borders & e.ends) = e.ends and (borders & e.inner) = 0), e -> struct(e.start as start, e.id as id))"
+        lone = "transform(filter(sequence(0, size - 1), i -> (shiftright(borders, i) & 3) = 3), i -> struct(i as start, coalesce(get(points, ascii(substring(word, i + 1, 1))), -1) as id))"
+        lattice = lattice.withColumn("points", F.split(F.lit(by_point), ",").cast("array<int>"))
+        lattice = lattice.withColumn("found", F.expr(f"if(borders < 0, null, transform(sort_array(concat({joined}, {lone})), x -> x.id))"))
+        known = "filter(sequence(1, size), i -> coalesce(get(points, ascii(substring(word, i, 1))), -1) >= 0)"
+        ones = f"transform({known}, i -> struct(i as start, 1 as len, get(points, ascii(substring(word, i, 1))) as id, 0.0D as score))"
+        again = F.expr(f"concat(transform(codes, c -> struct({_START} + 1 as start, {_LEN} as len, {_ID} as id, cast(-shiftright(c, 35) as double) as score)), {ones})")
+        # late pieces, and bytes of characters without a piece, take the fold by repeated search
+        short = lattice.select("word", F.when(F.expr("found is not null and not array_contains(found, -1)"), F.col("found")).otherwise(unit_ids(again, F.col("word"), model)).alias("ids"))
     else:
         lattice = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "len", "id", "score"))).alias("edges"))
         short = lattice.select("word", unit_ids(F.col("edges"), F.col("word"), model).alias("ids"))
@@ -275,53 +283,87 @@ class Folder:
         return out[::-1]
 
 
-class _Places(dict):
-    def __missing__(self, unit: str) -> int:
-        self[unit] = place = len(self)
-        return place
+def frequent_units(rows: DataFrame, model: Model, head: int, sample: int) -> list[tuple[str, bytes]]:
+    """(unit, ids as packed integers) of the `head` most frequent units of about `sample` documents, chosen by the hash of their texts."""
+    n = rows.count()
+    share = min(1.0, sample / max(1, n))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in by_bytes(batches, "text", 2 << 20):
+            for x in utf8_list(batch.column("text")):
+                held.update(units(model, x))
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+    some = rows.where(F.pmod(F.col("t"), F.lit(1_000_003)) < int(share * 1_000_003)).select("text")
+    counted = some.mapInArrow(count, "word string, n bigint").where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    top = persisted(counted.orderBy(F.desc("n"), "word").limit(head), "unit-head")
+    found = encoded_units(top.select("word"), model).join(top, "word").orderBy(F.desc("n"), "word").select("word", "ids")
+    out = [(r[0], np.array(r[1], "<i4").tobytes()) for r in found.toLocalIterator()]
+    discard(top)
+    return out
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", segment: int = 150_000, ids: bool = True, check: bool = False) -> DataFrame:
+
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", segment: int = 400_000, head: int = 100_000, sample: int = 20_000, ids: bool = True, check: bool = False) -> DataFrame:
     """(id_col, text_hash, ids array<int>) of every row of docs: the sentencepiece library's ids, without begin and end;
     text_hash is xxhash64 of the text (null: of the empty text). check adds, in the same pass over the ids, n_pieces, ids_crc32
     (unsigned crc32 of them as little-endian unsigned 32-bit integers) and round_trip (whether they decode to the text, by its
     hash); without `ids` the ids themselves are left out.
 
-    Texts are read and cut once. A task numbers the units of its documents in segments of about `segment` distinct units (a
-    segment ends with the document that reaches it) and writes, to the shared folder, each segment's units and the documents as
-    compressed numbers. Distinct units are encoded by the lattice and joined back with the segments' units, at most once a
-    segment however frequent; a segment's encodings and documents then meet in one group, whose size the segment bounds. Texts
-    are never shuffled. Null and empty texts have no ids; ids cast to bigint; null and repeated ids keep their rows; a unit of
-    any length is encoded; an empty table gives an empty result. Other columns are not read, whatever their names.
+    Texts are cut in one pass. The `head` most frequent units of about `sample` documents, a bounded list, have numbers that
+    all tasks know; it saves shuffling them and changes no result. A task numbers the other units of its documents in segments
+    of about `segment` distinct units (a segment ends with the document that reaches it) and writes, to the shared folder, each
+    segment's units and the documents as compressed numbers. Distinct units are encoded by the lattice and joined back with the
+    segments' units, at most once a segment however frequent; the encodings of a segment, which `segment` bounds, become one
+    file of the shared folder, which the tasks that read its documents load. Neither texts nor documents are shuffled. Null and
+    empty texts have no ids; ids cast to bigint; null and repeated ids keep their rows; a unit of any length is encoded; an
+    empty table gives an empty result. Other columns are not read, whatever their names.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    top = frequent_units(rows, model, head, sample) if head else []
+    size = len(top)
+    shared = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, [x for _, x in top]))
+    uri = fresh_path(spark, "unit-segments")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         squeeze, part, count = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId(), 0
-        places, held, n = _Places(), [], 0
+        names = ["seg", "place", "word", "id", "t", "packed", "tail"]
+
+        class Places(dict):
+            def __missing__(self, unit: str) -> int:
+                if (place := shared.value[0].get(unit)) is None:
+                    place = size + len(fresh)
+                    fresh.append(unit)
+                self[unit] = place
+                return place
 
-        def segments() -> Iterator[pa.RecordBatch]:
-            nonlocal places, held, n, count
+        fresh: list[str] = []
+        places, held, n = Places(), [], 0
+
+        def segment_rows() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, count
             # frequent units get the small numbers
-            order = np.argsort(-np.bincount(np.concatenate([x for _, _, x in held]), minlength=len(places)), kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            own, seg = list(places), part << 32 | count
-            words = [own[i] for i in order.tolist()]
-            places, count = _Places(), count + 1
-            names = ["seg", "place", "word", "id", "t", "packed"]
+            order = np.argsort(-np.bincount(np.concatenate([x for _, _, x in held]), minlength=size + len(fresh))[size:], kind="stable")
+            rank = np.arange(size + len(fresh), dtype=np.int32)
+            rank[size + order] = size + np.arange(len(order), dtype=np.int32)
+            seg, words = part << 32 | count, [fresh[i] for i in order.tolist()]
+            count += 1
             for at in range(0, len(words), 10_000):
                 some = words[at : at + 10_000]
-                nothing = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([seg] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string()), nothing, nothing, pa.nulls(len(some), pa.binary())], names)
+                k = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([seg] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), pa.array(some, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32())], names)
             for at in range(0, len(held), 1000):
                 some = held[at : at + 1000]
+                k = len(some)
                 # bytes of equal weight side by side: the higher ones are mostly zero
                 packed = [squeeze(np.ascontiguousarray(rank[x].astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()) for _, _, x in some]
-                yield pa.RecordBatch.from_arrays([pa.array([seg] * len(some), pa.int64()), pa.array([LAST] * len(some), pa.int32()), pa.nulls(len(some), pa.string()), pa.array([x for x, _, _ in some], pa.int64()), pa.array([x for _, x, _ in some], pa.int64()), pa.array(packed, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([seg] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array([x for x, _, _ in some], pa.int64()), pa.array([x for _, x, _ in some], pa.int64()), pa.array(packed, pa.binary()), pa.array([len(words)] * k, pa.int32())], names)
+            fresh.clear()
+            places.clear()
             held, n = [], 0
 
         for batch in by_bytes(batches, "text", 2 << 20):
@@ -329,39 +371,71 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 own = units(model, x)
                 held.append((i, t, np.fromiter(map(places.__getitem__, own), np.int32, len(own))))
                 n += len(own)
-                if len(places) >= segment or n >= 1 << 22:
-                    yield from segments()
+                if len(fresh) >= segment or n >= 1 << 23:
+                    yield from segment_rows()
         if held:
-            yield from segments()
+            yield from segment_rows()
 
-    numbered = persisted(rows.mapInArrow(number, "seg bigint, place int, word string, id bigint, t bigint, packed binary"), "units")
+    numbered = persisted(rows.mapInArrow(number, "seg bigint, place int, word string, id bigint, t bigint, packed binary, tail int"), "units")
     named = numbered.where("word is not null").select("word", "seg", "place")
-    coded = named.join(encoded_units(named.select("word").distinct(), model).hint("merge"), "word")
-    nothing = F.lit(None)
-    coded = coded.select("seg", "place", "ids", nothing.cast("bigint").alias("id"), nothing.cast("bigint").alias("t"), nothing.cast("binary").alias("packed"))
-    whole = numbered.where("word is null").select("seg", "place", nothing.cast("array<int>").alias("ids"), "id", "t", "packed")
-    dealt = coded.unionByName(whole).repartition("seg").sortWithinPartitions("seg", "place")
+    coded = named.join(encoded_units(named.select("word").distinct(), model).hint("merge"), "word").select("seg", "place", "ids")
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(uri)
+        fs.create_dir(base, recursive=True)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        held: list[pa.Array] = []
+        before = None
+
+        def put() -> None:
+            found = pa.concat_arrays(held)
+            lengths = np.diff(np.asarray(found.offsets)).astype("<i4")
+            _put(fs, f"{base}/{before}", lambda f: f.write(squeeze(np.array([len(lengths)], "<i4").tobytes() + lengths.tobytes() + np.asarray(found.flatten(), "<i4").tobytes())))
+
+        for batch in batches:
+            segs = np.asarray(batch.column("seg"))
+            cuts = [0, *(np.flatnonzero(np.diff(segs)) + 1).tolist(), len(segs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if segs[a] != before and held:
+                    put()
+                    held = []
+                before = int(segs[a])
+                held.append(batch.column("ids").slice(a, b - a))
+        if held:
+            put()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
+
+    coded.repartition("seg").sortWithinPartitions("seg", "place").mapInArrow(store, "n bigint").agg(F.sum("n")).collect()
 
     schema = ["id bigint", "text_hash bigint"] + ["ids array<int>"] * ids + ["n_pieces bigint", "ids_crc32 bigint", "round_trip boolean"] * check
     names = [x.split()[0] for x in schema]
     surface, prefix = model.surface, model.prefix
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = zstandard.ZstdDecompressor().decompress
+        spread, frequent = zstandard.ZstdDecompressor().decompress, shared.value[1]
+        # what a unit's ids decode to: no run of byte pieces goes on beyond a unit
+        text_of = lambda x: decode_ids(surface, False, np.frombuffer(x, "<i4").tolist())
+        frequent_text = [text_of(x) for x in frequent] if check else []
         before, table, back = None, [], []
+
+        def load(seg: int, tail: int) -> list[bytes]:
+            if not tail:
+                return []
+            fs, base = _open(uri)
+            with fs.open_input_file(f"{base}/{seg}") as f:
+                flat = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(f.read()), "<i4")
+            ends = (np.cumsum(flat[1 : tail + 1]) * 4).tolist()
+            raw = flat[tail + 1 :].tobytes()
+            return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
         for batch in by_bytes(batches, "packed", 1 << 20):
             keys, hashes, lengths, values, sums, same = [], [], [0], [], [], []
-            found = batch.column("ids")
-            flat, offsets = found.values.to_numpy(zero_copy_only=False).astype("<i4"), found.offsets.to_pylist()
-            for k, (seg, i, t, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seg", "id", "t", "packed")), strict=True)):
+            for seg, i, t, packed, tail in zip(*(batch.column(c).to_pylist() for c in ("seg", "id", "t", "packed", "tail")), strict=True):
                 if seg != before:
-                    before, table, back = seg, [], []
-                if packed is None:
-                    own = flat[offsets[k] : offsets[k + 1]]
-                    table.append(own.tobytes())
-                    if check:  # what a unit's ids decode to: no run of byte pieces goes on beyond a unit
-                        back.append(decode_ids(surface, False, own.tolist()))
-                    continue
+                    own = load(seg, tail)
+                    before, table, back = seg, frequent + own, frequent_text + ([text_of(x) for x in own] if check else [])
                 raw = np.frombuffer(spread(packed), np.uint8)
                 numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel().tolist() if len(raw) else []
                 joined = b"".join(map(table.__getitem__, numbers))
@@ -384,7 +458,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 arrays += [pa.array(np.diff(lengths), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return dealt.mapInArrow(fill, ", ".join(schema)).withColumnRenamed("id", id_col)
+    return numbered.where("word is null").select("seg", "id", "t", "packed", "tail").mapInArrow(fill, ", ".join(schema)).withColumnRenamed("id", id_col)
 
 
 def decode_ids(surface: list[str | int], prefix: bool, ids: list[int]) -> str:
