@@ -31,6 +31,8 @@ UNIGRAM, BPE = 1, 2
 #: Units over this many characters (their borders don't fit the bits of one number) are folded by Folder, an exact alternative
 #: with the same rules in n log n steps.
 LONGEST = 62
+#: Characters below this are low: their own pieces are looked up by code point.
+LOW = 592
 
 
 @dataclass
@@ -184,7 +186,7 @@ def one_pass(edges: str, size: str) -> Column:
 
 
 def encoded_units(words: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of the distinct units in `word`; those of LONGEST characters or fewer by the lattice.
+    """(word, ids) of the distinct units in `word`, of LONGEST characters or fewer, by the lattice.
 
     Units stay where they are while their substrings are exploded, joined with the broadcast piece table (as large as the
     model) and grouped again by unit.
@@ -192,23 +194,27 @@ def encoded_units(words: DataFrame, model: Model) -> DataFrame:
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(piece_table(model), "piece string, id int, score double, code bigint"))
     size = F.length("word")
-    starts = words.where(size <= LONGEST).select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    starts = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
     least = F.lit(1)
-    if model.kind == BPE:  # single characters join nothing; one row stays for each unit all the same
-        starts, least = starts.where("start < size or start = 1"), F.when(F.col("start") == 1, 1).otherwise(2)
+    if model.kind == BPE:  # low characters by themselves need no edge; one row stays for each unit all the same
+        alone = f"start = 1 or ascii(substring(word, start, 1)) >= {LOW}"
+        starts, least = starts.where(f"start < size or {alone}"), F.when(F.expr(alone), 1).otherwise(2)
     spans = starts.select("word", "start", F.explode(F.sequence(least, F.least(F.lit(model.longest), F.col("size") - F.col("start") + 1))).alias("len"))
     edges = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("len"))).join(table, "piece", "left")
     edges = edges.where("id is not null or start = 1 and len = 1")
     if model.kind == BPE:
-        # the ids of single characters stand in a constant array by code point
+        # the ids of single low characters stand in a constant array by code point, those of others among the edges
         single = {ord(p): i for p, i, _ in model.pieces if len(p) == 1}
-        by_point = ",".join(str(single.get(c, -1)) for c in range(max(single, default=0) + 1))
-        lattice = edges.groupBy("word").agg(F.collect_list(F.expr("case when len > 1 then code + shiftleft(cast(start - 1 as bigint), 29) end")).alias("codes"))
+        points = F.lit(",".join(str(single.get(c, -1)) for c in range(LOW)))
+        kept = f"case when len > 1 or ascii(piece) >= {LOW} then code + shiftleft(cast(start - 1 as bigint), 29) end"
+        lattice = edges.groupBy("word").agg(F.collect_list(F.expr(kept)).alias("codes"))
         lattice = lattice.select("word", "codes", size.alias("size"), F.expr(f"transform(sort_array(codes), c -> {_EDGE})").alias("edges")).withColumn("borders", one_pass("edges", "size"))
         joined = "transform(filter(edges, e -> (borders & e.ends) = e.ends and (borders & e.inner) = 0), e -> struct(e.start as start, e.id as id))"
-        lone = "transform(filter(sequence(0, size - 1), i -> (shiftright(borders, i) & 3) = 3), i -> struct(i as start, coalesce(get(points, ascii(substring(word, i + 1, 1))), -1) as id))"
-        lattice = lattice.withColumn("points", F.split(F.lit(by_point), ",").cast("array<int>"))
-        lattice = lattice.withColumn("found", F.expr(f"if(borders < 0, null, transform(sort_array(concat({joined}, {lone})), x -> x.id))"))
+        lone = "transform(filter(sequence(0, size - 1), i -> (shiftright(borders, i) & 3) = 3), i -> struct(i as start, get(points, ascii(substring(word, i + 1, 1))) as id))"
+        lattice = lattice.withColumn("points", F.split(points, ",").cast("array<int>"))
+        # high characters have null here, and an edge of their own if they have a piece
+        lattice = lattice.withColumn("symbols", F.expr(f"if(borders < 0, null, sort_array(concat({joined}, filter({lone}, x -> x.id is not null))))"))
+        lattice = lattice.withColumn("found", F.expr("if(size(symbols) = bit_count(borders) - 1, transform(symbols, x -> x.id), null)"))
         known = "filter(sequence(1, size), i -> coalesce(get(points, ascii(substring(word, i, 1))), -1) >= 0)"
         ones = f"transform({known}, i -> struct(i as start, 1 as len, get(points, ascii(substring(word, i, 1))) as id, 0.0D as score))"
         again = F.expr(f"concat(transform(codes, c -> struct({_START} + 1 as start, {_LEN} as len, {_ID} as id, cast(-shiftright(c, 35) as double) as score)), {ones})")
@@ -218,12 +224,18 @@ def encoded_units(words: DataFrame, model: Model) -> DataFrame:
         lattice = edges.groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("start", "len", "id", "score"))).alias("edges"))
         short = lattice.select("word", unit_ids(F.col("edges"), F.col("word"), model).alias("ids"))
 
+    return short
+
+
+def folded_units(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (word, seg, place) of units over LONGEST characters as (seg, place, ids)."""
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([folder.ids(x) for x in batch.column("word").to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("place"), pa.array([folder.ids(x) for x in batch.column("word").to_pylist()], pa.list_(pa.int32()))], ["seg", "place", "ids"])
 
-    return short.unionByName(words.where(size > LONGEST).mapInArrow(fold, "word string, ids array<int>"))
+    return rows.where(F.length("word") > LONGEST).mapInArrow(fold, "seg bigint, place int, ids array<int>")
 
 
 class Folder:
@@ -333,9 +345,11 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         squeeze, part, count = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId(), 0
         names = ["seg", "place", "word", "id", "t", "packed", "tail"]
 
+        known = shared.value[0]
+
         class Places(dict):
             def __missing__(self, unit: str) -> int:
-                if (place := shared.value[0].get(unit)) is None:
+                if (place := known.get(unit)) is None:
                     place = size + len(fresh)
                     fresh.append(unit)
                 self[unit] = place
@@ -378,7 +392,10 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     numbered = persisted(rows.mapInArrow(number, "seg bigint, place int, word string, id bigint, t bigint, packed binary, tail int"), "units")
     named = numbered.where("word is not null").select("word", "seg", "place")
-    coded = named.join(encoded_units(named.select("word").distinct(), model).hint("merge"), "word").select("seg", "place", "ids")
+    # one shuffle by unit serves both the distinct units and their way back: all columns are read for either
+    dealt = named.where(F.length("word") <= LONGEST).repartition("word")
+    distinct = dealt.groupBy("word").agg(F.max("seg").alias("seg"), F.max("place").alias("place")).where("seg >= 0 and place >= 0").select("word")
+    coded = dealt.join(encoded_units(distinct, model).hint("merge"), "word").select("seg", "place", "ids").unionByName(folded_units(named, model))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(uri)
@@ -416,7 +433,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread, frequent = zstandard.ZstdDecompressor().decompress, shared.value[1]
         # what a unit's ids decode to: no run of byte pieces goes on beyond a unit
-        text_of = lambda x: decode_ids(surface, False, np.frombuffer(x, "<i4").tolist())
+        text_of = lambda x: decode_ids(surface, False, np.frombuffer(x, "<i4").tolist()).encode()
         frequent_text = [text_of(x) for x in frequent] if check else []
         before, table, back = None, [], []
 
@@ -446,9 +463,9 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     values.append(joined)
                 if check:
                     sums.append(zlib.crc32(joined))
-                    decoded = "".join(map(back.__getitem__, numbers))
-                    decoded = decoded[1:] if prefix and decoded.startswith(" ") else decoded
-                    same.append(xxhash.xxh64_intdigest(decoded.encode(), 42) == t % (1 << 64))
+                    decoded = b"".join(map(back.__getitem__, numbers))
+                    decoded = decoded[1:] if prefix and decoded.startswith(b" ") else decoded
+                    same.append(xxhash.xxh64_intdigest(decoded, 42) == t % (1 << 64))
             if not keys:
                 continue
             arrays = [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())]
