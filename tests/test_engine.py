@@ -128,9 +128,9 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
         return spark.table("got").collect()
 
-    assert [r["usable"] for r in sorted(run(updates.usable(stream()), "append"), key=lambda r: (r["user_id"], r["ts"]))] == [True, False, True, False]
+    assert [r["usable"] for r in sorted(run(updates.usable(stream(), F.lit("2024-01-01 00:00:20").cast("timestamp")), "append"), key=lambda r: (r["user_id"], r["ts"]))] == [True, False, True, False]
     assert len(run(updates.throttled(stream()), "append")) == 3
-    assert {(r["user_id"], r["sequence"]) for r in run(updates.latest(updates.usable(stream())), "complete")} == {(1, 3), (2, 7)}
+    assert {(r["user_id"], r["sequence"]) for r in run(updates.latest(updates.usable(stream(), F.lit("2024-01-01 00:00:20").cast("timestamp"))), "complete")} == {(1, 3), (2, 7)}
     seen = []
     (tmp_path / "records").mkdir()
     (tmp_path / "records/a.json").write_text('{"record_index": 0, "json": "{}"}\n')

@@ -78,3 +78,56 @@ def bounds(points: Column) -> Column:
     """struct<min_lng, max_lng, min_lat, max_lat>."""
     x, y = F.transform(points, lambda p: p["lng"]), F.transform(points, lambda p: p["lat"])
     return F.struct(F.array_min(x).alias("min_lng"), F.array_max(x).alias("max_lng"), F.array_min(y).alias("min_lat"), F.array_max(y).alias("max_lat"))
+
+
+def _planar(points: Column) -> Column:
+    """Planar degrees from the start to each point."""
+    steps = _pairs(points, lambda a, b: F.hypot(b["lng"] - a["lng"], b["lat"] - a["lat"]))
+    return F.aggregate(steps, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def share_along(points: Column, lng: Column, lat: Column, most: float = 2.0) -> Column:
+    """Where a point projects on the line, as a share of its planar length in degrees; null beyond `most` metres from it, or
+    below two points; of equally near places the first; 0 on a line without length."""
+
+    def nearest(cum: Column) -> Column:
+        def step(a: Column, b: Column) -> Column:
+            t = geo.segment_fraction(lng, lat, a["lng"], a["lat"], b["lng"], b["lat"])
+            x, y = geo.interpolate(a["lng"], b["lng"], t), geo.interpolate(a["lat"], b["lat"], t)
+            return F.struct(F.hypot(x - lng, y - lat).alias("off"), t.alias("t"), geo.haversine(lng, lat, x, y).alias("m"))
+
+        spots = F.transform(_pairs(points, step), lambda s, i: F.struct(s["off"].alias("off"), (F.get(cum, i) + s["t"] * (F.get(cum, i + 1) - F.get(cum, i))).alias("at"), s["m"].alias("m")))
+        whole = F.element_at(cum, -1)
+        share = lambda best: F.when(best["m"] <= most, F.when(whole == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), best["at"] / F.nullif(whole, F.lit(0.0))))))
+        return _let(F.array_min(spots), share)
+
+    return F.when(F.size(points) > 1, _let(_planar(points), nearest))
+
+
+def between_shares(points: Column, start: Column, stop: Column) -> Column:
+    """The part of the line between two shares of its planar length, with interpolated ends."""
+
+    def part(cum: Column) -> Column:
+        whole = F.element_at(cum, -1)
+
+        def place(share: Column) -> Column:
+            at = share * whole
+            i = F.greatest(F.lit(1), F.least(F.size(F.filter(cum, lambda c: c <= at)), F.size(points) - 1))
+            a, b = F.element_at(points, i), F.element_at(points, i + 1)
+            t = F.coalesce((at - F.element_at(cum, i)) / F.nullif(F.element_at(cum, i + 1) - F.element_at(cum, i), F.lit(0.0)), F.lit(0.0))
+            return F.struct(geo.interpolate(a["lng"], b["lng"], t).alias("lng"), geo.interpolate(a["lat"], b["lat"], t).alias("lat"))
+
+        inner = F.transform(F.filter(F.arrays_zip(points.alias("p"), cum.alias("m")), lambda x: (x["m"] > start * whole) & (x["m"] < stop * whole)), lambda x: x["p"])
+        return F.concat(F.array(place(start)), inner, F.array(place(stop)))
+
+    return F.when(F.size(points) > 1, _let(_planar(points), part))
+
+
+def reversed_line(points: Column) -> Column:
+    return F.reverse(points)
+
+
+def shifted_rings(rings: Column, back: bool = False) -> Column:
+    """Rings of a polygon, array<array<struct<lng, lat>>>, in the shifted system, or back from it."""
+    turn = geo.to_wgs84 if back else geo.to_gcj02
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: turn(p["lng"], p["lat"])))

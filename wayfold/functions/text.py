@@ -13,9 +13,9 @@ def last_bracketed(text: Column) -> Column:
 
 
 def json_token(json: Column, name: str) -> Column:
-    """A field's raw token, quotes included, so that "1" and 1 stay apart; null where the field is missing or null."""
-    token = F.regexp_extract(json, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\s]+)', 1)
-    return F.when((token != "") & (token != "null"), token)
+    """A top-level field's token, quotes included, so that "1" and 1 stay apart; null where it is missing or null."""
+    token = F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant"))
+    return F.when(token != "null", token)
 
 
 def flag_is(token: Column, value: int) -> Column:
@@ -53,8 +53,70 @@ def fingerprint(ids: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(ids)), lambda x: x.cast("string")), ","), 256)
 
 
+def _plain(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
+
+
 def distance_text(metres: Column) -> Column:
-    return F.when(metres < 1000, F.concat(F.round(metres).cast("bigint").cast("string"), F.lit(" m"))).otherwise(F.concat(F.format_string("%.1f", metres / 1000), F.lit(" km")))
+    """Whole metres below a kilometre, tenths of kilometres below ten, then whole ones; "--" for what is no distance."""
+    km = metres / 1000
+    text = F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).when(km < 10, F.concat(F.format_string("%.1f", km), F.lit(" km"))).otherwise(F.concat(F.floor(km + 0.5).cast("string"), F.lit(" km")))
+    return F.when(_plain(metres), text).otherwise("--")
+
+
+def duration_text(seconds: Column) -> Column:
+    """Minutes, one at least, and hours from sixty on; "--" for what is no duration."""
+    minutes = F.greatest(F.lit(1), F.floor(seconds / 60 + 0.5)).cast("bigint")
+    hours, rest = F.floor(minutes / 60).cast("string"), minutes % 60
+    text = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(rest == 0, F.concat(hours, F.lit(" h"))).otherwise(F.concat(hours, F.lit(" h "), rest.cast("string"), F.lit(" min")))
+    return F.when(_plain(seconds), text).otherwise("--")
+
+
+def version_text(value: Column) -> Column:
+    """Month, day, hour and minute of a timestamp in text form; other texts as they are."""
+    return F.coalesce(F.date_format(value.try_cast("timestamp"), "MM/dd HH:mm"), value)
+
+
+def appended(base: Column, value: Column) -> Column:
+    """base and value side by side, or the one of them that holds the other."""
+    value = F.coalesce(value, F.lit(""))
+    return F.when((value == "") | F.contains(base, value), base).when(F.contains(value, base), value).otherwise(F.concat(base, value))
+
+
+def described(parts: Column) -> Column:
+    """The trimmed, filled texts of array<string>, appended in order without overlap."""
+    return F.aggregate(parts, F.lit(""), lambda base, part: appended(base, F.trim(part)))
+
+
+# What a failed plan is answered with, by its reason.
+ERROR_CODES = {
+    "TOPOLOGY_NOT_READY": "SIXTH_RING_TOPOLOGY_NOT_READY",
+    "BOUNDARY_AMBIGUOUS": "SIXTH_RING_BOUNDARY_AMBIGUOUS",
+    "POINT_NOT_FOUND": "OUTSIDE_ROUTING_BOUNDS",
+    "NO_ROUTE": "NO_COMPLIANT_ROUTE",
+    "SEARCH_TIMEOUT": "ROUTE_SEARCH_TIMEOUT",
+    "RESOURCE_LIMIT": "ROUTE_SEARCH_RESOURCE_LIMIT",
+    "REFERENCE_ROUTE_FAILED": "REFERENCE_ROUTE_FAILED",
+}
+
+
+def error_code(reason: Column) -> Column:
+    """The code of a failure; an unknown reason counts as no route."""
+    known = F.create_map(*(F.lit(x) for pair in ERROR_CODES.items() for x in pair))
+    return F.when(reason.isNotNull(), F.coalesce(F.try_element_at(known, reason), F.lit(ERROR_CODES["NO_ROUTE"])))
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of bytes, as read by the binaryFile source."""
+    return F.sha2(content, 256)
+
+
+def handover_uri(outbound: Column, handover: Column, end: Column, names: tuple[str, str, str] = ("inner handover", "outer start", "outer end"), base: str = "https://uri.example/navigation") -> Column:
+    """A navigation link between the handover and a route's outer end, struct<lng, lat> each: from the handover if outbound."""
+    at = lambda p, name: F.concat(p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit(","), name)
+    inner, start, stop = map(F.lit, names)
+    first, last = F.when(outbound, at(handover, inner)).otherwise(at(end, start)), F.when(outbound, at(end, stop)).otherwise(at(handover, inner))
+    return F.concat(F.lit(base + "?from="), F.url_encode(first), F.lit("&to="), F.url_encode(last), F.lit("&mode=car&policy=0&callnative=1"))
 
 
 def navigation_uri(lng: Column, lat: Column, name: Column, base: str = "https://uri.example/navigation") -> Column:

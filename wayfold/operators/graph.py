@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,22 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wayfold_path = path
+    return out
+
+
+def _drop(df: DataFrame) -> None:
+    """Deletes a table that _cut() wrote, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(df._wayfold_path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,13 +45,15 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _cut(both, "component-links")
     labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "component-labels")
+    before = labels
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = _cut(step.join(jump, "label", "left").select("node", F.least("label", "far").alias("label"), "was"), "component-labels")
         changed = after.where("label <> was").limit(1).count()
-        labels = after.drop("was")
+        _drop(before)
+        before, labels = after, after.drop("was")
         if not changed:
             return labels.select("node", F.col("label").alias("component"))
 
@@ -53,55 +67,69 @@ def adjacency(edge_keys: DataFrame, forbidden: DataFrame, blocked: DataFrame | N
 
 
 def _spread(seeds: DataFrame, turns: DataFrame, limit: int | None) -> DataFrame:
-    """Label correcting to the fixed point, as joins: each round relaxes the keys that got better in the last."""
-    best = _cut(seeds.groupBy("request", "key").agg(F.min(F.struct("dist_mm", F.lit(-1).cast("bigint").alias("pred"))).alias("b")).select("request", "key", "b.dist_mm", "b.pred", F.lit(True).alias("fresh")), "paths")
+    """Label correcting to the fixed point, as joins: each round relaxes only the keys that got better in the last."""
+    own = seeds if limit is None else seeds.where(F.col("dist_mm") <= limit)
+    first = own.groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", F.lit(-1).cast("bigint").alias("pred"))).alias("b"))
+    best = _cut(first.select("request", "key", "b.*", F.lit(True).alias("fresh")), "paths")
     while best.where("fresh").limit(1).count():
-        step = best.where("fresh").join(turns, "key").select("request", F.col("next_key").alias("key"), (F.col("dist_mm") + F.col("next_mm")).alias("dist_mm"), F.col("key").alias("pred"), F.lit(1).alias("new"))
+        step = best.where("fresh").join(turns, "key").select("request", F.col("next_key").alias("key"), (F.col("dist_mm") + F.col("next_mm")).alias("dist_mm"), (F.col("ms") + F.col("next_ms")).alias("ms"), F.col("key").alias("pred"), F.lit(None).cast("struct<dist_mm:bigint,ms:bigint>").alias("had"))
         if limit is not None:
             step = step.where(F.col("dist_mm") <= limit)
-        old = best.select("request", "key", "dist_mm", "pred", F.lit(0).alias("new"))
-        both = old.unionByName(step).groupBy("request", "key").agg(F.min(F.struct("dist_mm", "new", "pred")).alias("b"))
-        best = _cut(both.select("request", "key", "b.dist_mm", "b.pred", (F.col("b.new") == 1).alias("fresh")), "paths")
+        step = step.groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", "pred")).alias("b")).select("request", "key", "b.*", F.lit(None).cast("struct<dist_mm:bigint,ms:bigint>").alias("had"))
+        old = best.select("request", "key", "dist_mm", "ms", "pred", F.struct("dist_mm", "ms").alias("had"))
+        both = old.unionByName(step).groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", "pred")).alias("b"), F.max("had").alias("had"))
+        # another predecessor of the same cost changes nothing further on
+        fresh = F.col("had").isNull() | (F.struct("b.dist_mm", "b.ms") < F.col("had"))
+        after = _cut(both.select("request", "key", "b.*", fresh.alias("fresh")), "paths")
+        _drop(best)
+        best = after
     return best.drop("fresh")
 
 
 def shortest_paths(seeds: DataFrame, turns: DataFrame, limit: int | None = None, small: int = 2_000_000) -> DataFrame:
-    """(request, key, dist_mm, pred): least millimetres to the end of each directed edge key that each request reaches.
+    """(request, key, dist_mm, ms, pred): the cheapest way to the end of each directed edge key that each request reaches.
 
-    seeds: (request, key, dist_mm). State is the directed key, so turn bans hold. Ties take the smaller predecessor. turns of
-    `small` rows or fewer (counted first) go to every task, where each request is solved alone by a heap, however many
-    requests there are; larger networks are relaxed round by round as joins. Keys over `limit` are left out.
+    seeds: (request, key, dist_mm, ms if any), turns: (key, next_key, next_mm, next_ms if any). Cost is distance, then time (0
+    where a table has none), and of equal ways the smaller predecessor stands (-1 for a seed). State is the directed key, so
+    turn bans hold. Keys over `limit` millimetres are left out, seeds too. turns of `small` rows or fewer (counted first) go to
+    every task, where each request is solved alone by a heap, however many requests there are; larger networks are relaxed
+    round by round as joins. Both give the same rows.
     """
+    timed = lambda df, c: df if c in df.columns else df.withColumn(c, F.lit(0))
+    turns = timed(turns, "next_ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("key", "next_key", "next_mm", "next_ms")))
+    seeds = timed(seeds, "ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("request", "key", "dist_mm", "ms")))
     if turns.limit(small + 1).count() > small:
         return _spread(seeds, turns, limit)
     spark = seeds.sparkSession
     table = spark.sparkContext.broadcast(turns.toPandas().to_numpy("int64"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after: dict[int, list[tuple[int, int]]] = {}
-        for a, b, mm in table.value.tolist():
-            after.setdefault(a, []).append((b, mm))
-        starts: dict[int, list[tuple[int, int]]] = {}
+        after: dict[int, list[tuple[int, int, int]]] = {}
+        for a, b, mm, ms in table.value.tolist():
+            after.setdefault(a, []).append((b, mm, ms))
+        starts: dict[int, list[tuple[int, int, int]]] = {}
         for batch in batches:  # a partition's requests; rows are few beside what they reach
-            for r, k, d in zip(*(batch.column(c).to_pylist() for c in ("request", "key", "dist_mm")), strict=True):
-                starts.setdefault(r, []).append((d, k))
+            for r, k, d, t in zip(*(batch.column(c).to_pylist() for c in ("request", "key", "dist_mm", "ms")), strict=True):
+                starts.setdefault(r, []).append((d, t, k))
         for request, own in starts.items():
-            done: dict[int, tuple[int, int]] = {}
-            heap = [(d, -1, k) for d, k in own if limit is None or d <= limit]
+            done: dict[int, tuple[int, int, int]] = {}
+            heap = [(d, t, -1, k) for d, t, k in own if limit is None or d <= limit]
             heapq.heapify(heap)
             while heap:
-                d, pred, key = heapq.heappop(heap)
+                d, t, pred, key = heapq.heappop(heap)
                 if key in done:
+                    if (d, t, pred) < done[key]:
+                        done[key] = (d, t, pred)  # as cheap, by a step of no length
                     continue
-                done[key] = (d, pred)
-                for b, mm in after.get(key, ()):
-                    if b not in done and (limit is None or d + mm <= limit):
-                        heapq.heappush(heap, (d + mm, key, b))
+                done[key] = (d, t, pred)
+                for b, mm, ms in after.get(key, ()):
+                    if (b not in done or (d + mm, t + ms, key) < done[b]) and (limit is None or d + mm <= limit):
+                        heapq.heappush(heap, (d + mm, t + ms, key, b))
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array([request] * len(done), pa.int64()), pa.array(done.keys(), pa.int64()), pa.array([x[0] for x in done.values()], pa.int64()), pa.array([x[1] for x in done.values()], pa.int64())], ["request", "key", "dist_mm", "pred"])
+                columns = zip(*done.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([request] * len(done), pa.int64()), pa.array(done.keys(), pa.int64()), *(pa.array(x, pa.int64()) for x in columns)], ["request", "key", "dist_mm", "ms", "pred"])
 
-    rows = seeds.select(F.col("request").cast("bigint"), F.col("key").cast("bigint"), F.col("dist_mm").cast("bigint"))
-    return rows.repartition("request").mapInArrow(solve, "request bigint, key bigint, dist_mm bigint, pred bigint")
+    return seeds.repartition("request").mapInArrow(solve, "request bigint, key bigint, dist_mm bigint, ms bigint, pred bigint")
 
 
 def node_reach(seeds: DataFrame, links: DataFrame, limit: int) -> DataFrame:
@@ -132,11 +160,9 @@ def simple_paths(starts: DataFrame, links: DataFrame, limit: int, hops: int | No
     found, n = None, 0
     while hops is None or n < hops:
         grown = grown.withColumn("u", F.element_at("path", -1)).join(ways, "u").where(~F.array_contains("path", F.col("v")) & (F.col("dist_mm") + F.col("len_mm") <= limit))
-        grown = grown.select("start", F.concat("path", F.array("v")).alias("path"), (F.col("dist_mm") + F.col("len_mm")).alias("dist_mm"))
-        if hops is None:
-            grown = _cut(grown, "simple-paths")
+        grown = _cut(grown.select("start", F.concat("path", F.array("v")).alias("path"), (F.col("dist_mm") + F.col("len_mm")).alias("dist_mm")), "simple-paths")
         found = grown if found is None else found.unionByName(grown)
-        if hops is None and grown.isEmpty():
+        if grown.isEmpty():
             break
         n += 1
     return found

@@ -88,3 +88,17 @@ def distinct_routes(routes: DataFrame, metres: float = 200.0, degrees: float = 1
     grouped = routes.groupBy("request").agg(own.alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, r: F.when(F.exists(kept, lambda k: same(k, r)), kept).otherwise(F.concat(kept, F.array(r))))
     return grouped.select("request", F.explode(kept).alias("r")).select("request", "r.*")
+
+
+def tier_choice(candidates: DataFrame, accept: float) -> DataFrame:
+    """(request, target, tier): the best target (score, distance, name) of the first tier that has one with a score of `accept` or
+    less; a request without any takes the best of all. candidates: request, target, tier, score, dist_mm."""
+    good = F.col("score") <= accept
+    order = F.struct((~good).cast("int").alias("bad"), F.when(good, F.col("tier")).otherwise(0).alias("t"), "score", "dist_mm", "target")
+    return candidates.groupBy("request").agg(F.min(F.struct(order.alias("o"), "tier")).alias("b")).select("request", "b.o.target", "b.tier")
+
+
+def first_of_each(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each group; partial heaps in the tasks come before the shuffle."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

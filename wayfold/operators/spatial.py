@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.operators import graph
 
 
 def _cells(bounds: dict[str, Column], size: float) -> Column:
@@ -42,10 +43,27 @@ def points_within(points: DataFrame, centres: DataFrame, metres: float, cell: fl
     return p.join(c, "cell").drop("cell").withColumn("dist_m", geo.haversine(*map(F.col, ("lng", "lat", "clng", "clat")))).where(F.col("dist_m") <= metres)
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, most: float = 2000.0, cell: float = 0.01) -> DataFrame:
-    """Every point with its nearest edge (ties: smallest id) and the distance; nulls where none lies within `most` metres."""
-    near = points_to_edges(points, edges, most, cell).groupBy(point_id).agg(F.min(F.struct(F.round("dist_m", 6).alias("d"), "edge_id", "dist_m")).alias("best"))
-    return points.join(near.select(point_id, "best.edge_id", "best.dist_m"), point_id, "left")
+def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, most: float | None = None, first: float = 500.0) -> DataFrame:
+    """Every point with its nearest edge (ties: smallest id) and the distance, found in widening rings.
+
+    Each round joins the points that have no edge yet within its radius, four times the last one's, on cells of that size; a
+    nearest edge within the radius is the nearest of all. Rounds end when every point has one, or at `most` metres if given,
+    else at the earth's half girth: only then, and without edges, are there nulls.
+    """
+    columns, radius, found, left = points.columns, first, None, points
+    reach = most if most is not None else 20_100_000.0
+    if edges.isEmpty():
+        return points.withColumns({"edge_id": F.lit(None).cast("bigint"), "dist_m": F.lit(None).cast("double")})
+    while True:
+        radius = min(radius, reach)
+        near = points_to_edges(left, edges, radius, max(0.005, radius / 111_320 / 2))
+        best = near.groupBy(point_id).agg(F.min(F.struct(F.round("dist_m", 6).alias("d"), "edge_id", "dist_m")).alias("best"))
+        best = graph._cut(best.select(point_id, "best.edge_id", "best.dist_m"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        left = graph._cut(left.join(best, point_id, "left_anti"), "nearest-left")
+        if radius >= reach or left.isEmpty():
+            return points.join(found, point_id, "left").select(*columns, "edge_id", "dist_m")
+        radius *= 4
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -54,6 +72,23 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return points.join(F.broadcast(boxes), inside)
 
 
+def points_in_bounds(points: DataFrame, bounds: tuple[float, float, float, float], crs: str = "WGS84", most: int = 5000) -> DataFrame:
+    """points in (min_lng, min_lat, max_lng, max_lat), borders included, by id, shown and compared in the asked system, WGS84 or
+    GCJ02. Bounds that aren't valid coordinates in order, or another system, are refused; over `most` points are an error."""
+    a, b, c, d = bounds
+    if crs not in ("WGS84", "GCJ02"):
+        raise ValueError(f"unknown coordinate system {crs}")
+    if not (all(-180 <= x <= 180 for x in (a, c)) and all(-90 <= y <= 90 for y in (b, d))):
+        raise ValueError("bounds are no coordinates")
+    if a >= c or b >= d:
+        raise ValueError("bounds must rise from the first corner to the second")
+    if crs == "GCJ02":
+        at = geo.to_gcj02(F.col("lng"), F.col("lat"))
+        points = points.withColumn("at", at).withColumns({"lng": F.col("at.lng"), "lat": F.col("at.lat")}).drop("at")
+    inside = points.where(F.col("lng").between(a, c) & F.col("lat").between(b, d))
+    return limited(inside, "point_id", most)
+
+
 def limited(rows: DataFrame, key: str, most: int) -> DataFrame:
     """rows by key, and an error, not a cut, if there are over `most`; one more row than allowed is all that is read to tell."""
     top = rows.orderBy(key).limit(most + 1)
@@ -62,7 +97,8 @@ def limited(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def locate(points: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """points with `location` (BOUNDARY, INSIDE or OUTSIDE), `outside_m` (0 but outside) from ring segments (ax, ay, bx, by).
+    """points with `location` (BOUNDARY, INSIDE or OUTSIDE), `outside_m` (0 but outside) and `near_deg` (planar degrees from the
+    boundary) from ring segments (ax, ay, bx, by).
 
     Even-odd over all rings, so that holes are outside; the boundary is tested first. The segments of the control area are
     broadcast; each point meets each and folds them in one aggregate.
@@ -78,7 +114,7 @@ def locate(points: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame
     met = points.join(F.broadcast(segments.select("ax", "ay", "bx", "by"))).select(*points.columns, on.alias("on"), F.when(by == ay, False).otherwise(over).alias("over"), F.struct(square.alias("d"), geo.haversine(px, py, nx, ny).alias("m")).alias("near"))
     found = met.groupBy(*keys).agg(*(F.first(c).alias(c) for c in points.columns if c not in keys), F.bool_or("on").alias("on"), F.sum(F.col("over").cast("int")).alias("n"), F.min("near").alias("near"))
     place = F.when(F.col("on"), "BOUNDARY").when(F.col("n") % 2 == 1, "INSIDE").otherwise("OUTSIDE")
-    return found.withColumn("location", place).withColumn("outside_m", F.when(F.col("location") == "OUTSIDE", F.col("near.m")).otherwise(0.0)).drop("on", "n", "near")
+    return found.withColumn("location", place).withColumn("outside_m", F.when(F.col("location") == "OUTSIDE", F.col("near.m")).otherwise(0.0)).withColumn("near_deg", F.sqrt("near.d")).drop("on", "n", "near")
 
 
 def map_facilities(facilities: DataFrame, nodes: DataFrame, metres: float = 3.0, cell: float = 5e-5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions import geo
 from wayfold.operators import graph, spatial
 from wayfold.plans.snapshot import Gate, SnapshotStore
 from wayfold.sources.points import ingest_points
@@ -38,14 +39,39 @@ def plan_routes(requests: DataFrame, edge_keys: DataFrame, forbidden: DataFrame,
     found = graph.shortest_paths(seeds, graph.adjacency(edge_keys, forbidden, stop))
     ends = found.join(edge_keys.select("key", F.col("to_node").alias("end_node")), "key").join(requests.select("request", F.col("to_node").alias("end_node")), ["request", "end_node"])
     best = ends.groupBy("request").agg(F.min(F.struct("dist_mm", "key")).alias("b")).select("request", "b.dist_mm", "b.key")
-    # predecessors are followed back for all requests at once, a step a round
+    # predecessors are followed back for all requests at once, some steps a round
     walk = best.select("request", "dist_mm", F.array("key").alias("keys"), F.col("key").alias("at"))
     steps = graph._cut(found.select("request", F.col("key").alias("at"), "pred"), "route-steps")
     done = None
     while True:
-        walk = graph._cut(walk.join(steps, ["request", "at"]).select("request", "dist_mm", F.when(F.col("pred") >= 0, F.concat(F.array("pred"), "keys")).otherwise(F.col("keys")).alias("keys"), F.col("pred").alias("at")), "route-walk")
+        for _ in range(8):
+            met = walk.join(steps, ["request", "at"], "left")
+            keys = F.when(F.col("pred") >= 0, F.concat(F.array("pred"), "keys")).otherwise(F.col("keys"))
+            walk = met.select("request", "dist_mm", keys.alias("keys"), F.coalesce("pred", F.lit(-1)).alias("at"))
+        walk = graph._cut(walk, "route-walk")
         ended = walk.where("at < 0").select("request", "dist_mm", "keys")
         done = ended if done is None else done.unionByName(ended)
         walk = walk.where("at >= 0")
         if not walk.limit(1).count():
             return done
+
+
+def response_violations(responses: DataFrame) -> DataFrame:
+    """(response_id, violation): the first rule that a response's shape breaks.
+
+    responses: response_id, mode, has_inside, has_reference, has_handover, clearance, radius, n_points. A purely external route has
+    no inside leg, reference or handover; others have an inside leg; crossing ones a handover whose search radius follows from
+    its clearance, internal ones none; a line has two points at least.
+    """
+    crossing = F.col("mode").isin("OUTBOUND", "INBOUND")
+    rule = (
+        F.when(~F.col("mode").isin("INTERNAL", "EXTERNAL_ONLY") & ~crossing, "unknown mode")
+        .when((F.col("mode") == "EXTERNAL_ONLY") & F.col("has_inside"), "external route with an inside leg")
+        .when((F.col("mode") == "EXTERNAL_ONLY") & F.col("has_reference"), "external route with a reference")
+        .when((F.col("mode") != "EXTERNAL_ONLY") & ~F.col("has_inside"), "no inside leg")
+        .when(crossing & ~F.col("has_handover"), "no handover")
+        .when(~crossing & F.col("has_handover"), "handover without a crossing")
+        .when(crossing & (F.col("radius") != geo.poi_radius(F.col("clearance"), F.lit(False))), "radius does not follow from the clearance")
+        .when(F.col("n_points") < 2, "line too short")
+    )
+    return responses.select("response_id", rule.alias("violation")).where("violation is not null")

@@ -197,7 +197,7 @@ def released_connectors(net: Network) -> DataFrame:
 
 @query
 def reach_3km(net: Network) -> DataFrame:
-    seeds = net.nodes.where("node % 100 = 0 or node = 42").select(F.col("node").alias("request"), "node")
+    seeds = net.nodes.where("node % 50 = 0 or node = 42").select(F.col("node").alias("request"), "node")
     return graph.node_reach(seeds, net.edges, 3_000_000)
 
 
@@ -265,7 +265,8 @@ def paths_as_text(found: DataFrame) -> DataFrame:
 
 @query
 def simple_paths(net: Network) -> DataFrame:
-    return paths_as_text(graph.simple_paths(net.nodes.where("node % 97 = 0"), net.edges, 3_000_000, 3))
+    """From the nodes of a query set, with no bound but the length."""
+    return paths_as_text(graph.simple_paths(net.nodes.where("node % 50 = 0"), net.edges, 3_000_000))
 
 
 @query
@@ -292,7 +293,7 @@ def resample_20m(net: Network) -> DataFrame:
 @query
 def corridor_match(net: Network) -> DataFrame:
     runs = ordered.edge_runs(net.traces)
-    part = runs.where("route_id % 300 = 7 and run between 3 and 6").select(F.col("route_id").alias("corridor_id"), (F.col("run") - 3).alias("pos"), "edge_key")
+    part = runs.where("route_id % 50 = 0 and run between 3 and 6").select(F.col("route_id").alias("corridor_id"), (F.col("run") - 3).alias("pos"), "edge_key")
     return ordered.subsequence_matches(runs, part)
 
 
@@ -325,7 +326,7 @@ def route_dedup(net: Network) -> DataFrame:
 def poi_top1(net: Network) -> DataFrame:
     kind = F.when(F.col("p_type").rlike("BRASS|STEEL"), 0).when(F.col("p_type").rlike("COPPER"), 1).otherwise(2)
     pois = net.nodes.join(net.table("part").select(F.col("p_partkey").alias("node"), kind.alias("kind")), "node").select("node", "kind", "lng", "lat")
-    centres = net.points.where("point_id % 20 = 0").select("point_id", "lng", "lat")
+    centres = net.points.select("point_id", "lng", "lat")
     near = spatial.points_within(pois, centres, 1500.0)
     best = near.groupBy("point_id").agg(F.min(F.struct("kind", r("dist_m", 4).alias("dist_m"), "node")).alias("b"))
     return best.select("point_id", "b.node", "b.kind", "b.dist_m")

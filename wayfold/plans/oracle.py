@@ -54,7 +54,7 @@ blk AS (SELECT edge_id, count(*) AS n_points, min(dist_m) AS min_m FROM near WHE
 raw AS (SELECT c_custkey AS i, CASE WHEN c_custkey%37=3 THEN '"junk"' ELSE '{{'||CASE WHEN c_custkey%23=0 THEN '' ELSE '"Id":"P'||CAST(c_custkey-CASE WHEN c_custkey%19=5 THEN 1 ELSE 0 END AS VARCHAR)||'",' END||CASE WHEN c_custkey%29=0 THEN '"Lng":200.5' WHEN c_custkey%41=0 THEN '"Lng":"abc"' ELSE '"Lng":116.'||lpad(CAST((c_custkey*37%1000)*4 AS VARCHAR),4,'0') END||',"Lat":"'||CAST((396000+(c_custkey*91%1000)*5)//10000 AS VARCHAR)||'.'||lpad(CAST((396000+(c_custkey*91%1000)*5)%10000 AS VARCHAR),4,'0')||'"'||CASE c_custkey%10 WHEN 0 THEN ',"IsSixRingOut":"1"' WHEN 1 THEN ',"IsSixRingOut":"0"' WHEN 2 THEN ',"IsSixRingOut":1' WHEN 3 THEN ',"IsSixRingOut":1.0' WHEN 4 THEN ',"IsSixRingOut":"x"' WHEN 5 THEN '' WHEN 6 THEN ',"IsSixRingOut":null' ELSE ',"IsSixRingOut":0' END||',"Address":"'||CASE WHEN c_custkey%43=0 THEN ' ' ELSE 'Road '||CAST(c_custkey%100 AS VARCHAR)||' [gate] ['||CASE WHEN c_custkey%2=0 THEN 'east' ELSE 'west' END||']' END||'"'||CASE WHEN c_custkey%31=0 THEN '' ELSE ',"CameraType":"fixed"' END||'}}' END AS j FROM customer),
 rec AS (SELECT i, j LIKE '{{%' AS obj, coalesce(CAST(json_extract(j,'$.IsSixRingOut') AS VARCHAR) IN ('"1"','1','1.0'),false) AS gone, coalesce(CAST(json_extract(j,'$.IsSixRingOut') AS VARCHAR) IN ('"0"','0','0.0'),false) AS known, j->>'$.Id' AS id, TRY_CAST(j->>'$.Lng' AS DOUBLE) AS lng, TRY_CAST(j->>'$.Lat' AS DOUBLE) AS lat, j->>'$.Address' AS address, j->>'$.CameraType' AS kind FROM raw),
 chk AS (SELECT *, CASE WHEN NOT obj THEN 'not an object' WHEN id IS NULL THEN 'missing id' WHEN i>first THEN 'duplicate id' WHEN lng IS NULL THEN 'bad lng' WHEN lat IS NULL THEN 'bad lat' WHEN lng NOT BETWEEN -180 AND 180 THEN 'out of range' WHEN trim(coalesce(address,''))='' THEN 'missing address' WHEN kind IS NULL THEN 'missing type' END AS reason FROM (SELECT *, min(i) OVER (PARTITION BY CASE WHEN obj AND id IS NOT NULL THEN id ELSE '#'||i END) AS first FROM rec WHERE NOT gone)),
-tr AS (SELECT route_id, 2*s+half AS seq, CASE WHEN s%11=10 THEN -1 WHEN s%2=0 THEN 4*(y*40+x) ELSE 4*(y*40+x)+2 END AS edge_key, 116.0::DOUBLE+x*0.01::DOUBLE+half*0.004::DOUBLE AS lng, 39.6::DOUBLE+y*0.01::DOUBLE AS lat FROM (SELECT c_custkey AS route_id, s, c_custkey%8+(s+1)//2 AS x, c_custkey%5+s//2 AS y FROM customer, range(30) t(s) WHERE c_custkey%100=7), range(2) h(half) WHERE x<40),
+tr AS (SELECT route_id, 2*s+half AS seq, CASE WHEN s%11=10 THEN -1 WHEN s%2=0 THEN 4*(y*40+x) ELSE 4*(y*40+x)+2 END AS edge_key, 116.0::DOUBLE+x*0.01::DOUBLE+half*0.004::DOUBLE AS lng, 39.6::DOUBLE+y*0.01::DOUBLE AS lat FROM (SELECT c_custkey AS route_id, s, c_custkey%8+(s+1)//2 AS x, c_custkey%5+s//2 AS y FROM customer, range(30) t(s)), range(2) h(half) WHERE x<40),
 runs AS (SELECT route_id, run, edge_key, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (NOT again) AS n_points FROM (SELECT *, coalesce(lng=lag(lng) OVER w AND lat=lag(lat) OVER w, false) AS again FROM (SELECT *, sum(new) OVER (PARTITION BY route_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN edge_key IS DISTINCT FROM lag(edge_key) OVER (PARTITION BY route_id ORDER BY seq) THEN 1 ELSE 0 END AS new FROM tr WHERE edge_key>=0)) WINDOW w AS (PARTITION BY route_id, run ORDER BY seq)) GROUP BY 1,2,3),
 loc AS (SELECT kind, id, CASE WHEN b THEN 'BOUNDARY' WHEN n%2=1 THEN 'INSIDE' ELSE 'OUTSIDE' END AS location, m FROM (SELECT kind, id, bool_or(b) AS b, sum(CASE WHEN o THEN 1 ELSE 0 END) AS n, arg_min(m, (d, m)) AS m FROM (SELECT kind, id, b, o, pow(lng-nx,2)+pow(lat-ny,2) AS d, {hav("lng", "lat", "nx", "ny")} AS m FROM (SELECT *, ax+(bx-ax)*t AS nx, ay+(y2-ay)*t AS ny FROM (SELECT q.*, s.ax, s.ay, s.bx, s.y2, abs((bx-ax)*(lat-ay)-(y2-ay)*(lng-ax))<=1e-12 AND lng BETWEEN least(ax,bx) AND greatest(ax,bx) AND lat BETWEEN least(ay,y2) AND greatest(ay,y2) AS b, y2<>ay AND ((ay>lat)<>(y2>lat)) AND lng<(bx-ax)*(lat-ay)/(CASE WHEN y2=ay THEN 1 ELSE y2-ay END)+ax AS o, greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ax)*(bx-ax)+(lat-ay)*(y2-ay))/((bx-ax)*(bx-ax)+(y2-ay)*(y2-ay)))) AS t FROM (SELECT 'p' AS kind, point_id AS id, lng, lat FROM pts UNION ALL SELECT 'n', node, lng, lat FROM nodes) q, segs s))) GROUP BY 1,2)),
 portal AS (SELECT edge_id, 2*edge_id AS key, 'P-'||edge_id||'-'||CAST(round(fraction*1e9) AS BIGINT) AS portal_id, fraction, ulng+(vlng-ulng)*fraction AS lng, ulat+(vlat-ulat)*fraction AS lat, ring, road_class, is_link, CASE WHEN l.location='INSIDE' THEN 'OUT' ELSE 'IN' END AS direction FROM (SELECT *, ((ax-ulng)*(y2-ay)-(ay-ulat)*(bx-ax))/det AS fraction, ((ax-ulng)*(vlat-ulat)-(ay-ulat)*(vlng-ulng))/det AS s FROM (SELECT e.*, g.*, (vlng-ulng)*(y2-ay)-(vlat-ulat)*(bx-ax) AS det FROM edges e, segs g) WHERE det<>0) x JOIN loc l ON l.kind='n' AND l.id=x.u WHERE fraction>=0 AND fraction<=1 AND s>=0 AND s<1),
@@ -64,9 +64,9 @@ lcomp(node, reach) AS (SELECT u, u FROM edges WHERE is_link UNION SELECT v, v FR
 comp AS (SELECT node, min(reach) AS component FROM lcomp GROUP BY 1),
 touch AS (SELECT c.component, count(DISTINCT m.edge_id) AS mainlines, bool_or(n.gx>=30) AS outside FROM comp c JOIN nodes n USING (node) LEFT JOIN (SELECT u AS node, edge_id FROM cls WHERE mainline UNION ALL SELECT v, edge_id FROM cls WHERE mainline) m USING (node) GROUP BY 1),
 both_ways AS (SELECT u, v, len_mm FROM edges UNION ALL SELECT v, u, len_mm FROM edges),
-walk(request, node, d) AS (SELECT node, node, 0::BIGINT FROM nodes WHERE node%100=0 OR node=42 UNION SELECT w.request, b.v, w.d+b.len_mm FROM walk w JOIN both_ways b ON b.u=w.node WHERE w.d+b.len_mm<=3000000),
+walk(request, node, d) AS (SELECT node, node, 0::BIGINT FROM nodes WHERE node%50=0 OR node=42 UNION SELECT w.request, b.v, w.d+b.len_mm FROM walk w JOIN both_ways b ON b.u=w.node WHERE w.d+b.len_mm<=3000000),
 reach AS (SELECT request, node, min(d) AS dist_mm FROM walk GROUP BY 1,2),
-simple(start, path, d) AS (SELECT node, [node], 0::BIGINT FROM nodes WHERE node%97=0 UNION ALL SELECT s.start, list_append(s.path, b.v), s.d+b.len_mm FROM simple s JOIN both_ways b ON b.u=s.path[-1] WHERE len(s.path)<=3 AND NOT list_contains(s.path, b.v) AND s.d+b.len_mm<=3000000),
+simple(start, path, d) AS (SELECT node, [node], 0::BIGINT FROM nodes WHERE node%50=0 UNION ALL SELECT s.start, list_append(s.path, b.v), s.d+b.len_mm FROM simple s JOIN both_ways b ON b.u=s.path[-1] WHERE NOT list_contains(s.path, b.v) AND s.d+b.len_mm<=3000000),
 sp(key, dist_mm) USING KEY (key) AS (SELECT key, len_mm FROM ekeys WHERE from_node=0 UNION SELECT a.next_key, min(s.dist_mm+a.next_mm) FROM sp s JOIN adj a ON a.key=s.key LEFT JOIN recurring.sp r ON r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1),
 lsp(request, key, dist_mm) USING KEY (request, key) AS (SELECT from_node, key, len_mm FROM ekeys WHERE from_node IN (0,210,615) UNION SELECT s.request, a.next_key, min(s.dist_mm+a.next_mm) FROM lsp s JOIN ladj a ON a.key=s.key LEFT JOIN recurring.lsp r ON r.request=s.request AND r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1,2),
 goals AS (SELECT p.request, t.portal_id AS target, min(CAST(p.dist_mm-k.len_mm+floor(k.len_mm*t.fraction) AS BIGINT)) AS dist_mm FROM lsp p JOIN portal t ON t.key=p.key AND t.direction='OUT' JOIN ekeys k ON k.key=p.key GROUP BY 1,2),
@@ -94,7 +94,7 @@ SQL = {
     "point_location": "SELECT id AS point_id, location, round(CASE WHEN location='OUTSIDE' THEN m ELSE 0 END,4) AS outside_m FROM loc WHERE kind='p'",
     "scope_filter": "SELECT id AS point_id FROM loc WHERE kind='p' AND (location<>'OUTSIDE' OR m<=500)",
     "points_within_radius": f"SELECT node, point_id, round(d,4) AS dist_m FROM (SELECT n.node, p.point_id, {hav('p.lng', 'p.lat', 'n.lng', 'n.lat')} AS d FROM pts p JOIN nodes n ON n.node%50=0 AND abs(p.lat-n.lat)<0.02) WHERE d<=2000",
-    "nearest_edge": f"SELECT p.point_id, arg_min(e.edge_id,(round(d,6),e.edge_id)) AS edge_id, round(min(d),4) AS dist_m FROM pts p LEFT JOIN (SELECT * FROM (SELECT q.point_id, x.edge_id, {seg('q.lng', 'q.lat', 'x.ulng', 'x.ulat', 'x.vlng', 'x.vlat')} AS d FROM pts q JOIN edges x ON q.lng BETWEEN x.ulng-0.03 AND x.vlng+0.03 AND q.lat BETWEEN x.ulat-0.02 AND x.vlat+0.02) WHERE d<=2000) e USING (point_id) GROUP BY 1",
+    "nearest_edge": f"SELECT p.point_id, arg_min(e.edge_id,(round(d,6),e.edge_id)) AS edge_id, round(min(d),4) AS dist_m FROM pts p LEFT JOIN (SELECT * FROM (SELECT q.point_id, x.edge_id, {seg('q.lng', 'q.lat', 'x.ulng', 'x.ulat', 'x.vlng', 'x.vlat')} AS d FROM pts q JOIN edges x ON true)) e USING (point_id) GROUP BY 1",
     "facility_mapping": f"SELECT facility_id, node, shared_ways, round(d,3) AS dist_m FROM (SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY shared_ways DESC, round(d,6), node) AS k FROM (SELECT f.facility_id, n.node, CASE WHEN len(f.ways)=0 THEN 0 ELSE CASE WHEN f.ways[1]//2=n.node THEN 1 ELSE 0 END END AS shared_ways, len(f.ways) AS own, {hav('f.x', 'f.y', 'n.lng', 'n.lat')} AS d FROM (SELECT s_suppkey AS facility_id, 116.0::DOUBLE+(s_suppkey%40)*0.01::DOUBLE+(s_suppkey%3)*0.00001::DOUBLE AS x, 39.6::DOUBLE+(s_suppkey%50)*0.01::DOUBLE AS y, CASE WHEN s_suppkey%4=0 THEN []::BIGINT[] ELSE [(s_suppkey%40+(s_suppkey%50)*40)*2] END AS ways FROM supplier) f JOIN nodes n ON abs(n.lng-f.x)<0.001 AND abs(n.lat-f.y)<0.001) WHERE d<=3 AND (own=0 OR shared_ways>0)) WHERE k=1",
     "edge_classification": "SELECT edge_id, zone, mainline, exempt, forbidden, is_link FROM cls",
     "classification_audit": "SELECT zone, count(*) AS edges, count(*) FILTER (mainline) AS mainlines, count(*) FILTER (is_link) AS links, count(*) FILTER (forbidden) AS forbidden, CAST(sum(len_mm) AS BIGINT) AS total_mm FROM cls GROUP BY 1",
@@ -116,10 +116,10 @@ SQL = {
     "edge_runs": "SELECT route_id, CAST(run AS BIGINT) AS run, edge_key, first_seq, last_seq, n_points FROM runs",
     "cumulative_distance": f"SELECT route_id, seq, round(s,4) AS step_m, round(sum(s) OVER (PARTITION BY route_id ORDER BY seq),3) AS cum_m FROM (SELECT route_id, seq, coalesce(CASE WHEN plng IS NULL THEN NULL ELSE {hav('plng', 'plat', 'lng', 'lat')} END,0) AS s FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)))",
     "resample_20m": f"SELECT route_id, seq, k, round(plng+(lng-plng)*(k/n::DOUBLE),7) AS lng, round(plat+(lat-plat)*(k/n::DOUBLE),7) AS lat FROM (SELECT *, unnest(range(1,n+1)) AS k FROM (SELECT *, CAST(greatest(1,ceil({hav('plng', 'plat', 'lng', 'lat')}/20)) AS INTEGER) AS n FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE plng IS NOT NULL))",
-    "corridor_match": "SELECT route_id, corridor_id, CAST(first_run AS BIGINT) AS first_run FROM (SELECT r.route_id, c.corridor_id, r.run-c.pos AS first_run, count(*) AS n FROM runs r JOIN (SELECT route_id AS corridor_id, run-3 AS pos, edge_key FROM runs WHERE route_id%300=7 AND run BETWEEN 3 AND 6) c USING (edge_key) GROUP BY 1,2,3) m JOIN (SELECT route_id AS corridor_id, count(*) AS size FROM runs WHERE route_id%300=7 AND run BETWEEN 3 AND 6 GROUP BY 1) z USING (corridor_id) WHERE n=size",
+    "corridor_match": "SELECT route_id, corridor_id, CAST(first_run AS BIGINT) AS first_run FROM (SELECT r.route_id, c.corridor_id, r.run-c.pos AS first_run, count(*) AS n FROM runs r JOIN (SELECT route_id AS corridor_id, run-3 AS pos, edge_key FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6) c USING (edge_key) GROUP BY 1,2,3) m JOIN (SELECT route_id AS corridor_id, count(*) AS size FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6 GROUP BY 1) z USING (corridor_id) WHERE n=size",
     "first_last_crossing": "SELECT route_id, arg_min(portal_id,(run,first_seq,portal_id)) AS first_portal, arg_max(portal_id,(run,first_seq,portal_id)) AS last_portal FROM runs r JOIN portal p ON p.key=r.edge_key GROUP BY 1",
     "route_validation": f"SELECT route_id, point_id, round(min(d),4) AS min_m FROM (SELECT s.route_id, p.point_id, {seg('p.lng', 'p.lat', 's.a', 's.b', 's.lng', 's.lat')} AS d FROM (SELECT *, lag(lng) OVER w AS a, lag(lat) OVER w AS b, lag(edge_key) OVER w AS before FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) s JOIN pts p ON p.lat BETWEEN s.lat-0.001 AND s.lat+0.001 AND p.lng BETWEEN least(s.a,s.lng)-0.001 AND greatest(s.a,s.lng)+0.001 WHERE s.edge_key>=0 AND s.before=s.edge_key) WHERE d<=50 GROUP BY 1,2",
-    "poi_top1": f"SELECT point_id, node, kind, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY kind, dist_m, node) AS k FROM (SELECT p.point_id, n.node, n.kind, round({hav('n.lng', 'n.lat', 'p.lng', 'p.lat')},4) AS dist_m, {hav('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS d FROM pts p JOIN (SELECT nodes.*, CASE WHEN regexp_matches(p_type,'BRASS|STEEL') THEN 0 WHEN regexp_matches(p_type,'COPPER') THEN 1 ELSE 2 END AS kind FROM nodes JOIN part ON p_partkey=node) n ON abs(n.lat-p.lat)<0.015 AND p.point_id%20=0) WHERE d<=1500) WHERE k=1",
+    "poi_top1": f"SELECT point_id, node, kind, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY kind, dist_m, node) AS k FROM (SELECT p.point_id, n.node, n.kind, round({hav('n.lng', 'n.lat', 'p.lng', 'p.lat')},4) AS dist_m, {hav('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS d FROM pts p JOIN (SELECT nodes.*, CASE WHEN regexp_matches(p_type,'BRASS|STEEL') THEN 0 WHEN regexp_matches(p_type,'COPPER') THEN 1 ELSE 2 END AS kind FROM nodes JOIN part ON p_partkey=node) n ON abs(n.lat-p.lat)<0.015 ) WHERE d<=1500) WHERE k=1",
     "sample_evenly": "SELECT point_id FROM (SELECT point_id, row_number() OVER (ORDER BY point_id)-1 AS k, count(*) OVER () AS n FROM pts) WHERE n<=1200 OR k IN (SELECT (i*(SELECT count(*) FROM pts))//1200 FROM range(1200) t(i))",
     "second_largest_ring": "SELECT ring, round(area,9) AS area FROM (SELECT *, row_number() OVER (ORDER BY area DESC, ring) AS k FROM (SELECT ring, abs(sum(ax*y2-bx*ay))/2 AS area FROM segs GROUP BY 1)) WHERE k=2",
     "set_union_keys": "SELECT edge_id FROM blk UNION SELECT edge_id FROM cls WHERE forbidden",

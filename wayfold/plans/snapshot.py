@@ -39,7 +39,7 @@ def version_of(inputs: dict[str, str]) -> str:
 class SnapshotStore:
     """A folder of snapshots named by their content, on any file system that Spark reads.
 
-    Tables are written under _staging and renamed as a whole; the pointer CURRENT is replaced only then, so a failed build
+    Tables are written under _staging and renamed as a whole; the pointer CURRENT is replaced by one rename only then, so a failed build
     leaves the previous snapshot in service and a reader that has resolved a version keeps reading it. One writer at a time.
     """
 
@@ -56,8 +56,12 @@ class SnapshotStore:
         out = self.fs.create(fresh, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self._path(name), False)
-        self.fs.rename(fresh, self._path(name))
+        # one rename that replaces: a crash leaves either the old text or the new
+        fs = self.jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.OVERWRITE
+        context = fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self.fs.makeQualified(fresh), self.fs.makeQualified(self._path(name)), how)
 
     def _get(self, name: str) -> str | None:
         if not self.fs.exists(self._path(name)):

@@ -19,34 +19,45 @@ class Ingested:
     metrics: DataFrame
 
 
+# Names of the field that may hold the records, in any case.
+WRAPPERS = ("data", "items", "result", "cameras", "records")
+
+
 def read_point_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record_index, json) of a file that holds an array of records, or an object with such an array as `data`, `rows`, `records` or `list`.
+    """(record_index, json) of a file that holds an array of records, or an object with such an array in a field named as in
+    WRAPPERS, the first of them in the document's order; anything else is an error.
 
     A single JSON document is one value: it is split by the JSON reader, as a variant, not by text.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    found = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *(F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("data", "rows", "records", "list")))
-    return whole.select(F.posexplode(found).alias("record_index", "r")).select(F.col("record_index").cast("bigint"), F.to_json("r").alias("json"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.parse_json("value").alias("v"))
+    array = lambda v: F.schema_of_variant(v).startswith("ARRAY")
+    fields = F.from_json("value", "map<string,string>")
+    names = F.filter(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), lambda k: F.lower(k).isin(*WRAPPERS))
+    inner = F.filter(F.transform(names, lambda k: F.try_parse_json(F.element_at(fields, k))), lambda v: v.isNotNull() & array(v))
+    none = F.raise_error(F.lit("point JSON must be an array or an object that wraps one")).cast("variant")
+    found = whole.select(F.when(array(F.col("v")), F.col("v")).when(F.size(inner) > 0, F.get(inner, F.lit(0))).otherwise(none).alias("v"))
+    rows = found.select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("record_index", "r"))
+    return rows.select(F.col("record_index").cast("bigint"), F.to_json("r").alias("json"))
 
 
-def ingest_points(records: DataFrame) -> Ingested:
+def ingest_points(records: DataFrame, flag_field: str = "IsSixRingOut", kind_field: str = "CameraType") -> Ingested:
     """Checks records (record_index, json).
 
-    Records whose IsSixRingOut is 1 are left out; unknown and missing flags stay and are counted. A record's first failing
+    Records whose `flag_field` is 1 are left out; unknown and missing flags stay and are counted. A record's first failing
     check is its reason. Of records with one id the first stands, even if it fails a later check. A null json is no object.
     """
-    flag = text.json_token(F.col("json"), "IsSixRingOut")
+    flag = text.json_token(F.col("json"), flag_field)
     kept = records.withColumn("out", text.flag_is(flag, 1)).withColumn("known", text.flag_is(flag, 0))
     parsed = kept.where("not out").select(
         "record_index",
         "known",
-        F.coalesce(F.ltrim("json").startswith("{"), F.lit(False)).alias("is_object"),
+        F.coalesce(F.schema_of_variant(F.try_parse_json("json")).startswith("OBJECT"), F.lit(False)).alias("is_object"),
         text.filled(F.col("json"), "Id").alias("id"),
         F.coalesce(F.get_json_object("json", "$.District"), F.lit("")).alias("district"),
         text.lenient_number(F.col("json"), "Lng").alias("lng"),
         text.lenient_number(F.col("json"), "Lat").alias("lat"),
         text.filled(F.col("json"), "Address").alias("address"),
-        text.filled(F.col("json"), "CameraType").alias("kind"),
+        text.filled(F.col("json"), kind_field).alias("kind"),
     )
     named = F.col("is_object") & F.col("id").isNotNull()
     # ids spread the window; a group is the repeats of one id (rows without one are spread by their index)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Worst accuracy and greatest age of a location used for routing, and the pauses between drawings and queries.
@@ -12,9 +12,14 @@ ACCURACY_METRES, AGE = 150.0, "30 seconds"
 DRAW_MILLIS, PAUSE = 750, "350 milliseconds"
 
 
-def usable(updates: DataFrame) -> DataFrame:
-    """updates (user_id, ts, accuracy, ...) with `usable`; inaccurate ones stay in the stream."""
-    return updates.withColumn("usable", F.coalesce(F.col("accuracy") <= ACCURACY_METRES, F.lit(False)))
+def usable(updates: DataFrame, now: Column | None = None) -> DataFrame:
+    """updates (user_id, ts, accuracy, watching if any, ...) with `usable`: watched, accurate and at most AGE old at `now`
+    (the current time by default); others stay in the stream."""
+    at = F.current_timestamp() if now is None else now
+    fresh = (F.col("accuracy") <= ACCURACY_METRES) & (F.col("ts") >= at - F.expr(f"interval {AGE}"))
+    if "watching" in updates.columns:
+        fresh = fresh & F.col("watching")
+    return updates.withColumn("usable", F.coalesce(fresh, F.lit(False)))
 
 
 def throttled(updates: DataFrame) -> DataFrame:
