@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,29 @@ class SnapshotStore:
         self._put("CURRENT", version)
         return version, "PUBLISHED"
 
+    def backup(self, path: str) -> str:
+        """Copies a file under _backup, named by its content; a copy that is there is only touched. Returns the hash."""
+        at = self.jvm.org.apache.hadoop.fs.Path(path)
+        row = self.spark.read.format("binaryFile").load(path).selectExpr("sha2(content, 256) as hash").first()
+        to = self._path(f"_backup/{row['hash']}")
+        if self.fs.exists(to):
+            self.fs.setTimes(to, int(time.time() * 1000), -1)
+        else:
+            conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+            self.jvm.org.apache.hadoop.fs.FileUtil.copy(at.getFileSystem(conf), at, self.fs, to, False, conf)
+        return row["hash"]
+
+    def lock(self) -> bool:
+        """Takes the store's lock, a file that only one writer can create; False if another has it."""
+        try:
+            self.fs.create(self._path("_lock"), False).close()
+        except Exception:  # the file system refuses what exists
+            return False
+        return True
+
+    def unlock(self) -> None:
+        self.fs.delete(self._path("_lock"), False)
+
     def read(self, table: str, version: str | None = None) -> DataFrame:
         version = version or self.current()
         if version is None:
