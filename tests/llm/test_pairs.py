@@ -149,6 +149,20 @@ def test_vectors_of_doubles_text_labels_and_repeated_ids(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (4, 1, 4), (7, 1, 4)]
 
 
+def test_vectors_against_sql(spark):
+    import duckdb
+
+    from wayfold.llm.queries import ORACLE_SQL
+
+    rows = [(k, x, label) for k, x, label in vectors(6)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    con = duckdb.connect()
+    con.register("embeddings", made.toArrow())
+    expected = sorted(con.execute(ORACLE_SQL["op5_embedding_dedup"]).fetchall())
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(made).collect())
+    assert found == expected and sum(r[1] for r in found) > 50
+
+
 def test_longest_common_subsequence():
     rnd = random.Random(7)
     for _ in range(200):

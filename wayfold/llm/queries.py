@@ -83,4 +83,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_quality, op4_line_dedup, op5_embedding_dedup, op6_decontaminate, op7_token_files, op8_simhash, op9_language_id, op10_license_scan)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_dedup": """WITH RECURSIVE raw AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0),
+flat AS (SELECT vec_id, label, len(e) AS size, list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AS bad, list_transform(e, lambda x: coalesce(x, 0.0)) AS e FROM raw),
+v AS (SELECT * FROM (SELECT vec_id, label, size, e, bad, sqrt(list_inner_product(e, e)) AS n FROM flat) WHERE NOT bad AND n > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.size = b.size AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+ends AS (SELECT e.vec_id, coalesce(k.n, 0) AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id FROM embeddings e
+  LEFT JOIN (SELECT a, count(*) AS n FROM near GROUP BY 1) k ON k.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) c ON c.a = e.vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM ends""",
+}
