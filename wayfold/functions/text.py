@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,9 +48,14 @@ def reversed_key(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(1))
 
 
-def fingerprint(ids: Column) -> Column:
-    """Aggregate: SHA-256 of the distinct sorted ids as text with commas."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(ids)), lambda x: x.cast("string")), ","), 256)
+def fingerprint(ids: DataFrame, column: str, chunk: int = 4096) -> DataFrame:
+    """One row, `fingerprint`: SHA-256 over the hashes of the distinct ids' chunks, in order; of each chunk (ids that `chunk` divides
+    alike) the hash of its sorted ids as text with commas. No task holds more than a chunk, or the hashes of all chunks."""
+    own = ids.select(F.col(column).cast("bigint").alias("id")).distinct().withColumn("chunk", F.floor(F.col("id") / chunk))
+    text_of = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",")
+    chunks = own.groupBy("chunk").agg(F.sha2(text_of("id"), 256).alias("hash"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "hash"))), lambda x: x["hash"]), ",")
+    return chunks.agg(F.sha2(ordered, 256).alias("fingerprint"))
 
 
 def _plain(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.operators import graph
 
 
 def edge_runs(traces: DataFrame) -> DataFrame:
@@ -43,24 +44,43 @@ def subsequence_matches(runs: DataFrame, corridors: DataFrame) -> DataFrame:
     return met.join(size, "corridor_id").where("n = size").select("route_id", "corridor_id", "first_run")
 
 
+def running_sums(rows: DataFrame, weight: str, order: str, group: str | None = None) -> DataFrame:
+    """rows (order, unique within its group) with `upto`, the sum of `weight` up to and with each, and `total`.
+
+    Rows are dealt by ranges of the order, whatever the groups' sizes, and summed in each part; the parts' own sums, one row for
+    each part and group, are summed in turn and added. No task holds more than a part.
+    """
+    keys = [group] if group else []
+    parts = rows.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id())
+    parts = graph._cut(parts, "running-sums")
+    own = parts.groupBy("__part", *keys).agg(F.sum(weight).alias("__own"))
+    before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    base = own.select("__part", *keys, (F.sum("__own").over(before.orderBy("__part")) - F.col("__own")).alias("__base"), F.sum("__own").over(before).alias("total"))
+    within = Window.partitionBy("__part", *keys).orderBy(order)
+    summed = parts.withColumn("__upto", F.sum(weight).over(within)).join(base, ["__part", *keys])
+    return summed.select(*rows.columns, (F.col("__upto") + F.col("__base")).alias("upto"), "total")
+
+
 def nearest_rank(values: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """(group, p50, p95, ..., max): percentiles by nearest rank, the ceil(n * p)-th smallest value of each group.
 
-    Counts of equal values are made first, so that the ordered pass sees distinct values only.
+    Equal values are counted first, in the tasks too; the distinct ones are then summed by ranges of values, so that a group of
+    any size is spread over tasks.
     """
     counts = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares), F.max(value).alias("max"))
+    ranked = running_sums(counts, "c", value, group)
+    return ranked.groupBy(group).agg(*(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares), F.max(value).alias("max"))
 
 
 def sample_evenly(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """At most `most` rows: those at places floor(i * n / most) in order; all rows if there are no more (a sampling operator)."""
-    numbered = rows.withColumn("__at", F.row_number().over(Window.orderBy(order)) - 1)
-    n = rows.agg(F.count("*").alias("__n"))
-    wanted = n.where(F.col("__n") > most).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * F.col("__n") / most))).alias("__at"))
-    every = n.where(F.col("__n") <= most).select(F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__at"))
-    return numbered.join(wanted.union(every).distinct(), "__at", "left_semi").drop("__at")
+    """At most `most` rows: those at places floor(i * n / most) in the order of a unique column; all rows if there are no more (a
+    sampling operator). Places come from sums by ranges, not from one sorted task."""
+    placed = running_sums(rows.withColumn("__one", F.lit(1).cast("bigint")), "__one", order)
+    at, n = F.col("upto") - 1, F.col("total")
+    # the i that a place could be chosen by is the least with floor(i * n / most) >= place
+    i = F.ceil(at * most / n)
+    chosen = (n <= most) | ((i < most) & (F.floor(i * n / most) == at))
+    return placed.where(chosen).select(*rows.columns)
 
 
 def best_exit(candidates: DataFrame) -> DataFrame:

@@ -132,18 +132,23 @@ def map_facilities(facilities: DataFrame, nodes: DataFrame, metres: float = 3.0,
     return good.groupBy("facility_id").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.round("d", 6).alias("d"), "node")).alias("best")).select("facility_id", "best.node", (-F.col("best.s")).alias("shared_ways"), F.col("best.d").alias("dist_m"))
 
 
-def crossings(edges: DataFrame, segments: DataFrame) -> DataFrame:
+def crossings(edges: DataFrame, segments: DataFrame, cell: float = 0.02) -> DataFrame:
     """Proper crossings of edges with ring segments: edge_id, fraction along the edge, place, and whether the edge enters there.
 
-    The control area's segments are broadcast with their boxes tested first.
+    Both sides go to all cells that their boxes touch and meet by an equi-join, however many segments there are; a pair counts in
+    the first cell that both boxes share.
     """
+    box = lambda a, b, c, d: {"min_lng": F.least(a, c), "max_lng": F.greatest(a, c), "min_lat": F.least(b, d), "max_lat": F.greatest(b, d)}
+    at = lambda c: F.floor(c / cell).cast("bigint")
     ax, ay, bx, by = (F.col(c) for c in ("ulng", "ulat", "vlng", "vlat"))
     cx, cy, dx, dy = (F.col(c) for c in ("ax", "ay", "bx", "by"))
-    touch = (F.least(ax, bx) <= F.greatest(cx, dx)) & (F.least(cx, dx) <= F.greatest(ax, bx)) & (F.least(ay, by) <= F.greatest(cy, dy)) & (F.least(cy, dy) <= F.greatest(ay, by))
+    e = edges.withColumn("cell", F.explode(_cells(box(ax, ay, bx, by), cell)))
+    s = segments.withColumn("cell", F.explode(_cells(box(cx, cy, dx, dy), cell)))
+    first = (F.col("cell.cx") == F.greatest(at(F.least(ax, bx)), at(F.least(cx, dx)))) & (F.col("cell.cy") == F.greatest(at(F.least(ay, by)), at(F.least(cy, dy))))
     det = F.nullif((bx - ax) * (dy - cy) - (by - ay) * (dx - cx), F.lit(0.0))
     t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det
-    s = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
-    met = edges.join(F.broadcast(segments), touch).where(det.isNotNull()).withColumn("fraction", t).withColumn("s", s)
+    u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det
+    met = e.join(s, "cell").where(first & det.isNotNull()).drop("cell").withColumn("fraction", t).withColumn("s", u)
     met = met.where("fraction >= 0 and fraction <= 1 and s >= 0 and s < 1")
     return met.withColumn("lng", geo.interpolate(ax, bx, F.col("fraction"))).withColumn("lat", geo.interpolate(ay, by, F.col("fraction"))).drop("s")
 

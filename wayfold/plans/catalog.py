@@ -360,7 +360,7 @@ def set_diff_points(net: Network) -> DataFrame:
 
 @query
 def blocked_fingerprint(net: Network) -> DataFrame:
-    return blocked(net).agg(text.fingerprint(F.col("edge_id")).alias("fingerprint"))
+    return text.fingerprint(blocked(net), "edge_id")
 
 
 @query

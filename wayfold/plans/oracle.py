@@ -125,7 +125,7 @@ SQL = {
     "set_union_keys": "SELECT edge_id FROM blk UNION SELECT edge_id FROM cls WHERE forbidden",
     "set_intersect_nodes": "SELECT node FROM reach WHERE request=0 INTERSECT SELECT node FROM reach WHERE request=42",
     "set_diff_points": "SELECT point_id FROM pts EXCEPT SELECT point_id FROM near",
-    "blocked_fingerprint": "SELECT sha256(coalesce(string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id),'')) AS fingerprint FROM blk",
+    "blocked_fingerprint": "SELECT sha256(coalesce(string_agg(h, ',' ORDER BY c),'')) AS fingerprint FROM (SELECT edge_id//4096 AS c, sha256(string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id)) AS h FROM blk GROUP BY 1)",
     "latency_nearest_rank": "SELECT event_type, min(value) FILTER (k>=ceil(n*0.5)) AS p50, min(value) FILTER (k>=ceil(n*0.95)) AS p95, max(value) AS max FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1",
     "location_throttle": "SELECT user_id, drawn, last_drawn, usable FROM (SELECT user_id, count(*) AS drawn, max(event_id) AS last_drawn FROM (SELECT user_id, arg_min(event_id,(ts,event_id)) AS event_id FROM (SELECT *, epoch_ms(ts)//750 AS slot FROM events) GROUP BY user_id, slot) GROUP BY 1) JOIN (SELECT user_id, count(*) FILTER (value<=150) AS usable FROM events GROUP BY 1) USING (user_id)",
     "outer_walk": f"SELECT portal_id, k, clearance, CAST(floor(least(200.0,greatest(0.0,clearance-25))) AS INTEGER) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY portal_id ORDER BY clearance DESC, k) AS z FROM (SELECT portal_id, k, coalesce(round(min(CASE WHEN m<=250 THEN m END),4),250.0::DOUBLE) AS clearance FROM (SELECT w.portal_id, w.k, CASE WHEN p.point_id IS NULL THEN NULL ELSE {hav('p.lng', 'p.lat', 'w.x', 'w.y')} END AS m FROM (SELECT portal_id, k, lng+(vlng-lng)*least(1.0::DOUBLE,k*20/greatest(length,0.001::DOUBLE)) AS x, lat+(vlat-lat)*least(1.0::DOUBLE,k*20/greatest(length,0.001::DOUBLE)) AS y FROM (SELECT *, unnest(range(1,1+CAST(greatest(1,ceil(least(length,500.0::DOUBLE)/20)) AS INTEGER))) AS k FROM (SELECT portal_id, lng, lat, vlng, vlat, {hav('lng', 'lat', 'vlng', 'vlat')} AS length FROM portal JOIN (SELECT edge_id, vlng, vlat FROM edges) USING (edge_id) WHERE direction='OUT'))) w LEFT JOIN pts p ON abs(p.lat-w.y)<0.004 AND abs(p.lng-w.x)<0.004) GROUP BY 1,2)) WHERE z=1",
