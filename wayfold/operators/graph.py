@@ -98,19 +98,21 @@ def shortest_paths(seeds: DataFrame, turns: DataFrame, limit: int | None = None,
     timed = lambda df, c: df if c in df.columns else df.withColumn(c, F.lit(0))
     turns = timed(turns, "next_ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("key", "next_key", "next_mm", "next_ms")))
     seeds = timed(seeds, "ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("request", "key", "dist_mm", "ms")))
+    turns = _cut(turns, "turns")  # read twice: to be counted, and to be joined or sent
     if turns.limit(small + 1).count() > small:
         return _spread(seeds, turns, limit)
     spark = seeds.sparkSession
-    table = spark.sparkContext.broadcast(turns.toPandas().to_numpy("int64"))
+    table = spark.sparkContext.broadcast(turns.toArrow())
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after: dict[int, list[tuple[int, int, int]]] = {}
-        for a, b, mm, ms in table.value.tolist():
-            after.setdefault(a, []).append((b, mm, ms))
         starts: dict[int, list[tuple[int, int, int]]] = {}
         for batch in batches:  # a partition's requests; rows are few beside what they reach
             for r, k, d, t in zip(*(batch.column(c).to_pylist() for c in ("request", "key", "dist_mm", "ms")), strict=True):
                 starts.setdefault(r, []).append((d, t, k))
+        after: dict[int, list[tuple[int, int, int]]] = {}
+        if starts:
+            for a, *rest in zip(*(c.to_pylist() for c in table.value.columns), strict=True):
+                after.setdefault(a, []).append(tuple(rest))
         for request, own in starts.items():
             done: dict[int, tuple[int, int, int]] = {}
             heap = [(d, t, -1, k) for d, t, k in own if limit is None or d <= limit]
