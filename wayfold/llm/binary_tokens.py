@@ -37,18 +37,23 @@ def _put(fs, path: str, write) -> None:
     fs.move(own, path)
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, part_bytes: int = 256 << 20) -> DataFrame:
     """Encodes every text, in ascending id order, into the files described above under `uri`; returns (part, n_docs, n_tokens, base).
 
-    Rows are dealt by ranges of (id, hash of the text), sorted, encoded in Arrow batches and appended to the part's file, so no
+    Rows are dealt by ranges of (id, hash of the text) into `parts` parts, by default as many as give each about `part_bytes` of
+    text, and no fewer than the session's shuffle partitions; they are sorted, encoded in Arrow batches and appended to the part's file, so no
     task holds more than a batch. A part's base is the prefix sum of the token counts of the parts before it; one small row
     per part is all that meets. `end_id` is appended to each document. Null text: no tokens but the end id; null ids come
     first; rows with the same id stand in the order of their texts' hashes. An empty table gives no files and no rows.
-    Executors must reach `uri` (a shared folder or object store); lost tasks are run again and replace their files.
+    An id of -2^63, which would read back as null, is refused. Executors must reach `uri` (a shared folder or object store); lost
+    tasks are run again and replace their files.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts
+    if not n:
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie, "text")
 
@@ -67,7 +72,10 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
                 found = [encoder.ids(x) + end for x in utf8_list(batch.column("text"))]
                 f.write(b"".join(found))
                 lengths.append(np.fromiter(map(len, found), np.int64, len(found)) // encoder.dtype.itemsize)
-                ids.append(np.asarray(batch.column("id").fill_null(NULL_ID), "<i8"))
+                own = np.asarray(batch.column("id").fill_null(NULL_ID), "<i8")
+                if (own == NULL_ID).sum() > batch.column("id").null_count:
+                    raise ValueError("an id of -2^63 stands for null")
+                ids.append(own)
 
         _put(fs, f"{base}/{part:06d}.ids", body)
         if not ids:
