@@ -37,3 +37,18 @@ def test_near_duplicate_stage_judges_each_text_by_itself_where_ids_repeat(spark)
     for order in (rows, rows[::-1]):
         out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string"), SF).collect()
         assert sorted((r["doc_id"], r["text"]) for r in out) == [rows[0], rows[2]]
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing names through every stage; then no rows at all."""
+    docs = odd.selectExpr("doc_id", "text", "n_tokens as removed_lines", "'x' as first_id", "'y' as bench_items")
+    for frame in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == frame.columns
+            frame = corpus_pipeline.common.persisted(out, "test-odd")
+        rows = corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+        assert len(rows) == frame.count() and all(r["round_trip"] for r in rows)
+        assert not rows or {r["doc_id"] for r in rows} >= {None, 1, 4, 5, 6, 7}
+        kept = corpus_pipeline.quality(spark, frame, SF)
+        assert kept.columns == frame.columns and kept.count() <= len(rows)

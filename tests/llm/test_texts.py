@@ -23,6 +23,28 @@ def test_languages_on_held_out_rows(documents, odd):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_distances_against_profiles_by_hand(documents):
+    """Profiles and out-of-place distances with dictionaries and sorts only."""
+    from wayfold.llm.common import is_held_out
+
+    most = 400
+    rows = documents.limit(60).collect()
+    counts = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and not is_held_out(r["doc_id"]):
+            counts.setdefault(r["lang"], Counter()).update(grams(r["text"].encode()).tolist())
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    places = {lang: {g: k for k, g in enumerate(top(c))} for lang, c in counts.items()}
+    found = {r["doc_id"]: r for r in identify_languages(documents.limit(60)).collect()}
+    for r in rows:
+        own = top(Counter(grams((r["text"] or "").encode()).tolist()))
+        if not own:
+            assert found[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        far = sorted((sum(abs(known[g] - k) if g in known else most for k, g in enumerate(own)), lang) for lang, known in places.items())
+        assert found[r["doc_id"]]["lang_pred"] == far[0][1] and abs(found[r["doc_id"]]["score"] - (1 - far[0][0] / far[1][0])) < 1e-12
+
+
 def test_languages_of_odd_rows(spark, odd):
     found = identify_languages(odd.selectExpr("doc_id", "text", "if(doc_id = 6, 'en', null) as lang")).collect()
     assert len(found) == odd.count() and {r["lang_pred"] for r in found if r["doc_id"] in (1, 2, 3)} == {"und"}
