@@ -31,24 +31,26 @@ def roots(n, linked):
     return [find(x) for x in range(n)]
 
 
-def test_key_pairs_miss_no_difference_within_the_distance():
+@pytest.mark.parametrize("spare", [2, 3])
+def test_key_sets_miss_no_difference_within_the_distance(spare):
     rnd = random.Random(5)
-    parts = simhash.segments(4)
+    parts = simhash.segments(4, spare)
     for _ in range(3000):
         bits = rnd.sample(range(64), rnd.randrange(5))
         x = np.array([sum(1 << b for b in bits)], np.uint64)
         same = {k for k, (at, width) in enumerate(parts) if not int(x[0]) >> at & ((1 << width) - 1)}
-        assert any({i, j} <= same and simhash._within(x, starts, 4)[0] for i, j, starts in simhash.key_pairs(4))
+        assert any({*chosen} <= same and simhash._within(x, starts, 4, spare)[0] for chosen, starts in simhash.key_sets(4, spare))
     far = np.array([0b11111], np.uint64)
-    assert not any(simhash._within(far, starts, 4)[0] for _, _, starts in simhash.key_pairs(4))
+    assert not any(simhash._within(far, starts, 4, spare)[0] for _, starts in simhash.key_sets(4, spare))
+    assert len(simhash.key_sets(4, spare)) <= 64
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_components(spark, odd, documents, block):
+@pytest.mark.parametrize(("block", "many"), [(3, 1 << 22), (2048, 1 << 22), (3, 1)])
+def test_components(spark, odd, documents, block, many):
     for docs in (documents, odd, odd.limit(0)):
         rows = docs.select("doc_id", "text").collect()
         prints = [brute_print(r["text"], 4) for r in rows]
-        found = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.simhash_components(docs, block=block).collect())
+        found = sorted((str(r["doc_id"]), r["fp"] % (1 << 64), str(r["component_id"])) for r in simhash.simhash_components(docs, block=block, many=many).collect())
         named = sorted({(r["doc_id"], p) for r, p in zip(rows, prints, strict=True) if r["doc_id"] is not None})
         flat = np.array([p for _, p in named], np.uint64)
         linked = [(x, int(y)) for x in range(len(named)) for y in np.flatnonzero(np.bitwise_count(flat ^ flat[x]) <= 4)]

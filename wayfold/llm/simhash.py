@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,42 +51,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(prints, "id bigint, fp bigint")
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of distance + 2 consecutive segments; a chain of l may differ in l * distance / (distance + 2) bits."""
-    n = distance + 2
+def segments(distance: int, spare: int = 2) -> list[tuple[int, int]]:
+    """(lowest bit, width) of distance + spare consecutive segments; a chain of l may differ in l * distance / (distance + spare) bits."""
+    n = distance + spare
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def key_pairs(distance: int) -> list[tuple[int, int, tuple[int, ...]]]:
-    """(i, j, starts): pairs of segments that key a fingerprint, with the chain starts that each pair serves.
+def key_sets(distance: int, spare: int = 2) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(segments, starts): the `spare` segments that each key takes, with the chain starts that it serves.
 
-    By the pigeonring principle two fingerprints within `distance` bits have a start i all of whose chains keep their budgets:
-    segment i agrees, and the chain of (distance + 2) // 2 + 1 segments differs in too few bits to touch all the others, so a
-    second segment of it agrees too.
+    By the pigeonring principle two fingerprints within `distance` bits have a start all of whose chains keep their budgets: its
+    segment agrees, and so do spare - 1 others. Of pairs only those are needed whose second segment lies in the chain that
+    differs in too few bits to touch all the others.
     """
-    n, reach = distance + 2, (distance + 2) // 2
+    n, reach = distance + spare, (distance + spare) // 2
     found = []
-    for i in range(n):
-        for j in range(i + 1, n):
-            starts = tuple(s for s, other in ((i, j), (j, i)) if (other - s) % n <= reach)
-            if starts:
-                found.append((i, j, starts))
+    for chosen in combinations(range(n), spare):
+        starts = tuple(s for s in chosen if spare > 2 or any((o - s) % n <= reach for o in chosen if o != s))
+        if starts:
+            found.append((chosen, starts))
     return found
 
 
-def ring_keys(fp: Column, distance: int) -> Column:
-    """Array of keys, one for each pair of key_pairs()."""
-    parts, keys = segments(distance), []
+def ring_keys(fp: Column, distance: int, spare: int = 2) -> Column:
+    """Array of keys, one for each of key_sets()."""
+    parts, keys = segments(distance, spare), []
     value = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in parts]
-    for k, (i, j, _) in enumerate(key_pairs(distance)):
-        keys.append(F.shiftleft(F.lit(k).cast("long"), 48).bitwiseOR(F.shiftleft(value[i], 24)).bitwiseOR(value[j]))
+    for k, (chosen, _) in enumerate(key_sets(distance, spare)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, 48 // spare).bitwiseOR(value[i])
+        keys.append(key)
     return F.array(*keys)
 
 
-def _within(xor: np.ndarray, starts: tuple[int, ...], distance: int) -> np.ndarray:
+def _within(xor: np.ndarray, starts: tuple[int, ...], distance: int, spare: int = 2) -> np.ndarray:
     """Which differences have, from one of the starts, chains that all keep their budgets, and at most `distance` bits in all."""
-    parts = segments(distance)
+    parts = segments(distance, spare)
     n = len(parts)
     passed = np.zeros(len(xor), bool)
     for start in starts:
@@ -126,26 +128,26 @@ def blocks(met: DataFrame, key: str, member: str, block: int) -> DataFrame:
     return rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q")
 
 
-def links(classes: DataFrame, distance: int, block: int = 2048) -> DataFrame:
+def links(classes: DataFrame, distance: int, block: int = 2048, spare: int = 2) -> DataFrame:
     """(a, b): links between representatives of distinct texts or fingerprints, enough to join whatever differs in `distance`
     bits or fewer in one of its fingerprints.
 
     classes: (rep, fps array<bigint>). Rows that share a key meet; of a key's group only a spanning forest of the pairs that
     pass is kept, so output stays linear.
     """
-    pairs = key_pairs(distance)
+    sets = key_sets(distance, spare)
     prints = classes.select("rep", F.posexplode("fps").alias("own_print", "fp"))
-    key = F.explode(ring_keys(F.col("fp"), distance))
+    key = F.explode(ring_keys(F.col("fp"), distance, spare))
     keyed = prints.select("rep", "fp", key.alias("key"), "own_print")
     keyed = keyed.select("rep", "fp", F.col("key").bitwiseOR(F.shiftleft(F.col("own_print").cast("long"), 54)).alias("key"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ("key", "p", "q")):
             rep, fp, own = group["rep"], group["fp"].view(np.uint64), group["own"]
-            starts, split = pairs[(int(group["key"][0]) >> 48) % 64][2], group["p"][0] != group["q"][0]
+            starts, split = sets[(int(group["key"][0]) >> 48) % 64][1], group["p"][0] != group["q"][0]
 
             def near(x: int, others: np.ndarray) -> np.ndarray:
-                hit = _within(fp[others] ^ fp[x], starts, distance)
+                hit = _within(fp[others] ^ fp[x], starts, distance, spare)
                 return hit & (own[others] != own[x]) if split else hit
 
             if found := forest(len(rep), near):
@@ -179,11 +181,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield {n: np.concatenate(x) for n, x in held.items()}
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = 2048) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, block: int = 2048, many: int = 1 << 22) -> DataFrame:
     """(id_col, fp, component_id) of every row of docs.
 
     Texts (null: empty) are lower-cased in A-Z, split at ASCII white space and hashed as runs of `words` words; fingerprints
-    link at `distance` differing bits or fewer (4 is the widest for which 64 bits give selective keys), and component_id is
+    link at `distance` differing bits or fewer (4 is the widest for which 64 bits give selective keys; over `many` distinct
+    fingerprints keys take three of seven segments instead of two of six, without losing a link), and component_id is
     the smallest id that links reach, the row's own included. Equal fingerprints are one class and never expand into pairs.
     Rows with a null id count as members of their class but never name a component (null if no other row does); ids cast to
     bigint (one that can't fails the job); repeated ids keep their rows, each in its own text's component; other columns are
@@ -193,7 +196,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = persisted(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-class")
     # a class is named by its fingerprint, never by an id, which rows of other classes may repeat
     named = classes.where("least is not null").select(F.col("fp").alias("rep"), F.array("fp").alias("fps"))
-    found = components(links(named, distance, block), name="simhash-link")
+    # keys of two segments have 21 bits; over `many` fingerprints, keys of three have 27 and lose no link either
+    found = components(links(named, distance, block, 2 if classes.count() <= many else 3), name="simhash-link")
     roots = persisted(least_ids(classes, found, "fp"), "simhash-root")
     discard(classes)
     return prints.join(roots.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", F.col("group_id").alias("component_id"))
