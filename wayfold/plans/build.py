@@ -36,18 +36,19 @@ def plan_routes(requests: DataFrame, edge_keys: DataFrame, forbidden: DataFrame,
     open_keys = edge_keys.join(stop, "key", "left_anti")
     starts = requests.withColumnRenamed("from_node", "start_node")
     seeds = starts.join(open_keys, starts["start_node"] == open_keys["from_node"]).select("request", "key", F.col("len_mm").alias("dist_mm"))
-    found = graph.shortest_paths(seeds, graph.adjacency(edge_keys, forbidden, stop))
+    found = graph._cut(graph.shortest_paths(seeds, graph.adjacency(edge_keys, forbidden, stop)), "route-paths")
     ends = found.join(edge_keys.select("key", F.col("to_node").alias("end_node")), "key").join(requests.select("request", F.col("to_node").alias("end_node")), ["request", "end_node"])
     best = ends.groupBy("request").agg(F.min(F.struct("dist_mm", "key")).alias("b")).select("request", "b.dist_mm", "b.key")
-    # predecessors are followed back for all requests at once, some steps a round
+    # predecessors are followed back for all requests at once, eight keys a round: the table of single steps is doubled thrice
+    steps = found.select("request", F.col("key").alias("at"), F.when(F.col("pred") >= 0, F.array("pred")).otherwise(F.array().cast("array<bigint>")).alias("path"), F.col("pred").alias("next"))
+    for _ in range(3):
+        on = steps.select("request", F.col("at").alias("next"), F.col("path").alias("far"), F.col("next").alias("beyond"))
+        steps = steps.join(on, ["request", "next"], "left").select("request", "at", F.concat(F.coalesce("far", F.array().cast("array<bigint>")), "path").alias("path"), F.coalesce("beyond", "next").alias("next"))
+    steps = graph._cut(steps, "route-steps")
     walk = best.select("request", "dist_mm", F.array("key").alias("keys"), F.col("key").alias("at"))
-    steps = graph._cut(found.select("request", F.col("key").alias("at"), "pred"), "route-steps")
     done = None
     while True:
-        for _ in range(8):
-            met = walk.join(steps, ["request", "at"], "left")
-            keys = F.when(F.col("pred") >= 0, F.concat(F.array("pred"), "keys")).otherwise(F.col("keys"))
-            walk = met.select("request", "dist_mm", keys.alias("keys"), F.coalesce("pred", F.lit(-1)).alias("at"))
+        walk = walk.join(steps, ["request", "at"]).select("request", "dist_mm", F.concat("path", "keys").alias("keys"), F.col("next").alias("at"))
         walk = graph._cut(walk, "route-walk")
         ended = walk.where("at < 0").select("request", "dist_mm", "keys")
         done = ended if done is None else done.unionByName(ended)
