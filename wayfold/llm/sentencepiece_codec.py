@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -396,18 +397,22 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     dealt = named.where(F.length("word") <= LONGEST).repartition("word")
     distinct = dealt.groupBy("word").agg(F.max("seg").alias("seg"), F.max("place").alias("place")).where("seg >= 0 and place >= 0").select("word")
     coded = dealt.join(encoded_units(distinct, model).hint("merge"), "word").select("seg", "place", "ids").unionByName(folded_units(named, model))
+    # ids travel as digits of one width, a third of an array's size
+    width = next(k for k in range(1, 8) if 36**k >= len(model.surface))
+    code = F.array_join(F.transform("ids", lambda x: F.lpad(F.conv(x.cast("string"), 10, 36), width, "0")), "")
+    coded = coded.select("seg", "place", code.alias("code"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(uri)
         fs.create_dir(base, recursive=True)
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        held: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
         before = None
 
         def put() -> None:
-            found = pa.concat_arrays(held)
-            lengths = np.diff(np.asarray(found.offsets)).astype("<i4")
-            _put(fs, f"{base}/{before}", lambda f: f.write(squeeze(np.array([len(lengths)], "<i4").tobytes() + lengths.tobytes() + np.asarray(found.flatten(), "<i4").tobytes())))
+            n = np.concatenate(lengths)
+            _put(fs, f"{base}/{before}", lambda f: f.write(squeeze(np.array([len(n)], "<i4").tobytes() + n.tobytes() + np.concatenate(flat).tobytes())))
 
         for batch in batches:
             segs = np.asarray(batch.column("seg"))
@@ -415,12 +420,16 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if segs[a] != before and held:
+                if segs[a] != before and lengths:
                     put()
-                    held = []
+                    lengths, flat = [], []
                 before = int(segs[a])
-                held.append(batch.column("ids").slice(a, b - a))
-        if held:
+                codes = batch.column("code").slice(a, b - a)
+                lengths.append(np.asarray(pc.binary_length(codes), "<i4") // width)
+                digits = np.frombuffer("".join(codes.to_pylist()).encode(), np.uint8).astype(np.int32)
+                digits = np.where(digits >= ord("A"), digits - (ord("A") - 10), digits - ord("0")).reshape(-1, width)
+                flat.append((digits @ (36 ** np.arange(width - 1, -1, -1, dtype=np.int64))).astype("<i4"))
+        if lengths:
             put()
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
 
