@@ -110,7 +110,9 @@ def predict_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 400) -> DataFrame:
     """(id_col, held_out, lang_pred, score) of every row: profiles are learned from the rows that aren't held out and have a
-    language, by text and language alone; null and repeated ids keep their rows; an empty table gives an empty result."""
+    language, by text and language alone. Texts of any length are ranked whole; equal texts get equal answers; null and repeated
+    ids keep their rows; ids cast to bigint; other columns are not read, whatever their names; an empty table gives an empty
+    result."""
     profiles = language_profiles(docs.where(~held_out(F.col(id_col))), lang_col, text_col, most)
     out = predict_language(docs, profiles, id_col, text_col, most)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")

@@ -202,7 +202,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are streamed whole, one pass each; the automaton depends on the templates alone. Null or empty text: no words and
     empty lists. A long or repeated text takes time in proportion and no more memory than its words. Null and repeated ids
-    keep their rows, other columns are not read, and an empty table gives an empty result. Places of phrases are in text order.
+    keep their rows, other columns are not read, whatever their names, and an empty table gives an empty result; ids cast to
+    bigint. Places of phrases are in text order; of spans that overlap the one with more words covered stands, then the earlier.
     """
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     tokenizer is a .json file of the tokenizers library or a sentencepiece .model; no begin, end or added special tokens, no
     truncation or padding. Texts are encoded in Arrow batches of about `batch_bytes`; only lengths leave them. Long texts are
     cut at white space between chunks, where the tokenizer never joins anything. Null text counts as empty (0, 0); a null or
-    repeated id keeps its row; other columns, whatever their names, are not read.
+    repeated id keeps its row; other columns, whatever their names, are not read; an empty table gives an empty result.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
