@@ -156,8 +156,8 @@ def test_text_functions(spark):
     from wayfold.functions import text
 
     rows = spark.createDataFrame([(None, "a"), (999.4, "b"), (9949.0, "c"), (12_345.0, "d"), (float("nan"), "e"), (-1.0, "f")], "m double, k string").orderBy("k")
-    assert [r[0] for r in rows.select(text.distance_text(F.col("m"))).collect()] == ["--", "999 m", "9.9 km", "12 km", "--", "--"]
-    assert [r[0] for r in rows.select(text.duration_text(F.col("m"))).collect()] == ["--", "17 min", "2 h 46 min", "3 h 26 min", "--", "--"]
+    assert [r[0] for r in rows.select(text.distance_text(F.col("m"))).collect()] == ["--", "999 米", "9.9 公里", "12 公里", "--", "--"]
+    assert [r[0] for r in rows.select(text.duration_text(F.col("m"))).collect()] == ["--", "17 分钟", "2 小时 46 分钟", "3 小时 26 分钟", "--", "--"]
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(text.described(F.array(*map(F.lit, ("North", " North Gate ", "Gate", "Road 5"))))) == "North GateRoad 5"
     assert one(text.version_text(F.lit("2024-03-04 05:06:07"))) == "03/04 05:06" and one(text.version_text(F.lit("x"))) == "x"

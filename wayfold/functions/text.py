@@ -62,18 +62,30 @@ def _plain(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
 
 
-def distance_text(metres: Column) -> Column:
+# What metres, kilometres, minutes and hours are called.
+DISTANCE_UNITS, DURATION_UNITS = ("米", "公里"), ("分钟", "小时")
+
+
+def tenths(value: Column) -> Column:
+    """A number of at least 0 and below 1e15 with one decimal, by its exact binary value: 1.65, which is stored as a little less, is
+    1.6. True halves, which are odd multiples of a quarter, go up."""
+    half = (value * 4 == F.floor(value * 4)) & (F.floor(value * 4) % 2 == 1)
+    return F.translate(F.format_number(F.when(half, F.floor(value * 10 + 0.5) / 10).otherwise(value), 1), ",", "")
+
+
+def distance_text(metres: Column, units: tuple[str, str] = DISTANCE_UNITS) -> Column:
     """Whole metres below a kilometre, tenths of kilometres below ten, then whole ones; "--" for what is no distance."""
-    km = metres / 1000
-    text = F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(" m"))).when(km < 10, F.concat(F.format_string("%.1f", km), F.lit(" km"))).otherwise(F.concat(F.floor(km + 0.5).cast("string"), F.lit(" km")))
+    km, (small, large) = metres / 1000, units
+    text = F.when(metres < 1000, F.concat(F.floor(metres + 0.5).cast("string"), F.lit(f" {small}"))).when(km < 10, F.concat(tenths(km), F.lit(f" {large}"))).otherwise(F.concat(F.floor(km + 0.5).cast("string"), F.lit(f" {large}")))
     return F.when(_plain(metres), text).otherwise("--")
 
 
-def duration_text(seconds: Column) -> Column:
+def duration_text(seconds: Column, units: tuple[str, str] = DURATION_UNITS) -> Column:
     """Minutes, one at least, and hours from sixty on; "--" for what is no duration."""
+    small, large = units
     minutes = F.greatest(F.lit(1), F.floor(seconds / 60 + 0.5)).cast("bigint")
     hours, rest = F.floor(minutes / 60).cast("string"), minutes % 60
-    text = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).when(rest == 0, F.concat(hours, F.lit(" h"))).otherwise(F.concat(hours, F.lit(" h "), rest.cast("string"), F.lit(" min")))
+    text = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(f" {small}"))).when(rest == 0, F.concat(hours, F.lit(f" {large}"))).otherwise(F.concat(hours, F.lit(f" {large} "), rest.cast("string"), F.lit(f" {small}")))
     return F.when(_plain(seconds), text).otherwise("--")
 
 

@@ -30,8 +30,8 @@ def exit_keys(links: DataFrame, distances: DataFrame) -> DataFrame:
     return met.select("edge_id", F.when(b < a, 2 * F.col("edge_id")).when(a < b, 2 * F.col("edge_id") + 1).alias("key")).where("key is not null")
 
 
-def corridor_searches(starts: DataFrame, keys: DataFrame, forbidden: DataFrame, reverse: bool = False, limit: int = CORRIDOR_MM) -> DataFrame:
-    """(request, key, dist_mm): least ways from start nodes (request, node) over directed keys, of `limit` millimetres or less.
+def corridor_paths(starts: DataFrame, keys: DataFrame, forbidden: DataFrame, reverse: bool = False, limit: int = CORRIDOR_MM) -> DataFrame:
+    """(request, key, dist_mm, ms, pred): least ways from start nodes (request, node) over directed keys, of `limit` millimetres or less.
 
     keys: key, edge_id, from_node, to_node, len_mm, barrier; keys with `barrier` are reached, not passed, and cost nothing: their
     distance is that of the way before them. `reverse` searches against the direction of travel, where a turn ban still holds
@@ -44,7 +44,25 @@ def corridor_searches(starts: DataFrame, keys: DataFrame, forbidden: DataFrame,
     ban = forbidden.select(F.col("to_edge" if reverse else "from_edge").alias("e1"), "via_node", F.col("from_edge" if reverse else "to_edge").alias("e2"))
     turns = first.join(then, "via_node").join(ban, ["e1", "via_node", "e2"], "left_anti").select("key", "next_key", "next_mm")
     seeds = starts.withColumnRenamed("node", "tail").join(k, "tail").select("request", "key", F.col("cost").alias("dist_mm"))
-    return graph.shortest_paths(seeds, turns, limit).select("request", "key", "dist_mm")
+    return graph.shortest_paths(seeds, turns, limit)
+
+
+def corridor_searches(starts: DataFrame, keys: DataFrame, forbidden: DataFrame, reverse: bool = False, limit: int = CORRIDOR_MM) -> DataFrame:
+    """(request, key, dist_mm) of corridor_paths()."""
+    return corridor_paths(starts, keys, forbidden, reverse, limit).select("request", "key", "dist_mm")
+
+
+def toll_corridor_keys(booths: DataFrame, keys: DataFrame, forbidden: DataFrame, outside: DataFrame) -> DataFrame:
+    """(role, key): the union of all directed keys on ways of each role: ENTRY, from a booth to each ring mainline key that it leads to,
+    and EXIT, from outside to a booth by its least way (of equal ones by the smaller key). Mainline keys themselves belong to none."""
+    own = keys.where("not barrier")
+    entry = graph._cut(corridor_paths(booths, keys, forbidden), "entry-paths")
+    rings = entry.join(keys.where("ring").select("key"), "key", "left_semi").select("request", "key")
+    exits = graph._cut(corridor_paths(booths, keys, forbidden, reverse=True), "exit-paths")
+    out = own.join(outside.select(F.col("node").alias("from_node")), "from_node", "left_semi").select("key")
+    least = exits.join(out, "key", "left_semi").groupBy("request").agg(F.min(F.struct("dist_mm", "key")).alias("b")).select("request", "b.key")
+    each = [graph.traced(paths, ends).select(F.lit(role).alias("role"), "key") for role, paths, ends in (("ENTRY", entry, rings), ("EXIT", exits, least))]
+    return each[0].unionByName(each[1]).distinct().join(own.select("key"), "key", "left_semi").select("role", "key")
 
 
 def toll_entries(booths: DataFrame, keys: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -71,17 +89,55 @@ def toll_audit(source: DataFrame, booths: DataFrame, entries: DataFrame, exits:
     return source.agg(F.count("*").alias("source")).join(counts)
 
 
-def interchanges(links: DataFrame, mains: DataFrame, excluded_nodes: DataFrame, limit: int = INTERCHANGE_MM) -> DataFrame:
-    """(from_edge, path, to_edge, dist_mm): ways over links without a repeated node between two different mainline edges.
+def interchange_chains(links: DataFrame, mains: DataFrame, forbidden: DataFrame, limit: int = INTERCHANGE_MM) -> DataFrame:
+    """(start_key, from_edge, keys, nodes, end_key, to_edge, dist_mm): legal drives from one mainline edge over links to another.
 
-    links: u, v, len_mm; mains: edge_id, node (a mainline edge and a node of it). Ways over an excluded node are left out.
+    links and mains: key, edge_id, from_node, to_node (links len_mm too), the directed keys that may be driven. A drive arrives on
+    a mainline key, turns onto a link, goes on over links without meeting a node twice, at most `limit` millimetres of them, and
+    turns onto another mainline edge; no turn of it (edge, node, edge) is in `forbidden`. Grown hop by hop as joins, from all
+    mainline keys at once, until no drive grows.
     """
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(mains.select("node").distinct(), "node", "left_semi")
-    ways = graph.simple_paths(ends, links, limit)
-    steps = ways.select("start", "path", F.explode("path").alias("node")).join(excluded_nodes.select("node").distinct(), "node", "left_semi").select("path").distinct()
-    good = ways.join(steps, "path", "left_anti").withColumn("end", F.element_at("path", -1))
-    met = good.join(mains.select(F.col("node").alias("start"), F.col("edge_id").alias("from_edge")), "start").join(mains.select(F.col("node").alias("end"), F.col("edge_id").alias("to_edge")), "end")
-    return met.where("from_edge <> to_edge").select("from_edge", "path", "to_edge", "dist_mm").distinct()
+    ban = lambda df, first, node, then: df.join(forbidden.select(F.col("from_edge").alias(first), F.col("via_node").alias(node), F.col("to_edge").alias(then)), [first, node, then], "left_anti")
+    steps = links.select("key", F.col("edge_id").alias("link"), F.col("from_node").alias("node"), "to_node", "len_mm")
+    ends = mains.select(F.col("key").alias("end_key"), F.col("edge_id").alias("to_edge"), F.col("from_node").alias("node"))
+    grown = mains.select(F.col("key").alias("start_key"), F.col("edge_id").alias("from_edge"), F.col("edge_id").alias("last"), F.col("to_node").alias("node"), F.array().cast("array<bigint>").alias("keys"), F.array("to_node").alias("nodes"), F.lit(0).cast("bigint").alias("dist_mm"))
+    found = None
+    while True:
+        step = grown.join(steps, "node").where(~F.array_contains("nodes", F.col("to_node")) & (F.col("dist_mm") + F.col("len_mm") <= limit))
+        step = ban(step, "last", "node", "link")
+        grown = graph._cut(step.select("start_key", "from_edge", F.col("link").alias("last"), F.col("to_node").alias("node"), F.concat("keys", F.array("key")).alias("keys"), F.concat("nodes", F.array("to_node")).alias("nodes"), (F.col("dist_mm") + F.col("len_mm")).alias("dist_mm")), "interchange-drives")
+        met = ban(grown.join(ends, "node").where("to_edge <> from_edge"), "last", "node", "to_edge")
+        met = met.select("start_key", "from_edge", "keys", "nodes", "end_key", "to_edge", "dist_mm")
+        found = met if found is None else found.unionByName(met)
+        if grown.isEmpty():
+            return found
+
+
+def interchanges(chains: DataFrame, excluded_nodes: DataFrame, excluded_keys: DataFrame | None = None) -> DataFrame:
+    """chains with `excluded`: NODE if a drive meets a node of excluded_nodes, else KEY if it uses one of excluded_keys (key), else null."""
+    own = ["start_key", "keys", "end_key"]
+    bad = chains.select(*own, F.explode("nodes").alias("node")).join(excluded_nodes.select("node").distinct(), "node", "left_semi").select(*own, F.lit(0).alias("why"))
+    if excluded_keys is not None:
+        bad = bad.unionByName(chains.select(*own, F.explode("keys").alias("key")).join(excluded_keys.select("key").distinct(), "key", "left_semi").select(*own, F.lit(1).alias("why")))
+    why = bad.groupBy(*own).agg(F.min("why").alias("why"))
+    return chains.join(why, own, "left").withColumn("excluded", F.when(F.col("why") == 0, "NODE").when(F.col("why") == 1, "KEY")).drop("why")
+
+
+def interchange_audit(labelled: DataFrame, links: DataFrame, mains: DataFrame) -> DataFrame:
+    """One row: components of links, those that touch a mainline edge, those that touch two (candidates), candidates without any
+    drive (unresolved), drives found, excluded by node and by key, kept, pairs of edges kept, and the longest kept.
+
+    labelled: drives as interchanges() returns them; links: u, v; mains: edge_id, node (each node of a mainline edge)."""
+    parts = graph._cut(graph.components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "link-parts")
+    touch = parts.join(mains.select("node", "edge_id").distinct(), "node").groupBy("component").agg(F.count_distinct("edge_id").alias("mains"))
+    solved = labelled.select(F.element_at("nodes", 1).alias("node")).distinct().join(parts, "node").select("component").distinct().withColumn("solved", F.lit(True))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
+    each = parts.select("component").distinct().join(touch, "component", "left").join(solved, "component", "left")
+    some = each.agg(F.count("*").alias("components"), n(F.col("mains") >= 1).alias("touching"), n(F.col("mains") >= 2).alias("candidates"), n((F.col("mains") >= 2) & F.col("solved").isNull()).alias("unresolved"))
+    kept = F.col("excluded").isNull()
+    pair = F.when(kept, F.struct(F.least("from_edge", "to_edge"), F.greatest("from_edge", "to_edge")))
+    counts = labelled.agg(F.count("*").alias("drives"), n(F.col("excluded") == "NODE").alias("excluded_nodes"), n(F.col("excluded") == "KEY").alias("excluded_keys"), n(kept).alias("kept"), F.count_distinct(pair).alias("pairs"), F.coalesce(F.max(F.when(kept, F.col("dist_mm"))), F.lit(0)).alias("longest_mm"))
+    return some.join(counts)
 
 
 def outward_walks(starts: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:

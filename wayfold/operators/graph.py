@@ -134,6 +134,21 @@ def shortest_paths(seeds: DataFrame, turns: DataFrame, limit: int | None = None,
     return seeds.repartition("request").mapInArrow(solve, "request bigint, key bigint, dist_mm bigint, ms bigint, pred bigint")
 
 
+def traced(paths: DataFrame, ends: DataFrame) -> DataFrame:
+    """(request, key): all keys on the ways that paths (request, key, pred) has to ends (request, key), ends included.
+
+    Predecessors are followed for all requests at once; a key that several ways share is followed once.
+    """
+    front = _cut(ends.select("request", "key").distinct(), "traced")
+    seen = front
+    while True:
+        back = paths.join(front, ["request", "key"], "left_semi").where("pred >= 0").select("request", F.col("pred").alias("key")).distinct()
+        front = _cut(back.join(seen, ["request", "key"], "left_anti"), "traced")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
 def node_reach(seeds: DataFrame, links: DataFrame, limit: int) -> DataFrame:
     """(request, node, dist_mm): nodes within `limit` millimetres of seeds (request, node) over undirected links (u, v, len_mm)."""
     ways = links.select(F.col("u").alias("key"), F.col("v").alias("next_key"), F.col("len_mm").alias("next_mm")).unionByName(links.select(F.col("v").alias("key"), F.col("u").alias("next_key"), F.col("len_mm").alias("next_mm")))

@@ -116,7 +116,7 @@ def connector_exits(net: Network) -> DataFrame:
 @query
 def outer_walk_hops(net: Network) -> DataFrame:
     out = portals(net).where("direction = 'OUT'").join(net.edges.select("edge_id", F.col("v").alias("node")), "edge_id").select("portal_id", "edge_id", "lng", "lat", "node")
-    may = classified(net).where("car_access and zone <> 'INNER' or road_class <> 'motorway'")
+    may = classified(net).where("car_access and (zone <> 'INNER' or road_class <> 'motorway')")
     return corridors.outward_walks(out, may, net.points).select("portal_id", "hop", "edge_id", "k", r("along_m", 4).alias("along_m"), "clearance")
 
 
@@ -144,21 +144,30 @@ def toll_audit(net: Network) -> DataFrame:
     return corridors.toll_audit(net.table("supplier"), booths(net), toll_entries(net), toll_exits(net))
 
 
+@query
+def toll_corridor_keys(net: Network) -> DataFrame:
+    return corridors.toll_corridor_keys(booths(net), toll_keys(net), net.forbidden_turns, outside_nodes(net))
+
+
 def found_interchanges(net: Network) -> DataFrame:
-    mains = classified(net).where("mainline").select("edge_id", F.explode(F.array("u", "v")).alias("node"))
+    keys = net.edge_keys.join(classified(net).select("edge_id", "mainline", "is_link"), "edge_id")
+    chains = corridors.interchange_chains(keys.where("is_link"), keys.where("mainline"), net.forbidden_turns)
     tolls = net.nodes.where("node % 7 = 0 and node % 5 = 0").select("node")
-    return corridors.interchanges(net.edges.where("is_link").select("u", "v", "len_mm"), mains, tolls)
+    return graph._cut(corridors.interchanges(chains, tolls, toll_corridor_keys(net)), "interchanges")
 
 
 @query
 def interchanges(net: Network) -> DataFrame:
-    return found_interchanges(net).select("from_edge", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), "to_edge", "dist_mm")
+    """Drives that meet no toll node, and whether they share a key with a toll corridor."""
+    found = found_interchanges(net).where("excluded is null or excluded = 'KEY'")
+    return found.select("from_edge", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"), "to_edge", "dist_mm", F.col("excluded").isNotNull().alias("toll_overlap"))
 
 
 @query
 def interchange_audit(net: Network) -> DataFrame:
-    found = found_interchanges(net)
-    return found.agg(F.count("*").alias("candidates"), F.count_distinct("from_edge").alias("mainlines"), F.count_distinct(F.least("from_edge", "to_edge"), F.greatest("from_edge", "to_edge")).alias("pairs"), F.coalesce(F.max("dist_mm"), F.lit(0)).alias("longest_mm"))
+    may = classified(net).where("car_access")
+    mains = may.where("mainline").select("edge_id", F.explode(F.array("u", "v")).alias("node"))
+    return corridors.interchange_audit(found_interchanges(net), may.where("is_link"), mains)
 
 
 @query

@@ -44,7 +44,7 @@ _SEGMENTS = ",".join(f"({r},{i},{D(a[0])},{D(a[1])},{D(b[0])},{D(b[1])})" for r,
 BASE = f"""WITH RECURSIVE nodes AS (SELECT p_partkey AS node, p_partkey%40 AS gx, p_partkey//40 AS gy, 116.0::DOUBLE+(p_partkey%40)*0.01::DOUBLE AS lng, 39.6::DOUBLE+(p_partkey//40)*0.01::DOUBLE AS lat FROM part),
 edges AS (SELECT e.edge_id, e.u, e.v, a.lng AS ulng, a.lat AS ulat, b.lng AS vlng, b.lat AS vlat, 500000+(e.edge_id*7919%1000)*1000 AS len_mm, CASE WHEN e.edge_id%13=0 THEN 'motorway' WHEN e.edge_id%7=0 THEN 'motorway_link' WHEN e.edge_id%3=0 THEN 'primary' ELSE 'residential' END AS road_class, e.edge_id%7=0 AS is_link, e.edge_id%17<>4 AS car_access, a.gx, a.gy
  FROM (SELECT 2*node AS edge_id, node AS u, node+1 AS v FROM nodes WHERE gx<39 UNION ALL SELECT 2*node+1, node, node+40 FROM nodes) e JOIN nodes a ON a.node=e.u JOIN nodes b ON b.node=e.v),
-ekeys AS (SELECT 2*edge_id AS key, edge_id, u AS from_node, v AS to_node, len_mm FROM edges UNION ALL SELECT 2*edge_id+1, edge_id, v, u, len_mm FROM edges WHERE edge_id%5<>0),
+ekeys AS (SELECT 2*edge_id AS key, edge_id, u AS from_node, v AS to_node, len_mm FROM edges WHERE car_access UNION ALL SELECT 2*edge_id+1, edge_id, v, u, len_mm FROM edges WHERE car_access AND edge_id%5<>0),
 turns AS (SELECT DISTINCT a.edge_id AS from_edge, a.to_node AS via_node, b.edge_id AS to_edge FROM ekeys a JOIN ekeys b ON b.from_node=a.to_node WHERE a.edge_id=b.edge_id OR (a.edge_id*31+b.edge_id)%17=0),
 pts AS (SELECT c_custkey AS point_id, 116.0::DOUBLE+(c_custkey*37%1000)*0.0004::DOUBLE AS lng, 39.6::DOUBLE+(c_custkey*91%1000)*0.0005::DOUBLE AS lat FROM customer),
 cls AS (SELECT *, CASE WHEN gx BETWEEN 5 AND 19 AND gy BETWEEN 5 AND 29 THEN 'INNER' WHEN gx<30 THEN 'SECOND' ELSE 'OUTSIDE' END AS zone, road_class='motorway' AND car_access AS mainline, road_class='motorway' AND car_access AND NOT (gx BETWEEN 5 AND 19 AND gy BETWEEN 5 AND 29) AS exempt, road_class='motorway' AND car_access AND gx BETWEEN 5 AND 19 AND gy BETWEEN 5 AND 29 AS forbidden FROM edges),

@@ -24,11 +24,29 @@ fwd(request, key, d) USING KEY (request, key) AS (SELECT request, key, CASE WHEN
 rev(request, key, d) USING KEY (request, key) AS (SELECT request, key, CASE WHEN barrier THEN 0 ELSE len_mm END FROM booth JOIN tk ON to_node=node WHERE barrier OR len_mm<=5000000 UNION SELECT f.request, b.key, min(f.d+CASE WHEN b.barrier THEN 0 ELSE b.len_mm END) FROM rev f JOIN tk a ON a.key=f.key AND NOT a.barrier JOIN tk b ON b.to_node=a.from_node LEFT JOIN turns t ON t.from_edge=b.edge_id AND t.via_node=a.from_node AND t.to_edge=a.edge_id LEFT JOIN recurring.rev r ON r.request=f.request AND r.key=b.key WHERE t.from_edge IS NULL AND f.d+CASE WHEN b.barrier THEN 0 ELSE b.len_mm END<=5000000 AND (r.key IS NULL OR f.d+CASE WHEN b.barrier THEN 0 ELSE b.len_mm END<r.d) GROUP BY 1,2),
 ent AS (SELECT f.request, f.key, f.d AS dist_mm FROM fwd f JOIN tk USING (key) WHERE tk.ring),
 ext AS (SELECT request, min(d) AS dist_mm FROM (SELECT f.request, f.d FROM rev f JOIN tk ON tk.key=f.key AND NOT tk.barrier JOIN nodes n ON n.node=tk.from_node AND n.gx>=30 UNION ALL SELECT b.request, 0 FROM booth b JOIN nodes n ON n.node=b.node AND n.gx>=30) GROUP BY 1) """
-_LINKS = """, lnk AS (SELECT u, v, len_mm FROM edges WHERE is_link UNION ALL SELECT v, u, len_mm FROM edges WHERE is_link),
-mn AS (SELECT edge_id, u AS node FROM cls WHERE mainline UNION ALL SELECT edge_id, v FROM cls WHERE mainline),
-lp(start, path, d) AS (SELECT DISTINCT u, [u], 0::BIGINT FROM lnk JOIN mn ON mn.node=u UNION ALL SELECT s.start, list_append(s.path, b.v), s.d+b.len_mm FROM lp s JOIN lnk b ON b.u=s.path[-1] WHERE NOT list_contains(s.path, b.v) AND s.d+b.len_mm<=3000000),
-ich AS (SELECT DISTINCT a.edge_id AS from_edge, array_to_string(path,'-') AS path, b.edge_id AS to_edge, d AS dist_mm FROM lp JOIN mn a ON a.node=start JOIN mn b ON b.node=path[-1] WHERE len(path)>1 AND a.edge_id<>b.edge_id AND NOT list_bool_or(list_transform(path, lambda x: x%35=0))) """
-_WALK = f""", ways AS (SELECT edge_id, u AS a, v AS b, ulng AS ax, ulat AS ay, vlng AS bx, vlat AS y2 FROM cls WHERE (car_access AND zone<>'INNER') OR road_class<>'motorway' UNION ALL SELECT edge_id, v, u, vlng, vlat, ulng, ulat FROM cls WHERE (car_access AND zone<>'INNER') OR road_class<>'motorway'),
+#: Predecessors of the searches above, the smallest of the best (-1: a start), and the keys on ways to the ends.
+_TOLL_KEYS = (
+    _TOLL
+    + """, fpre AS (SELECT x.request, x.key, min(x.pred) AS pred FROM (SELECT f.request, f.key, -1::BIGINT AS pred FROM fwd f JOIN booth USING (request) JOIN tk k ON k.key=f.key AND k.from_node=booth.node WHERE f.d=CASE WHEN k.barrier THEN 0 ELSE k.len_mm END
+  UNION ALL SELECT f.request, f.key, p.key FROM fwd f JOIN tk k ON k.key=f.key JOIN tk a ON a.to_node=k.from_node AND NOT a.barrier JOIN fwd p ON p.request=f.request AND p.key=a.key AND p.d+CASE WHEN k.barrier THEN 0 ELSE k.len_mm END=f.d WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=a.edge_id AND t.via_node=a.to_node AND t.to_edge=k.edge_id)) x GROUP BY 1,2),
+rpre AS (SELECT x.request, x.key, min(x.pred) AS pred FROM (SELECT f.request, f.key, -1::BIGINT AS pred FROM rev f JOIN booth USING (request) JOIN tk k ON k.key=f.key AND k.to_node=booth.node WHERE f.d=CASE WHEN k.barrier THEN 0 ELSE k.len_mm END
+  UNION ALL SELECT f.request, f.key, p.key FROM rev f JOIN tk k ON k.key=f.key JOIN tk a ON a.from_node=k.to_node AND NOT a.barrier JOIN rev p ON p.request=f.request AND p.key=a.key AND p.d+CASE WHEN k.barrier THEN 0 ELSE k.len_mm END=f.d WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=k.edge_id AND t.via_node=k.to_node AND t.to_edge=a.edge_id)) x GROUP BY 1,2),
+rend AS (SELECT f.request, arg_min(f.key,(f.d,f.key)) AS key FROM rev f JOIN tk ON tk.key=f.key AND NOT tk.barrier JOIN nodes n ON n.node=tk.from_node AND n.gx>=30 GROUP BY 1),
+ftr(request, key) AS (SELECT request, key FROM ent UNION SELECT p.request, p.pred FROM ftr f JOIN fpre p ON p.request=f.request AND p.key=f.key WHERE p.pred>=0),
+rtr(request, key) AS (SELECT request, key FROM rend UNION SELECT p.request, p.pred FROM rtr f JOIN rpre p ON p.request=f.request AND p.key=f.key WHERE p.pred>=0),
+tollk AS (SELECT DISTINCT role, key FROM (SELECT 'ENTRY' AS role, key FROM ftr UNION ALL SELECT 'EXIT', key FROM rtr) JOIN tk USING (key) WHERE NOT barrier) """
+)
+_LINKS = (
+    _TOLL_KEYS
+    + """, lnk AS (SELECT k.* FROM ekeys k JOIN cls USING (edge_id) WHERE is_link), mn AS (SELECT k.* FROM ekeys k JOIN cls USING (edge_id) WHERE mainline),
+lp(start_key, from_edge, last, node, keys, path, d) AS (SELECT key, edge_id, edge_id, to_node, []::BIGINT[], [to_node], 0::BIGINT FROM mn
+  UNION ALL SELECT s.start_key, s.from_edge, b.edge_id, b.to_node, list_append(s.keys, b.key), list_append(s.path, b.to_node), s.d+b.len_mm FROM lp s JOIN lnk b ON b.from_node=s.node WHERE NOT list_contains(s.path, b.to_node) AND s.d+b.len_mm<=3000000 AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=s.last AND t.via_node=s.node AND t.to_edge=b.edge_id)),
+ich AS (SELECT s.from_edge, s.path, s.keys, b.edge_id AS to_edge, s.d AS dist_mm, list_bool_or(list_transform(s.path, lambda x: x%35=0)) AS toll, EXISTS (SELECT 1 FROM tollk WHERE list_contains(s.keys, tollk.key)) AS overlap FROM lp s JOIN mn b ON b.from_node=s.node AND b.edge_id<>s.from_edge WHERE len(s.keys)>0 AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=s.last AND t.via_node=s.node AND t.to_edge=b.edge_id)),
+mc(node, reach) AS (SELECT u, u FROM edges WHERE is_link AND car_access UNION SELECT v, v FROM edges WHERE is_link AND car_access UNION SELECT c.node, CASE WHEN e.u=c.reach THEN e.v ELSE e.u END FROM mc c JOIN edges e ON e.is_link AND e.car_access AND (e.u=c.reach OR e.v=c.reach)),
+mcomp AS (SELECT node, min(reach) AS component FROM mc GROUP BY 1),
+mt AS (SELECT component, count(DISTINCT m.edge_id) AS mains, bool_or(i.node IS NOT NULL) AS solved FROM mcomp c LEFT JOIN (SELECT u AS node, edge_id FROM cls WHERE mainline UNION ALL SELECT v, edge_id FROM cls WHERE mainline) m USING (node) LEFT JOIN (SELECT DISTINCT path[1] AS node FROM ich) i USING (node) GROUP BY 1) """
+)
+_WALK = f""", ways AS (SELECT edge_id, u AS a, v AS b, ulng AS ax, ulat AS ay, vlng AS bx, vlat AS y2 FROM cls WHERE car_access AND (zone<>'INNER' OR road_class<>'motorway') UNION ALL SELECT edge_id, v, u, vlng, vlat, ulng, ulat FROM cls WHERE car_access AND (zone<>'INNER' OR road_class<>'motorway')),
 w0 AS (SELECT p.portal_id, 0 AS hop, p.edge_id, p.lng AS ax, p.lat AS ay, w.bx, w.y2, w.b, 0.0::DOUBLE AS m0, {hav("p.lng", "p.lat", "w.bx", "w.y2")} AS m FROM portal p JOIN edges e USING (edge_id) JOIN ways w ON w.edge_id=p.edge_id AND w.b=e.v WHERE p.direction='OUT'),
 w1 AS (SELECT w0.portal_id, 1 AS hop, w.edge_id, w.ax, w.ay, w.bx, w.y2, w.b, w0.m AS m0, {hav("w.ax", "w.ay", "w.bx", "w.y2")} AS m FROM w0 JOIN ways w ON w.a=w0.b AND w.edge_id<>w0.edge_id WHERE w0.m<500),
 spots AS (SELECT portal_id, hop, edge_id, k, m0+least(m,k*20.0::DOUBLE) AS along, ax+(bx-ax)*least(1.0::DOUBLE,k*20/greatest(m,0.001::DOUBLE)) AS lng, ay+(y2-ay)*least(1.0::DOUBLE,k*20/greatest(m,0.001::DOUBLE)) AS lat FROM (SELECT *, unnest(range(1,1+CAST(greatest(1,ceil(least(m,500.0::DOUBLE-m0)/20)) AS INTEGER))) AS k FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1))),
@@ -51,15 +69,16 @@ _QUERIES = {
     "toll_entries": (_TOLL, "SELECT request, key, dist_mm FROM ent"),
     "toll_exits": (_TOLL, "SELECT request, dist_mm FROM ext"),
     "toll_audit": (_TOLL, "SELECT (SELECT count(*) FROM supplier) AS source, count(*) AS mapped, count(*) FILTER (a) AS entry, count(*) FILTER (b) AS exit, count(*) FILTER (a OR b) AS related, count(*) FILTER (a<>b) AS unresolved FROM (SELECT request, request IN (SELECT request FROM ent) AS a, request IN (SELECT request FROM ext) AS b FROM booth)"),
-    "interchanges": (_LINKS, "SELECT from_edge, path, to_edge, dist_mm FROM ich"),
-    "interchange_audit": (_LINKS, "SELECT count(*) AS candidates, count(DISTINCT from_edge) AS mainlines, count(DISTINCT (least(from_edge,to_edge),greatest(from_edge,to_edge))) AS pairs, coalesce(max(dist_mm),0) AS longest_mm FROM ich"),
+    "toll_corridor_keys": (_TOLL_KEYS, "SELECT role, key FROM tollk"),
+    "interchanges": (_LINKS, "SELECT from_edge, array_to_string(path,'-') AS path, to_edge, dist_mm, overlap AS toll_overlap FROM ich WHERE NOT toll"),
+    "interchange_audit": (_LINKS, "SELECT * FROM (SELECT count(*) AS components, count(*) FILTER (mains>=1) AS touching, count(*) FILTER (mains>=2) AS candidates, count(*) FILTER (mains>=2 AND NOT solved) AS unresolved FROM mt), (SELECT count(*) AS drives, count(*) FILTER (toll) AS excluded_nodes, count(*) FILTER (NOT toll AND overlap) AS excluded_keys, count(*) FILTER (NOT toll AND NOT overlap) AS kept, count(DISTINCT CASE WHEN NOT toll AND NOT overlap THEN (least(from_edge,to_edge),greatest(from_edge,to_edge)) END) AS pairs, coalesce(max(dist_mm) FILTER (NOT toll AND NOT overlap),0) AS longest_mm FROM ich)"),
     "split_edges": (_NEAREST + ", cutat AS (SELECT point_id, k.key, k.from_node, k.to_node, k.len_mm, CAST(floor(k.len_mm*CASE WHEN key%2=1 THEN 1-fraction ELSE fraction END) AS BIGINT) AS first FROM (SELECT n.point_id, n.edge_id, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((p.lng-ulng)*(vlng-ulng)+(p.lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS fraction FROM nearest n JOIN pts p USING (point_id) JOIN edges e ON e.edge_id=n.edge_id) s JOIN ekeys k USING (edge_id)) ", "SELECT point_id, key AS orig_key, 1 AS part, from_node, -1-point_id AS to_node, first AS len_mm FROM cutat UNION ALL SELECT point_id, key, 2, -1-point_id, to_node, len_mm-first FROM cutat"),
     "link_chains": (", lr AS (SELECT r.route_id, r.run, r.edge_key, e.is_link FROM runs r JOIN edges e ON e.edge_id=r.edge_key//2), lc AS (SELECT *, lag(edge_key) OVER w AS prev_key, lead(edge_key) OVER w AS next_key, sum(CASE WHEN is_link AND NOT before THEN 1 ELSE 0 END) OVER w AS chain FROM (SELECT *, coalesce(lag(is_link) OVER (PARTITION BY route_id ORDER BY run),false) AS before FROM lr) WINDOW w AS (PARTITION BY route_id ORDER BY run)) ", "SELECT route_id, CAST(min(run) AS BIGINT) AS first_run, CAST(max(run) AS BIGINT) AS last_run, first(prev_key ORDER BY run) AS prev_key, first(next_key ORDER BY run DESC) AS next_key FROM lc WHERE is_link GROUP BY route_id, chain"),
     "turn_costs": ("", "SELECT a.key, b.key AS next_key, CASE WHEN a.edge_id%19<>3 AND b.edge_id%19=3 THEN 1000000000::BIGINT ELSE 0::BIGINT END AS seconds FROM ekeys a JOIN ekeys b ON b.from_node=a.to_node WHERE a.edge_id<>b.edge_id AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=a.edge_id AND t.via_node=a.to_node AND t.to_edge=b.edge_id)"),
     "search_audit": ("", "SELECT count(*) AS checks, count(*) FILTER (t.from_edge IS NOT NULL) AS banned, count(*) FILTER (t.from_edge IS NULL AND b.edge_id IN (SELECT edge_id FROM blk)) AS blocked FROM ekeys a JOIN ekeys b ON b.from_node=a.to_node LEFT JOIN turns t ON t.from_edge=a.edge_id AND t.via_node=a.to_node AND t.to_edge=b.edge_id"),
     "tier_choice": ("", f"SELECT request, target, tier FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN score<=60 THEN 0 ELSE 1 END, CASE WHEN score<=60 THEN tier ELSE 0 END, score, dist_mm, target) AS k FROM (SELECT t.request, t.target, t.dist_mm, t.tier, round({delta('a', 'b')},6) AS score FROM (SELECT t.*, {brg('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS a, {brg('n.lng', 'n.lat', '116.35::DOUBLE', '39.95::DOUBLE')} AS b FROM tiers t JOIN (SELECT portal_id, any_value(lng) AS lng, any_value(lat) AS lat FROM portal GROUP BY 1) p ON p.portal_id=t.target JOIN nodes n ON n.node=t.request) t)) WHERE k=1"),
     "first_alternatives": ("", "SELECT request, route, dist_m, CAST(place AS INTEGER) AS place FROM (SELECT o_custkey AS request, o_orderkey AS route, CAST(floor(o_totalprice) AS BIGINT) AS dist_m, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice), o_orderkey) AS place FROM orders) WHERE place<=3"),
-    "text_forms": ("", f"SELECT p_partkey, CASE WHEN m<1000 THEN CAST(CAST(floor(m+0.5) AS BIGINT) AS VARCHAR)||' m' WHEN m/1000<10 THEN printf('%.1f', m/1000)||' km' ELSE CAST(CAST(floor(m/1000+0.5) AS BIGINT) AS VARCHAR)||' km' END AS distance, CASE WHEN q<60 THEN CAST(q AS VARCHAR)||' min' WHEN q%60=0 THEN CAST(q//60 AS VARCHAR)||' h' ELSE CAST(q//60 AS VARCHAR)||' h '||CAST(q%60 AS VARCHAR)||' min' END AS duration, CASE WHEN contains(p_brand||' A', p_type) THEN p_brand||' A' WHEN contains(p_type, p_brand||' A') THEN p_type ELSE p_brand||' A'||p_type END AS described, CASE p_partkey%8 {_codes} ELSE 'NO_COMPLIANT_ROUTE' END AS code FROM (SELECT *, p_partkey*7.5::DOUBLE AS m, greatest(1,CAST(floor(p_partkey*31.0::DOUBLE/60+0.5) AS BIGINT)) AS q FROM part)"),
+    "text_forms": ("", f"SELECT p_partkey, CASE WHEN m<1000 THEN CAST(CAST(floor(m+0.5) AS BIGINT) AS VARCHAR)||' 米' WHEN m/1000<10 THEN printf('%.1f', CASE WHEN m/250=floor(m/250) AND CAST(floor(m/250) AS BIGINT)%2=1 THEN floor(m/100+0.5)/10 ELSE m/1000 END)||' 公里' ELSE CAST(CAST(floor(m/1000+0.5) AS BIGINT) AS VARCHAR)||' 公里' END AS distance, CASE WHEN q<60 THEN CAST(q AS VARCHAR)||' 分钟' WHEN q%60=0 THEN CAST(q//60 AS VARCHAR)||' 小时' ELSE CAST(q//60 AS VARCHAR)||' 小时 '||CAST(q%60 AS VARCHAR)||' 分钟' END AS duration, CASE WHEN contains(p_brand||' A', p_type) THEN p_brand||' A' WHEN contains(p_type, p_brand||' A') THEN p_type ELSE p_brand||' A'||p_type END AS described, CASE p_partkey%8 {_codes} ELSE 'NO_COMPLIANT_ROUTE' END AS code FROM (SELECT *, p_partkey*7.5::DOUBLE AS m, greatest(1,CAST(floor(p_partkey*31.0::DOUBLE/60+0.5) AS BIGINT)) AS q FROM part)"),
     "edge_projections": ("", f"SELECT point_id, edge_id, round(t,7)+0.0 AS share, round(x,7) AS end_lng, round(y,7) AS end_lat, round({hav('ulng', 'ulat', 'x', 'y')},3) AS metres FROM (SELECT *, ulng+(vlng-ulng)*t AS x, ulat+(vlat-ulat)*t AS y FROM (SELECT p.point_id, e.edge_id, p.lng, p.lat, ulng, ulat, vlng, vlat, greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ulng)*(vlng-ulng)+(lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))) AS t FROM pts p JOIN edges e ON p.lng BETWEEN ulng-0.001 AND vlng+0.001 AND p.lat BETWEEN ulat-0.001 AND vlat+0.001)) WHERE {hav('lng', 'lat', 'x', 'y')}<=2"),
     "trace_lines": ("", f"SELECT route_id, round(sum(s),3) AS metres, CAST(1+count(*) FILTER (s>0)+CASE WHEN any_value(ends) THEN 0 ELSE 1 END+count(*) FILTER (s>0) AS INTEGER) AS joined, round(min(lng),7) AS min_lng, round(max(lng),7) AS max_lng, round(min(lat),7) AS min_lat, round(max(lat),7) AS max_lat, round(arg_max(lng,seq),7) AS last_lng FROM (SELECT *, false AS ends, coalesce(CASE WHEN plng IS NULL THEN NULL ELSE {hav('plng', 'plat', 'lng', 'lat')} END,0) AS s FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq))) GROUP BY 1"),
     "bbox_shifted": ("", f"SELECT point_id, round(x,7) AS lng, round(y,7) AS lat FROM (SELECT point_id, lng+({_fx}) AS x, lat+({_fy}) AS y FROM pts) WHERE x BETWEEN 116.05::DOUBLE AND 116.15::DOUBLE AND y BETWEEN 39.65::DOUBLE AND 39.75::DOUBLE"),

@@ -45,8 +45,9 @@ class Network:
 
     @cached_property
     def edge_keys(self) -> DataFrame:
+        """Directed keys of the edges that cars may use: 2 * edge along it, 2 * edge + 1 against it unless it is one-way."""
         way = F.explode(F.array(F.lit(0), F.lit(1)))
-        keys = self.edges.select("edge_id", "u", "v", "len_mm", way.alias("way")).where("way = 0 or edge_id % 5 <> 0")
+        keys = self.edges.where("car_access").select("edge_id", "u", "v", "len_mm", way.alias("way")).where("way = 0 or edge_id % 5 <> 0")
         swap = F.col("way") == 1
         return keys.select((2 * F.col("edge_id") + F.col("way")).alias("key"), "edge_id", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("from_node"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("to_node"), "len_mm")
 
