@@ -20,8 +20,8 @@ from .common import by_bytes, discard, fresh_path, persisted, utf8_list
 
 # Unicode's white space, as both tokenizers' rules know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-#: An id pair is one number: a * PAIR + b.
-PAIR = 1 << 31
+#: An id pair is one number: a * PAIR + b. A segment's place in its block takes so many bits.
+PAIR, PLACES = 1 << 31, 28
 
 
 def _byte_of() -> dict[str, int]:
@@ -79,32 +79,42 @@ class Vocabularies:
         spaced = " " + text
         return self.segment.findall(spaced) if self.segment else [spaced]
 
-    def aligned(self, segments: list[str]) -> Iterator[tuple[bool, int, int, int, str, list[int]]]:
-        """For each segment: whether both encodings have its bytes, the numbers of A and B tokens and of groups, the groups as
-        text (``a1,a2|b1;a3|b2,b3``), and the linked pairs, one for each link."""
+    @property
+    def link(self) -> np.dtype:
+        """A link: the two tokens, and which of them ends with it: 0 both (a group ends too), 1 that of A, 2 that of B."""
+        size = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+        return np.dtype([("a", size), ("b", size), ("ends", "u1")])
+
+    def aligned(self, segments: list[str]) -> tuple[np.ndarray, list[int]]:
+        """(links of all segments, their number for each segment: 0 where the bytes of an encoding differ from the segment's)."""
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        links: list[tuple[int, int, int]] = []
+        counts = []
         for s, a, b in zip(segments, encode(segments, add_special_tokens=False), self.b.encode(segments, num_threads=1), strict=True):
-            yield self._align(s.encode(), a.ids, b)
+            before = len(links)
+            self._align(s.encode(), a.ids, b, links)
+            counts.append(len(links) - before)
+        return np.array(links, self.link), counts
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bool, int, int, int, str, list[int]]:
+    def _align(self, raw: bytes, a: list[int], b: list[int], links: list[tuple[int, int, int]]) -> None:
         left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(left) != raw or b"".join(right) != raw:
-            return False, 0, 0, 0, "", []
-        groups, pairs = [], []
-        i = j = i0 = j0 = 0
+            return
+        i = j = 0
         a_end, b_end = len(left[0]), len(right[0])
-        while True:
-            pairs.append(a[i] * PAIR + b[j])  # the two tokens that stand here overlap
+        while True:  # the two tokens that stand here overlap
             if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
+                links.append((a[i], b[j], 0))
                 i, j = i + 1, j + 1
                 if i == len(a):
-                    return True, len(a), len(b), len(groups), ";".join(groups), pairs
-                i0, j0, a_end, b_end = i, j, a_end + len(left[i]), b_end + len(right[j])
+                    return
+                a_end, b_end = a_end + len(left[i]), b_end + len(right[j])
             elif a_end < b_end:
+                links.append((a[i], b[j], 1))
                 i += 1
                 a_end += len(left[i])
             else:
+                links.append((a[i], b[j], 2))
                 j += 1
                 b_end += len(right[j])
 
@@ -130,59 +140,139 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
-def _save(uri: str, name: str, table: pa.Table) -> None:
-    fs, base = _open(uri)
-    fs.create_dir(base, recursive=True)
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    sizes = np.array([x.nbytes for x in arrays], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
-    def write(f) -> None:
-        with pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
 
-    _put(fs, f"{base}/{name}", write)
+def _spread(packed: bytes, *kinds: str | np.dtype) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(packed)
+    ends = np.cumsum(np.frombuffer(raw, "<i8", len(kinds))) + 8 * len(kinds)
+    return [np.frombuffer(raw[a:b], kind) for a, b, kind in zip([8 * len(kinds), *ends], ends, kinds, strict=False)]
 
 
-def _load(uri: str, name: str) -> pa.Table:
-    fs, base = _open(uri)
-    with fs.open_input_file(f"{base}/{name}") as f:
-        return pa.ipc.open_stream(f).read_all()
+def _filed(rows: DataFrame, uri: str, kinds: tuple[str, ...]) -> None:
+    """Writes rows (block, place, values) as one file a block of the shared folder, in the order of places.
 
+    kinds are the types of place and the values; a last one of "u1*" is of bytes of any length, which take a value for their
+    lengths. Rows of a block are packed together before they are shuffled.
+    """
+    names = [f"c{i}" for i in range(len(kinds))]
+    loose = kinds[-1] == "u1*"
+    plain = kinds[: -1 if loose else None]
+
+    def arrays(table: pa.Table) -> list[np.ndarray]:
+        out = [np.asarray(table.column(n).combine_chunks()).astype(k) for n, k in zip(names, plain, strict=False)]
+        if loose:
+            own = table.column(names[-1]).combine_chunks()
+            out += [np.asarray(pc.binary_length(own), "<i4"), np.frombuffer(b"".join(own.to_pylist()), np.uint8)]
+        return out
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-def _filed(rows: DataFrame, uri: str, order: str) -> None:
-    """Writes the rows of each block, sorted by `order`, as one file of the shared folder."""
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            blocks = np.asarray(table.column("block").combine_chunks())
+            order = np.lexsort((np.asarray(table.column("c0").combine_chunks()), blocks))
+            table, blocks = table.take(pa.array(order)), blocks[order]
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            own = [(blocks[a], _squeeze(*arrays(table.slice(a, b - a)))) for a, b in zip(cuts, cuts[1:], strict=False)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], ["block", "packed"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= 1 << 19 or sum(x.nbytes for x in held) >= 64 << 20:
+                yield packed()
+        if held:
+            yield packed()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        fs, base = _open(uri)
+        fs.create_dir(base, recursive=True)
+        held: list[bytes] = []
+        before = None
+
+        def save() -> None:
+            each = [_spread(x, *plain, *(["<i4", "u1"] if loose else [])) for x in held]
+            columns = [np.concatenate(x) for x in zip(*each, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            if loose:
+                lengths, flat = columns[-2], columns[-1]
+                starts = np.cumsum(lengths, dtype=np.int64) - lengths
+                columns[-1] = flat[_ragged(starts[order], lengths[order].astype(np.int64))]
+            out = [c[order] for c in columns[: -1 if loose else None]] + columns[-1:] * loose
+            _put(fs, f"{base}/{before}", lambda f: f.write(_squeeze(*out)))
+            held.clear()
+
         for batch in batches:
-            blocks = np.asarray(batch.column("block"))
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and a < b and held[0].column("block")[0].as_py() != blocks[a]:
-                    _save(uri, str(held[0].column("block")[0].as_py()), pa.Table.from_batches(held).drop_columns("block"))
-                    held = []
-                if a < b:
-                    held.append(batch.slice(a, b - a))
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if held and block != before:
+                    save()
+                before = block
+                held.append(packed)
         if held:
-            _save(uri, str(held[0].column("block")[0].as_py()), pa.Table.from_batches(held).drop_columns("block"))
+            save()
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
 
-    rows.repartition("block").sortWithinPartitions("block", order).mapInArrow(store, "n bigint").agg(F.sum("n")).collect()
+    packed = rows.toDF("block", *names).mapInArrow(pack, "block bigint, packed binary")
+    packed.repartition("block").sortWithinPartitions("block").mapInArrow(store, "n bigint").agg(F.sum("n")).collect()
 
 
-class _Block:
-    """A block's segments: per segment whether it holds, numbers of tokens and groups, groups, and its pairs (local numbers)."""
-
-    def __init__(self, uri: str, name: str):
-        t = _load(uri, name)
-        self.holds = np.asarray(t.column("holds").combine_chunks())
-        self.counts = np.stack([np.asarray(t.column(c).combine_chunks(), np.int64) for c in ("n_a", "n_b", "n_groups")])
-        pairs = t.column("pairs").combine_chunks()
-        self.lengths = np.asarray(pc.binary_length(pairs), np.int64) // 8
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.pairs, self.numbers = np.unique(np.frombuffer(b"".join(pairs.to_pylist()), "<i8"), return_inverse=True)
-        self.table = t
+def _load(uri: str, block: int, *kinds: str) -> list[np.ndarray] | None:
+    fs, base = _open(uri)
+    if not fs.get_file_info(f"{base}/{block}").is_file:
+        return None
+    with fs.open_input_file(f"{base}/{block}") as f:
+        return _spread(f.read(), *kinds)
 
 
-def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", segments: int = 400_000, occurrences: int = 1 << 22) -> DataFrame:
+class _Block:
+    """A block's segments: whether each holds, the number of its links, and its pairs by local numbers."""
+
+    def __init__(self, uri: str, block: int, link: np.dtype):
+        _, sizes, flat = _load(uri, block, "<i4", "<i4", "u1")
+        self.links = np.frombuffer(flat.tobytes(), link)
+        self.lengths = sizes.astype(np.int64) // link.itemsize
+        self.holds = self.lengths > 0
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.pairs, self.numbers = np.unique(self.links["a"].astype(np.int64) * PAIR + self.links["b"], return_inverse=True)
+
+    def total(self, each: np.ndarray) -> np.ndarray:
+        """Sums over the links of every segment."""
+        sums = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        return sums[self.starts + self.lengths] - sums[self.starts]
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which links are the first of their A token, and of their B token."""
+        begins = np.zeros(len(self.links) + 1, bool)
+        begins[self.starts[self.holds]] = True
+        after = np.concatenate([[0], self.links["ends"][:-1]])[: len(self.links)]
+        return begins[:-1] | (after != 2), begins[:-1] | (after != 1)
+
+    def groups(self) -> list[str]:
+        """The groups of every segment as text."""
+        ends = self.links["ends"] == 0
+        group = np.cumsum(ends) - ends
+        a, b = self.tokens()
+        ids = np.concatenate([self.links["a"][a], self.links["b"][b]])
+        side = np.concatenate([2 * group[a], 2 * group[b] + 1])
+        order = np.argsort(side, kind="stable")
+        ids, side = ids[order].tolist(), side[order]
+        last = np.append(np.diff(side) != 0, True)[: len(side)]
+        closes = np.zeros(int(ends.sum()), bool)  # groups that end a segment
+        closes[group[(self.starts + self.lengths - 1)[self.holds]]] = True
+        mark = np.where(~last, 0, np.where(side % 2 == 0, 1, np.where(closes[side // 2] if len(closes) else False, 3, 2))).tolist()
+        said = "".join([f"{i}{',|;\n'[m]}" for i, m in zip(ids, mark, strict=True)]).split("\n")
+        out = np.full(len(self.holds), "", object)
+        out[self.holds] = said[:-1]
+        return out.tolist()
+
+
+def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", segments: int = 1_000_000, occurrences: int = 1 << 23) -> DataFrame:
     """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs: a space and the text as tokens of A
     and B, in groups whose borders are where tokens of both end; groups is text, ``a1,a2|b1;a3|b2,b3``.
 
@@ -206,7 +296,7 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
 
         words = _vocabularies(byte_bpe, piece_model)
         part, count = TaskContext.get().partitionId(), 0
-        names = ["block", "place", "segment", "id", "packed"]
+        names = ["at", "segment", "id", "packed"]
         places: dict[str, int] = {}
         ids: list = []
         held: list[np.ndarray] = []
@@ -214,8 +304,10 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
 
         def rows_of_block() -> Iterator[pa.RecordBatch]:
             nonlocal count, n
-            block = part << 32 | count
+            block = part << 13 | count
             count += 1
+            if count > 1 << 13 or len(places) >> PLACES:
+                raise ValueError("a partition has too many blocks, or a text too many segments, to be numbered")
             # frequent segments get the small numbers
             order = np.argsort(-np.bincount(np.concatenate(held), minlength=len(places)), kind="stable")
             rank = np.empty(len(order), np.int32)
@@ -224,11 +316,11 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
             for at in range(0, len(order), 10_000):
                 own = [named[i] for i in order[at : at + 10_000].tolist()]
                 k = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(range(at, at + k), pa.int32()), pa.array(own, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(range((block << PLACES) + at, (block << PLACES) + at + k), pa.int64()), pa.array(own, pa.string()), pa.nulls(k, id_type), pa.nulls(k, pa.binary())], names)
             for at in range(0, len(held), 1000):
                 packed = [_pack(rank[x]) if len(x) else None for x in held[at : at + 1000]]
                 k = len(packed)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(ids[at : at + k], id_type), pa.array(packed, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([block << PLACES] * k, pa.int64()), pa.nulls(k, pa.string()), pa.array(ids[at : at + k], id_type), pa.array(packed, pa.binary())], names)
             places.clear()
             ids.clear()
             held.clear()
@@ -247,21 +339,26 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
         if held:
             yield from rows_of_block()
 
-    numbered = persisted(rows.mapInArrow(number, f"block bigint, place int, segment string, id {kind}, packed binary"), "segments")
+    numbered = persisted(rows.mapInArrow(number, f"at bigint, segment string, id {kind}, packed binary"), "segments")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabularies(byte_bpe, piece_model)
         for batch in by_bytes(batches, "segment", 1 << 20):
-            holds, a, b, groups, said, pairs = zip(*words.aligned(batch.column("segment").to_pylist()), strict=True) if batch.num_rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(holds, pa.bool_()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(groups, pa.int32()), pa.array(said, pa.string()), pa.array([np.array(p, "<i8").tobytes() for p in pairs], pa.binary())], ["segment", "holds", "n_a", "n_b", "n_groups", "groups", "pairs"])
+            if batch.num_rows:
+                links, counts = words.aligned(batch.column("segment").to_pylist())
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * links.dtype.itemsize
+                found = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(links.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("segment"), found], ["segment", "links"])
 
     # one shuffle by segment serves the distinct segments and their way back
-    dealt = numbered.where("segment is not null").select("segment", "block", "place").repartition("segment")
-    distinct = dealt.groupBy("segment").agg(F.max("block").alias("block"), F.max("place").alias("place")).where("block >= 0 and place >= 0").select("segment")
-    known = distinct.mapInArrow(align, "segment string, holds boolean, n_a int, n_b int, n_groups int, groups string, pairs binary")
+    dealt = numbered.where("segment is not null").select("segment", "at").repartition("segment")
+    distinct = dealt.groupBy("segment").agg(F.max("at").alias("at")).where("at >= 0").select("segment")
+    known = distinct.mapInArrow(align, "segment string, links binary")
+    block, place = F.shiftright("at", PLACES), F.col("at").bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int")
     at = fresh_path(spark, "aligned-segments")
-    _filed(dealt.join(known.hint("merge"), "segment").drop("segment"), at, "place")
-    texts = numbered.where("segment is null").select("block", "id", "packed")
+    _filed(dealt.join(known.hint("merge"), "segment").select(block, place, "links"), at, ("<i4", "u1*"))
+    link = _vocabularies(byte_bpe, piece_model).link
+    texts = numbered.where("segment is null").select(block.alias("block"), "id", "packed")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, own, n = None, None, None
@@ -277,7 +374,7 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
                 if block != before:
                     if own:
                         yield found()
-                    before, own = block, _Block(at, str(block))
+                    before, own = block, _Block(at, block, link)
                     n = np.zeros(len(own.pairs), np.int64)
                 met = np.unique(_unpack(packed))
                 if own.holds[met].all():
@@ -292,7 +389,7 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
     most = sums.groupBy("a").agg(F.max("count").alias("most"))
     scored = sums.join(most, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
     info = fresh_path(spark, "pair-files")
-    _filed(counted.select("block", "pair").join(scored.hint("merge"), "pair"), info, "pair")
+    _filed(counted.select("block", "pair").join(scored.hint("merge"), "pair").select("block", "pair", "count", "best"), info, ("<i8", "<i8", "u1"))
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
@@ -300,16 +397,13 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str =
 
         def load(block: int) -> None:
             nonlocal before, own, said, each
-            before, own = block, _Block(at, str(block))
-            said = own.table.column("groups").to_pylist()
+            before, own = block, _Block(at, block, link)
+            said = own.groups()
             count, best = np.zeros(len(own.pairs), np.int64), np.zeros(len(own.pairs), np.int64)
-            fs, base = _open(info)
-            if fs.get_file_info(f"{base}/{block}").is_file:  # none if no text of the block has tokens
-                t = _load(info, str(block))
-                place = np.searchsorted(own.pairs, np.asarray(t.column("pair").combine_chunks()))
-                count[place], best[place] = np.asarray(t.column("count").combine_chunks()), np.asarray(t.column("best").combine_chunks())
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[own.numbers])])[np.concatenate([own.starts, [len(own.numbers)]])])
-            each = np.stack([*own.counts, own.lengths, total(best), total(count)])
+            if found := _load(info, block, "<i8", "<i8", "u1"):  # none if no text of the block has tokens
+                place = np.searchsorted(own.pairs, found[0])
+                count[place], best[place] = found[1:]
+            each = np.stack([*map(own.total, (*own.tokens(), own.links["ends"] == 0)), own.lengths, own.total(best[own.numbers]), own.total(count[own.numbers])])
 
         for batch in by_bytes(batches, "packed", 1 << 20):
             sums, texts, size, done = [], [], 0, 0
