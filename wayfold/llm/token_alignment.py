@@ -185,7 +185,7 @@ def _filed(rows: DataFrame, uri: str, kinds: tuple[str, ...]) -> None:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(x.num_rows for x in held) >= 1 << 19 or sum(x.nbytes for x in held) >= 64 << 20:
+            if sum(x.num_rows for x in held) >= 1 << 18 or sum(x.nbytes for x in held) >= 32 << 20:
                 yield packed()
         if held:
             yield packed()
@@ -253,26 +253,31 @@ class _Block:
         after = np.concatenate([[0], self.links["ends"][:-1]])[: len(self.links)]
         return begins[:-1] | (after != 2), begins[:-1] | (after != 1)
 
-    def groups(self) -> list[str]:
-        """The groups of every segment as text."""
-        ends = self.links["ends"] == 0
-        group = np.cumsum(ends) - ends
-        a, b = self.tokens()
-        ids = np.concatenate([self.links["a"][a], self.links["b"][b]])
-        side = np.concatenate([2 * group[a], 2 * group[b] + 1])
-        order = np.argsort(side, kind="stable")
-        ids, side = ids[order].tolist(), side[order]
-        last = np.append(np.diff(side) != 0, True)[: len(side)]
-        closes = np.zeros(int(ends.sum()), bool)  # groups that end a segment
-        closes[group[(self.starts + self.lengths - 1)[self.holds]]] = True
-        mark = np.where(~last, 0, np.where(side % 2 == 0, 1, np.where(closes[side // 2] if len(closes) else False, 3, 2))).tolist()
-        said = "".join([f"{i}{',|;\n'[m]}" for i, m in zip(ids, mark, strict=True)]).split("\n")
-        out = np.full(len(self.holds), "", object)
-        out[self.holds] = said[:-1]
-        return out.tolist()
-
-
-def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", segments: int = 1_000_000, occurrences: int = 1 << 23) -> DataFrame:
+    def groups(self, step: int = 20_000) -> list[str]:
+        """The groups of every segment as text, made for `step` segments at a time."""
+        out: list[str] = []
+        starts_a, starts_b = self.tokens()
+        for at in range(0, len(self.holds), step):
+            holds = self.holds[at : at + step]
+            low, lengths = int(self.starts[at]), self.lengths[at : at + step]
+            own = slice(low, low + int(lengths.sum()))
+            links, a, b = self.links[own], starts_a[own], starts_b[own]
+            ends = links["ends"] == 0
+            group = np.cumsum(ends) - ends
+            ids = np.concatenate([links["a"][a], links["b"][b]])
+            side = np.concatenate([2 * group[a], 2 * group[b] + 1])
+            order = np.argsort(side, kind="stable")
+            ids, side = ids[order].tolist(), side[order]
+            last = np.append(np.diff(side) != 0, True)[: len(side)]
+            closes = np.zeros(int(ends.sum()) + 1, bool)  # groups that end a segment
+            closes[group[np.cumsum(lengths)[holds] - 1]] = True
+            mark = np.where(~last, 0, np.where(side % 2 == 0, 1, np.where(closes[side // 2], 3, 2))).tolist()
+            said = iter("".join([f"{i}{',|;\n'[m]}" for i, m in zip(ids, mark, strict=True)]).split("\n"))
+            out += [next(said) if x else "" for x in holds.tolist()]
+        return out
+
+
+def align_tokens(docs: DataFrame, byte_bpe: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text", segments: int = 400_000, occurrences: int = 1 << 22) -> DataFrame:
     """(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs: a space and the text as tokens of A
     and B, in groups whose borders are where tokens of both end; groups is text, ``a1,a2|b1;a3|b2,b3``.
 
