@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that executors share and read back, which ends its lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share: `spark.checkpoint.dir`; in local mode, where that may be unset, one
+    of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that executors share and read back, which ends its lineage."""
+    spark = df.sparkSession
+    path = shared(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._wayfold_path = path
@@ -66,72 +69,22 @@ def adjacency(edge_keys: DataFrame, forbidden: DataFrame, blocked: DataFrame | N
     return a.join(b, "via_node").join(forbidden, ["from_edge", "via_node", "to_edge"], "left_anti").select("key", "next_key", "next_mm")
 
 
-def _spread(seeds: DataFrame, turns: DataFrame, limit: int | None) -> DataFrame:
-    """Label correcting to the fixed point, as joins: each round relaxes only the keys that got better in the last."""
-    own = seeds if limit is None else seeds.where(F.col("dist_mm") <= limit)
-    first = own.groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", F.lit(-1).cast("bigint").alias("pred"))).alias("b"))
-    best = _cut(first.select("request", "key", "b.*", F.lit(True).alias("fresh")), "paths")
-    while best.where("fresh").limit(1).count():
-        step = best.where("fresh").join(turns, "key").select("request", F.col("next_key").alias("key"), (F.col("dist_mm") + F.col("next_mm")).alias("dist_mm"), (F.col("ms") + F.col("next_ms")).alias("ms"), F.col("key").alias("pred"), F.lit(None).cast("struct<dist_mm:bigint,ms:bigint>").alias("had"))
-        if limit is not None:
-            step = step.where(F.col("dist_mm") <= limit)
-        step = step.groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", "pred")).alias("b")).select("request", "key", "b.*", F.lit(None).cast("struct<dist_mm:bigint,ms:bigint>").alias("had"))
-        old = best.select("request", "key", "dist_mm", "ms", "pred", F.struct("dist_mm", "ms").alias("had"))
-        both = old.unionByName(step).groupBy("request", "key").agg(F.min(F.struct("dist_mm", "ms", "pred")).alias("b"), F.max("had").alias("had"))
-        # another predecessor of the same cost changes nothing further on
-        fresh = F.col("had").isNull() | (F.struct("b.dist_mm", "b.ms") < F.col("had"))
-        after = _cut(both.select("request", "key", "b.*", fresh.alias("fresh")), "paths")
-        _drop(best)
-        best = after
-    return best.drop("fresh")
-
-
-def shortest_paths(seeds: DataFrame, turns: DataFrame, limit: int | None = None, small: int = 2_000_000) -> DataFrame:
+def shortest_paths(seeds: DataFrame, turns: DataFrame, limit: int | None = None, small: int = 2_000_000, **far) -> DataFrame:
     """(request, key, dist_mm, ms, pred): the cheapest way to the end of each directed edge key that each request reaches.
 
     seeds: (request, key, dist_mm, ms if any), turns: (key, next_key, next_mm, next_ms if any). Cost is distance, then time (0
     where a table has none), and of equal ways the smaller predecessor stands (-1 for a seed). State is the directed key, so
     turn bans hold. Keys over `limit` millimetres are left out, seeds too. turns of `small` rows or fewer (counted first) go to
-    every task, where each request is solved alone by a heap, however many requests there are; larger networks are relaxed
-    round by round as joins. Both give the same rows.
+    every task as arrays of about 30 bytes a turn, 60 MB at most, where each request is solved alone by a heap, however many
+    there are; larger networks are searched in parts, see search.far_labels(), which takes `far`. Both give the same rows.
     """
-    timed = lambda df, c: df if c in df.columns else df.withColumn(c, F.lit(0))
-    turns = timed(turns, "next_ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("key", "next_key", "next_mm", "next_ms")))
-    seeds = timed(seeds, "ms").select(*(F.col(c).cast("bigint").alias(c) for c in ("request", "key", "dist_mm", "ms")))
-    turns = _cut(turns, "turns")  # read twice: to be counted, and to be joined or sent
+    from wayfold.operators import search
+
+    turns = _cut(search.prepared(turns), "turns")  # read twice: to be counted, and to be joined or sent
+    seeds = search.starts(seeds)
     if turns.limit(small + 1).count() > small:
-        return _spread(seeds, turns, limit)
-    spark = seeds.sparkSession
-    table = spark.sparkContext.broadcast(turns.toArrow())
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts: dict[int, list[tuple[int, int, int]]] = {}
-        for batch in batches:  # a partition's requests; rows are few beside what they reach
-            for r, k, d, t in zip(*(batch.column(c).to_pylist() for c in ("request", "key", "dist_mm", "ms")), strict=True):
-                starts.setdefault(r, []).append((d, t, k))
-        after: dict[int, list[tuple[int, int, int]]] = {}
-        if starts:
-            for a, *rest in zip(*(c.to_pylist() for c in table.value.columns), strict=True):
-                after.setdefault(a, []).append(tuple(rest))
-        for request, own in starts.items():
-            done: dict[int, tuple[int, int, int]] = {}
-            heap = [(d, t, -1, k) for d, t, k in own if limit is None or d <= limit]
-            heapq.heapify(heap)
-            while heap:
-                d, t, pred, key = heapq.heappop(heap)
-                if key in done:
-                    if (d, t, pred) < done[key]:
-                        done[key] = (d, t, pred)  # as cheap, by a step of no length
-                    continue
-                done[key] = (d, t, pred)
-                for b, mm, ms in after.get(key, ()):
-                    if (b not in done or (d + mm, t + ms, key) < done[b]) and (limit is None or d + mm <= limit):
-                        heapq.heappush(heap, (d + mm, t + ms, key, b))
-            if done:
-                columns = zip(*done.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([request] * len(done), pa.int64()), pa.array(done.keys(), pa.int64()), *(pa.array(x, pa.int64()) for x in columns)], ["request", "key", "dist_mm", "ms", "pred"])
-
-    return seeds.repartition("request").mapInArrow(solve, "request bigint, key bigint, dist_mm bigint, ms bigint, pred bigint")
+        return search.far_labels(seeds, turns, limit, **far)[0]
+    return search.near_labels(seeds, turns, limit)
 
 
 def traced(paths: DataFrame, ends: DataFrame) -> DataFrame:
