@@ -188,14 +188,25 @@ def split_edges(snapped: DataFrame, keys: DataFrame) -> DataFrame:
 
 def assembled(routes: DataFrame, keys: DataFrame, edges: DataFrame) -> DataFrame:
     """(request, points, trace, dist_mm, ms, continuous) of routes (request, keys array): the line without repeated places, a
-    trace of (seq, key), totals, and whether each key starts where the one before ends. keys: key, edge_id, from_node, to_node,
-    len_mm, ms; edges: edge_id and the places of u and v."""
-    steps = routes.select("request", F.posexplode("keys").alias("seq", "key")).join(keys, "key").join(edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "edge_id")
+    trace of (seq, key), totals, and whether each key starts where the one before ends.
+
+    keys: key, edge_id, from_node, to_node, len_mm, ms; edges: edge_id and the places of u and v. With columns first_share and
+    last_share a route begins and ends at these shares of its first and last key; lengths and times of their parts are cut down to
+    whole units from the key's start. An edge driven in part has its part of the line, of the length and of the time.
+    """
+    for c, whole in (("first_share", 0.0), ("last_share", 1.0)):
+        if c not in routes.columns:
+            routes = routes.withColumn(c, F.lit(whole))
+    steps = routes.select("request", "first_share", "last_share", F.size("keys").alias("n"), F.posexplode("keys").alias("seq", "key")).join(keys, "key").join(edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "edge_id")
+    since = F.when(F.col("seq") == 0, F.col("first_share")).otherwise(0.0)
+    until = F.when(F.col("seq") == F.col("n") - 1, F.col("last_share")).otherwise(1.0)
     back = F.col("key").bitwiseAND(F.lit(1)) == 1
-    spot = lambda a, b: F.struct(F.when(back, F.col(f"{b}lng")).otherwise(F.col(f"{a}lng")).alias("lng"), F.when(back, F.col(f"{b}lat")).otherwise(F.col(f"{a}lat")).alias("lat"))
+    along = lambda a, b, t: geo.interpolate(F.when(back, F.col(b)).otherwise(F.col(a)), F.when(back, F.col(a)).otherwise(F.col(b)), t)
+    spot = lambda t: F.struct(along("ulng", "vlng", t).alias("lng"), along("ulat", "vlat", t).alias("lat"))
+    part = lambda c: (F.floor(F.col(c) * until) - F.floor(F.col(c) * since)).cast("bigint")
     w = Window.partitionBy("request").orderBy("seq")
-    steps = steps.withColumn("start", spot("u", "v")).withColumn("stop", spot("v", "u")).withColumn("follows", F.coalesce(F.lag("to_node").over(w) == F.col("from_node"), F.lit(True)))
-    found = steps.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "start", "stop"))).alias("s"), F.sum("len_mm").alias("dist_mm"), F.sum("ms").alias("ms"), F.bool_and("follows").alias("continuous"))
+    steps = steps.withColumn("start", spot(since)).withColumn("stop", spot(until)).withColumn("follows", F.coalesce(F.lag("to_node").over(w) == F.col("from_node"), F.lit(True)))
+    found = steps.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "start", "stop"))).alias("s"), F.sum(part("len_mm")).alias("dist_mm"), F.sum(part("ms")).alias("ms"), F.bool_and("follows").alias("continuous"))
     points = F.concat(F.slice(F.transform("s", lambda x: x["start"]), 1, 1), F.transform("s", lambda x: x["stop"]))
     return found.select("request", points.alias("points"), F.transform("s", lambda x: F.struct(x["seq"].alias("seq"), x["key"].alias("key"))).alias("trace"), "dist_mm", "ms", "continuous")
 

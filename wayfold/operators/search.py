@@ -67,7 +67,7 @@ def starts(seeds: DataFrame) -> DataFrame:
 
 @dataclass
 class Found:
-    """targets: (request, target, dist_mm, ms, pred, tier); audit: (request, settled, checks, banned, blocked, outcome), a row for each
+    """targets: (request, target, key, dist_mm, ms, pred, tier and keys, if asked for: all keys of the way in order); audit: (request, settled, checks, banned, blocked, outcome), a row for each
     request; rounds: the label counts of each round, if there were rounds."""
 
     targets: DataFrame
@@ -75,51 +75,70 @@ class Found:
     rounds: list[int]
 
 
-def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, budget: int | None = None, accepted: DataFrame | None = None, small: int = 2_000_000, **far) -> Found:
+def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, budget: int | None = None, accepted: DataFrame | None = None, guided: bool = False, ways: bool = False, small: int = 2_000_000, **far) -> Found:
     """Searches of requests for targets on edges, each ending as soon as its answer is known.
 
     seeds: request, key, dist_mm, ms if any (way to the end of a first key); turns: key, next_key, next_mm, next_ms and reject if
     any (1 banned, 2 blocked: never used, only counted); targets: target, key, back_mm, back_ms if any: a target lies that much
-    before the end of its key, which itself need not be passable. accepted: (request, target) pairs that a caller would take.
+    before the end of its key, which itself need not be passable; with a column `request` (null: all) it is only that request's.
+    A target behind a first key's start isn't met on it (see from_places()). accepted: (request, target) pairs that a caller would take.
 
     A request's targets cost at most `tiers` * step_mm more than its best one; tier k holds those up to k * step_mm more. After
     each tier, if one of its targets so far is accepted, the search ends (ACCEPTED); otherwise the same frontier goes on, up to
     the last tier (SETTLED) or the end of the network (EXHAUSTED). If a search would settle more than `budget` keys, it ends
     there (LIMIT), and keeps the targets nearer than the first key beyond. settled counts the keys within reach when a search
-    ends, checks their turns. Networks of over `small` turns are searched in rounds; `far` is for far_labels().
+    ends, checks their turns.
+
+    guided: what is left from every key to its nearest target is found first, by one search against the direction of travel that
+    all requests share; a request then goes only where way and rest together stay within its reach, in that order. Targets,
+    labels and tiers are the same (a label's predecessors are within reach too); settled, checks and the budget count what such
+    a search settles, and it is SETTLED if it left anything out. Networks of over `small` turns are searched in rounds; `far` is for far_labels().
     """
+    blocks.ship(seeds.sparkSession)
     turns = graph._cut(prepared(turns), "turns")
     own = starts(seeds)
     back = F.col("back_ms") if "back_ms" in targets.columns else F.lit(0)
-    goals = targets.select(F.col("target").cast("string").alias("target"), *(F.col(c).cast("bigint").alias(c) for c in ("key", "back_mm")), back.cast("bigint").alias("back_ms"))
+    whose = F.col("request") if "request" in targets.columns else F.lit(None)
+    goals = targets.select(F.col("target").cast("string").alias("target"), *(F.col(c).cast("bigint").alias(c) for c in ("key", "back_mm")), back.cast("bigint").alias("back_ms"), whose.cast("bigint").alias("request"))
+    if guided and "request" in targets.columns:
+        raise ValueError("a guided search is for targets that all requests share")
     wanted = accepted.select(F.col("request").cast("bigint").alias("request"), F.col("target").cast("string").alias("target")) if accepted is not None else None
+    rest = remaining(turns, goals, small, **far) if guided else None
     if turns.limit(small + 1).count() > small:
-        return _far_targets(own, turns, goals, wanted, step_mm, tiers, budget, **far)
+        return _far_targets(own, turns, goals, wanted, step_mm, tiers, budget, ways, **far)
     spark = seeds.sparkSession
-    shared = spark.sparkContext.broadcast((turns.toArrow(), goals.toArrow()))
-    schema = "kind int, request bigint, target string, dist_mm bigint, ms bigint, pred bigint, tier int, settled bigint, checks bigint, banned bigint, blocked bigint, outcome string"
+    # turns, targets and rests are at most as many rows as `small` allows turns
+    shared = spark.sparkContext.broadcast((turns.toArrow(), goals.toArrow(), rest.toArrow() if guided else None))
+    schema = "kind int, request bigint, target string, key bigint, dist_mm bigint, ms bigint, pred bigint, tier int, keys array<bigint>, settled bigint, checks bigint, banned bigint, blocked bigint, outcome string"
+    kinds = [pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * 4, pa.string()]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = on = None
+        net = on = ahead = None
         for (request,), rows in blocks.sorted_groups(batches, "request"):
             if net is None:
                 net, on = Turns(shared.value[0]), _goals(shared.value[1])
+                if guided:
+                    table = shared.value[2]
+                    ahead = np.full(len(net.keys), FAR)
+                    ahead[net.place(np.asarray(table.column("key").combine_chunks()))] = np.asarray(table.column("dist_mm").combine_chunks())
             take = {x for own in rows.column("accepted").to_pylist() for x in own or []}
             labels = [tuple(x) for x in zip(*(rows.column(c).to_pylist() for c in ("dist_mm", "ms", "key")), strict=True)]
-            found, audit = _solve(net, on, labels, take, step_mm, tiers, budget)
-            out = [(0, request, *x, None, None, None, None, None) for x in found] + [(1, request, None, None, None, None, None, *audit)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 4, pa.string()], strict=True)], [x.split()[0] for x in schema.split(", ")])
+            found, audit = _solve(net, on, request, labels, take, step_mm, tiers, budget, ahead, ways)
+            out = [(0, request, *x, *[None] * 5) for x in found] + [(1, request, *[None] * 7, *audit)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     if wanted is None:
         rows = own.withColumn("accepted", F.lit(None).cast("array<string>"))
     else:
         rows = own.join(wanted.groupBy("request").agg(F.collect_set("target").alias("accepted")), "request", "left")
     both = graph._cut(blocks.spread(rows, "request").mapInArrow(solve, schema), "target-search")
-    return Found(both.where("kind = 0").select("request", "target", "dist_mm", "ms", "pred", "tier"), both.where("kind = 1").select("request", "settled", "checks", "banned", "blocked", "outcome"), [])
+    columns = ["request", "target", "key", "dist_mm", "ms", "pred", "tier", *["keys"] * ways]
+    return Found(both.where("kind = 0").select(columns), both.where("kind = 1").select("request", "settled", "checks", "banned", "blocked", "outcome"), [])
 
 
 def near_labels(seeds: DataFrame, turns: DataFrame, limit: int | None) -> DataFrame:
     """Labels of every request over a network that each task holds, each request by a heap of its own, however many there are."""
+    blocks.ship(seeds.sparkSession)
     shared = seeds.sparkSession.sparkContext.broadcast(turns.toArrow())
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,17 +179,25 @@ def near_labels(seeds: DataFrame, turns: DataFrame, limit: int | None) -> DataFr
     return blocks.spread(seeds, "request").mapInArrow(solve, _LABEL)
 
 
-def _goals(table: pa.Table) -> dict[int, list[tuple[str, int, int]]]:
-    on: dict[int, list[tuple[str, int, int]]] = {}
-    for target, key, mm, ms in zip(*(table.column(c).to_pylist() for c in ("target", "key", "back_mm", "back_ms")), strict=True):
-        on.setdefault(key, []).append((target, mm, ms))
+def remaining(turns: DataFrame, goals: DataFrame, small: int, **far) -> DataFrame:
+    """(key, dist_mm): from the end of each key the least way to a target, where there is one."""
+    legal = turns.where("reject = 0")
+    last = legal.join(goals.groupBy(F.col("key").alias("next_key")).agg(F.max("back_mm").alias("back")), "next_key")
+    seeds = last.groupBy("key").agg(F.min(F.col("next_mm") - F.col("back")).alias("dist_mm")).withColumn("request", F.lit(0))
+    return graph.shortest_paths(seeds, legal.select(F.col("next_key").alias("key"), F.col("key").alias("next_key"), "next_mm"), small=small, **far).select("key", "dist_mm")
+
+
+def _goals(table: pa.Table) -> dict[int, list[tuple[str, int, int, int | None]]]:
+    on: dict[int, list[tuple[str, int, int, int | None]]] = {}
+    for target, key, *rest in zip(*(table.column(c).to_pylist() for c in ("target", "key", "back_mm", "back_ms", "request")), strict=True):
+        on.setdefault(key, []).append((target, *rest))
     return on
 
 
-def _solve(net: Turns, on: dict[int, list[tuple[str, int, int]]], labels: list[tuple[int, int, int]], take: set[str], step: int, tiers: int, budget: int | None) -> tuple[list[tuple], tuple]:
-    """One request by a heap: (targets with tiers, counts and outcome)."""
-    met: dict[str, tuple[int, int, int]] = {}
-    done: dict[int, tuple[int, int, int]] = {}
+def _solve(net: Turns, on: dict[int, list[tuple[str, int, int, int | None]]], request: int, labels: list[tuple[int, int, int]], take: set[str], step: int, tiers: int, budget: int | None, ahead: np.ndarray | None, ways: bool) -> tuple[list[tuple], tuple]:
+    """One request by a heap: (targets with tiers, counts and outcome). The heap's order is the distance plus what is ahead, if known."""
+    met: dict[str, tuple[int, int, int, int]] = {}
+    done: dict[int, int] = {}
     heap: list[tuple[int, int, int, int]] = []
     held: dict[int, tuple[int, int, int]] = {}
     best, tier, outcome, cut = FAR, 1, EXHAUSTED, FAR
@@ -179,28 +206,39 @@ def _solve(net: Turns, on: dict[int, list[tuple[str, int, int]]], labels: list[t
     known = net.place(np.array(far, np.int64)).tolist()
     places = {k: p if p >= 0 else len(net.keys) + i for i, (k, p) in enumerate(zip(far, known, strict=True))}
     at = {places[k]: goals for k, goals in on.items()}
-
-    def reach(place: int, d: int, t: int, pred: int, goals: list[tuple[str, int, int]] | None) -> None:
-        nonlocal best
-        for target, mm, ms in goals or ():
-            label = (d - mm, t - ms, pred)
-            if target not in met or label < met[target]:
+    if ahead is not None:
+        first = [d + int(ahead[places[k]]) for d, _, k in labels if places[k] < len(net.keys) and ahead[places[k]] < FAR]
+        first += [d - mm for d, _, k in labels for _, mm, _, _ in on.get(k, ()) if d >= mm]
+        horizon = min(first) + tiers * step if first else -1
+    omitted = False
+
+    def reach(place: int, d: int, t: int, pred: int, key: int, goals: list[tuple[str, int, int, int | None]] | None) -> None:
+        nonlocal best, omitted
+        for target, mm, ms, whose in goals or ():
+            label = (d - mm, t - ms, pred, key)
+            if d >= mm and (whose is None or whose == request) and (target not in met or label < met[target]):
                 met[target] = label
                 best = min(best, d - mm)
         if (had := held.get(place)) is None or (d, t, pred) < had:
             held[place] = (d, t, pred)
             if had is None or (d, t) < had[:2]:  # another predecessor of the same cost changes nothing further on
-                heapq.heappush(heap, (d, t, pred, place))
+                f = d
+                if ahead is not None:
+                    f = d + int(ahead[place]) if place < len(net.keys) and ahead[place] < FAR else FAR
+                    if f > horizon:
+                        omitted = True
+                        return
+                heapq.heappush(heap, (f, t, d, place))
 
     for d, t, key in sorted(labels):
-        reach(places[key], d, t, -1, on.get(key))
+        reach(places[key], d, t, -1, key, on.get(key))
     while heap:
-        d, t, pred, place = heap[0]
+        f, t, d, place = heap[0]
         if place in done or (d, t) > held[place][:2]:
             heapq.heappop(heap)
             continue
         if best < FAR:
-            while d > best + tier * step:
+            while f > best + tier * step:
                 if any(x in take and label[0] <= best + tier * step for x, label in met.items()):
                     outcome = ACCEPTED
                     break
@@ -211,23 +249,32 @@ def _solve(net: Turns, on: dict[int, list[tuple[str, int, int]]], labels: list[t
             if outcome != EXHAUSTED:
                 break
         if budget is not None and len(done) >= budget:
-            outcome, cut = LIMIT, d
+            outcome, cut = LIMIT, f
             break
         heapq.heappop(heap)
-        done[place] = (d, t, pred)
+        done[place] = f
         own = int(net.keys[place]) if place < len(net.keys) else -1
         for after, mm, ms in net.of(place):
-            reach(after, d + mm, t + ms, own, at.get(after))
+            reach(after, d + mm, t + ms, own, int(net.keys[after]), at.get(after))
     if outcome == EXHAUSTED and best < FAR:
         tier = next((k for k in range(1, tiers + 1) if any(x in take and label[0] <= best + k * step for x, label in met.items())), tiers)
-        outcome = ACCEPTED if any(x in take and label[0] <= best + tier * step for x, label in met.items()) else EXHAUSTED
+        outcome = ACCEPTED if any(x in take and label[0] <= best + tier * step for x, label in met.items()) else SETTLED if omitted else EXHAUSTED
     most = best + tier * step if best < FAR else FAR
     if outcome == ACCEPTED:
-        done = {p: x for p, x in done.items() if x[0] <= most}
-    found = [(target, *label, max(1, -(-(label[0] - best) // step)) if step else 1) for target, label in met.items() if label[0] <= most and label[0] < cut]
+        done = {p: x for p, x in done.items() if x <= most}
+
+    def way(pred: int, key: int) -> list[int]:
+        back = [key]
+        while pred != -1:
+            back.append(pred)
+            pred = held[places[pred] if pred in places else int(net.place(np.array([pred]))[0])][2]
+        return back[::-1]
+
+    near = [(target, *label) for target, label in met.items() if label[0] <= most and label[0] < cut]
+    found = [(target, key, d, t, pred, max(1, -(-(d - best) // step)) if step else 1, way(pred, key) if ways else None) for target, d, t, pred, key in near]
     settled = np.array([p for p in done if p < len(net.keys)], np.int64)
     count = lambda x: int(x[settled].sum())
-    return sorted(found, key=lambda x: (*x[1:3], x[0])), (len(done), count(net.checks), count(net.banned), count(net.blocked), outcome)
+    return sorted(found, key=lambda x: (*x[2:4], x[0])), (len(done), count(net.checks), count(net.banned), count(net.blocked), outcome)
 
 
 def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, part: Column | None = None, part_turns: int = 1_000_000, wave_mm: int | None = None, targets: DataFrame | None = None, enough_mm: int = 0, requests_a_group: int = 32) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[int]]:
@@ -244,6 +291,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     average. A repeated task reads the same earlier versions of its files and writes the same ones.
     """
     spark = seeds.sparkSession
+    blocks.ship(spark)
     base = graph.shared(spark, "far-search")
     back = 0 if targets is None else targets.agg(F.max("back_mm")).first()[0] or 0
     stat = turns.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max(F.greatest("key", "next_key")).alias("high"), F.avg("next_mm").alias("mean"), F.max("next_mm").alias("longest")).first()
@@ -253,7 +301,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     groups = max(1, -(-seeds.select("request").distinct().count() // requests_a_group))
     wave = wave_mm or int(64 * (stat["mean"] or 1)) + 1
     own = lambda df: df.withColumn("part", of)
-    goal_rows = None if targets is None else own(targets.select("key", "target", "back_mm", "back_ms"))
+    goal_rows = None if targets is None else own(targets.select("key", "target", "back_mm", "back_ms", "request"))
 
     def store(folder: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +339,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
                     for r, k, *label in zip(*(blocks.get(base, f"{folder}/{earlier[-1]}").column(c).to_pylist() for c in _NAMES), strict=True):
                         labels.setdefault(r, {})[k] = tuple(label)
                 heaps: dict[int, list[tuple[int, int, int]]] = {}
-                met: dict[tuple[int, str], tuple[int, int, int]] = {}
+                met: dict[tuple[int, str], tuple[int, int, int, int]] = {}
                 away: dict[tuple[int, int], tuple[int, int, int]] = {}
 
                 def better(r: int, key: int, label: tuple[int, int, int], labels=labels, heaps=heaps, met=met, on=on) -> None:
@@ -302,9 +350,9 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
                     held[key] = label
                     if had is None or label[:2] < had[:2]:
                         heapq.heappush(heaps.setdefault(r, []), (*label[:2], key))
-                    for target, mm, ms in on.get(key, ()):
-                        at = (label[0] - mm, label[1] - ms, label[2])
-                        if (r, target) not in met or at < met[r, target]:
+                    for target, mm, ms, whose in on.get(key, ()):
+                        at = (label[0] - mm, label[1] - ms, label[2], key)
+                        if label[0] >= mm and (whose is None or whose == r) and ((r, target) not in met or at < met[r, target]):
                             met[r, target] = at
 
                 for r, k, *label in zip(*(rows.column(c).to_pylist() for c in _NAMES), strict=True):
@@ -327,7 +375,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
                 blocks.put(base, f"{folder}/{number}", _table(flat))
                 for v in earlier[:-1]:  # a repeated task needs the last one
                     blocks.forget(base, f"{folder}/{v}")
-                out = [(r, k, *label, None) for (r, k), label in away.items()] + [(r, -1, *label, target) for (r, target), label in met.items()]
+                out = [(r, k, *label, None) for (r, k), label in away.items()] + [(r, key, *label, target) for (r, target), (*label, key) in met.items()]
                 for i in range(0, len(out), 100_000):
                     yield _table(out[i : i + 100_000], "target").to_batches()[0]
 
@@ -338,7 +386,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     pending = graph._cut((first if limit is None else first.where(F.col("dist_mm") <= limit)).select(*_NAMES), "far-labels")
     reached = ended = None
     bound, number, counts = -1, 0, []
-    least = lambda df, *keys: df.groupBy(*keys).agg(F.min(F.struct("dist_mm", "ms", "pred")).alias("b")).select(*keys, "b.*")
+    least = lambda df, *keys: df.groupBy(*keys).agg(F.min(F.struct("dist_mm", "ms", "pred", *(["key"] if "key" not in keys else []))).alias("b")).select(*keys, "b.*")
     while (low := pending.agg(F.min("dist_mm")).first()[0]) is not None:
         if low > bound:
             bound = low + wave
@@ -348,7 +396,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
         out = graph._cut(blocks.spread(due, "part", "group").mapInArrow(spreading(number, bound), fields), "far-step")
         left = least(pending.where(F.col("dist_mm") > bound).unionByName(out.where("target is null").select(*_NAMES)), "request", "key")
         if targets is not None:
-            now = out.where("target is not null").select("request", "target", "dist_mm", "ms", "pred")
+            now = out.where("target is not null").select("request", "target", "dist_mm", "ms", "pred", "key")
             after = graph._cut(least(now if reached is None else now.unionByName(reached), "request", "target"), "far-targets")
             if reached is not None:
                 graph._drop(reached)
@@ -377,7 +425,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     labels = graph._cut(listed.mapInArrow(final, _LABEL), "far-found")
     blocks.clear(spark, base)
     if targets is not None and reached is None:
-        reached = spark.createDataFrame([], "request bigint, target string, dist_mm bigint, ms bigint, pred bigint")
+        reached = spark.createDataFrame([], "request bigint, target string, dist_mm bigint, ms bigint, pred bigint, key bigint")
     return labels, reached, ended, counts
 
 
@@ -387,7 +435,7 @@ def _table(rows: list[tuple], *more: str) -> pa.Table:
     return pa.table({n: pa.array(c, pa.string() if n in more else pa.int64()) for n, c in zip(names, columns, strict=True)})
 
 
-def _far_targets(seeds: DataFrame, turns: DataFrame, goals: DataFrame, wanted: DataFrame | None, step: int, tiers: int, budget: int | None, **far) -> Found:
+def _far_targets(seeds: DataFrame, turns: DataFrame, goals: DataFrame, wanted: DataFrame | None, step: int, tiers: int, budget: int | None, ways: bool, **far) -> Found:
     labels, reached, ended, counts = far_labels(seeds, turns.where("reject = 0").drop("reject").withColumn("reject", F.lit(0).cast("tinyint")), targets=goals, enough_mm=step * tiers, **far)
     best = reached.groupBy("request").agg(F.min("dist_mm").alias("best"))
     scored = reached.join(best, "request").withColumn("tier", F.greatest(F.lit(1), F.ceil((F.col("dist_mm") - F.col("best")) / max(step, 1))).cast("int")).where(F.col("tier") <= tiers)
@@ -418,4 +466,51 @@ def _far_targets(seeds: DataFrame, turns: DataFrame, goals: DataFrame, wanted: D
     audit = cuts.join(sums, "request", "left").join(beyond, "request", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     targets = scored.join(cuts.select("request", "most", "cut"), "request").where((F.col("dist_mm") <= F.col("most")) & (F.col("cut").isNull() | (F.col("dist_mm") < F.col("cut"))))
-    return Found(targets.select("request", "target", "dist_mm", "ms", "pred", "tier"), audit.select("request", *map(zero, ("settled", "checks", "banned", "blocked")), outcome.alias("outcome")), counts)
+    targets = targets.select("request", "target", "key", "dist_mm", "ms", "pred", "tier")
+    if ways:
+        targets = targets.join(ways_to(labels, targets), ["request", "key", "pred"])
+    return Found(targets, audit.select("request", *map(zero, ("settled", "checks", "banned", "blocked")), outcome.alias("outcome")), counts)
+
+
+def ways_to(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """(request, key, pred, keys): all keys of the way to each end (request, key, pred), in order, from labels (request, key, pred).
+
+    Predecessors are followed back for all ends at once, eight keys a round: the table of single steps is doubled thrice.
+    """
+    none = F.array().cast("array<bigint>")
+    steps = labels.select("request", F.col("key").alias("at"), F.when(F.col("pred") != -1, F.array("pred")).otherwise(none).alias("path"), F.col("pred").alias("next"))
+    for _ in range(3):
+        on = steps.select("request", F.col("at").alias("next"), F.col("path").alias("far"), F.col("next").alias("beyond"))
+        steps = steps.join(on, ["request", "next"], "left").select("request", "at", F.concat(F.coalesce("far", none), "path").alias("path"), F.coalesce("beyond", "next").alias("next"))
+    steps = graph._cut(steps, "way-steps")
+    walk = ends.select("request", "key", "pred").distinct().select("request", "key", "pred", F.when(F.col("pred") != -1, F.array("pred", "key")).otherwise(F.array("key")).alias("keys"), F.col("pred").alias("at"))
+    done = None
+    while True:
+        walk = graph._cut(walk, "way-walk")
+        ended = walk.where("at = -1").select("request", "key", "pred", "keys")
+        done = ended if done is None else done.unionByName(ended)
+        walk = walk.where("at <> -1")
+        if walk.isEmpty():
+            return done
+        walk = walk.join(steps, ["request", "at"]).select("request", "key", "pred", F.concat("path", "keys").alias("keys"), F.col("next").alias("at"))
+
+
+def from_places(firsts: DataFrame, turns: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seeds, turns, targets) in which requests start within edges: an overlay on the network that all requests share.
+
+    firsts: request, key, dist_mm, ms: from a place on a key's edge to the key's end. What is left of key k from a place is a key of
+    its own, -2 - k, with the turns of k: k itself can be driven wholly later, and a target that lies on it before the place is
+    met only then. A target after the place is met on the first part too.
+    """
+    split = lambda c: (F.lit(-2) - F.col(c)).alias(c)
+    used = firsts.select("key").distinct()
+    seeds = firsts.select("request", split("key"), "dist_mm", "ms")
+    rest = [c for c in turns.columns if c != "key"]
+    more = turns.join(used, "key", "left_semi").select(split("key"), *rest)
+    goals = [c for c in targets.columns if c != "key"]
+    return seeds, turns.select("key", *rest).unionByName(more), targets.select("key", *goals).unionByName(targets.join(used, "key", "left_semi").select(split("key"), *goals))
+
+
+def original(key: Column) -> Column:
+    """The directed key of the network that a key of an overlay lies on."""
+    return F.when(key < 0, F.lit(-2) - key).otherwise(key)

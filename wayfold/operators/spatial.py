@@ -66,6 +66,17 @@ def nearest_edge(points: DataFrame, edges: DataFrame, point_id: str, most: float
         radius *= 4
 
 
+def snapped(points: DataFrame, edges: DataFrame, point_id: str, most: float | None = None) -> DataFrame:
+    """points with the nearest of `edges` (only those that may be used), the share of it at which the nearest place lies (to 9
+    digits), that place, and `valid`: whether there is an edge within `most` metres, if given. An invalid point has nulls."""
+    near = nearest_edge(points.select(point_id, "lng", "lat"), edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), point_id, most)
+    at = near.join(edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "edge_id", "left")
+    share = F.round(geo.segment_fraction(*map(F.col, ("lng", "lat", "ulng", "ulat", "vlng", "vlat"))), 9)
+    at = at.withColumn("valid", F.col("edge_id").isNotNull()).withColumn("fraction", F.when(F.col("valid"), share))
+    on = lambda a, b: geo.interpolate(F.col(a), F.col(b), F.col("fraction"))
+    return at.select(point_id, "edge_id", "fraction", on("ulng", "vlng").alias("on_lng"), on("ulat", "vlat").alias("on_lat"), "dist_m", "valid")
+
+
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """points x boxes (min_lng, max_lng, min_lat, max_lat), borders included; boxes are a stated query set and are broadcast."""
     inside = F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.operators import graph, spatial
+from wayfold.operators import graph, search, spatial
 from wayfold.plans.snapshot import Gate, SnapshotStore
 from wayfold.sources.points import ingest_points
 
@@ -27,34 +27,51 @@ def refresh(store: SnapshotStore, records: DataFrame, source_version: str, edges
     return store.publish({"source": source_version, "network": network_version, "metres": str(metres)}, {"points": points, "blocked": blocked, "issues": got.issues}, metrics, gate)
 
 
-def plan_routes(requests: DataFrame, edge_keys: DataFrame, forbidden: DataFrame, blocked: DataFrame) -> DataFrame:
+def plan_routes(requests: DataFrame, edge_keys: DataFrame, forbidden: DataFrame, blocked: DataFrame, **far) -> DataFrame:
     """(request, dist_mm, keys): the shortest legal way of each request (request, from_node, to_node) as directed edge keys.
 
-    Blocked edges (edge_id) and banned turns are never used; a request without a way has no row. Ties take the smaller key.
+    Blocked edges (edge_id) and banned turns are never used; a request without a way has no row. Ties take the smaller key. Each
+    search ends at its target.
     """
     stop = blocked.select(F.explode(F.array(2 * F.col("edge_id"), 2 * F.col("edge_id") + 1)).alias("key"))
     open_keys = edge_keys.join(stop, "key", "left_anti")
     starts = requests.withColumnRenamed("from_node", "start_node")
     seeds = starts.join(open_keys, starts["start_node"] == open_keys["from_node"]).select("request", "key", F.col("len_mm").alias("dist_mm"))
-    found = graph._cut(graph.shortest_paths(seeds, graph.adjacency(edge_keys, forbidden, stop)), "route-paths")
-    ends = found.join(edge_keys.select("key", F.col("to_node").alias("end_node")), "key").join(requests.select("request", F.col("to_node").alias("end_node")), ["request", "end_node"])
-    best = ends.groupBy("request").agg(F.min(F.struct("dist_mm", "key")).alias("b")).select("request", "b.dist_mm", "b.key")
-    # predecessors are followed back for all requests at once, eight keys a round: the table of single steps is doubled thrice
-    steps = found.select("request", F.col("key").alias("at"), F.when(F.col("pred") >= 0, F.array("pred")).otherwise(F.array().cast("array<bigint>")).alias("path"), F.col("pred").alias("next"))
-    for _ in range(3):
-        on = steps.select("request", F.col("at").alias("next"), F.col("path").alias("far"), F.col("next").alias("beyond"))
-        steps = steps.join(on, ["request", "next"], "left").select("request", "at", F.concat(F.coalesce("far", F.array().cast("array<bigint>")), "path").alias("path"), F.coalesce("beyond", "next").alias("next"))
-    steps = graph._cut(steps, "route-steps")
-    walk = best.select("request", "dist_mm", F.array("key").alias("keys"), F.col("key").alias("at"))
-    done = None
-    while True:
-        walk = walk.join(steps, ["request", "at"]).select("request", "dist_mm", F.concat("path", "keys").alias("keys"), F.col("next").alias("at"))
-        walk = graph._cut(walk, "route-walk")
-        ended = walk.where("at < 0").select("request", "dist_mm", "keys")
-        done = ended if done is None else done.unionByName(ended)
-        walk = walk.where("at >= 0")
-        if not walk.limit(1).count():
-            return done
+    ends = requests.select("request", "to_node").join(open_keys.select("key", "to_node"), "to_node").select("request", F.lit("end").alias("target"), "key", F.lit(0).alias("back_mm"))
+    found = search.target_search(seeds, graph.adjacency(edge_keys, forbidden, stop), ends, step_mm=0, tiers=1, ways=True, **far)
+    return found.targets.select("request", "dist_mm", "keys")
+
+
+def plan_place_routes(requests: DataFrame, edges: DataFrame, keys: DataFrame, forbidden: DataFrame, blocked: DataFrame, most: float | None = None, **far) -> DataFrame:
+    """(request, outcome, dist_mm, ms, keys, first_share, last_share): routes between places.
+
+    requests: request, start and stop (struct<lng, lat>); edges: the edges that may be used (edge_id and the places of u and v);
+    keys: their directed keys (key, edge_id, from_node, to_node, len_mm, ms). Both places are snapped to the nearest edge (within
+    `most` metres); the route starts and ends within these edges, on either of their directed keys, with shares of their length
+    and time. A request that can't be snapped, or only to a blocked edge, has the outcome INVALID; one whose search ends without a
+    way NO_ROUTE; the others ROUTE. Blocked edges and banned turns are never used.
+    """
+    ends = requests.select("request", F.explode(F.array(F.struct(F.lit(0).alias("stop"), F.col("start").alias("at")), F.struct(F.lit(1).alias("stop"), F.col("stop").alias("at")))).alias("e"))
+    places = ends.select((2 * F.col("request") + F.col("e.stop")).alias("place"), "e.at.lng", "e.at.lat")
+    snaps = graph._cut(spatial.snapped(places, edges, "place", most), "route-places")
+    stop = blocked.select(F.explode(F.array(2 * F.col("edge_id"), 2 * F.col("edge_id") + 1)).alias("key"))
+    open_keys = keys.join(stop, "key", "left_anti")
+    met = snaps.where("valid").join(open_keys, "edge_id")
+    share = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 1 - F.col("fraction")).otherwise(F.col("fraction"))
+    left = lambda c: (F.col(c) - F.floor(F.col(c) * F.col("share"))).cast("bigint")
+    on = met.select(F.expr("place div 2").alias("request"), (F.col("place") % 2).alias("stop"), "key", share.alias("share"), "len_mm", "ms").select("request", "stop", "key", "share", left("len_mm").alias("mm"), left("ms").alias("ms"))
+    on = graph._cut(on, "route-ends")
+    firsts = on.where("stop = 0").select("request", "key", F.col("mm").alias("dist_mm"), "ms")
+    goals = on.where("stop = 1").select("request", F.lit("end").alias("target"), "key", F.col("mm").alias("back_mm"), F.col("ms").alias("back_ms"))
+    turns = graph.adjacency(keys, forbidden, stop).join(keys.select(F.col("key").alias("next_key"), F.col("ms").alias("next_ms")), "next_key")
+    found = search.target_search(*search.from_places(firsts, turns, goals), step_mm=0, tiers=1, ways=True, **far).targets
+    made = found.select("request", "dist_mm", "ms", F.transform("keys", search.original).alias("keys"))
+    first, last = (on.where(f"stop = {k}").select("request", F.col("key").alias(c), F.col("share").alias(f"{c}_share")) for k, c in ((0, "first"), (1, "last")))
+    made = made.withColumn("first", F.element_at("keys", 1)).withColumn("last", F.element_at("keys", -1)).join(first, ["request", "first"]).join(last, ["request", "last"])
+    usable = on.groupBy("request").agg(F.count_distinct("stop").alias("n")).where("n = 2").select("request", F.lit(True).alias("usable"))
+    both = requests.select("request").join(usable, "request", "left").join(made, "request", "left")
+    outcome = F.when(F.col("usable").isNull(), "INVALID").when(F.col("keys").isNull(), "NO_ROUTE").otherwise("ROUTE")
+    return both.select("request", outcome.alias("outcome"), "dist_mm", "ms", "keys", "first_share", "last_share")
 
 
 def response_violations(responses: DataFrame) -> DataFrame:

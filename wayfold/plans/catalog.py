@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, text
-from wayfold.operators import graph, ordered, spatial
+from wayfold.operators import graph, ordered, search, spatial
 from wayfold.sources.fixtures import Network
 from wayfold.sources.points import ingest_points
 
@@ -202,13 +202,14 @@ def reach_3km(net: Network) -> DataFrame:
 
 
 def seeds(net: Network) -> DataFrame:
-    starts = net.edge_keys.where("from_node in (0, 210, 615)")
+    """First keys of the requests: every node whose number 50 divides."""
+    starts = net.edge_keys.where("from_node % 50 = 0")
     return starts.select(F.col("from_node").alias("request"), "key", F.col("len_mm").alias("dist_mm"))
 
 
 @query
 def sssp_edge_keyed(net: Network) -> DataFrame:
-    return graph.shortest_paths(seeds(net).where("request = 0"), graph.adjacency(net.edge_keys, net.forbidden_turns)).select("key", "dist_mm")
+    return graph.shortest_paths(seeds(net), graph.adjacency(net.edge_keys, net.forbidden_turns)).select("request", "key", "dist_mm")
 
 
 def legal_turns(net: Network) -> DataFrame:
@@ -243,20 +244,30 @@ def release_points(net: Network) -> DataFrame:
     return portals(net).where("road_class <> 'motorway' and not is_link").select("portal_id", "direction")
 
 
+def exits(net: Network) -> DataFrame:
+    """Outward portals as targets: how far before the end of its key each lies."""
+    out = portals(net).where("direction = 'OUT'").join(net.edge_keys.select("key", "len_mm"), "key")
+    return out.select(F.col("portal_id").alias("target"), "key", "fraction", "lng", "lat", (F.col("len_mm") - F.floor(F.col("len_mm") * F.col("fraction"))).alias("back_mm"))
+
+
+def scored(net: Network, rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (request, target) with `score`: the angle between the ways to the target and to the goal."""
+    place = targets.select("target", "lng", "lat").dropDuplicates(["target"])
+    start = net.nodes.select(F.col("node").alias("request"), F.col("lng").alias("slng"), F.col("lat").alias("slat"))
+    goal = geo.bearing(F.col("slng"), F.col("slat"), F.lit(116.35), F.lit(39.95))
+    score = r(geo.bearing_delta(geo.bearing(F.col("slng"), F.col("slat"), F.col("lng"), F.col("lat")), goal), 6)
+    return rows.join(place, "target").join(start, "request").withColumn("score", score)
+
+
 @query
 def multi_target_tier(net: Network) -> DataFrame:
-    targets = portals(net).where("direction = 'OUT'").select(F.col("portal_id").alias("target"), "key", "fraction")
-    return graph.tiered_targets(graph.shortest_paths(seeds(net), legal_turns(net)), targets, net.edge_keys, 5_000_000)
+    found = search.target_search(seeds(net), legal_turns(net), exits(net), guided=True)
+    return found.targets.select("request", "target", "dist_mm", "tier")
 
 
 @query
 def exit_selection(net: Network) -> DataFrame:
-    near = multi_target_tier(net)
-    place = portals(net).select(F.col("portal_id").alias("target"), "lng", "lat").dropDuplicates(["target"])
-    start = net.nodes.select(F.col("node").alias("request"), F.col("lng").alias("slng"), F.col("lat").alias("slat"))
-    goal = geo.bearing(F.col("slng"), F.col("slat"), F.lit(116.35), F.lit(39.95))
-    score = r(geo.bearing_delta(geo.bearing(F.col("slng"), F.col("slat"), F.col("lng"), F.col("lat")), goal), 6)
-    return ordered.best_exit(near.join(place, "target").join(start, "request").withColumn("score", score))
+    return ordered.best_exit(scored(net, multi_target_tier(net), exits(net)))
 
 
 def paths_as_text(found: DataFrame) -> DataFrame:

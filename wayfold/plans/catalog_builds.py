@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, polyline, text
-from wayfold.operators import areas, corridors, graph, ordered, spatial
+from wayfold.operators import areas, corridors, graph, ordered, search, spatial
 from wayfold.plans import build
 from wayfold.plans.catalog import QUERIES as QUERIES
-from wayfold.plans.catalog import RADIUS, blocked, classified, legal_turns, multi_target_tier, portals, query, r, seeds
+from wayfold.plans.catalog import RADIUS, blocked, classified, exits, legal_turns, portals, query, r, scored, seeds
 from wayfold.sources.fixtures import Network
 
 #: One side of the outer ring stands for the border line.
@@ -49,16 +49,32 @@ def timed_paths(net: Network) -> DataFrame:
     return graph.shortest_paths(starts, turns).select("key", "dist_mm", "ms")
 
 
+def place_requests(net: Network) -> DataFrame:
+    """From every point whose number 50 divides to the one numbered 25 higher."""
+    at = lambda name: net.points.select(F.col("point_id").alias(f"{name}_id"), F.struct("lng", "lat").alias(name))
+    a = at("start").where("start_id % 50 = 0")
+    return a.join(at("stop"), F.col("stop_id") == F.col("start_id") + 25).select(F.col("start_id").alias("request"), "start", "stop")
+
+
 @query
 def planned_routes(net: Network) -> DataFrame:
-    """Assembled routes between node pairs: totals, continuity, the line's length and ends, and blocked keys used (none)."""
-    requests = net.spark.createDataFrame([(0, 0, 819), (210, 210, 5), (615, 615, 40)], "request bigint, from_node bigint, to_node bigint")
+    """Assembled routes between places: outcome, totals of the search and of the line's parts, ends, continuity, blocked keys used."""
     stop = blocked(net).select("edge_id")
-    routes = build.plan_routes(requests, net.edge_keys, net.forbidden_turns, stop)
-    made = corridors.assembled(routes, timed_keys(net), net.edges)
-    bad = corridors.uses_blocked(routes, stop).groupBy("request").agg(F.count("*").alias("n"))
-    ends = lambda i, c: r(F.element_at("points", i)[c], 7)
-    return made.join(bad, "request", "left").select("request", "dist_mm", "continuous", (F.size("points") == F.size("trace") + 1).alias("whole"), F.coalesce("n", F.lit(0)).alias("blocked_keys"), ends(1, "lng").alias("start_lng"), ends(1, "lat").alias("start_lat"), ends(-1, "lng").alias("end_lng"), ends(-1, "lat").alias("end_lat"))
+    routes = graph._cut(build.plan_place_routes(place_requests(net), net.edges.where("car_access"), timed_keys(net), net.forbidden_turns, stop), "routes")
+    made = corridors.assembled(routes.where("keys is not null"), timed_keys(net), net.edges)
+    bad = corridors.uses_blocked(routes.where("keys is not null"), stop).groupBy("request").agg(F.count("*").alias("n"))
+    made = made.select("request", "points", "trace", "continuous", F.col("dist_mm").alias("line_mm"), F.col("ms").alias("line_ms"))
+    ends = lambda i, c: r(F.element_at("points", i)[c], 6)
+    met = routes.join(made, "request", "left").join(bad, "request", "left")
+    sound = F.col("continuous") & (F.size("points") == F.size("trace") + 1) & (F.col("line_mm") == F.col("dist_mm")) & (F.col("line_ms") == F.col("ms")) & F.col("n").isNull()
+    return met.select("request", "outcome", "dist_mm", "ms", sound.alias("sound"), ends(1, "lng").alias("start_lng"), ends(1, "lat").alias("start_lat"), ends(-1, "lng").alias("end_lng"), ends(-1, "lat").alias("end_lat"))
+
+
+@query
+def snapped_points(net: Network) -> DataFrame:
+    """Points on the nearest edge that cars may use, within 150 m."""
+    found = spatial.snapped(net.points, net.edges.where("car_access"), "point_id", 150.0)
+    return found.select("point_id", "edge_id", r("fraction", 7).alias("fraction"), r("on_lng", 7).alias("on_lng"), r("on_lat", 7).alias("on_lat"), r("dist_m", 4).alias("dist_m"), "valid")
 
 
 @query
@@ -189,26 +205,29 @@ def turn_costs(net: Network) -> DataFrame:
     return corridors.turn_costs(keys, net.forbidden_turns)
 
 
+def looked_at(net: Network) -> DataFrame:
+    """Turns of keys that aren't blocked, with those marked that a search must reject: 1 banned, 2 onto a blocked edge."""
+    stop = blocked(net).select("edge_id")
+    a = net.edge_keys.join(stop, "edge_id", "left_anti").select("key", F.col("edge_id").alias("from_edge"), F.col("to_node").alias("via_node"))
+    b = net.edge_keys.select(F.col("key").alias("next_key"), F.col("edge_id").alias("to_edge"), F.col("from_node").alias("via_node"), F.col("len_mm").alias("next_mm"))
+    met = a.join(b, "via_node").join(net.forbidden_turns.withColumn("banned", F.lit(True)), ["from_edge", "via_node", "to_edge"], "left").join(stop.select(F.col("edge_id").alias("to_edge"), F.lit(True).alias("blocked")), "to_edge", "left")
+    return met.select("key", "next_key", "next_mm", F.when(F.col("banned"), 1).when(F.col("blocked"), 2).otherwise(0).alias("reject"))
+
+
 @query
 def search_audit(net: Network) -> DataFrame:
-    """Turns looked at, and those rejected as banned or as blocked."""
-    a = net.edge_keys.select("key", F.col("edge_id").alias("from_edge"), F.col("to_node").alias("via_node"))
-    b = net.edge_keys.select(F.col("key").alias("next_key"), F.col("edge_id").alias("to_edge"), F.col("from_node").alias("via_node"))
-    stop = blocked(net).select(F.col("edge_id").alias("to_edge"), F.lit(True).alias("blocked"))
-    met = a.join(b, "via_node").join(net.forbidden_turns.withColumn("banned", F.lit(True)), ["from_edge", "via_node", "to_edge"], "left").join(stop, "to_edge", "left")
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
-    return met.agg(F.count("*").alias("checks"), n(F.col("banned")).alias("banned"), n(F.col("banned").isNull() & F.col("blocked")).alias("blocked"))
+    """Of each search for exits: keys settled, turns looked at, those rejected as banned or as blocked, and how it ended."""
+    return search.target_search(seeds(net), looked_at(net), exits(net)).audit
 
 
 @query
 def tier_choice(net: Network) -> DataFrame:
-    """The best target of the first tier that has one within 60 degrees of the goal, else the best of all."""
-    near = multi_target_tier(net)
-    place = portals(net).select(F.col("portal_id").alias("target"), "lng", "lat").dropDuplicates(["target"])
-    start = net.nodes.select(F.col("node").alias("request"), F.col("lng").alias("slng"), F.col("lat").alias("slat"))
-    goal = geo.bearing(F.col("slng"), F.col("slat"), F.lit(116.35), F.lit(39.95))
-    score = r(geo.bearing_delta(geo.bearing(F.col("slng"), F.col("slat"), F.col("lng"), F.col("lat")), goal), 6)
-    return ordered.tier_choice(near.join(place, "target").join(start, "request").withColumn("score", score), 60.0)
+    """The best target of the first tier that has one within 60 degrees of the goal, else the best of all. A search goes on to the
+    next tier only while it has met no such target."""
+    pairs = seeds(net).select("request").distinct().join(exits(net).select("target").distinct())
+    good = scored(net, pairs, exits(net)).where("score <= 60").select("request", "target")
+    near = search.target_search(seeds(net), legal_turns(net), exits(net), accepted=good, guided=True).targets
+    return ordered.tier_choice(scored(net, near.select("request", "target", "dist_mm", "tier"), exits(net)), 60.0)
 
 
 @query
@@ -338,6 +357,6 @@ def legal_turn_count(net: Network) -> DataFrame:
 def anchored_paths(net: Network) -> DataFrame:
     from wayfold.operators.topology import anchored_ways
 
-    wanted = net.spark.createDataFrame([(0, 1640), (210, 40), (615, 2460)], "request bigint, last_key bigint")
     first = seeds(net).groupBy("request").agg(F.min("key").alias("first_key"))
+    wanted = net.edge_keys.groupBy((F.col("from_node") + 25).alias("request")).agg(F.max("key").alias("last_key"))
     return anchored_ways(first.join(wanted, "request"), graph.adjacency(net.edge_keys, net.forbidden_turns), net.edge_keys)

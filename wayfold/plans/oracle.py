@@ -67,8 +67,8 @@ both_ways AS (SELECT u, v, len_mm FROM edges UNION ALL SELECT v, u, len_mm FROM
 walk(request, node, d) AS (SELECT node, node, 0::BIGINT FROM nodes WHERE node%50=0 OR node=42 UNION SELECT w.request, b.v, w.d+b.len_mm FROM walk w JOIN both_ways b ON b.u=w.node WHERE w.d+b.len_mm<=3000000),
 reach AS (SELECT request, node, min(d) AS dist_mm FROM walk GROUP BY 1,2),
 simple(start, path, d) AS (SELECT node, [node], 0::BIGINT FROM nodes WHERE node%50=0 UNION ALL SELECT s.start, list_append(s.path, b.v), s.d+b.len_mm FROM simple s JOIN both_ways b ON b.u=s.path[-1] WHERE NOT list_contains(s.path, b.v) AND s.d+b.len_mm<=3000000),
-sp(key, dist_mm) USING KEY (key) AS (SELECT key, len_mm FROM ekeys WHERE from_node=0 UNION SELECT a.next_key, min(s.dist_mm+a.next_mm) FROM sp s JOIN adj a ON a.key=s.key LEFT JOIN recurring.sp r ON r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1),
-lsp(request, key, dist_mm) USING KEY (request, key) AS (SELECT from_node, key, len_mm FROM ekeys WHERE from_node IN (0,210,615) UNION SELECT s.request, a.next_key, min(s.dist_mm+a.next_mm) FROM lsp s JOIN ladj a ON a.key=s.key LEFT JOIN recurring.lsp r ON r.request=s.request AND r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1,2),
+sp(request, key, dist_mm) USING KEY (request, key) AS (SELECT from_node, key, len_mm FROM ekeys WHERE from_node%50=0 UNION SELECT s.request, a.next_key, min(s.dist_mm+a.next_mm) FROM sp s JOIN adj a ON a.key=s.key LEFT JOIN recurring.sp r ON r.request=s.request AND r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1,2),
+lsp(request, key, dist_mm) USING KEY (request, key) AS (SELECT from_node, key, len_mm FROM ekeys WHERE from_node%50=0 UNION SELECT s.request, a.next_key, min(s.dist_mm+a.next_mm) FROM lsp s JOIN ladj a ON a.key=s.key LEFT JOIN recurring.lsp r ON r.request=s.request AND r.key=a.next_key WHERE r.key IS NULL OR s.dist_mm+a.next_mm<r.dist_mm GROUP BY 1,2),
 goals AS (SELECT p.request, t.portal_id AS target, min(CAST(p.dist_mm-k.len_mm+floor(k.len_mm*t.fraction) AS BIGINT)) AS dist_mm FROM lsp p JOIN portal t ON t.key=p.key AND t.direction='OUT' JOIN ekeys k ON k.key=p.key GROUP BY 1,2),
 tiers AS (SELECT request, target, dist_mm, CAST(greatest(1, ceil((dist_mm-best)/1000000.0)) AS INTEGER) AS tier FROM (SELECT *, min(dist_mm) OVER (PARTITION BY request) AS best FROM goals) WHERE dist_mm<=best+5000000)
 """
@@ -104,7 +104,7 @@ SQL = {
     "component_touches": "SELECT component, mainlines, outside FROM touch",
     "released_connectors": "SELECT e.edge_id, c.component FROM edges e JOIN comp c ON c.node=e.u JOIN touch t USING (component) WHERE e.is_link AND (t.mainlines>=2 OR (t.mainlines>=1 AND t.outside))",
     "reach_3km": "SELECT request, node, dist_mm FROM reach",
-    "sssp_edge_keyed": "SELECT key, dist_mm FROM sp",
+    "sssp_edge_keyed": "SELECT request, key, dist_mm FROM sp",
     "sssp_blocked": "SELECT request, key, dist_mm FROM lsp",
     "crossings": "SELECT portal_id, edge_id, ring, round(fraction,7)+0.0 AS fraction, round(lng,7) AS lng, round(lat,7) AS lat, direction FROM portal",
     "crossing_dedup": "SELECT edge_id, portal_id FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY fraction, portal_id) AS k FROM portal) WHERE k=1",
