@@ -88,4 +88,5 @@ def sorted_groups(batches, *keys: str):
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+    """df dealt by keys and sorted by them. The number of tasks is stated, so that few rows with much work each aren't put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
