@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import spatial
 
-# Tolerance of areas, of intervals and of fractions, in degrees or shares.
-TOLERANCE_DEGREES, LEAST_INTERVAL, LEAST_FRACTION = 1e-5, 1e-9, 1e-9
+# Tolerance of areas, of intervals and of fractions, and how far an area is shrunk to classify edges, in degrees or shares.
+TOLERANCE_DEGREES, LEAST_INTERVAL, LEAST_FRACTION, SHRUNK_DEGREES = 1e-5, 1e-9, 1e-9, 1e-9
 
 
 def side_intervals(edges: DataFrame, segments: DataFrame) -> DataFrame:
@@ -85,6 +85,53 @@ def released_ok(inner: Column, mainline: Column, is_link: Column, corridor: Colu
     return F.when(inner & mainline, False).when(corridor | mainline | bypass, True).when(is_link, ~inner).otherwise(avoids_interior)
 
 
+def meets_interior(intervals: DataFrame, shrunk: float = SHRUNK_DEGREES) -> DataFrame:
+    """(edge_id): edges with a stretch inside the area, farther from its boundary than `shrunk` degrees."""
+    return intervals.where((F.col("side") == "INSIDE") & (F.col("near_deg") > shrunk)).select("edge_id").distinct()
+
+
+def covered(intervals: DataFrame) -> DataFrame:
+    """(edge_id): edges that lie wholly in the area or on its boundary."""
+    return intervals.groupBy("edge_id").agg(F.bool_and(F.col("side") != "OUTSIDE").alias("c")).where("c").select("edge_id")
+
+
+def classify_edges(edges: DataFrame, inner: DataFrame, second: DataFrame) -> DataFrame:
+    """edges with zones and roles by geometry, class and identity: in_inner, in_second, link, mainline, ring, mismatch, exempt,
+    forbidden, second_main.
+
+    edges: edge_id, places of u and v, road_class, is_link, identity (the edge's way belongs to the ring's relation); inner and
+    second: segments of the two areas. An edge is in the inner area if it meets its interior, else in the second one if that
+    covers it. Motorways that aren't links are mainline. Edges of the relation are the ring if mainline, and a mismatch
+    otherwise; the ring is exempt. Other mainline is forbidden in the inner area, exempt in the second one.
+    """
+    flag = lambda df, name: df.withColumn(name, F.lit(True))
+    line = edges.select("edge_id", "ulng", "ulat", "vlng", "vlat")
+    met = edges.join(flag(meets_interior(side_intervals(line, inner)), "a"), "edge_id", "left").join(flag(covered(side_intervals(line, second)), "b"), "edge_id", "left")
+    motorway = F.col("road_class") == "motorway"
+    zoned = met.withColumns({"in_inner": F.col("a").isNotNull(), "in_second": F.col("a").isNull() & F.col("b").isNotNull(), "link": motorway & F.col("is_link")}).drop("a", "b")
+    main = motorway & ~F.col("is_link")
+    rest = main & ~F.col("identity")
+    roles = {"mainline": main, "ring": main & F.col("identity"), "mismatch": ~main & F.col("identity"), "exempt": (main & F.col("identity")) | (rest & F.col("in_second")), "forbidden": rest & F.col("in_inner"), "second_main": rest & F.col("in_second")}
+    return zoned.withColumns(roles)
+
+
+def classification_counts(classified: DataFrame) -> DataFrame:
+    """One row: edges of the ring's relation, of the ring, its distinct ways and drivable directions, mismatches; mainline of the
+    second area, its distinct ways and drivable directions, and links there; `problem`: the first rule that fails, or null.
+
+    classified: as of classify_edges(), with way_id, forward and reverse (whether cars may drive that way)."""
+    n = lambda c: F.count_if(c).cast("bigint")
+    ways = lambda c: F.count_distinct(F.when(F.col(c), F.col("way_id")))
+    directions = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("forward").cast("int") + F.col("reverse").cast("int"))), F.lit(0)).cast("bigint")
+    counts = classified.agg(
+        n(F.col("identity")).alias("relation_edges"), n(F.col("ring")).alias("ring_edges"), ways("ring").alias("ring_ways"), directions("ring").alias("ring_directions"), n(F.col("mismatch")).alias("mismatches"),
+        n(F.col("second_main")).alias("second_edges"), ways("second_main").alias("second_ways"), directions("second_main").alias("second_directions"), n(F.col("link") & F.col("in_second")).alias("second_links"),
+    )
+    least = lambda *cs: F.least(*map(F.col, cs)) <= 0
+    problem = F.when(least("relation_edges", "ring_edges", "ring_ways", "ring_directions"), "no ring").when(F.col("mismatches") > 0, "relation and class differ").when(least("second_edges", "second_ways", "second_directions"), "no second mainline")
+    return counts.withColumn("problem", problem)
+
+
 def near_line(rows: DataFrame, line: DataFrame, metres: float, key: str) -> DataFrame:
     """rows (key, lng, lat) within `metres` of the line's segments (ax, ay, bx, by), by planar degrees; none if metres <= 0."""
     limit = metres / geo.METRES_PER_DEGREE

@@ -107,25 +107,100 @@ def limited(rows: DataFrame, key: str, most: int) -> DataFrame:
     return counted.where(F.when(F.col("__n") > most, F.raise_error(F.lit(f"over {most} rows")).cast("boolean")).otherwise(F.lit(True))).drop("__n")
 
 
-def locate(points: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+#: Cells of located points start here, off the round values that boundaries like, and each level of cells has so many times the size.
+_ORIGIN, _FACTOR = -0.000123456789, 8
+
+
+def _place(px: Column, py: Column, s: Column) -> tuple[Column, Column, Column]:
+    """(on, square, metres) of a place and a segment (struct ax, ay, bx, by): whether it lies on it, and how far it is from it."""
+    ax, ay, bx, by = s["ax"], s["ay"], s["bx"], s["by"]
+    on = (F.abs((bx - ax) * (py - ay) - (by - ay) * (px - ax)) <= 1e-12) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
+    t = geo.segment_fraction(px, py, ax, ay, bx, by)
+    nx, ny = geo.interpolate(ax, bx, t), geo.interpolate(ay, by, t)
+    return on, (px - nx) * (px - nx) + (py - ny) * (py - ny), geo.haversine(px, py, nx, ny)
+
+
+def _over(px: Column, py: Column, s: Column) -> tuple[Column, Column]:
+    """(whether a level ray at py meets a segment, where); an end on the ray counts as below it."""
+    ax, ay, bx, by = s["ax"], s["ay"], s["bx"], s["by"]
+    return (ay > py) != (by > py), (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0.0)) + ax
+
+
+def polygon_cells(cells: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
+    """cells (cx, cy) with `segments`, all that can be nearest to a place in the cell or meet it, and `odd`, whether a ray to the
+    right from the cell's lower right corner meets the boundary an odd number of times.
+
+    Cells are refined level by level: of a cell's segments those go on to its parts whose distance from the part's middle is not
+    greater than the least by more than the part's girth. A large boundary is so cut down for all cells at once, by joins on the
+    cell above; only the top level meets all segments, dealt by salt. Corners are counted along each line of cells that the
+    boundary crosses.
+    """
+    both = cells.select(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = max(both[1] - both[0], both[3] - both[2]) + 1 if both[0] is not None else 1
+    levels = 1
+    while _FACTOR**levels < span:
+        levels += 1
+    salts = 16
+    seg = F.struct("ax", "ay", "bx", "by")
+    own = graph._cut(segments.select(seg.alias("s")), "polygon-segments")
+    found = own.select(F.pmod(F.hash("s"), F.lit(salts)).alias("px"), F.lit(0).cast("bigint").alias("py"), "s")
+    for level in range(levels - 1, -1, -1):
+        size = _FACTOR**level
+        at = lambda c: F.floor(F.col(c) / size).cast("bigint")  # noqa: E731, B023
+        some = cells.select(at("cx").alias("x"), at("cy").alias("y")).distinct()
+        if level == levels - 1:
+            some = some.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("px"), F.lit(0).cast("bigint").alias("py"))
+        else:
+            some = some.select("x", "y", F.floor(F.col("x") / _FACTOR).cast("bigint").alias("px"), F.floor(F.col("y") / _FACTOR).cast("bigint").alias("py"))
+        mid = lambda c: (F.col(c) + 0.5) * (cell * size) + _ORIGIN  # noqa: E731, B023
+        met = some.join(found, ["px", "py"]).select("x", "y", "s", F.sqrt(_place(mid("x"), mid("y"), F.col("s"))[1]).alias("d"))
+        near = met.withColumn("least", F.min("d").over(Window.partitionBy("x", "y")))
+        found = near.where(F.col("d") <= F.col("least") + cell * size * 1.4143).select(F.col("x").alias("px"), F.col("y").alias("py"), "s")
+        if level:
+            found = graph._cut(found, "polygon-cells")
+    listed = found.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.collect_list("s").alias("segments"))
+    # where the boundary crosses the lower lines of cells
+    low, high = F.least("s.ay", "s.by"), F.greatest("s.ay", "s.by")
+    line = lambda y: F.floor((y - _ORIGIN) / cell).cast("bigint")
+    rows = own.select("s", F.explode(F.sequence(line(low), line(high) + 1)).alias("cy")).join(cells.select("cy").distinct(), "cy", "left_semi")
+    crosses, x = _over(F.lit(0.0), F.col("cy") * cell + _ORIGIN, F.col("s"))
+    marks = rows.where(crosses).select("cy", x.alias("x"), F.lit(None).cast("bigint").alias("cx"))
+    corners = cells.select("cy", ((F.col("cx") + 1) * cell + _ORIGIN).alias("x"), "cx")
+    w = Window.partitionBy("cy").orderBy(F.desc("x"), F.col("cx").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.unionByName(corners).withColumn("n", F.count_if(F.col("cx").isNull()).over(w)).where("cx is not null")
+    return listed.join(counted.select("cx", "cy", (F.col("n") % 2 == 1).alias("odd")), ["cx", "cy"])
+
+
+def locate(points: DataFrame, segments: DataFrame, keys: list[str], cell: float = 0.01) -> DataFrame:
     """points with `location` (BOUNDARY, INSIDE or OUTSIDE), `outside_m` (0 but outside) and `near_deg` (planar degrees from the
     boundary) from ring segments (ax, ay, bx, by).
 
-    Even-odd over all rings, so that holes are outside; the boundary is tested first. The segments of the control area are
-    broadcast; each point meets each and folds them in one aggregate.
+    Even-odd over all rings, so that holes are outside; the boundary is tested first. A point meets its cell's segments only (see
+    polygon_cells()): a path from it goes right to the cell's edge and down to its corner, and crosses the boundary there as often
+    as the cell's segments say, and beyond as the corner's count says. Points are joined with their cell once, and never grouped;
+    a crowded cell is one row on the other side. Without segments nothing is inside, and distances are null.
     """
+    at = lambda c: F.floor((F.col(c) - _ORIGIN) / cell).cast("bigint")
+    rows = points.withColumns({"__cx": at("lng"), "__cy": at("lat")})
+    used = graph._cut(rows.select(F.col("__cx").alias("cx"), F.col("__cy").alias("cy")).where("cx is not null and cy is not null").distinct(), "point-cells")
+    cells = polygon_cells(used, segments, cell).withColumnsRenamed({"cx": "__cx", "cy": "__cy", "segments": "__s", "odd": "__odd"})
     px, py = F.col("lng"), F.col("lat")
-    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
-    cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-    on = (F.abs(cross) <= 1e-12) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
-    over = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
-    t = geo.segment_fraction(px, py, ax, ay, bx, by)
-    nx, ny = geo.interpolate(ax, bx, t), geo.interpolate(ay, by, t)
-    square = (px - nx) * (px - nx) + (py - ny) * (py - ny)
-    met = points.join(F.broadcast(segments.select("ax", "ay", "bx", "by"))).select(*points.columns, on.alias("on"), F.when(by == ay, False).otherwise(over).alias("over"), F.struct(square.alias("d"), geo.haversine(px, py, nx, ny).alias("m")).alias("near"))
-    found = met.groupBy(*keys).agg(*(F.first(c).alias(c) for c in points.columns if c not in keys), F.bool_or("on").alias("on"), F.sum(F.col("over").cast("int")).alias("n"), F.min("near").alias("near"))
-    place = F.when(F.col("on"), "BOUNDARY").when(F.col("n") % 2 == 1, "INSIDE").otherwise("OUTSIDE")
-    return found.withColumn("location", place).withColumn("outside_m", F.when(F.col("location") == "OUTSIDE", F.col("near.m")).otherwise(0.0)).withColumn("near_deg", F.sqrt("near.d")).drop("on", "n", "near")
+    right, low = (F.col("__cx") + 1) * cell + _ORIGIN, F.col("__cy") * cell + _ORIGIN
+
+    def level(s: Column) -> Column:
+        meets, x = _over(px, py, s)
+        return F.coalesce(meets & (px < x) & (x <= right), F.lit(False))
+
+    def upright(s: Column) -> Column:
+        meets = (s["ax"] > right) != (s["bx"] > right)
+        y = (s["by"] - s["ay"]) * (right - s["ax"]) / F.nullif(s["bx"] - s["ax"], F.lit(0.0)) + s["ay"]
+        return F.coalesce(meets & (y > low) & (y <= py), F.lit(False))
+
+    crossed = F.size(F.filter("__s", level)) + F.size(F.filter("__s", upright)) + F.col("__odd").cast("int")
+    near = F.array_min(F.transform("__s", lambda s: F.struct(_place(px, py, s)[1].alias("d"), _place(px, py, s)[2].alias("m"))))
+    place = F.when(F.exists("__s", lambda s: _place(px, py, s)[0]), "BOUNDARY").when(crossed % 2 == 1, "INSIDE").otherwise("OUTSIDE")
+    met = rows.join(cells, ["__cx", "__cy"], "left").withColumns({"location": place, "__near": near})
+    return met.select(*points.columns, "location", F.when(F.col("location") == "OUTSIDE", F.col("__near.m")).otherwise(0.0).alias("outside_m"), F.sqrt("__near.d").alias("near_deg"))
 
 
 def map_facilities(facilities: DataFrame, nodes: DataFrame, metres: float = 3.0, cell: float = 5e-5) -> DataFrame:

@@ -89,6 +89,20 @@ def area_constraints(net: Network) -> DataFrame:
     return areas.controlled_edges(classified(net), flags).join(flags, "edge_id").select("edge_id", "stays_within", "avoids_interior", "controlled_ok")
 
 
+def by_geometry(net: Network) -> DataFrame:
+    return areas.classify_edges(net.tagged_edges, net.ring_segments, net.second_segments)
+
+
+@query
+def geometric_classes(net: Network) -> DataFrame:
+    return by_geometry(net).select("edge_id", "in_inner", "in_second", "link", "mainline", "ring", "mismatch", "exempt", "forbidden", "second_main")
+
+
+@query
+def geometric_audit(net: Network) -> DataFrame:
+    return areas.classification_counts(by_geometry(net))
+
+
 @query
 def released_phase(net: Network) -> DataFrame:
     flags = areas.area_flags(intervals(net))

@@ -14,6 +14,13 @@ sides AS (SELECT edge_id, k, any_value(f) AS f, any_value(g) AS g, CASE WHEN boo
 flags AS (SELECT edge_id, bool_and(side<>'OUTSIDE' OR near_deg<=1e-5) AS stays_within, NOT bool_or(side='INSIDE' AND near_deg>1e-5) AS avoids_interior FROM sides GROUP BY 1),
 trav AS (SELECT key, edge_id, side, CASE WHEN key%2=1 THEN -k ELSE k END AS k, CASE WHEN key%2=1 THEN 1-g ELSE f END AS f FROM sides JOIN ekeys USING (edge_id)),
 dirp AS (SELECT key, edge_id, CASE WHEN before='INSIDE' THEN 'OUT' ELSE 'IN' END AS direction, CASE WHEN prev='BOUNDARY' THEN 'OVERLAP' ELSE 'INTERIOR' END AS kind, f AS fraction FROM (SELECT *, last_value(CASE WHEN side<>'BOUNDARY' THEN side END IGNORE NULLS) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(side) OVER (PARTITION BY key ORDER BY k) AS prev FROM trav) WHERE (before='INSIDE' AND side='OUTSIDE') OR (before='OUTSIDE' AND side='INSIDE')) """
+#: Edges by geometry; the second area is a box, which covers an edge whose ends it covers.
+_CLASSES = (
+    _SIDES
+    + """, gz AS (SELECT e.*, coalesce(s.i, false) AS in_inner, NOT coalesce(s.i, false) AND least(ulng,vlng)>=116.205::DOUBLE AND greatest(ulng,vlng)<=116.375::DOUBLE AND least(ulat,vlat)>=39.695::DOUBLE AND greatest(ulat,vlat)<=40.055::DOUBLE AS in_second, edge_id%39=0 AS identity, road_class='motorway' AND NOT is_link AS mainline, road_class='motorway' AND is_link AS link
+ FROM edges e LEFT JOIN (SELECT edge_id, bool_or(side='INSIDE' AND near_deg>1e-9) AS i FROM sides GROUP BY 1) s USING (edge_id)),
+gcls AS (SELECT *, mainline AND identity AS ring, identity AND NOT mainline AS mismatch, mainline AND (identity OR in_second) AS exempt, mainline AND NOT identity AND in_inner AS forbidden, mainline AND NOT identity AND in_second AS second_main FROM gz) """
+)
 _NEAREST = f", nearest AS (SELECT point_id, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id FROM (SELECT p.point_id, e.edge_id, {seg('p.lng', 'p.lat', 'e.ulng', 'e.ulat', 'e.vlng', 'e.vlat')} AS d FROM pts p, edges e) GROUP BY 1) "
 #: The nearest edge of every point that cars may use.
 _SNAP = f", snapd AS (SELECT p.point_id, p.lng, p.lat, e.edge_id, e.ulng, e.ulat, e.vlng, e.vlat, x.d FROM (SELECT point_id, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id, arg_min(d,(round(d,6),edge_id)) AS d FROM (SELECT p.point_id, e.edge_id, {seg('p.lng', 'p.lat', 'e.ulng', 'e.ulat', 'e.vlng', 'e.vlat')} AS d FROM pts p, edges e WHERE e.car_access) GROUP BY 1) x JOIN pts p USING (point_id) JOIN edges e ON e.edge_id=x.edge_id) "
@@ -73,6 +80,8 @@ _QUERIES = {
     "snapped_points": (_SNAP, "SELECT point_id, edge_id, round(t,7)+0.0 AS fraction, round(ulng+(vlng-ulng)*t,7) AS on_lng, round(ulat+(vlat-ulat)*t,7) AS on_lat, round(d,4) AS dist_m, edge_id IS NOT NULL AS valid FROM pts LEFT JOIN (SELECT point_id, edge_id, d, ulng, ulat, vlng, vlat, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ulng)*(vlng-ulng)+(lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS t FROM snapd WHERE d<=150) USING (point_id)"),
     "restricted_endpoints": (f", snap AS (SELECT node, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id FROM (SELECT n.node, e.edge_id, {seg('n.lng', 'n.lat', 'e.ulng', 'e.ulat', 'e.vlng', 'e.vlat')} AS d FROM nodes n JOIN edges e ON n.lng BETWEEN e.ulng-0.02 AND e.vlng+0.02 AND n.lat BETWEEN e.ulat-0.02 AND e.vlat+0.02) GROUP BY 1) ", f"SELECT s.node, coalesce(h.near,false) AND NOT c.exempt AS restricted FROM snap s JOIN cls c USING (edge_id) LEFT JOIN (SELECT DISTINCT n.node, true AS near FROM nodes n JOIN pts p ON abs(p.lat-n.lat)<0.001 AND {hav('p.lng', 'p.lat', 'n.lng', 'n.lat')}<=50) h USING (node)"),
     "area_constraints": (_SIDES, "SELECT edge_id, stays_within, avoids_interior, NOT mainline AND NOT is_link AND stays_within AS controlled_ok FROM flags JOIN cls USING (edge_id)"),
+    "geometric_classes": (_CLASSES, "SELECT edge_id, in_inner, in_second, link, mainline, ring, mismatch, exempt, forbidden, second_main FROM gcls"),
+    "geometric_audit": (_CLASSES, "SELECT *, CASE WHEN least(relation_edges,ring_edges,ring_ways,ring_directions)<=0 THEN 'no ring' WHEN mismatches>0 THEN 'relation and class differ' WHEN least(second_edges,second_ways,second_directions)<=0 THEN 'no second mainline' END AS problem FROM (SELECT count(*) FILTER (identity) AS relation_edges, count(*) FILTER (ring) AS ring_edges, count(DISTINCT CASE WHEN ring THEN edge_id//4 END) AS ring_ways, CAST(coalesce(sum(CASE WHEN ring AND car_access THEN CASE WHEN edge_id%5<>0 THEN 2 ELSE 1 END ELSE 0 END),0) AS BIGINT) AS ring_directions, count(*) FILTER (mismatch) AS mismatches, count(*) FILTER (second_main) AS second_edges, count(DISTINCT CASE WHEN second_main THEN edge_id//4 END) AS second_ways, CAST(coalesce(sum(CASE WHEN second_main AND car_access THEN CASE WHEN edge_id%5<>0 THEN 2 ELSE 1 END ELSE 0 END),0) AS BIGINT) AS second_directions, count(*) FILTER (link AND in_second) AS second_links FROM gcls)"),
     "released_phase": (_SIDES, "SELECT edge_id, CASE WHEN zone='INNER' AND mainline THEN false WHEN edge_id%11=0 OR mainline THEN true WHEN is_link THEN zone<>'INNER' ELSE avoids_interior END AS released_ok FROM flags JOIN cls USING (edge_id)"),
     "edge_side_intervals": (_SIDES, 'SELECT edge_id, CAST(k AS INTEGER) AS k, round(f,7)+0.0 AS start, round(g,7) AS stop, side FROM sides'),
     "directed_portals": (_SIDES, "SELECT key, direction, kind, round(fraction,7)+0.0 AS fraction FROM dirp"),

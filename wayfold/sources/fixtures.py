@@ -15,6 +15,8 @@ RINGS = (
     ((116.045, 39.645), (116.245, 39.645), (116.295, 39.795), (116.195, 39.945), (116.045, 39.895), (116.045, 39.645)),
     ((116.125, 39.725), (116.165, 39.725), (116.165, 39.775), (116.125, 39.775), (116.125, 39.725)),
 )
+#: The second area, a box.
+SECOND = ((116.205, 39.695), (116.375, 39.695), (116.375, 40.055), (116.205, 40.055), (116.205, 39.695))
 
 
 @dataclass
@@ -81,6 +83,17 @@ class Network:
         rows = [(r, i, *a, *b) for r, ring in enumerate(RINGS) for i, (a, b) in enumerate(zip(ring, ring[1:], strict=False))]
         return self.spark.createDataFrame(rows, "ring int, seq int, ax double, ay double, bx double, by double")
 
+    @cached_property
+    def second_segments(self) -> DataFrame:
+        rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(SECOND, SECOND[1:], strict=False))]
+        return self.spark.createDataFrame(rows, "seq int, ax double, ay double, bx double, by double")
+
+    @cached_property
+    def tagged_edges(self) -> DataFrame:
+        """Edges with way_id, identity (of the ring's relation), forward and reverse."""
+        e = F.col("edge_id")
+        return self.edges.withColumns({"way_id": F.expr("edge_id div 4"), "identity": e % 39 == 0, "forward": F.col("car_access"), "reverse": F.col("car_access") & (e % 5 != 0)})
+
     @cached_property
     def traces(self) -> DataFrame:
         """Routes that walk the grid: one for each customer, 30 steps by turns east and north."""
