@@ -111,13 +111,18 @@ def limited(rows: DataFrame, key: str, most: int) -> DataFrame:
 _ORIGIN, _FACTOR = -0.000123456789, 8
 
 
-def _place(px: Column, py: Column, s: Column) -> tuple[Column, Column, Column]:
-    """(on, square, metres) of a place and a segment (struct ax, ay, bx, by): whether it lies on it, and how far it is from it."""
+def _on(px: Column, py: Column, s: Column) -> Column:
+    """Whether a place lies on a segment (struct ax, ay, bx, by)."""
     ax, ay, bx, by = s["ax"], s["ay"], s["bx"], s["by"]
-    on = (F.abs((bx - ax) * (py - ay) - (by - ay) * (px - ax)) <= 1e-12) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
-    t = geo.segment_fraction(px, py, ax, ay, bx, by)
-    nx, ny = geo.interpolate(ax, bx, t), geo.interpolate(ay, by, t)
-    return on, (px - nx) * (px - nx) + (py - ny) * (py - ny), geo.haversine(px, py, nx, ny)
+    return (F.abs((bx - ax) * (py - ay) - (by - ay) * (px - ax)) <= 1e-12) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def _nearest(px: Column, py: Column, segments: Column) -> Column:
+    """Of each of an array of segments the place (x, y) nearest to a given one, with the squared degrees to it (d)."""
+    t = lambda s: geo.segment_fraction(px, py, s["ax"], s["ay"], s["bx"], s["by"])
+    spot = lambda s, t: F.struct(geo.interpolate(s["ax"], s["bx"], t).alias("x"), geo.interpolate(s["ay"], s["by"], t).alias("y"))
+    spots = F.zip_with(segments, F.transform(segments, t), spot)
+    return F.transform(spots, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"), ((px - a["x"]) * (px - a["x"]) + (py - a["y"]) * (py - a["y"])).alias("d")))
 
 
 def _over(px: Column, py: Column, s: Column) -> tuple[Column, Column]:
@@ -142,7 +147,7 @@ def polygon_cells(cells: DataFrame, segments: DataFrame, cell: float) -> DataFra
         levels += 1
     salts = 16
     seg = F.struct("ax", "ay", "bx", "by")
-    own = graph._cut(segments.select(seg.alias("s")), "polygon-segments")
+    own = segments.select(seg.alias("s"))
     found = own.select(F.pmod(F.hash("s"), F.lit(salts)).alias("px"), F.lit(0).cast("bigint").alias("py"), "s")
     for level in range(levels - 1, -1, -1):
         size = _FACTOR**level
@@ -153,11 +158,9 @@ def polygon_cells(cells: DataFrame, segments: DataFrame, cell: float) -> DataFra
         else:
             some = some.select("x", "y", F.floor(F.col("x") / _FACTOR).cast("bigint").alias("px"), F.floor(F.col("y") / _FACTOR).cast("bigint").alias("py"))
         mid = lambda c: (F.col(c) + 0.5) * (cell * size) + _ORIGIN  # noqa: E731, B023
-        met = some.join(found, ["px", "py"]).select("x", "y", "s", F.sqrt(_place(mid("x"), mid("y"), F.col("s"))[1]).alias("d"))
+        met = some.join(found, ["px", "py"]).select("x", "y", "s", F.sqrt(F.get(_nearest(mid("x"), mid("y"), F.array("s")), F.lit(0))["d"]).alias("d"))
         near = met.withColumn("least", F.min("d").over(Window.partitionBy("x", "y")))
         found = near.where(F.col("d") <= F.col("least") + cell * size * 1.4143).select(F.col("x").alias("px"), F.col("y").alias("py"), "s")
-        if level:
-            found = graph._cut(found, "polygon-cells")
     listed = found.groupBy(F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.collect_list("s").alias("segments"))
     # where the boundary crosses the lower lines of cells
     low, high = F.least("s.ay", "s.by"), F.greatest("s.ay", "s.by")
@@ -197,10 +200,11 @@ def locate(points: DataFrame, segments: DataFrame, keys: list[str], cell: float
         return F.coalesce(meets & (y > low) & (y <= py), F.lit(False))
 
     crossed = F.size(F.filter("__s", level)) + F.size(F.filter("__s", upright)) + F.col("__odd").cast("int")
-    near = F.array_min(F.transform("__s", lambda s: F.struct(_place(px, py, s)[1].alias("d"), _place(px, py, s)[2].alias("m"))))
-    place = F.when(F.exists("__s", lambda s: _place(px, py, s)[0]), "BOUNDARY").when(crossed % 2 == 1, "INSIDE").otherwise("OUTSIDE")
-    met = rows.join(cells, ["__cx", "__cy"], "left").withColumns({"location": place, "__near": near})
-    return met.select(*points.columns, "location", F.when(F.col("location") == "OUTSIDE", F.col("__near.m")).otherwise(0.0).alias("outside_m"), F.sqrt("__near.d").alias("near_deg"))
+    place = F.when(F.exists("__s", lambda s: _on(px, py, s)), "BOUNDARY").when(crossed % 2 == 1, "INSIDE").otherwise("OUTSIDE")
+    met = rows.join(cells, ["__cx", "__cy"], "left").withColumns({"location": place, "__at": _nearest(px, py, F.col("__s"))})
+    met = met.withColumn("__d", F.array_min(F.transform("__at", lambda a: a["d"])))
+    metres = F.array_min(F.transform(F.filter("__at", lambda a: a["d"] == F.col("__d")), lambda a: geo.haversine(px, py, a["x"], a["y"])))
+    return met.select(*points.columns, "location", F.when(F.col("location") == "OUTSIDE", metres).otherwise(0.0).alias("outside_m"), F.sqrt("__d").alias("near_deg"))
 
 
 def map_facilities(facilities: DataFrame, nodes: DataFrame, metres: float = 3.0, cell: float = 5e-5) -> DataFrame:
