@@ -252,3 +252,16 @@ def test_verbatim_leaks_of_a_benchmark_much_larger_than_the_rank(spark):
     got = {r["doc_id"]: r for r in contaminated(made, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert [k for k in range(300) if 7 * k not in got[k]["bench_items"] or got[k]["bench_share"] < 1] == []
     assert not any(r["bench_items"] for k, r in got.items() if k >= 1000)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 20, 30, 60, 100])
+@pytest.mark.parametrize("size", [9, 25])
+def test_verbatim_passages_in_small_tables(spark, n, size):
+    """Documents of one passage each that hold an item whole between five other words: all are found, whatever the table's size."""
+    rnd = random.Random(n * 100 + size)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9)))
+    items = [" ".join(word() for _ in range(size)) for _ in range(n)]
+    docs = [(i, " ".join([*(word() for _ in range(2)), x, *(word() for _ in range(3))])) for i, x in enumerate(items)]
+    docs += [(1000 + i, " ".join(word() for _ in range(size + 5))) for i in range(5)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r["doc_id"]: r["bench_items"] for r in found.collect()} == {i: [i] if i < 1000 else [] for i, _ in docs}
