@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo, text
 from wayfold.operators import graph, spatial
 from wayfold.plans import build
-from wayfold.plans.snapshot import Gate, SnapshotStore
+from wayfold.plans.snapshot import Gate, Lease, LeaseLost, SnapshotStore, version_of
 from wayfold.sources.points import ingest_points, read_boundary, read_point_records
 from wayfold.streaming import updates
 
@@ -117,6 +118,72 @@ def test_snapshots(spark, tmp_path):
     assert len(store.prune(2)) == 2 and store.read("t").count() == 3
 
 
+def test_writers_hold_a_lease_that_runs_out(spark, tmp_path):
+    store, rows = SnapshotStore(spark, f"file://{tmp_path}/snapshots"), spark.range(3)
+    metrics = {"source": 10, "points": 10, "matched": 9, "blocked": 5}
+    (tmp_path / "source.json").write_text("{}")
+    first, _ = store.publish({"points": "1"}, {"t": rows}, metrics, source=str(tmp_path / "source.json"))
+    assert len(list((tmp_path / "snapshots/_backup").glob("[0-9a-f]*"))) == 1
+    # a writer that dies keeps others out until its time is over, and leaves the old snapshot in service
+    dead = store.acquire("dead", seconds=100, now=1000.0)
+    assert dead.fence == 2 and store.acquire("other", now=1050.0) is None
+    assert store.acquire("second", now=2000.0, seconds=10**12).fence == 3
+    assert store.publish({"points": "2"}, {"t": rows}, metrics) == (version_of({"points": "2"}), "BUSY")
+    # the one that was held up and comes back changes nothing
+    with pytest.raises(LeaseLost):
+        store.publish({"points": "2"}, {"t": rows}, metrics, lease=dead)
+    assert store.current() == first and store.read("t").count() == 3
+    store.release(Lease(3, "second", 0))
+    assert store.publish({"points": "2"}, {"t": rows}, metrics)[1] == "PUBLISHED"
+    # a writer that died before it wrote its time
+    (tmp_path / "snapshots/_leases/9").write_text("")
+    assert store.acquire(seconds=60) is None
+    assert store.acquire(seconds=60, now=time.time() + 100).fence == 10
+    assert store.acquire(now=time.time() + 100) is None
+
+
+def test_batches_run_once_and_failed_ones_are_kept(spark, tmp_path):
+    store, seen = SnapshotStore(spark, f"file://{tmp_path}/snapshots"), []
+    metrics = {"source": 1, "points": 1, "matched": 1, "blocked": 1}
+
+    def work(batch, number):
+        seen.append(number)
+        store.publish({"points": str(number)}, {"t": batch}, metrics)
+        if number == 7:
+            raise ValueError("after the publication")
+
+    run = store.by_batch("points", work)
+    for number in (0, 0, 1, 0, 1):
+        run(spark.range(number + 1), number)
+    assert seen == [0, 1] and store.read("t").count() == 2
+    for _ in range(2):  # a crash between publication and note: the batch comes again and finds its version in service
+        with pytest.raises(ValueError, match="after"):
+            run(spark.range(5), 7)
+    assert seen == [0, 1, 7, 7] and store.read("t").count() == 5 and len(store._leases()) <= 2
+    assert "after the publication" in store._get("_quarantine/points-7.json")
+
+
+def test_drawings_wait_750_ms_since_the_last(spark, tmp_path):
+    """Two updates over a slot's edge draw once; a late sequence is dropped; a last update is drawn though none follows."""
+    ms = [(1, 1749, 1), (1, 1750, 2), (1, 1800, 4), (1, 1900, 3), (2, 1000, 1), (2, 1750, 2), (2, 5000, 3), (3, 1010, 1), (None, 1000, 1), (3, None, 2)]
+    want = {(1, 1749, 1), (1, 2499, 4), (2, 1000, 1), (2, 1750, 2), (2, 5000, 3), (3, 1010, 1)}
+    df = spark.createDataFrame(ms, "user_id long, ms long, sequence long").select("user_id", F.timestamp_millis("ms").alias("ts"), "sequence")
+    assert {tuple(r) for r in updates.drawings(df).collect()} == want
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder, drawn = tmp_path / "in", []
+        for k, rows in enumerate((df, spark.createDataFrame([(9, 120_000, 1)], "user_id long, ms long, sequence long").select("user_id", F.timestamp_millis("ms").alias("ts"), "sequence"))):
+            rows.coalesce(1).write.mode("append").parquet(str(folder))
+            stream = updates.drawn_stream(spark.readStream.schema(df.schema).parquet(str(folder)))
+            q = stream.writeStream.foreachBatch(lambda b, i: drawn.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        assert {x for x in drawn if x[0] != 9} == want and len(drawn) == len(set(drawn))
+        states = spark.read.format("statestore").option("stateVarName", "pen").load(str(tmp_path / "ck"))
+        assert {r["key"]["user_id"] for r in states.select("key").collect()} == {9}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00.000", 10.0, 1), (1, "2024-01-01 00:00:00.100", 500.0, 2), (1, "2024-01-01 00:00:00.800", 20.0, 3), (2, "2024-01-01 00:00:00.000", None, 7)]
     df = spark.createDataFrame(rows, "user_id long, ts string, accuracy double, sequence long").withColumn("ts", F.col("ts").cast("timestamp"))

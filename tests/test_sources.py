@@ -94,9 +94,10 @@ def test_service(spark, tmp_path):
     assert own.request_refresh(lambda: 1) is None
     gate.set()
     assert first.result(10) and own.request_refresh(lambda: 2).result(10) == 2
-    assert store.lock() and not store.lock()
-    store.unlock()
-    assert store.lock()
+    lease = store.acquire()
+    assert store.acquire() is None
+    store.release(lease)
+    assert store.acquire().fence == lease.fence + 1
     (tmp_path / "p.json").write_text("[]")
     assert store.backup(str(tmp_path / "p.json")) == store.backup(str(tmp_path / "p.json")) == hashlib.sha256(b"[]").hexdigest()
 

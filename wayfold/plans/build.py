@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import graph, search, spatial
-from wayfold.plans.snapshot import Gate, SnapshotStore
+from wayfold.plans.snapshot import Gate, Lease, SnapshotStore
 from wayfold.sources.points import ingest_points
 
 
@@ -17,14 +17,24 @@ def blocked_edges(points: DataFrame, edges: DataFrame, metres: float) -> tuple[D
     return found.where("not exempt").groupBy("edge_id").agg(F.count("*").alias("n_points")), found
 
 
-def refresh(store: SnapshotStore, records: DataFrame, source_version: str, edges: DataFrame, network_version: str, metres: float = 50.0, gate: Gate | None = None) -> tuple[str, str]:
-    """Ingests records, joins them with drivable edges (edge_id, ulng, ulat, vlng, vlat, exempt), gates and publishes."""
+def refresh(store: SnapshotStore, records: DataFrame, source_version: str, edges: DataFrame, network_version: str, metres: float = 50.0, gate: Gate | None = None, source: str | None = None) -> tuple[str, str]:
+    """Ingests records, joins them with drivable edges (edge_id, ulng, ulat, vlng, vlat, exempt), gates and publishes.
+
+    One transaction: the store's lease is held throughout, so nothing is built where another refresh runs (BUSY); source, the
+    file that the records are from, is backed up before the new version goes into service."""
+    with store.leased() as lease:
+        if lease is None:
+            return "", "BUSY"
+        return _refresh(store, records, source_version, edges, network_version, metres, gate, source, lease)
+
+
+def _refresh(store: SnapshotStore, records: DataFrame, source_version: str, edges: DataFrame, network_version: str, metres: float, gate: Gate | None, source: str | None, lease: Lease) -> tuple[str, str]:
     got = ingest_points(records)
     points = got.valid.select("id", F.col("wgs84.lng").alias("lng"), F.col("wgs84.lat").alias("lat"), "district", "address", "kind", "direction")
     blocked, pairs = blocked_edges(points, edges, metres)
     counts = got.metrics.first()
     metrics = {"source": counts["source_count"], "points": counts["valid_count"], "matched": pairs.agg(F.count_distinct("point_id")).first()[0], "blocked": blocked.count()}
-    return store.publish({"source": source_version, "network": network_version, "metres": str(metres)}, {"points": points, "blocked": blocked, "issues": got.issues}, metrics, gate)
+    return store.publish({"source": source_version, "network": network_version, "metres": str(metres)}, {"points": points, "blocked": blocked, "issues": got.issues}, metrics, gate, source, lease)
 
 
 def plan_routes(requests: DataFrame, edge_keys: DataFrame, forbidden: DataFrame, blocked: DataFrame, **far) -> DataFrame:

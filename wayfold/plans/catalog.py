@@ -389,6 +389,14 @@ def location_throttle(net: Network) -> DataFrame:
     return drawn.groupBy("user_id").agg(F.count("*").alias("drawn"), F.max("first.event_id").alias("last_drawn")).join(usable, "user_id")
 
 
+@query
+def location_drawings(net: Network) -> DataFrame:
+    """What is drawn of each user's updates, and when: at once 750 ms after the last drawing, else as soon as these have passed."""
+    from wayfold.streaming import updates
+
+    return updates.drawings(net.table("events").select("user_id", "ts", F.col("event_id").alias("sequence")))
+
+
 @query
 def outer_walk(net: Network) -> DataFrame:
     """From each outward portal along its edge, by 20 m up to 500 m: the first place 250 m clear of points, else the clearest."""

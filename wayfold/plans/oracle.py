@@ -128,10 +128,16 @@ SQL = {
     "blocked_fingerprint": "SELECT sha256(coalesce(string_agg(h, ',' ORDER BY c),'')) AS fingerprint FROM (SELECT edge_id//4096 AS c, sha256(string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id)) AS h FROM blk GROUP BY 1)",
     "latency_nearest_rank": "SELECT event_type, min(value) FILTER (k>=ceil(n*0.5)) AS p50, min(value) FILTER (k>=ceil(n*0.95)) AS p95, max(value) AS max FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY 1",
     "location_throttle": "SELECT user_id, drawn, last_drawn, usable FROM (SELECT user_id, count(*) AS drawn, max(event_id) AS last_drawn FROM (SELECT user_id, arg_min(event_id,(ts,event_id)) AS event_id FROM (SELECT *, epoch_ms(ts)//750 AS slot FROM events) GROUP BY user_id, slot) GROUP BY 1) JOIN (SELECT user_id, count(*) FILTER (value<=150) AS usable FROM events GROUP BY 1) USING (user_id)",
+    "location_drawings": "SELECT user_id, CAST(ms AS BIGINT) AS drawn_ms, sequence FROM drawn",
     "outer_walk": f"SELECT portal_id, k, clearance, CAST(floor(least(200.0,greatest(0.0,clearance-25))) AS INTEGER) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY portal_id ORDER BY clearance DESC, k) AS z FROM (SELECT portal_id, k, coalesce(round(min(CASE WHEN m<=250 THEN m END),4),250.0::DOUBLE) AS clearance FROM (SELECT w.portal_id, w.k, CASE WHEN p.point_id IS NULL THEN NULL ELSE {hav('p.lng', 'p.lat', 'w.x', 'w.y')} END AS m FROM (SELECT portal_id, k, lng+(vlng-lng)*least(1.0::DOUBLE,k*20/greatest(length,0.001::DOUBLE)) AS x, lat+(vlat-lat)*least(1.0::DOUBLE,k*20/greatest(length,0.001::DOUBLE)) AS y FROM (SELECT *, unnest(range(1,1+CAST(greatest(1,ceil(least(length,500.0::DOUBLE)/20)) AS INTEGER))) AS k FROM (SELECT portal_id, lng, lat, vlng, vlat, {hav('lng', 'lat', 'vlng', 'vlat')} AS length FROM portal JOIN (SELECT edge_id, vlng, vlat FROM edges) USING (edge_id) WHERE direction='OUT'))) w LEFT JOIN pts p ON abs(p.lat-w.y)<0.004 AND abs(p.lng-w.x)<0.004) GROUP BY 1,2)) WHERE z=1",
 }
 
 _MORE = {
+    # updates that are the latest of their user by sequence when they come; from each drawing the next: the first update after it, at
+    # once or when 750 ms have passed, and then the latest of those that came meanwhile
+    "location_drawings": """, ups AS (SELECT user_id, ms, sequence, row_number() OVER (PARTITION BY user_id ORDER BY ms, sequence) AS n FROM (SELECT user_id, epoch_us(ts)//1000 AS ms, event_id AS sequence, max(event_id) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)//1000, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL) WHERE before IS NULL OR sequence>before),
+drawn(user_id, ms, n, sequence) AS (SELECT user_id, ms, n, sequence FROM ups WHERE n=1 UNION ALL SELECT d.user_id, greatest(u.ms, d.ms+750), k.n, k.sequence FROM drawn d JOIN ups u ON u.user_id=d.user_id AND u.n=d.n+1
+  CROSS JOIN LATERAL (SELECT max(x.n) AS n, max(x.sequence) AS sequence FROM ups x WHERE x.user_id=d.user_id AND x.n>d.n AND (x.n=u.n OR x.ms<greatest(u.ms, d.ms+750))) k) """,
     "simple_paths_whole": ", whole(start, path, d) AS (SELECT node, [node], 0::BIGINT FROM nodes UNION ALL SELECT w.start, list_append(w.path, b.v), w.d+b.len_mm FROM whole w JOIN both_ways b ON b.u=w.path[-1] WHERE NOT list_contains(w.path, b.v) AND w.d+b.len_mm<=3000000) ",
     "illegal_access_turns": ", inc AS (SELECT u AS node, edge_id, mainline, is_link FROM cls WHERE car_access UNION ALL SELECT v, edge_id, mainline, is_link FROM cls WHERE car_access) ",
     "crs_inverse": f", inv(point_id, k, lng, lat, x, y) AS (SELECT point_id, 0, lng, lat, lng, lat FROM pts UNION ALL SELECT point_id, k+1, lng, lat, x-(x+({_ix})-lng), y-(y+({_iy})-lat) FROM inv WHERE k<12) ",
