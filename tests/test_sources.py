@@ -163,4 +163,34 @@ def test_text_functions(spark):
     assert one(text.described(F.array(*map(F.lit, ("North", " North Gate ", "Gate", "Road 5"))))) == "North GateRoad 5"
     assert one(text.version_text(F.lit("2024-03-04 05:06:07"))) == "03/04 05:06" and one(text.version_text(F.lit("x"))) == "x"
     at = lambda x, y: F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat"))
-    assert one(text.handover_uri(F.lit(True), at(1.5, 2.5), at(3.0, 4.0))).endswith("?from=1.5%2C2.5%2Cinner+handover&to=3.0%2C4.0%2Couter+end&mode=car&policy=0&callnative=1")
+    assert one(text.handover_uri(F.lit(True), at(1.5, 2.5), at(3.0, 4.0), "https://uri.example/navigation")).endswith("?from=1.5%2C2.5%2Cinner+handover&to=3.0%2C4.0%2Couter+end&mode=car&policy=0&callnative=1")
+
+
+def test_boundary_files_must_fit_their_network(spark, tmp_path):
+    from wayfold.sources.points import ROLES, boundary_problems, read_boundary
+
+    good = "a" * 64
+    shape = lambda role: {"type": "Feature", "properties": {"role": role}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}
+    whole = {"type": "FeatureCollection", "coordinateSystem": "WGS84", "sourcePbfSha256": good.upper(), "approvedForProduction": True, "schemaVersion": 4, "features": [shape(r) for r in ROLES]}
+    cases = [({}, []), ({"coordinateSystem": "GCJ02"}, ["coordinate system is not WGS84"]), ({"sourcePbfSha256": "b" * 64}, ["made from another source"]), ({"approvedForProduction": None}, ["not approved"]),
+             ({"features": whole["features"][:3]}, ["no provincial_border"]), ({"schemaVersion": None, "features": [shape("inside_boundary")]}, []), ({"sourcePbfSha256": "x"}, ["no hash of the source", "made from another source"])]
+    for k, (change, problems) in enumerate(cases):
+        path = str(tmp_path / f"{k}.json")
+        (tmp_path / f"{k}.json").write_text(json.dumps(whole | change))
+        assert [r["problem"] for r in boundary_problems(spark, path, good).collect()] == problems
+        if problems:
+            with pytest.raises(ValueError, match=problems[0]):
+                read_boundary(spark, path, good)
+        else:
+            assert read_boundary(spark, path, good).count() > 0
+    assert boundary_problems(spark, str(tmp_path / "3.json"), good, approved=False).count() == 0
+
+
+def test_an_unmatched_hash_stops_the_job(spark):
+    from wayfold.sources import landing
+
+    rows = lambda *v: spark.createDataFrame([(f"p{i}", x) for i, x in enumerate(v)], "path string, verdict string")
+    assert landing.only_verified(rows("OK", "OK")).count() == 2
+    for bad in ("MISMATCH", "MISSING", "MALFORMED"):
+        with pytest.raises(Exception, match=f"p1: {bad}"):
+            landing.only_verified(rows("OK", bad)).collect()

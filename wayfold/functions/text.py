@@ -58,6 +58,17 @@ def fingerprint(ids: DataFrame, column: str, chunk: int = 4096) -> DataFrame:
     return chunks.agg(F.sha2(ordered, 256).alias("fingerprint"))
 
 
+def canonical_fingerprint(ids: DataFrame, column: str, label: str, most: int = 10_000_000) -> DataFrame:
+    """One row, `fingerprint`: SHA-256 of the canonical text of a set of ids, ``label=1,2,3,|`` in ascending order.
+
+    The text stands whole in one row, as its definition asks; over `most` ids are an error, and fingerprint() is the form for any
+    number."""
+    own = ids.select(F.col(column).cast("bigint").alias("id")).distinct()
+    listed = own.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"over {most} ids")).cast("array<bigint>")).otherwise(F.array_sort(F.collect_list("id"))).alias("ids"))
+    said = F.array_join(F.transform("ids", lambda x: F.concat(x.cast("string"), F.lit(","))), "")
+    return listed.select(F.sha2(F.concat(F.lit(f"{label}="), said, F.lit("|")), 256).alias("fingerprint"))
+
+
 def _plain(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < float("inf"))
 
@@ -128,13 +139,13 @@ def file_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def handover_uri(outbound: Column, handover: Column, end: Column, names: tuple[str, str, str] = ("inner handover", "outer start", "outer end"), base: str = "https://uri.example/navigation") -> Column:
-    """A navigation link between the handover and a route's outer end, struct<lng, lat> each: from the handover if outbound."""
+def handover_uri(outbound: Column, handover: Column, end: Column, base: str, names: tuple[str, str, str] = ("inner handover", "outer start", "outer end")) -> Column:
+    """A link of the navigation service at `base` between the handover and a route's outer end, struct<lng, lat> each: from the handover if outbound."""
     at = lambda p, name: F.concat(p["lng"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit(","), name)
     inner, start, stop = map(F.lit, names)
     first, last = F.when(outbound, at(handover, inner)).otherwise(at(end, start)), F.when(outbound, at(end, stop)).otherwise(at(handover, inner))
     return F.concat(F.lit(base + "?from="), F.url_encode(first), F.lit("&to="), F.url_encode(last), F.lit("&mode=car&policy=0&callnative=1"))
 
 
-def navigation_uri(lng: Column, lat: Column, name: Column, base: str = "https://uri.example/navigation") -> Column:
+def navigation_uri(lng: Column, lat: Column, name: Column, base: str) -> Column:
     return F.concat(F.lit(base + "?to="), F.format_string("%.6f,%.6f", lng, lat), F.lit(","), F.url_encode(name))

@@ -44,6 +44,21 @@ def subsequence_matches(runs: DataFrame, corridors: DataFrame) -> DataFrame:
     return met.join(size, "corridor_id").where("n = size").select("route_id", "corridor_id", "first_run")
 
 
+def adjacent_matches(matches: DataFrame, runs: DataFrame, corridors: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """matches (route_id, corridor_id, first_run) whose runs before and after the corridor have the wanted keys.
+
+    neighbours: corridor_id, before_key, after_key; a null key asks for nothing on that side. A match at a route's end has no run
+    there, and so not the wanted one."""
+    size = corridors.groupBy("corridor_id").agg(F.count("*").alias("size"))
+    at = runs.select("route_id", "run", "edge_key")
+    met = matches.join(size, "corridor_id").join(neighbours, "corridor_id")
+    first = at.select("route_id", (F.col("run") + 1).alias("first_run"), F.col("edge_key").alias("before"))
+    last = at.select("route_id", F.col("run").alias("next_run"), F.col("edge_key").alias("after"))
+    met = met.join(first, ["route_id", "first_run"], "left").withColumn("next_run", F.col("first_run") + F.col("size")).join(last, ["route_id", "next_run"], "left")
+    same = lambda wanted, found: F.col(wanted).isNull() | F.coalesce(F.col(wanted) == F.col(found), F.lit(False))
+    return met.where(same("before_key", "before") & same("after_key", "after")).select("route_id", "corridor_id", "first_run")
+
+
 def running_sums(rows: DataFrame, weight: str, order: str, group: str | None = None) -> DataFrame:
     """rows (order, unique within its group) with `upto`, the sum of `weight` up to and with each, and `total`.
 

@@ -99,14 +99,21 @@ def ring_areas(rings: DataFrame) -> DataFrame:
     return step.groupBy("ring").agg((F.abs(F.sum(F.col("lng") * F.col("ny") - F.col("nx") * F.col("lat"))) / 2).alias("area"), F.count("*").alias("points"))
 
 
-def boundary_json(roles: DataFrame, source_hash: str) -> DataFrame:
+def boundary_json(roles: DataFrame, source_hash: str, approved: bool = False, required: tuple[str, ...] = ()) -> DataFrame:
     """One row, `value`: a GeoJSON FeatureCollection of polygons by role from rows (role, ring, seq, lng, lat); write it with
-    df.write.text()."""
+    df.write.text().
+
+    The file names its source by hash and whether it is approved, and each feature the hash of its own coordinates. A role of
+    `required` that has no ring is an error. A boundary file is one value, as its readers want it; a role's rings must fit a task."""
     rings = roles.groupBy("role", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat"))), lambda p: F.array(p["lng"], p["lat"])).alias("points"))
     shapes = rings.groupBy("role").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda r: r["points"]).alias("rings"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("role").alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"))
+    properties = F.struct("role", F.sha2(F.to_json("rings"), 256).alias("sha256")) if required else F.struct("role")
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"))
     all_of = shapes.agg(F.transform(F.array_sort(F.collect_list(F.struct("role", feature.alias("f")))), lambda x: x["f"]).alias("features"))
-    return all_of.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.lit(4).alias("schemaVersion"), F.lit(source_hash).alias("sourceSha256"), "features")).alias("value"))
+    lost = F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), F.transform("features", lambda f: f["properties"]["role"]))
+    kept = F.when(F.size(lost) > 0, F.raise_error(F.concat(F.lit("no ring of "), F.array_join(lost, ", "))).cast(all_of.schema["features"].dataType)).otherwise(F.col("features"))
+    head = {"type": "FeatureCollection", "schemaVersion": 4, "coordinateSystem": "WGS84", "sourceSha256": source_hash, "sourcePbfSha256": source_hash, "approvedForProduction": approved}
+    return all_of.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in head.items()), kept.alias("features"))).alias("value"))
 
 
 def boundary_report(rings: DataFrame) -> DataFrame:

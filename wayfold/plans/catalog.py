@@ -308,6 +308,17 @@ def corridor_match(net: Network) -> DataFrame:
     return ordered.subsequence_matches(runs, part)
 
 
+@query
+def corridor_blocks(net: Network) -> DataFrame:
+    """Corridors where they are driven between the same two runs as on the route they are from."""
+    runs = ordered.edge_runs(net.traces)
+    own = runs.where("route_id % 50 = 0").select(F.col("route_id").alias("corridor_id"), "run", "edge_key")
+    part = own.where("run between 3 and 6").select("corridor_id", (F.col("run") - 3).alias("pos"), "edge_key")
+    side = lambda run, name: own.where(F.col("run") == run).select("corridor_id", F.col("edge_key").alias(name))
+    neighbours = side(2, "before_key").join(side(7, "after_key"), "corridor_id")
+    return ordered.adjacent_matches(ordered.subsequence_matches(runs, part), runs, part, neighbours)
+
+
 @query
 def first_last_crossing(net: Network) -> DataFrame:
     runs = ordered.edge_runs(net.traces)
@@ -326,6 +337,19 @@ def route_validation(net: Network) -> DataFrame:
     return spatial.points_to_edges(net.points, steps, RADIUS).groupBy("route_id", "point_id").agg(r(F.min("dist_m"), 4).alias("min_m"))
 
 
+@query
+def route_conflicts(net: Network) -> DataFrame:
+    """Every route, those without known stretches or near points too: its conflicts, and the least distance (none: infinite)."""
+    each = route_validation(net).groupBy("route_id").agg(F.count("*").alias("conflicts"), F.min("min_m").alias("least_m"))
+    whole = net.traces.select("route_id").distinct().join(each, "route_id", "left")
+    return whole.select("route_id", F.coalesce("conflicts", F.lit(0)).cast("bigint").alias("conflicts"), F.coalesce("least_m", F.lit(float("inf"))).alias("least_m"))
+
+
+@query
+def canonical_fingerprint(net: Network) -> DataFrame:
+    return text.canonical_fingerprint(blocked(net), "edge_id", "blocked")
+
+
 @query
 def route_dedup(net: Network) -> DataFrame:
     k = F.col("o_orderkey")

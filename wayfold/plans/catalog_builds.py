@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, polyline, text
-from wayfold.operators import areas, corridors, graph, ordered, search, spatial
+from wayfold.operators import areas, corridors, graph, ordered, polygons, search, spatial
 from wayfold.plans import build
 from wayfold.plans.catalog import QUERIES as QUERIES
 from wayfold.plans.catalog import RADIUS, blocked, classified, exits, legal_turns, portals, query, r, scored, seeds
@@ -200,6 +200,27 @@ def interchange_audit(net: Network) -> DataFrame:
     return corridors.interchange_audit(found_interchanges(net), may.where("is_link"), mains)
 
 
+def chosen_cells(net: Network) -> DataFrame:
+    """Squares of the grid by their sides: a node's square for each part of size 20 or more."""
+    step = 0.01
+    at = net.nodes.join(net.table("part").where("p_size >= 20").select(F.col("p_partkey").alias("node")), "node")
+    corner = lambda i, j: F.struct((F.lit(116.0) + (F.col("gx") + i) * step).alias("x"), (F.lit(39.6) + (F.col("gy") + j) * step).alias("y"))
+    sides = F.array(*(F.struct(corner(*a).alias("a"), corner(*b).alias("b")) for a, b in (((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0)))))
+    return at.select(F.col("node").alias("part"), F.explode(sides).alias("s")).select("part", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+@query
+def merged_border(net: Network) -> DataFrame:
+    return polygons.union_border(chosen_cells(net))
+
+
+@query
+def merged_rings(net: Network) -> DataFrame:
+    rings = graph._cut(polygons.rings_of(polygons.union_border(chosen_cells(net))), "merged-rings")
+    first = rings.where("seq = 0").select("ring", r("lng", 6).alias("lng"), r("lat", 6).alias("lat"))
+    return polygons.signed_areas(rings).join(first, "ring").select("lng", "lat", "points", r("area", 9).alias("area"))
+
+
 @query
 def split_edges(net: Network) -> DataFrame:
     near = spatial.nearest_edge(net.points, net.edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "point_id").join(net.edges.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "edge_id")

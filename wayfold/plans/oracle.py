@@ -118,6 +118,9 @@ SQL = {
     "resample_20m": f"SELECT route_id, seq, k, round(plng+(lng-plng)*(k/n::DOUBLE),7) AS lng, round(plat+(lat-plat)*(k/n::DOUBLE),7) AS lat FROM (SELECT *, unnest(range(1,n+1)) AS k FROM (SELECT *, CAST(greatest(1,ceil({hav('plng', 'plat', 'lng', 'lat')}/20)) AS INTEGER) AS n FROM (SELECT *, lag(lng) OVER w AS plng, lag(lat) OVER w AS plat FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE plng IS NOT NULL))",
     "corridor_match": "SELECT route_id, corridor_id, CAST(first_run AS BIGINT) AS first_run FROM (SELECT r.route_id, c.corridor_id, r.run-c.pos AS first_run, count(*) AS n FROM runs r JOIN (SELECT route_id AS corridor_id, run-3 AS pos, edge_key FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6) c USING (edge_key) GROUP BY 1,2,3) m JOIN (SELECT route_id AS corridor_id, count(*) AS size FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6 GROUP BY 1) z USING (corridor_id) WHERE n=size",
     "first_last_crossing": "SELECT route_id, arg_min(portal_id,(run,first_seq,portal_id)) AS first_portal, arg_max(portal_id,(run,first_seq,portal_id)) AS last_portal FROM runs r JOIN portal p ON p.key=r.edge_key GROUP BY 1",
+    "route_conflicts": f"SELECT t.route_id, count(v.point_id) AS conflicts, coalesce(min(v.min_m), 'Infinity'::DOUBLE) AS least_m FROM (SELECT DISTINCT route_id FROM tr) t LEFT JOIN (SELECT route_id, point_id, round(min(d),4) AS min_m FROM (SELECT s.route_id, p.point_id, {seg('p.lng', 'p.lat', 's.a', 's.b', 's.lng', 's.lat')} AS d FROM (SELECT *, lag(lng) OVER w AS a, lag(lat) OVER w AS b, lag(edge_key) OVER w AS before FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) s JOIN pts p ON p.lat BETWEEN s.lat-0.001 AND s.lat+0.001 AND p.lng BETWEEN least(s.a,s.lng)-0.001 AND greatest(s.a,s.lng)+0.001 WHERE s.edge_key>=0 AND s.before=s.edge_key) WHERE d<=50 GROUP BY 1,2) v USING (route_id) GROUP BY 1",
+    "canonical_fingerprint": "SELECT sha256('blocked='||coalesce(string_agg(edge_id||',', '' ORDER BY edge_id),'')||'|') AS fingerprint FROM blk",
+    "corridor_blocks": "SELECT m.route_id, m.corridor_id, CAST(m.first_run AS BIGINT) AS first_run FROM (SELECT r.route_id, c.corridor_id, r.run-c.pos AS first_run, count(*) AS n FROM runs r JOIN (SELECT route_id AS corridor_id, run-3 AS pos, edge_key FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6) c USING (edge_key) GROUP BY 1,2,3) m JOIN (SELECT route_id AS corridor_id, count(*) AS size FROM runs WHERE route_id%50=0 AND run BETWEEN 3 AND 6 GROUP BY 1) z USING (corridor_id) JOIN runs p ON p.route_id=m.corridor_id AND p.run=2 JOIN runs q ON q.route_id=m.corridor_id AND q.run=7 JOIN runs a ON a.route_id=m.route_id AND a.run=m.first_run-1 AND a.edge_key=p.edge_key JOIN runs b ON b.route_id=m.route_id AND b.run=m.first_run+z.size AND b.edge_key=q.edge_key WHERE n=size",
     "route_validation": f"SELECT route_id, point_id, round(min(d),4) AS min_m FROM (SELECT s.route_id, p.point_id, {seg('p.lng', 'p.lat', 's.a', 's.b', 's.lng', 's.lat')} AS d FROM (SELECT *, lag(lng) OVER w AS a, lag(lat) OVER w AS b, lag(edge_key) OVER w AS before FROM tr WINDOW w AS (PARTITION BY route_id ORDER BY seq)) s JOIN pts p ON p.lat BETWEEN s.lat-0.001 AND s.lat+0.001 AND p.lng BETWEEN least(s.a,s.lng)-0.001 AND greatest(s.a,s.lng)+0.001 WHERE s.edge_key>=0 AND s.before=s.edge_key) WHERE d<=50 GROUP BY 1,2",
     "poi_top1": f"SELECT point_id, node, kind, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY kind, dist_m, node) AS k FROM (SELECT p.point_id, n.node, n.kind, round({hav('n.lng', 'n.lat', 'p.lng', 'p.lat')},4) AS dist_m, {hav('n.lng', 'n.lat', 'p.lng', 'p.lat')} AS d FROM pts p JOIN (SELECT nodes.*, CASE WHEN regexp_matches(p_type,'BRASS|STEEL') THEN 0 WHEN regexp_matches(p_type,'COPPER') THEN 1 ELSE 2 END AS kind FROM nodes JOIN part ON p_partkey=node) n ON abs(n.lat-p.lat)<0.015 ) WHERE d<=1500) WHERE k=1",
     "sample_evenly": "SELECT point_id FROM (SELECT point_id, row_number() OVER (ORDER BY point_id)-1 AS k, count(*) OVER () AS n FROM pts) WHERE n<=1200 OR k IN (SELECT (i*(SELECT count(*) FROM pts))//1200 FROM range(1200) t(i))",

@@ -72,6 +72,16 @@ w1 AS (SELECT w0.portal_id, 1 AS hop, w.edge_id, w.ax, w.ay, w.bx, w.y2, w.b, w0
 spots AS (SELECT portal_id, hop, edge_id, k, m0+least(m,k*20.0::DOUBLE) AS along, ax+(bx-ax)*least(1.0::DOUBLE,k*20/greatest(m,0.001::DOUBLE)) AS lng, ay+(y2-ay)*least(1.0::DOUBLE,k*20/greatest(m,0.001::DOUBLE)) AS lat FROM (SELECT *, unnest(range(1,1+CAST(greatest(1,ceil(least(m,500.0::DOUBLE-m0)/20)) AS INTEGER))) AS k FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1))),
 walked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portal_id ORDER BY clearance DESC, hop, edge_id, k) AS z FROM (SELECT s.portal_id, s.hop, s.edge_id, s.k, any_value(s.along) AS along, coalesce(round(min(CASE WHEN d<=250 THEN d END),4),250.0::DOUBLE) AS clearance FROM (SELECT s.*, CASE WHEN p.point_id IS NULL THEN NULL ELSE {hav("p.lng", "p.lat", "s.lng", "s.lat")} END AS d FROM spots s LEFT JOIN pts p ON abs(p.lat-s.lat)<0.004 AND abs(p.lng-s.lng)<0.004 WHERE s.along<=500) s GROUP BY 1,2,3,4)) WHERE z=1) """
 
+#: The border of chosen squares, as unit steps (place, direction: 0 right, 1 up, 2 left, 3 down) with the inside on the left; at a
+#: corner where two squares touch a step turns left if it can.
+_SQUARES = """, sq AS (SELECT gx, gy FROM nodes JOIN part ON p_partkey=node WHERE p_size>=20),
+stp AS (SELECT a.gx AS x, a.gy AS y, 0 AS d FROM sq a WHERE NOT EXISTS (SELECT 1 FROM sq b WHERE b.gx=a.gx AND b.gy=a.gy-1) UNION ALL SELECT a.gx+1, a.gy, 1 FROM sq a WHERE NOT EXISTS (SELECT 1 FROM sq b WHERE b.gx=a.gx+1 AND b.gy=a.gy)
+ UNION ALL SELECT a.gx+1, a.gy+1, 2 FROM sq a WHERE NOT EXISTS (SELECT 1 FROM sq b WHERE b.gx=a.gx AND b.gy=a.gy+1) UNION ALL SELECT a.gx, a.gy+1, 3 FROM sq a WHERE NOT EXISTS (SELECT 1 FROM sq b WHERE b.gx=a.gx-1 AND b.gy=a.gy)),
+stq AS (SELECT *, x*1000000+y*10+d AS h, x+[1,0,-1,0][d+1] AS x2, y+[0,1,0,-1][d+1] AS y2 FROM stp),
+nxt AS (SELECT a.h, arg_min(b.h, (a.d-b.d+5)%4) AS n FROM stq a JOIN stq b ON b.x=a.x2 AND b.y=a.y2 AND (b.d-a.d+4)%4<>2 GROUP BY 1),
+cyc(h, reach) AS (SELECT h, h FROM nxt UNION SELECT c.h, n.n FROM cyc c JOIN nxt n ON n.h=c.reach),
+rng AS (SELECT h, min(reach) AS ring FROM cyc GROUP BY 1) """
+
 #: name -> (further common tables, query)
 _QUERIES = {
     "edge_costs": ("", f"SELECT edge_id, CASE WHEN car_access THEN (len_mm//({_MPS}))/1000.0::DOUBLE END AS time_cost, CASE WHEN car_access THEN len_mm/1000.0::DOUBLE END AS distance_cost, len_mm//({_MPS})//1000 AS seconds, CAST(round(len_mm/1000.0::DOUBLE/16.67::DOUBLE*1000) AS BIGINT) AS handover_ms, edge_id AS base FROM edges"),
@@ -95,6 +105,8 @@ _QUERIES = {
     "toll_corridor_keys": (_TOLL_KEYS, "SELECT role, key FROM tollk"),
     "interchanges": (_LINKS, "SELECT from_edge, array_to_string(path,'-') AS path, to_edge, dist_mm, overlap AS toll_overlap FROM ich WHERE NOT toll"),
     "interchange_audit": (_LINKS, "SELECT * FROM (SELECT count(*) AS components, count(*) FILTER (mains>=1) AS touching, count(*) FILTER (mains>=2) AS candidates, count(*) FILTER (mains>=2 AND NOT solved) AS unresolved FROM mt), (SELECT count(*) AS drives, count(*) FILTER (toll) AS excluded_nodes, count(*) FILTER (NOT toll AND overlap) AS excluded_keys, count(*) FILTER (NOT toll AND NOT overlap) AS kept, count(DISTINCT CASE WHEN NOT toll AND NOT overlap THEN (least(from_edge,to_edge),greatest(from_edge,to_edge)) END) AS pairs, coalesce(max(dist_mm) FILTER (NOT toll AND NOT overlap),0) AS longest_mm FROM ich)"),
+    "merged_border": (_SQUARES, "SELECT 116000000000+x*10000000 AS x1, 39600000000+y*10000000 AS y1, 116000000000+x2*10000000 AS x2, 39600000000+y2*10000000 AS y2 FROM stq"),
+    "merged_rings": (_SQUARES, "SELECT round(116.0::DOUBLE+min(x)*0.01::DOUBLE,6) AS lng, round(39.6::DOUBLE+arg_min(y,(x,y))*0.01::DOUBLE,6) AS lat, count(*) AS points, round(sum(x*y2-x2*y)/2*0.0001::DOUBLE,9) AS area FROM stq JOIN rng USING (h) GROUP BY ring"),
     "split_edges": (_NEAREST + ", cutat AS (SELECT point_id, k.key, k.from_node, k.to_node, k.len_mm, CAST(floor(k.len_mm*CASE WHEN key%2=1 THEN 1-fraction ELSE fraction END) AS BIGINT) AS first FROM (SELECT n.point_id, n.edge_id, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((p.lng-ulng)*(vlng-ulng)+(p.lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS fraction FROM nearest n JOIN pts p USING (point_id) JOIN edges e ON e.edge_id=n.edge_id) s JOIN ekeys k USING (edge_id)) ", "SELECT point_id, key AS orig_key, 1 AS part, from_node, -1-point_id AS to_node, first AS len_mm FROM cutat UNION ALL SELECT point_id, key, 2, -1-point_id, to_node, len_mm-first FROM cutat"),
     "link_chains": (", lr AS (SELECT r.route_id, r.run, r.edge_key, e.is_link FROM runs r JOIN edges e ON e.edge_id=r.edge_key//2), lc AS (SELECT *, lag(edge_key) OVER w AS prev_key, lead(edge_key) OVER w AS next_key, sum(CASE WHEN is_link AND NOT before THEN 1 ELSE 0 END) OVER w AS chain FROM (SELECT *, coalesce(lag(is_link) OVER (PARTITION BY route_id ORDER BY run),false) AS before FROM lr) WINDOW w AS (PARTITION BY route_id ORDER BY run)) ", "SELECT route_id, CAST(min(run) AS BIGINT) AS first_run, CAST(max(run) AS BIGINT) AS last_run, first(prev_key ORDER BY run) AS prev_key, first(next_key ORDER BY run DESC) AS next_key FROM lc WHERE is_link GROUP BY route_id, chain"),
     "turn_costs": ("", "SELECT a.key, b.key AS next_key, CASE WHEN a.edge_id%19<>3 AND b.edge_id%19=3 THEN 1000000000::BIGINT ELSE 0::BIGINT END AS seconds FROM ekeys a JOIN ekeys b ON b.from_node=a.to_node WHERE a.edge_id<>b.edge_id AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=a.edge_id AND t.via_node=a.to_node AND t.to_edge=b.edge_id)"),

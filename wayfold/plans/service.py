@@ -40,9 +40,17 @@ class Service:
         at = geo.to_gcj02(F.col("lng"), F.col("lat"))
         return rings.withColumn("at", at).withColumns({"lng": F.col("at.lng"), "lat": F.col("at.lat")}).drop("at")
 
-    def readiness(self, **expected: str) -> dict[str, bool]:
-        """Whether a snapshot is in service, and whether its inputs have the expected versions."""
-        return {"snapshot": self.store.current() is not None, "versions": self.store.ready(**expected)}
+    def readiness(self, graph: tuple[str, str, str] | None = None, topology: tuple[str, ...] = (), **expected: str) -> dict[str, bool]:
+        """Whether a snapshot is in service, and whether its inputs have the expected versions; with `graph` (root, source and schema
+        version) whether that network is built and whole, with `topology` whether the snapshot has these tables with rows."""
+        version = self.store.current()
+        found = {"snapshot": version is not None, "versions": self.store.ready(**expected)}
+        if graph:
+            found["graph"] = not check_graph(self.store.spark, *graph)
+        if topology:
+            tables = self.store.manifest(version).get("tables", []) if version else []
+            found["topology"] = all(t in tables and not self.store.read(t, version).isEmpty() for t in topology)
+        return found
 
     def request_refresh(self, work: Callable[[], object]) -> Future | None:
         """Runs work in the background, one at a time: None if another refresh is running."""

@@ -23,6 +23,12 @@ def verified(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     return files.join(side, "path", "left").withColumn("verdict", verdict).drop("wanted")
 
 
+def only_verified(files: DataFrame) -> DataFrame:
+    """files as of verified(), whose every row must be OK: reading one that isn't is an error that stops the job."""
+    bad = F.raise_error(F.concat("path", F.lit(": "), "verdict")).cast("string")
+    return files.withColumn("verdict", F.when(F.col("verdict") == "OK", F.col("verdict")).otherwise(bad))
+
+
 def _tags(tag: Column) -> Column:
     return F.map_from_entries(F.transform(F.coalesce(tag, F.array().cast("array<struct<_k:string,_v:string>>")), lambda t: F.struct(t["_k"], t["_v"])))
 

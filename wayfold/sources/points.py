@@ -83,8 +83,36 @@ def ingest_points(records: DataFrame, flag_field: str = "IsSixRingOut", kind_fie
     return Ingested(valid, issues, source.join(good))
 
 
-def read_boundary(spark: SparkSession, path: str) -> DataFrame:
-    """(role, polygon, ring, seq, lng, lat) of a GeoJSON FeatureCollection; a role that stands twice is an error."""
+# The roles of a boundary file, and from which schema version each must be there.
+ROLES = {"controlled_area": 2, "tongzhou_area": 2, "sixth_ring_area": 3, "provincial_border": 4}
+LEGACY_ROLE = "inside_boundary"
+
+
+def boundary_problems(spark: SparkSession, path: str, source_sha256: str, approved: bool = True) -> DataFrame:
+    """(problem): why a boundary file can't be used with the network of a source: its type, coordinate system, hash, approval and
+    roles. Up to schema version 1 the legacy role stands for the area."""
+    head = "type string, coordinateSystem string, sourcePbfSha256 string, approvedForProduction boolean, schemaVersion int, features array<struct<properties: struct<role: string>>>"
+    version, roles = F.coalesce("schemaVersion", F.lit(1)), F.coalesce(F.transform("features", lambda f: f["properties"]["role"]), F.array().cast("array<string>"))
+    lacks = lambda role: ~F.array_contains(roles, role)
+    rules = [
+        (~F.coalesce(F.col("type") == "FeatureCollection", F.lit(False)), "no feature collection"),
+        (~F.coalesce(F.col("coordinateSystem") == "WGS84", F.lit(False)), "coordinate system is not WGS84"),
+        (~F.coalesce(F.col("sourcePbfSha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "no hash of the source"),
+        (F.lower("sourcePbfSha256") != source_sha256.lower(), "made from another source"),
+        (F.lit(approved) & ~F.coalesce("approvedForProduction", F.lit(False)), "not approved"),
+        (lacks("controlled_area") & lacks(LEGACY_ROLE), "no controlled_area"),
+        *(((version >= since) & lacks(role), f"no {role}") for role, since in ROLES.items() if role != "controlled_area"),
+    ]
+    found = F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in rules))
+    return spark.read.schema(head).json(path, multiLine=True).select(F.explode(F.array_compact(found)).alias("problem"))
+
+
+def read_boundary(spark: SparkSession, path: str, source_sha256: str | None = None, approved: bool = True) -> DataFrame:
+    """(role, polygon, ring, seq, lng, lat) of a GeoJSON FeatureCollection; a role that stands twice is an error.
+
+    With the hash of the network's source the file must be made for it, approved (if asked) and whole: see boundary_problems()."""
+    if source_sha256 is not None and (bad := boundary_problems(spark, path, source_sha256, approved).take(1)):
+        raise ValueError(f"{path}: {bad[0]['problem']}")
     schema = "features array<struct<properties: struct<role: string>, geometry: struct<type: string, coordinates: string>>>"
     features = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
     one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
