@@ -29,7 +29,12 @@ def read_point_records(spark: SparkSession, path: str) -> DataFrame:
 
     A single JSON document is one value: it is split by the JSON reader, as a variant, not by text.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.parse_json("value").alias("v"))
+    return split_records(spark.read.text(path, wholetext=True))
+
+
+def split_records(documents: DataFrame) -> DataFrame:
+    """(record_index, json) of JSON documents (value), see read_point_records()."""
+    whole = documents.select("value", F.parse_json("value").alias("v"))
     array = lambda v: F.schema_of_variant(v).startswith("ARRAY")
     fields = F.from_json("value", "map<string,string>")
     names = F.filter(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), lambda k: F.lower(k).isin(*WRAPPERS))
