@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo, polyline, text
 from wayfold.operators import areas, corridors, graph, ordered, polygons, search, spatial
-from wayfold.plans import build
+from wayfold.plans import build, planner
 from wayfold.plans.catalog import QUERIES as QUERIES
 from wayfold.plans.catalog import RADIUS, blocked, classified, exits, legal_turns, portals, query, r, scored, seeds
 from wayfold.sources.fixtures import Network
@@ -70,6 +70,25 @@ def planned_routes(net: Network) -> DataFrame:
     return met.select("request", "outcome", "dist_mm", "ms", sound.alias("sound"), ends(1, "lng").alias("start_lng"), ends(1, "lat").alias("start_lat"), ends(-1, "lng").alias("end_lng"), ends(-1, "lat").alias("end_lat"))
 
 
+def release_targets(net: Network) -> DataFrame:
+    """Directed crossings on ordinary roads: target, key, fraction, direction and place."""
+    plain = net.edges.where("car_access and road_class <> 'motorway' and not is_link")
+    met = side_portals(net).join(plain.select("edge_id", "ulng", "ulat", "vlng", "vlat"), "edge_id")
+    t = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 1 - F.col("fraction")).otherwise(F.col("fraction"))
+    name = F.concat_ws("-", F.lit("R"), "key", F.round(F.col("fraction") * 1e6).cast("bigint"))
+    return met.select(name.alias("target"), "key", "direction", F.round("fraction", 9).alias("fraction"), geo.interpolate(F.col("ulng"), F.col("vlng"), t).alias("lng"), geo.interpolate(F.col("ulat"), F.col("vlat"), t).alias("lat"))
+
+
+@query
+def mode_plans(net: Network) -> DataFrame:
+    """Requests between places of all modes: routes on one side, or legs between the inner place and the chosen release point."""
+    stop = blocked(net).select("edge_id")
+    flags = areas.area_flags(intervals(net))
+    controlled = areas.controlled_edges(classified(net).where("car_access"), flags).where("controlled_ok").select("edge_id")
+    found = planner.plan(place_requests(net), net.ring_segments, net.edges.where("car_access"), timed_keys(net), net.forbidden_turns, stop, graph._cut(controlled, "controlled"), graph._cut(release_targets(net), "releases"))
+    return found.select("request", "mode", "outcome", "target", "tier", "dist_mm", "ms")
+
+
 @query
 def snapped_points(net: Network) -> DataFrame:
     """Points on the nearest edge that cars may use, within 150 m."""
