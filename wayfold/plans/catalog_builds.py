@@ -50,10 +50,11 @@ def timed_paths(net: Network) -> DataFrame:
 
 
 def place_requests(net: Network) -> DataFrame:
-    """From every point whose number 50 divides to the one numbered 25 higher."""
-    at = lambda name: net.points.select(F.col("point_id").alias(f"{name}_id"), F.struct("lng", "lat").alias(name))
-    a = at("start").where("start_id % 50 = 0")
-    return a.join(at("stop"), F.col("stop_id") == F.col("start_id") + 25).select(F.col("start_id").alias("request"), "start", "stop")
+    """From a place by every node whose number 50 divides, two requests: to one by the node numbered 125 higher, and 425 higher."""
+    at = lambda name, x, y: net.nodes.select(F.col("node").alias(f"{name}_node"), F.struct((F.col("lng") + x).alias("lng"), (F.col("lat") + y).alias("lat")).alias(name))
+    a = at("start", 0.0037, 0.0006).where("start_node % 50 = 0").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    met = a.join(at("stop", 0.0006, 0.0062), F.col("stop_node") == F.col("start_node") + F.when(F.col("v") == 0, 125).otherwise(425))
+    return met.select((2 * F.col("start_node") + F.col("v")).alias("request"), "start", "stop")
 
 
 @query

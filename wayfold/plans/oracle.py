@@ -56,7 +56,8 @@ rec AS (SELECT i, j LIKE '{{%' AS obj, coalesce(CAST(json_extract(j,'$.IsSixRing
 chk AS (SELECT *, CASE WHEN NOT obj THEN 'not an object' WHEN id IS NULL THEN 'missing id' WHEN i>first THEN 'duplicate id' WHEN lng IS NULL THEN 'bad lng' WHEN lat IS NULL THEN 'bad lat' WHEN lng NOT BETWEEN -180 AND 180 THEN 'out of range' WHEN trim(coalesce(address,''))='' THEN 'missing address' WHEN kind IS NULL THEN 'missing type' END AS reason FROM (SELECT *, min(i) OVER (PARTITION BY CASE WHEN obj AND id IS NOT NULL THEN id ELSE '#'||i END) AS first FROM rec WHERE NOT gone)),
 tr AS (SELECT route_id, 2*s+half AS seq, CASE WHEN s%11=10 THEN -1 WHEN s%2=0 THEN 4*(y*40+x) ELSE 4*(y*40+x)+2 END AS edge_key, 116.0::DOUBLE+x*0.01::DOUBLE+half*0.004::DOUBLE AS lng, 39.6::DOUBLE+y*0.01::DOUBLE AS lat FROM (SELECT c_custkey AS route_id, s, c_custkey%8+(s+1)//2 AS x, c_custkey%5+s//2 AS y FROM customer, range(30) t(s)), range(2) h(half) WHERE x<40),
 runs AS (SELECT route_id, run, edge_key, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (NOT again) AS n_points FROM (SELECT *, coalesce(lng=lag(lng) OVER w AND lat=lag(lat) OVER w, false) AS again FROM (SELECT *, sum(new) OVER (PARTITION BY route_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN edge_key IS DISTINCT FROM lag(edge_key) OVER (PARTITION BY route_id ORDER BY seq) THEN 1 ELSE 0 END AS new FROM tr WHERE edge_key>=0)) WINDOW w AS (PARTITION BY route_id, run ORDER BY seq)) GROUP BY 1,2,3),
-loc AS (SELECT kind, id, CASE WHEN b THEN 'BOUNDARY' WHEN n%2=1 THEN 'INSIDE' ELSE 'OUTSIDE' END AS location, m FROM (SELECT kind, id, bool_or(b) AS b, sum(CASE WHEN o THEN 1 ELSE 0 END) AS n, arg_min(m, (d, m)) AS m FROM (SELECT kind, id, b, o, pow(lng-nx,2)+pow(lat-ny,2) AS d, {hav("lng", "lat", "nx", "ny")} AS m FROM (SELECT *, ax+(bx-ax)*t AS nx, ay+(y2-ay)*t AS ny FROM (SELECT q.*, s.ax, s.ay, s.bx, s.y2, abs((bx-ax)*(lat-ay)-(y2-ay)*(lng-ax))<=1e-12 AND lng BETWEEN least(ax,bx) AND greatest(ax,bx) AND lat BETWEEN least(ay,y2) AND greatest(ay,y2) AS b, y2<>ay AND ((ay>lat)<>(y2>lat)) AND lng<(bx-ax)*(lat-ay)/(CASE WHEN y2=ay THEN 1 ELSE y2-ay END)+ax AS o, greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ax)*(bx-ax)+(lat-ay)*(y2-ay))/((bx-ax)*(bx-ax)+(y2-ay)*(y2-ay)))) AS t FROM (SELECT 'p' AS kind, point_id AS id, lng, lat FROM pts UNION ALL SELECT 'n', node, lng, lat FROM nodes) q, segs s))) GROUP BY 1,2)),
+rp AS (SELECT r.request, s.stop, 2*r.request+s.stop AS place, CASE WHEN s.stop=0 THEN a.lng+0.0037::DOUBLE ELSE b.lng+0.0006::DOUBLE END AS lng, CASE WHEN s.stop=0 THEN a.lat+0.0006::DOUBLE ELSE b.lat+0.0062::DOUBLE END AS lat FROM (SELECT node, 2*node+v AS request, node+CASE v WHEN 0 THEN 125 ELSE 425 END AS other FROM nodes, range(2) t(v) WHERE node%50=0) r JOIN nodes a ON a.node=r.node JOIN nodes b ON b.node=r.other, range(2) s(stop)),
+loc AS (SELECT kind, id, CASE WHEN b THEN 'BOUNDARY' WHEN n%2=1 THEN 'INSIDE' ELSE 'OUTSIDE' END AS location, m FROM (SELECT kind, id, bool_or(b) AS b, sum(CASE WHEN o THEN 1 ELSE 0 END) AS n, arg_min(m, (d, m)) AS m FROM (SELECT kind, id, b, o, pow(lng-nx,2)+pow(lat-ny,2) AS d, {hav("lng", "lat", "nx", "ny")} AS m FROM (SELECT *, ax+(bx-ax)*t AS nx, ay+(y2-ay)*t AS ny FROM (SELECT q.*, s.ax, s.ay, s.bx, s.y2, abs((bx-ax)*(lat-ay)-(y2-ay)*(lng-ax))<=1e-12 AND lng BETWEEN least(ax,bx) AND greatest(ax,bx) AND lat BETWEEN least(ay,y2) AND greatest(ay,y2) AS b, y2<>ay AND ((ay>lat)<>(y2>lat)) AND lng<(bx-ax)*(lat-ay)/(CASE WHEN y2=ay THEN 1 ELSE y2-ay END)+ax AS o, greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ax)*(bx-ax)+(lat-ay)*(y2-ay))/((bx-ax)*(bx-ax)+(y2-ay)*(y2-ay)))) AS t FROM (SELECT 'p' AS kind, point_id AS id, lng, lat FROM pts UNION ALL SELECT 'n', node, lng, lat FROM nodes UNION ALL SELECT 'r', place, lng, lat FROM rp) q, segs s))) GROUP BY 1,2)),
 portal AS (SELECT edge_id, 2*edge_id AS key, 'P-'||edge_id||'-'||CAST(round(fraction*1e9) AS BIGINT) AS portal_id, fraction, ulng+(vlng-ulng)*fraction AS lng, ulat+(vlat-ulat)*fraction AS lat, ring, road_class, is_link, CASE WHEN l.location='INSIDE' THEN 'OUT' ELSE 'IN' END AS direction FROM (SELECT *, ((ax-ulng)*(y2-ay)-(ay-ulat)*(bx-ax))/det AS fraction, ((ax-ulng)*(vlat-ulat)-(ay-ulat)*(vlng-ulng))/det AS s FROM (SELECT e.*, g.*, (vlng-ulng)*(y2-ay)-(vlat-ulat)*(bx-ax) AS det FROM edges e, segs g) WHERE det<>0) x JOIN loc l ON l.kind='n' AND l.id=x.u WHERE fraction>=0 AND fraction<=1 AND s>=0 AND s<1),
 adj AS (SELECT a.key, b.key AS next_key, b.len_mm AS next_mm FROM ekeys a JOIN ekeys b ON b.from_node=a.to_node WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.from_edge=a.edge_id AND t.via_node=a.to_node AND t.to_edge=b.edge_id)),
 ladj AS (SELECT * FROM adj WHERE key//2 NOT IN (SELECT edge_id FROM blk) AND next_key//2 NOT IN (SELECT edge_id FROM blk)),

@@ -26,10 +26,8 @@ _NEAREST = f", nearest AS (SELECT point_id, arg_min(edge_id,(round(d,6),edge_id)
 _SNAP = f", snapd AS (SELECT p.point_id, p.lng, p.lat, e.edge_id, e.ulng, e.ulat, e.vlng, e.vlat, x.d FROM (SELECT point_id, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id, arg_min(d,(round(d,6),edge_id)) AS d FROM (SELECT p.point_id, e.edge_id, {seg('p.lng', 'p.lat', 'e.ulng', 'e.ulat', 'e.vlng', 'e.vlat')} AS d FROM pts p, edges e WHERE e.car_access) GROUP BY 1) x JOIN pts p USING (point_id) JOIN edges e ON e.edge_id=x.edge_id) "
 #: Routes between places: first parts of keys are keys of their own, -2-key, with the turns of the key.
 _PLACES = (
-    _SNAP
-    + f""", tkey AS (SELECT k.key, k.edge_id, k.len_mm, k.len_mm//({_MPS.replace("road_class", "e.road_class")}) AS ms FROM ekeys k JOIN edges e USING (edge_id)),
-ends AS (SELECT point_id AS request, 0 AS stop, point_id AS place FROM pts WHERE point_id%50=0 UNION ALL SELECT a.point_id, 1, b.point_id FROM pts a JOIN pts b ON b.point_id=a.point_id+25 WHERE a.point_id%50=0),
-snapk AS (SELECT n.request, n.stop, s.edge_id, s.t, s.ulng+(s.vlng-s.ulng)*s.t AS x, s.ulat+(s.vlat-s.ulat)*s.t AS y FROM ends n JOIN (SELECT *, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ulng)*(vlng-ulng)+(lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS t FROM snapd) s ON s.point_id=n.place),
+    f""", tkey AS (SELECT k.key, k.edge_id, k.len_mm, k.len_mm//({_MPS.replace("road_class", "e.road_class")}) AS ms FROM ekeys k JOIN edges e USING (edge_id)),
+snapk AS (SELECT n.request, n.stop, n.edge_id, n.t, e.ulng+(e.vlng-e.ulng)*n.t AS x, e.ulat+(e.vlat-e.ulat)*n.t AS y FROM (SELECT s.request, s.stop, s.edge_id, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((s.lng-ulng)*(vlng-ulng)+(s.lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS t FROM (SELECT request, stop, any_value(lng) AS lng, any_value(lat) AS lat, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id FROM (SELECT p.request, p.stop, p.lng, p.lat, e.edge_id, {seg("p.lng", "p.lat", "e.ulng", "e.ulat", "e.vlng", "e.vlat")} AS d FROM rp p, edges e WHERE e.car_access) GROUP BY 1,2) s JOIN edges e USING (edge_id)) n JOIN edges e USING (edge_id)),
 onk AS (SELECT request, stop, key, CAST(len_mm-floor(len_mm*t) AS BIGINT) AS mm, CAST(ms-floor(ms*t) AS BIGINT) AS ms FROM (SELECT s.request, s.stop, k.key, k.len_mm, k.ms, CASE WHEN k.key%2=1 THEN 1-s.t ELSE s.t END AS t FROM snapk s JOIN tkey k USING (edge_id) WHERE k.edge_id NOT IN (SELECT edge_id FROM blk))),
 padj AS (SELECT * FROM ladj UNION ALL SELECT -2-key, next_key, next_mm FROM ladj WHERE key IN (SELECT key FROM onk WHERE stop=0)),
 pl(request, key, w) USING KEY (request, key) AS (SELECT request, -2-key, mm*100000000::BIGINT+ms FROM onk WHERE stop=0 UNION SELECT s.request, a.next_key, min(s.w+a.next_mm*100000000::BIGINT+t.ms) FROM pl s JOIN padj a ON a.key=s.key JOIN tkey t ON t.key=a.next_key LEFT JOIN recurring.pl r ON r.request=s.request AND r.key=a.next_key WHERE r.key IS NULL OR s.w+a.next_mm*100000000::BIGINT+t.ms<r.w GROUP BY 1,2),
@@ -76,7 +74,7 @@ walked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portal_id OR
 _MODES = (
     _PLACES
     + _SIDES
-    + f""", modes AS (SELECT a.request, a.place AS sp, b.place AS tp, CASE WHEN x.location='BOUNDARY' OR y.location='BOUNDARY' THEN 'AMBIGUOUS' WHEN x.location='INSIDE' AND y.location='INSIDE' THEN 'INTERNAL' WHEN x.location='OUTSIDE' AND y.location='OUTSIDE' THEN 'EXTERNAL' WHEN x.location='INSIDE' THEN 'OUTBOUND' ELSE 'INBOUND' END AS mode FROM ends a JOIN ends b ON b.request=a.request AND b.stop=1 JOIN loc x ON x.kind='p' AND x.id=a.place JOIN loc y ON y.kind='p' AND y.id=b.place WHERE a.stop=0),
+    + f""", modes AS (SELECT a.request, a.place AS sp, b.place AS tp, CASE WHEN x.location='BOUNDARY' OR y.location='BOUNDARY' THEN 'AMBIGUOUS' WHEN x.location='INSIDE' AND y.location='INSIDE' THEN 'INTERNAL' WHEN x.location='OUTSIDE' AND y.location='OUTSIDE' THEN 'EXTERNAL' WHEN x.location='INSIDE' THEN 'OUTBOUND' ELSE 'INBOUND' END AS mode FROM rp a JOIN rp b ON b.request=a.request AND b.stop=1 JOIN loc x ON x.kind='r' AND x.id=a.place JOIN loc y ON y.kind='r' AND y.id=b.place WHERE a.stop=0),
 ctl AS (SELECT edge_id FROM flags JOIN cls USING (edge_id) WHERE NOT mainline AND NOT is_link AND stays_within AND car_access AND edge_id NOT IN (SELECT edge_id FROM blk)),
 rel AS (SELECT 'R-'||d.key||'-'||CAST(round(d.fraction*1e6) AS BIGINT) AS target, d.key, d.direction, d.f9, k.len_mm, k.ms, e.ulng+(e.vlng-e.ulng)*d.t AS lng, e.ulat+(e.vlat-e.ulat)*d.t AS lat FROM (SELECT *, round(fraction,9) AS f9, CASE WHEN key%2=1 THEN 1-fraction ELSE fraction END AS t FROM dirp) d JOIN edges e ON e.edge_id=d.edge_id AND e.car_access AND e.road_class<>'motorway' AND NOT e.is_link JOIN tkey k ON k.key=d.key WHERE d.edge_id NOT IN (SELECT edge_id FROM blk)),
 fadj AS (SELECT a.key, a.next_key, a.next_mm AS mm, t.ms FROM ladj a JOIN tkey t ON t.key=a.next_key WHERE a.key//2 IN (SELECT edge_id FROM ctl) AND (a.next_key//2 IN (SELECT edge_id FROM ctl) OR a.next_key IN (SELECT key FROM rel WHERE direction='OUT'))),
@@ -87,7 +85,7 @@ leg(request, d, key, w) USING KEY (request, d, key) AS (SELECT request, d, -2-ke
 legb AS (SELECT *, CASE WHEN direction='OUT' THEN len_mm-CAST(floor(len_mm*f9) AS BIGINT) ELSE CAST(floor(len_mm*f9) AS BIGINT) END AS mm, CASE WHEN direction='OUT' THEN ms-CAST(floor(ms*f9) AS BIGINT) ELSE CAST(floor(ms*f9) AS BIGINT) END AS t FROM rel),
 legg AS (SELECT l.request, r.target, min(l.w-r.mm*100000000::BIGINT-r.t) AS w, any_value(r.lng) AS lng, any_value(r.lat) AS lat FROM leg l JOIN legb r ON r.direction=l.d AND (r.key=l.key OR -2-r.key=l.key) WHERE l.w//100000000>=r.mm GROUP BY 1,2),
 legt AS (SELECT *, CAST(greatest(1, ceil((d-best)/1000000.0)) AS INTEGER) AS tier FROM (SELECT *, w//100000000 AS d, min(w//100000000) OVER (PARTITION BY request) AS best FROM legg) WHERE d<=best+5000000),
-legs AS (SELECT t.*, round({delta("a", "b")},6) AS score FROM (SELECT t.*, {brg("i.lng", "i.lat", "t.lng", "t.lat")} AS a, {brg("i.lng", "i.lat", "o.lng", "o.lat")} AS b FROM legt t JOIN modes m USING (request) JOIN pts i ON i.point_id=CASE WHEN m.mode='OUTBOUND' THEN m.sp ELSE m.tp END JOIN pts o ON o.point_id=CASE WHEN m.mode='OUTBOUND' THEN m.tp ELSE m.sp END) t),
+legs AS (SELECT t.*, round({delta("a", "b")},6) AS score FROM (SELECT t.*, {brg("i.lng", "i.lat", "t.lng", "t.lat")} AS a, {brg("i.lng", "i.lat", "o.lng", "o.lat")} AS b FROM legt t JOIN modes m USING (request) JOIN rp i ON i.place=CASE WHEN m.mode='OUTBOUND' THEN m.sp ELSE m.tp END JOIN rp o ON o.place=CASE WHEN m.mode='OUTBOUND' THEN m.tp ELSE m.sp END) t),
 legc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY CASE WHEN score<=60 THEN 0 ELSE 1 END, CASE WHEN score<=60 THEN tier ELSE 0 END, score, d, target) AS k FROM legs) WHERE k=1) """
 )
 #: The border of chosen squares, as unit steps (place, direction: 0 right, 1 up, 2 left, 3 down) with the inside on the left; at a
@@ -104,7 +102,7 @@ rng AS (SELECT h, min(reach) AS ring FROM cyc GROUP BY 1) """
 _QUERIES = {
     "edge_costs": ("", f"SELECT edge_id, CASE WHEN car_access THEN (len_mm//({_MPS}))/1000.0::DOUBLE END AS time_cost, CASE WHEN car_access THEN len_mm/1000.0::DOUBLE END AS distance_cost, len_mm//({_MPS})//1000 AS seconds, CAST(round(len_mm/1000.0::DOUBLE/16.67::DOUBLE*1000) AS BIGINT) AS handover_ms, edge_id AS base FROM edges"),
     "timed_paths": (f", tkey AS (SELECT k.*, len_mm//({_MPS.replace('road_class', 'e.road_class')}) AS ms FROM (SELECT key, edge_id, from_node FROM ekeys) k JOIN edges e USING (edge_id)), tp(key, w) USING KEY (key) AS (SELECT key, len_mm*100000000::BIGINT+ms FROM tkey JOIN (SELECT key, len_mm FROM ekeys) USING (key) WHERE from_node=0 UNION SELECT a.next_key, min(s.w+a.next_mm*100000000::BIGINT+t.ms) FROM tp s JOIN adj a ON a.key=s.key JOIN tkey t ON t.key=a.next_key LEFT JOIN recurring.tp r ON r.key=a.next_key WHERE r.key IS NULL OR s.w+a.next_mm*100000000::BIGINT+t.ms<r.w GROUP BY 1) ", "SELECT key, w//100000000 AS dist_mm, w%100000000 AS ms FROM tp"),
-    "planned_routes": (_PLACES, "SELECT q.request, CASE WHEN i.request IS NULL THEN 'INVALID' WHEN w.w IS NULL THEN 'NO_ROUTE' ELSE 'ROUTE' END AS outcome, w.w//100000000 AS dist_mm, w.w%100000000 AS ms, CASE WHEN w.w IS NOT NULL THEN true END AS sound, CASE WHEN w.w IS NOT NULL THEN round(a.x,6) END AS start_lng, CASE WHEN w.w IS NOT NULL THEN round(a.y,6) END AS start_lat, CASE WHEN w.w IS NOT NULL THEN round(b.x,6) END AS end_lng, CASE WHEN w.w IS NOT NULL THEN round(b.y,6) END AS end_lat FROM (SELECT DISTINCT request FROM ends) q LEFT JOIN (SELECT request FROM onk GROUP BY 1 HAVING count(DISTINCT stop)=2) i USING (request) LEFT JOIN (SELECT request, min(w) AS w FROM pgoal GROUP BY 1) w USING (request) JOIN snapk a ON a.request=q.request AND a.stop=0 JOIN snapk b ON b.request=q.request AND b.stop=1"),
+    "planned_routes": (_PLACES, "SELECT q.request, CASE WHEN i.request IS NULL THEN 'INVALID' WHEN w.w IS NULL THEN 'NO_ROUTE' ELSE 'ROUTE' END AS outcome, w.w//100000000 AS dist_mm, w.w%100000000 AS ms, CASE WHEN w.w IS NOT NULL THEN true END AS sound, CASE WHEN w.w IS NOT NULL THEN round(a.x,6) END AS start_lng, CASE WHEN w.w IS NOT NULL THEN round(a.y,6) END AS start_lat, CASE WHEN w.w IS NOT NULL THEN round(b.x,6) END AS end_lng, CASE WHEN w.w IS NOT NULL THEN round(b.y,6) END AS end_lat FROM (SELECT DISTINCT request FROM rp) q LEFT JOIN (SELECT request FROM onk GROUP BY 1 HAVING count(DISTINCT stop)=2) i USING (request) LEFT JOIN (SELECT request, min(w) AS w FROM pgoal GROUP BY 1) w USING (request) JOIN snapk a ON a.request=q.request AND a.stop=0 JOIN snapk b ON b.request=q.request AND b.stop=1"),
     "mode_plans": (_MODES, "SELECT m.request, m.mode, CASE WHEN m.mode='AMBIGUOUS' THEN 'AMBIGUOUS' WHEN u.request IS NULL THEN 'INVALID' WHEN coalesce(c.w, w.w) IS NULL THEN 'NO_ROUTE' ELSE 'ROUTE' END AS outcome, c.target, c.tier, coalesce(c.w, w.w)//100000000 AS dist_mm, coalesce(c.w, w.w)%100000000 AS ms FROM modes m LEFT JOIN (SELECT request FROM onk JOIN modes USING (request) WHERE mode IN ('INTERNAL','EXTERNAL') GROUP BY 1 HAVING count(DISTINCT stop)=2 UNION SELECT request FROM lego) u USING (request) LEFT JOIN (SELECT request, min(w) AS w FROM pgoal JOIN modes USING (request) WHERE mode IN ('INTERNAL','EXTERNAL') GROUP BY 1) w USING (request) LEFT JOIN legc c USING (request)"),
     "snapped_points": (_SNAP, "SELECT point_id, edge_id, round(t,7)+0.0 AS fraction, round(ulng+(vlng-ulng)*t,7) AS on_lng, round(ulat+(vlat-ulat)*t,7) AS on_lat, round(d,4) AS dist_m, edge_id IS NOT NULL AS valid FROM pts LEFT JOIN (SELECT point_id, edge_id, d, ulng, ulat, vlng, vlat, round(greatest(0.0::DOUBLE,least(1.0::DOUBLE,((lng-ulng)*(vlng-ulng)+(lat-ulat)*(vlat-ulat))/((vlng-ulng)*(vlng-ulng)+(vlat-ulat)*(vlat-ulat)))),9) AS t FROM snapd WHERE d<=150) USING (point_id)"),
     "restricted_endpoints": (f", snap AS (SELECT node, arg_min(edge_id,(round(d,6),edge_id)) AS edge_id FROM (SELECT n.node, e.edge_id, {seg('n.lng', 'n.lat', 'e.ulng', 'e.ulat', 'e.vlng', 'e.vlat')} AS d FROM nodes n JOIN edges e ON n.lng BETWEEN e.ulng-0.02 AND e.vlng+0.02 AND n.lat BETWEEN e.ulat-0.02 AND e.vlat+0.02) GROUP BY 1) ", f"SELECT s.node, coalesce(h.near,false) AND NOT c.exempt AS restricted FROM snap s JOIN cls c USING (edge_id) LEFT JOIN (SELECT DISTINCT n.node, true AS near FROM nodes n JOIN pts p ON abs(p.lat-n.lat)<0.001 AND {hav('p.lng', 'p.lat', 'n.lng', 'n.lat')}<=50) h USING (node)"),
