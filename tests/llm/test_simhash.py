@@ -139,3 +139,48 @@ def test_prefixes_of_similar_sets_meet():
             assert len(x & y) >= 0.8 * len(x | y)
             a, b = (set(sorted(s)[: simhash.prefix_size(len(s), 0.8)]) for s in (x, y))
             assert a & b
+
+
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.9, 1.0])
+def test_prefixes_with_common_runs_meet(share):
+    """As many of any two similar sets' hashes as prefix_size() tells, rare ones first, share one, however many are common."""
+    rng = np.random.default_rng(5)
+    common = rng.random(simhash.SKETCH) < share
+    for n in [1, 4, 5, 9, 33, 100, 1000, 4000]:
+        for _ in range(40):
+            u = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            # the rare ones differ first, as edits do, in no order of their hashes
+            order = np.lexsort((rng.random(len(u)), common[(u % np.uint64(simhash.SKETCH)).astype(int)]))
+            left = order[: len(u) // 5]
+            sets = [np.delete(u, left[i::2]) for i in (0, 1)]
+            ordered = [simhash.rare_first(x, common) for x in sets]
+            a, b = (set(x[: simhash.prefix_size(len(x), 0.8, k)].tolist()) for x, k in ordered)
+            assert a & b
+    assert simhash.prefix_size(4000, 0.8) == 18 and simhash.prefix_size(4000, 0.8, 200) <= 20 and simhash.prefix_size(4000, 0.8, 4000) == 18
+
+
+def test_a_passage_that_many_texts_share_is_no_key(spark):
+    """Texts with a passage in common aren't dealt by it, so rows grow with texts, and groups are those of all pairs."""
+    rnd = random.Random(6)
+    passage = " ".join(f"p{k}" for k in range(12))
+    dealt = []
+    for n in (200, 800):
+        texts = []
+        for i in range(n // 2):
+            own = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+            other = [x if k != 7 else "other" for k, x in enumerate(own)] if i % 2 else [f"w{rnd.randrange(5000)}" for _ in range(60)]
+            texts += [f"{' '.join(own)} {passage}", f"{' '.join(other)} {passage}"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        sets = [set(simhash.shingle_hashes(x.encode(), 5)) for x in texts]
+        linked = [(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        assert len(linked) >= n // 5
+        found = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(docs, often=20).collect()}
+        assert [found[k] for k in range(n)] == roots(n, linked)
+        common = simhash.common_buckets(docs, "text", 5, 20)
+        keys = []
+        for k, x in enumerate(sets):
+            ordered, last = simhash.rare_first(np.array(sorted(x), np.uint64), common)
+            assert last >= 8
+            keys += [(k, int(h)) for h in ordered[: simhash.prefix_size(len(ordered), 0.8, last)].view(np.int64)]
+        dealt.append(simhash.blocks(spark.createDataFrame(keys, "rep long, key long"), "key", "rep", 20).count())
+    assert dealt[1] <= 5 * dealt[0]

@@ -16,6 +16,8 @@ from .common import by_bytes, components, discard, persisted, utf8_list
 
 SEED = 42
 BITS = 64
+#: Buckets in which hashed runs are counted to tell common ones from rare ones.
+SKETCH = 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -222,15 +224,49 @@ def print_limit(bits: int, similarity: float) -> int:
     return math.ceil(p * bits + 9 * math.sqrt(p * (1 - p) * bits))
 
 
-def prefix_size(n: int, similarity: float, missed: float = 1e-12) -> int:
-    """How many of a set's n hashes, smallest first, it shares at least one of with every set that similar.
+def prefix_size(n: int, similarity: float, common: int = 0, missed: float = 1e-12) -> int:
+    """How many of a set's n hashes, in the order of rare_first(), are needed to share one with every set that similar; the last
+    `common` of them are common ones.
 
-    n - ceil(similarity * n) + 1 hashes are the exact prefix filter. Hashes are ordered by chance, so a common one is missing
-    among the first k of both sets' union with probability (1 - similarity) ** k at most: more than it takes for `missed`
-    aren't needed.
+    All but (1 - similarity) * n of its hashes lie in the other set too. One more than these are the exact prefix filter. Within
+    the rare and within the common ones the order is by chance, so that fewer do for a miss of probability `missed`: as many
+    rare ones as make it unlikely that all are alien, or all the rare ones and as many common ones.
     """
     exact = n - math.ceil(similarity * n - 1e-9) + 1
-    return min(exact, math.ceil(math.log(missed) / math.log(1 - similarity))) if similarity < 1 else min(n, 1)
+    if exact <= 1 or n == 0:
+        return min(exact, n)
+    alien, rare = exact - 1, n - common
+    enough = lambda size: math.ceil(math.log(missed) / math.log(alien / size)) if size > alien else exact
+    return min(exact, enough(rare), rare + enough(common))
+
+
+def common_buckets(docs: DataFrame, text_col: str, words: int, often: int) -> np.ndarray:
+    """For each of the SKETCH buckets of hashed runs whether it is a common one: over all of docs it has `often` texts more, and
+    eight standard deviations, than a bucket has on average.
+
+    Each task counts its texts' distinct runs by bucket, and a group by bucket sums them: SKETCH rows are all that reaches the
+    driver. A rare run may share a common one's bucket; as texts agree on what is common, that costs keys, never a pair.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SKETCH, np.int64)
+        for batch in by_bytes(batches, "text", 2 << 20):
+            flat = [np.unique(np.array(shingle_hashes(x, words), np.uint64)) for x in utf8_list(batch.column("text"))]
+            held += np.bincount((np.concatenate(flat) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if flat else 0
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64())], ["bucket", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(SKETCH, np.int64)
+    n[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    mean = n.sum() / SKETCH
+    return n > mean + 8 * math.sqrt(mean) + often
+
+
+def rare_first(flat: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted distinct hashes with those of common buckets put last, and how many these are."""
+    last = common[(flat % np.uint64(SKETCH)).astype(np.int64)]
+    return np.concatenate([flat[~last], flat[last]]), int(last.sum())
 
 
 def prefix_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
@@ -254,13 +290,14 @@ def prefix_links(classes: DataFrame, limit: int, block: int) -> DataFrame:
     return blocks(keyed, "key", "rep", block).mapInArrow(join, "a bigint, b bigint").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, block: int = 512) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 6, block: int = 512, often: int = 2048) -> DataFrame:
     """(id_col, text_hash, group_id, first) of every row: group_id is the smallest id that links reach, where texts link whose
     runs of `words` words have a Jaccard similarity of `similarity` or more; text_hash is xxhash64 of the row's text; first tells
     the row that stands for its group (its least id, then text_hash; rows equal in both are all first).
 
     Texts with the same words are one class, which stands for its rows whatever their ids. Texts meet by the prefix filter over
-    their hashed runs (prefix_size()); of those that meet, pairs are candidates whose `prints` SimHash fingerprints over the
+    their hashed runs (prefix_size()), rare runs first: one that about `often` texts or more share is a text's key only where its
+    rare runs can't do, so that texts which only have a passage in common don't meet by it; of those that meet, pairs are candidates whose `prints` SimHash fingerprints over the
     same runs differ in print_limit() bits or fewer. Both follow from `similarity` alone, so candidates are as sure for cut or
     appended passages as for scattered words. Candidate groups are then checked exactly: every member with its group's pivot
     first, which settles a group of copies in linear time, then those that the pivot does not hold with all members, in blocks
@@ -269,6 +306,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     any length count whole; an empty table gives an empty result.
     """
     mixes = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) % (1 << 64)) for r in range(prints)]
+    common = common_buckets(docs, text_col, words, often)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -277,7 +315,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 digests.append(xxhash.xxh3_128_digest(b" ".join(x.lower().split())))
                 flat = np.unique(np.array(shingle_hashes(x, words), np.uint64))
                 fps.append(np.array([fingerprint(_mixed(flat, m)) for m in mixes], np.uint64).view(np.int64))
-                keys.append(flat[: prefix_size(len(flat), similarity)].view(np.int64) if len(flat) else flat.view(np.int64))
+                ordered, n = rare_first(flat, common)
+                keys.append(ordered[: prefix_size(len(flat), similarity, n)].view(np.int64))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(fps, kind), pa.array(keys, kind)], ["id", "t", "digest", "fps", "keys"])
 
