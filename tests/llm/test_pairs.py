@@ -217,6 +217,25 @@ def test_short_items_are_found_as_exact_runs(spark):
     assert got == {1: ([1], 1.0), 2: ([3], 1.0), 3: ([], 0.0)}
 
 
+def test_short_items_are_found_with_other_words_between(spark):
+    """Short items against every window of a quarter more words, by the longest common subsequence."""
+    rnd = random.Random(21)
+    vocabulary = [f"t{k}" for k in range(40)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(1 + k % 8))) for k in range(48)] + [(99, "the quick red fox jumped over lazy dogs")]
+    docs = [(0, "he said the quick red fox jumped right over lazy dogs again"), (1, "the quick red fox jumped over lazy cats"), (2, "the quick red fox sat over there")]
+    docs += [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 40, 1500])))) for k in range(3, 40)]
+    got = {r["doc_id"]: r["bench_items"] for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, x in docs:
+        own, expected = x.encode().split(), []
+        for i, item in items:
+            p = item.encode().split()
+            window = len(p) + -(-len(p) // 4)
+            if any(5 * lcs(p, own[a : a + window]) >= 4 * len(p) for a in range(len(own))):
+                expected.append(i)
+        assert got[k] == expected, k
+    assert 99 in got[0] and 99 in got[1] and 99 not in got[2]
+
+
 def test_paraphrases_against_every_passage_of_every_item(spark):
     """Recall of the latent search against the longest common subsequence with every passage of the benchmark, on whole texts."""
     rnd = random.Random(12)
