@@ -81,6 +81,20 @@ def test_licences(spark, documents, odd):
     assert sum(s[2] == "isc" for s in long.spans) == 50
 
 
+def test_each_template_has_its_own_longest_match():
+    a, b = " ".join(f"a{k}" for k in range(1, 13)), " ".join([*(f"a{k}" for k in range(3, 11)), "b1", "b2"])
+    both = Scanner({}, {"A": (a,), "B": (b,)})
+    text = " ".join(f"a{k}" for k in range(2, 12)).encode()
+    assert {s[2] for s in both.scan(text).spans} <= {"A", "B"}
+    matches = []
+    ids = [both.auto.ids[w] for w in words(text)]
+    both._run(ids, 0, both.scan(b""), matches)
+    assert sorted(matches) == [(0, 0, 1, 10), (1, 1, 0, 8)]
+    for label, own in (("A", a), ("B", b)):
+        alone = Scanner({}, {label: (own,)}).scan(text).spans
+        assert [s[2] for s in alone] == [label]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_scores(docs, labels).collect()

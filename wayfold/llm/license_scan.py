@@ -72,6 +72,23 @@ class Automaton:
             self.ends[self.link[v]] = self.ends[self.link[v]] + self.ends[v]
         for v in order:
             self.whole[v] = self.whole[self.link[v]] + ends.get(v, [])
+        self._held: dict[int, list[tuple[int, int, list[int]]]] = {}
+
+    def held(self, v: int) -> list[tuple[int, int, list[int]]]:
+        """For each sequence that holds a suffix of state v's strings: (sequence, the state of the longest such suffix, the places
+        of the sequence where it ends)."""
+        if v not in self._held:
+            found: dict[int, tuple[int, list[int]]] = {}
+            u = v
+            while u > 0:
+                places: dict[int, list[int]] = {}
+                for end in self.ends[u]:
+                    places.setdefault(self.owner[end], []).append(end)
+                for k, own in places.items():
+                    found.setdefault(k, (u, own))
+                u = self.link[u]
+            self._held[v] = [(k, u, own) for k, (u, own) in found.items()]
+        return self._held[v]
 
     def _extend(self, last: int, c: int, at: int) -> int:
         def state(length: int, ends: list[int]) -> int:
@@ -125,7 +142,8 @@ class Scan:
 class Scanner:
     """Scans texts for phrases and templates.
 
-    Matches of `least` or more words are maximal ends of the matching statistics; matches of one template whose places in text
+    Matches of `least` or more words are maximal ends of the matching statistics, taken for each template by itself: where a longer
+    match of another one stands, the suffix links lead to its own longest. Matches of one template whose places in text
     and template both go forward, at most `gap` words apart in the text, chain into a span. A span counts when its matches
     cover `cover` of the template's words.
     """
@@ -155,17 +173,22 @@ class Scanner:
         return out
 
     def _run(self, ids: list[int], at: int, out: Scan, matches: list[tuple[int, int, int, int]]) -> None:
-        before = (0, 0)
+        # of each template the longest match that ends at the word before, with the template's places where it ends
+        before: dict[int, tuple[int, list[int]]] = {}
         for i, (v, length) in enumerate([*self.auto.stream(ids), (0, 0)]):
             for n, k in self.auto.whole[v]:
                 if k < self.n_phrases and n <= length:
                     out.phrases.append((at + i - n + 1, self.labels[k]))
-            if before[1] >= self.least and length != before[1] + 1:
-                for end in self.auto.ends[before[0]]:
-                    k = self.auto.owner[end]
-                    if k >= self.n_phrases:
-                        matches.append((k, at + i - before[1], end - self.starts[k] - before[1] + 1, before[1]))
-            before = (v, length)
+            now: dict[int, tuple[int, list[int]]] = {}
+            if length >= self.least:
+                for k, u, ends in self.auto.held(v):
+                    n = length if u == v else self.auto.length[u]
+                    if k >= self.n_phrases and n >= self.least:
+                        now[k] = n, ends
+            for k, (n, ends) in before.items():
+                if k not in now or now[k][0] != n + 1:
+                    matches += [(k, at + i - n, end - self.starts[k] - n + 1, n) for end in ends]
+            before = now
 
     def _chain(self, matches: list[tuple[int, int, int, int]], out: Scan) -> None:
         """Best chains by covered words: each match follows the best earlier one that it may."""
