@@ -65,3 +65,15 @@ def test_writing_again_replaces_files(spark, documents, tmp_path):
     for _ in range(2):
         table = write_token_files(documents.limit(30), uri, PATH, parts=2)
         assert read_token_files(spark, uri, table).count() == 30
+
+
+def test_files_tell_their_width_and_leave_no_earlier_parts(spark, documents, library, tmp_path):
+    uri = f"file://{tmp_path}/ids"
+    docs = documents.select("doc_id", "text").where("doc_id < 40")
+    write_token_files(docs, uri, PATH, end_id=1, parts=5)
+    table = write_token_files(docs, uri, PATH, end_id=1, parts=2)
+    assert {x.name.split(".")[0] for x in (tmp_path / "ids").glob("*.ids")} == {"000000", "000001"}
+    narrow = sorted(tuple(r) for r in read_token_files(spark, uri, table).collect())
+    for x in (tmp_path / "ids").glob("*.ids"):
+        np.fromfile(x, "<u2").astype("<u4").tofile(x)
+    assert sorted(tuple(r) for r in read_token_files(spark, uri, table).collect()) == narrow

@@ -37,6 +37,15 @@ def _put(fs, path: str, write) -> None:
     fs.move(own, path)
 
 
+def _clear(uri: str, parts: set[int]) -> None:
+    """Deletes files of other parts, which an earlier writing into the same folder left behind."""
+    fs, base = _open(uri)
+    for x in fs.get_file_info(pfs.FileSelector(base, allow_not_found=True)):
+        stem, _, kind = x.base_name.partition(".")
+        if kind in ("ids", "docs", "offsets") and stem.isdigit() and int(stem) not in parts:
+            fs.delete_file(x.path)
+
+
 def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, part_bytes: int = 256 << 20) -> DataFrame:
     """Encodes every text, in ascending id order, into the files described above under `uri`; returns (part, n_docs, n_tokens, base).
 
@@ -45,6 +54,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
     task holds more than a batch. A part's base is the prefix sum of the token counts of the parts before it; one small row
     per part is all that meets. `end_id` is appended to each document. Null text: no tokens but the end id; null ids come
     first; rows with the same id stand in the order of their texts' hashes. An empty table gives no files and no rows.
+    Parts that an earlier writing left in the folder, beyond those of this one, are deleted.
     An id of -2^63, which would read back as null, is refused. Executors must reach `uri` (a shared folder or object store); lost
     tasks are run again and replace their files.
     """
@@ -88,6 +98,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
 
     # a row per file: the listing of the folder, of the size of a directory listing
     found = sorted(tuple(x) for x in rows.mapInArrow(encode, "part int, n_docs bigint, n_tokens bigint").collect())
+    _clear(uri, {x[0] for x in found})
     bases = np.concatenate([[0], np.cumsum([x[2] for x in found])]).astype(int)
     table = [(p, d, t, int(b)) for (p, d, t), b in zip(found, bases[: len(found)], strict=True)]
     out = spark.createDataFrame(table, "part int, n_docs bigint, n_tokens bigint, base bigint")
@@ -110,13 +121,12 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
     return out
 
 
-def read_token_files(spark: SparkSession, uri: str, table: DataFrame, wide: bool = False, id_col: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, uri: str, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document in the files; ids are summed as unsigned 32-bit integers.
 
     table is what write_token_files() returned. Files on a local or mounted path are memory-mapped, others are read as ranges.
-    wide: the ids are 32-bit.
+    A file's size and offsets tell whether its ids have 16 or 32 bits; one in which they don't agree fails the job.
     """
-    dtype = np.dtype("<u4" if wide else "<u2")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(uri)
@@ -128,6 +138,10 @@ def read_token_files(spark: SparkSession, uri: str, table: DataFrame, wide: bool
                     at = np.frombuffer(f.read(), "<i8")
                 with fs.open_input_file(f"{name}.docs") as f:
                     docs = np.frombuffer(f.read(), "<i8")
+                size, n = fs.get_file_info(f"{name}.ids").size, int(at[-1] - at[0])
+                if size not in (2 * n, 4 * n):
+                    raise ValueError(f"{name}.ids has {size} bytes for {n} ids")
+                dtype = np.dtype("<u2" if size == 2 * n else "<u4")
                 flat = np.memmap(f"{name}.ids", dtype, "r") if local and at[-1] > at[0] else None
                 with fs.open_input_file(f"{name}.ids") as f:
                     crc = []
