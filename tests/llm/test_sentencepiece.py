@@ -73,3 +73,16 @@ def test_decoding_gives_the_text_back(spark, documents, both):
         assert r["round_trip"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     bad = spark.createDataFrame([([model.bytes_at + 0xE6, model.bytes_at + 0x41] if model.bytes_at >= 0 else [5],), (None,)], "ids array<int>")
     assert {r["decoded"] for r in decode(bad, model).collect()} == {library.decode([model.bytes_at + 0xE6, model.bytes_at + 0x41]), None}
+
+
+def test_models_with_pieces_that_are_not_handled_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    from wayfold.llm.sentencepiece_codec import model_of
+
+    for piece, kind in (("<mark>", 4), ("x" * 32, 1)):
+        proto = sentencepiece_model_pb2.ModelProto()
+        for text, own in (("<unk>", 2), ("a", 1), (piece, kind)):
+            proto.pieces.add(piece=text, type=own, score=0.0)
+        with pytest.raises(ValueError):
+            model_of(proto)

@@ -73,7 +73,11 @@ def load_model(path: str) -> Model:
 
 
 def model_of(proto) -> Model:
-    normal, unknown_kind, control, byte = 1, 2, 3, 6
+    normal, unknown_kind, control, user_defined, byte = 1, 2, 3, 4, 6
+    if any(p.type == user_defined for p in proto.pieces):
+        raise ValueError("user-defined pieces, which are cut out before all others, are not handled")
+    if any(p.type == normal and len(p.piece) > 31 for p in proto.pieces):
+        raise ValueError("pieces of over 31 characters are not handled")
     surface: list[str | int] = []
     for p in proto.pieces:
         surface.append(int(p.piece[3:5], 16) if p.type == byte else "" if p.type == control else proto.trainer_spec.unk_surface if p.type == unknown_kind else p.piece.replace(SPACE, " "))
