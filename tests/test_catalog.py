@@ -50,3 +50,16 @@ def test_route_dedup_keeps_the_first_of_alike_routes(spark):
             kept.setdefault(request, []).append((own, k))
     expected = {(r, k) for r, v in kept.items() for _, k in v}
     assert {tuple(r) for r in QUERIES["route_dedup"](spark, SF).collect()} == expected
+
+
+def test_timed_paths_over_more_than_a_day(spark, tmp_path):
+    """Times of over 10^8 ms don't run over into the distance that the SQL keeps beside them."""
+    con = duckdb.connect()
+    con.execute(f"copy (select 40*r+c as p_partkey from range(1500) a(r), range(4) b(c)) to '{tmp_path}/part.parquet' (format parquet)")
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{tmp_path if t == 'part' else SF}/{t}.parquet'")
+    df = QUERIES["timed_paths"](spark, str(tmp_path))
+    found = canonical([tuple(r) for r in df.collect()], df.columns)
+    assert max(r[df.columns.index("ms")] for r in df.collect()) > 10**8
+    con.execute(oracle_sql()["timed_paths"])
+    assert canonical(con.fetchall(), [c[0] for c in con.description]) == found
