@@ -28,8 +28,8 @@ def closest_to(spots: DataFrame, target: float = 300.0) -> DataFrame:
 def phase_violations(runs: DataFrame) -> DataFrame:
     """(route_id, run) of runs that break the phases: controlled runs use no mainline and stay inside, and once a route is
     released (its first run with `released`), no run may be inside on a mainline. runs: route_id, run, inside, mainline, released."""
-    first = runs.where("released").groupBy("route_id").agg(F.min("run").alias("first"))
-    marked = runs.join(first, "route_id", "left").withColumn("after", F.coalesce(F.col("run") >= F.col("first"), F.lit(False)))
+    first = F.min(F.when(F.col("released"), F.col("run"))).over(Window.partitionBy("route_id"))
+    marked = runs.withColumn("first", first).withColumn("after", F.coalesce(F.col("run") >= F.col("first"), F.lit(False)))
     bad = F.when(F.col("after"), F.col("inside") & F.col("mainline")).otherwise(F.col("mainline") | ~F.col("inside"))
     return marked.where(bad).select("route_id", "run")
 
