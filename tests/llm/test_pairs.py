@@ -284,3 +284,16 @@ def test_verbatim_passages_in_small_tables(spark, n, size):
     docs += [(1000 + i, " ".join(word() for _ in range(size + 5))) for i in range(5)]
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
     assert {r["doc_id"]: r["bench_items"] for r in found.collect()} == {i: [i] if i < 1000 else [] for i, _ in docs}
+
+
+def test_space_is_fitted_on_the_whole_benchmark(spark, monkeypatch):
+    from wayfold.llm import decontaminate
+
+    fit, seen = decontaminate.randomised_svd, []
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda rows, *rest: seen.append(rows.count()) or fit(rows, *rest))
+    rnd = random.Random(12)
+    items = [(k, " ".join(f"w{rnd.randrange(900)}" for _ in range(20))) for k in range(40)]
+    docs = [(k, " ".join(f"v{rnd.randrange(900)}" for _ in range(60)) + " " + items[k % 40][1] * (k < 40)) for k in range(80)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["bench_items"] for r in found.collect()} == {k: [k] * (k < 40) for k in range(80)}
+    assert seen == [40]  # every passage of the benchmark, and no sample of the corpus

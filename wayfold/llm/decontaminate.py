@@ -25,7 +25,7 @@ PASSAGE = 32  # most words of a benchmark passage
 SIZES = ((12, 16, 4), (20, 24, 4), (PASSAGE, 40, 8))
 #: Windows start at multiples of this, so that latent vectors are summed over as many words once for all sizes.
 STEP = 4
-#: Passages that the space is fitted on for each of its dimensions, at least.
+#: Passages for each dimension of the space, at least.
 FITTED = 4
 #: Items under this many words are looked for by their words, in windows that are a quarter longer than they are.
 SHORT = 9
@@ -89,38 +89,27 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def survey(docs: DataFrame, text_col: str, sample: int) -> DataFrame:
-    """(term, n, ids), one pass over all of docs: with each term the number of a task's documents that hold it, at term -1 the
-    number of its documents, and at term -2 the terms of sampled passages, about `sample` over all, chosen by hash."""
+def survey(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n), one pass over all of docs: with each term the number of a task's documents that hold it, at term -1 the number of
+    its documents."""
     text = F.col(text_col).cast("string")
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()[0] or 0
-    # a passage has six bytes a word or so; its hash lies under the limit for a share of about sample passages
-    limit = min((1 << 64) - 1, int(sample * PASSAGE * 6 / max(1, size) * (1 << 64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, ids = np.zeros(TERMS, np.int64), 0, TermIds()
-        names = ["term", "n", "ids"]
         for batch in by_bytes(batches, "text"):
-            picked = []
             for x in utf8_list(batch.column("text")):
-                own = words(x)
-                held[ids.of(list(set(own)))] += 1  # once a term, however many of the words meet in it
+                held[ids.of(list(set(words(x))))] += 1  # once a term, however many of the words meet in it
                 n += 1
-                starts = np.arange(0, len(own), PASSAGE)
-                mixed = (starts.astype(np.uint64) + np.uint64(xxhash.xxh64_intdigest(x))) * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                picked += [ids.of(own[a : a + PASSAGE]).astype("<i4").tobytes() for a in starts[mixed <= np.uint64(limit)].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([-2] * len(picked), pa.int32()), pa.array([1] * len(picked), pa.int64()), pa.array(picked, pa.binary())], names)
         at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *held[at].tolist()], pa.int64()), pa.nulls(len(at) + 1, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *held[at].tolist()], pa.int64())], ["term", "n"])
 
-    return docs.select(text.alias("text")).mapInArrow(count, "term int, n bigint, ids binary")
+    return docs.select(text.alias("text")).mapInArrow(count, "term int, n bigint")
 
 
 def inverse_frequencies(counted: DataFrame) -> np.ndarray:
     """The weight of each of the TERMS terms, from survey()."""
     df, n = np.zeros(TERMS), 0
-    for term, k in counted.where("term >= -1").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for term, k in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
         if term < 0:
             n = k
         else:
@@ -305,13 +294,13 @@ def _load(uri: str) -> list[Passage]:
     return [Passage(r["item"], r["words"].split(b" "), r["answer"].split(b" ")) for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 64, sample: int = 24_576, cosine: float = 0.48, sure: float = 0.8, likely: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = 64, cosine: float = 0.48, sure: float = 0.8, likely: float = 0.6) -> DataFrame:
     """docs with two more columns: `bench_items` (sorted ids of the benchmark items whose passages a text holds) and
     `bench_share` (greatest share of a passage's words found in order; 0 without items).
 
-    Document frequencies are counted over all documents. The space is a distributed randomised SVD of rank `rank` of TF-IDF
-    passages, or a FITTED-th of their number where they are few: those of the benchmark, and of the corpus a sample of about `sample` in all, chosen by hash from every document;
-    both bounds hold for the fit alone. Latent coordinates are those of the left singular vectors, in which unlike passages are
+    Document frequencies are counted over all documents. The space is a distributed randomised SVD of rank `rank`, or a FITTED-th
+    of the passages where they are few, of the TF-IDF passages of the whole benchmark: what no passage holds adds nothing to a
+    window's place in it. Latent coordinates are those of the left singular vectors, in which unlike passages are
     about equally far in every direction. Every window of every text is compared there with the passages of its size, in blocks,
     but for passages that lack too many words in that stretch of the text to pass the check; windows with a cosine of `cosine` or more are checked: a passage is held if `sure` of its words stand in the window
     in order, or `likely` of them and the item's answer. Items under SHORT words have too little weight to be retrieved: every
@@ -335,20 +324,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_passages = table.count()
     if not n_passages:
         return docs.select(*(F.col(f"`{c}`") for c in kept), F.array().cast("array<bigint>").alias("bench_items"), F.lit(0.0).alias("bench_share"))
-    counted = persisted(survey(docs, text_col, sample), "bench-survey")
+    counted = persisted(survey(docs, text_col), "bench-survey")
     idf = inverse_frequencies(counted)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds()
         for batch in batches:
-            own = [_weights(np.frombuffer(x, "<i4") if mark else ids.of(x.split(b" ")), idf) for x, mark in zip(batch.column("x").to_pylist(), batch.column("mark").to_pylist(), strict=True) if x]
+            own = [_weights(ids.of(x.split(b" ")), idf) for x in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([w for _, w in own], pa.list_(pa.float32()))], ["terms", "weights"])
 
-    chosen = table.where(F.abs(F.xxhash64("words")) % n_passages < sample).select(F.col("words").alias("x"), F.lit(False).alias("mark"))
-    both = counted.where("term = -2").select(F.col("ids").alias("x"), F.lit(True).alias("mark")).unionByName(chosen).coalesce(8)
-    rows = persisted(both.mapInArrow(weigh, "terms array<int>, weights array<float>"), "bench-rows")
+    rows = persisted(table.select("words").mapInArrow(weigh, "terms array<int>, weights array<float>"), "bench-rows")
     # with a rank near the number of rows every fitted row would stand at right angles to all others, its own copies' too
-    vectors, values = randomised_svd(rows.coalesce(4), TERMS, max(1, min(rank, rows.count() // FITTED)))
+    vectors, values = randomised_svd(rows.coalesce(4), TERMS, max(1, min(rank, n_passages // FITTED)))
     discard(counted)
     discard(rows)
     basis = spark.sparkContext.broadcast((vectors * idf[:, None] / np.maximum(values, 1e-12)).astype(np.float32))
