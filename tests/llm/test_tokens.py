@@ -29,6 +29,30 @@ def test_chunks_encode_as_the_library_does(library, most):
         assert encoder.ids(x.encode()) == np.array(library(x), "<u2").tobytes(), x
 
 
+def test_letters_of_other_scripts_are_words_of_the_model(library):
+    """Every letter before U+0250, alone and beside others and marks, without a run of the whole tokenizer."""
+    encoder, plain = ChunkEncoder(PATH), ChunkEncoder(PATH)
+    encoder._whole = lambda text: pytest.fail(text) if text.lower() == text and text.isalpha() else plain._whole(text)
+    letters = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha() and len(chr(c).lower()) == 1]
+    for x in [y for c in letters for y in (c, f"a{c}b.", f"{c}{c}**", f"{c}1", f"{c}'s", f"{c}'S.", f"1{c}")]:
+        assert encoder.ids(x.encode()) == np.array(library(x), "<u2").tobytes(), x
+    for x in ("İx", "x\u0301é", "ŉ", "ĳ", "éa\u0301."):
+        assert encoder.ids(x.encode()) == np.array(library(x), "<u2").tobytes(), x
+
+
+def test_an_encoder_is_loaded_once_a_process(tmp_path):
+    import shutil
+
+    from wayfold.llm.encoder import kept
+
+    own = str(shutil.copy(PATH, tmp_path / "own.json"))
+    first = kept(own)
+    assert kept(own) is first
+    with open(own, "a") as f:  # another file of the same name is another encoder
+        f.write("\n")
+    assert kept(own) is not first
+
+
 def test_counts(odd, documents, library):
     for docs in (odd, documents, odd.limit(0)):
         rows = docs.select("doc_id", "text").collect()

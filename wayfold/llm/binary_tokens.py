@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, utf8_list
-from .encoder import ChunkEncoder
+from .encoder import kept
 
 NULL_ID = -(1 << 63)
 
@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = ChunkEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = kept(tokenizer), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         fs, base = _open(uri)
         fs.create_dir(base, recursive=True)

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import struct
 
 import numpy as np
 
 #: ASCII marks that never join a preceding letter or digit into one pre-token.
 _MARKS = b'.,!?;:#$%&*|"()-'
+#: Letters before this one compose with none and are folded alike by every Unicode version.
+_PLAIN = "\u0250"
+#: The characters that stand for bytes in a byte-level vocabulary, by byte.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+
+
+@functools.lru_cache(2)
+def _kept(path: str, most: int, state: tuple) -> ChunkEncoder:
+    return ChunkEncoder(path, most)
+
+
+def kept(path: str, most: int = 600_000) -> ChunkEncoder:
+    """The encoder of a file, loaded once a worker process: later tasks find the vocabulary and the chunks of earlier ones."""
+    at = os.stat(path)
+    return _kept(path, most, (at.st_mtime_ns, at.st_size))
 
 
 class ChunkEncoder:
@@ -36,19 +53,35 @@ class ChunkEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.model = self.tokenizer.model
+        last = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[-1]
+        #: The model sees bytes as characters, with nothing put before them: a run of letters is one word of it.
+        self.by_letters = self.by_chunk and last.get("type") == "ByteLevel" and not last.get("add_prefix_space") and r"[\p{L}]+" in pattern and len(spec["pre_tokenizer"]["pretokenizers"]) == 2
+        self.code = "<%dH" if self.dtype.itemsize == 2 else "<%dI"
         self.half, self.young, self.old = most // 2, _Chunks(self), {}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(self.code % len(ids), *ids)
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _letters(self, chunk: bytes) -> str | None:
+        """The model's word for a chunk of letters before _PLAIN only, else None."""
+        text = chunk.decode().lower()
+        if text.isalpha() and max(text) < _PLAIN:
+            return text.encode().decode("latin-1").translate(_SHOWN)
+        return None
 
     def _chunk(self, chunk: bytes) -> bytes:
         """Ids of a chunk that isn't in the younger generation."""
         if (ids := self.old.get(chunk)) is None:
             if chunk.isalpha() and chunk.isascii() and chunk.islower():
-                ids = np.array([x.id for x in self.model.tokenize(chunk.decode())], self.dtype).tobytes()
+                ids = self._bytes([x.id for x in self.model.tokenize(chunk.decode())])
+            elif self.by_letters and chunk and (word := self._letters(chunk)):
+                ids = self._bytes([x.id for x in self.model.tokenize(word)])
             else:
                 core = chunk.rstrip(_MARKS)
-                if core and core != chunk and core[-1:].isalnum() and b"<|" not in chunk:
+                if core and core != chunk and b"<|" not in chunk and (core[-1:].isalnum() or self.by_letters and self._letters(core)):
                     ids = self.young[core] + self.young[chunk[len(core) :]]
                 else:
                     ids = self._whole(chunk.decode()) if chunk else b""

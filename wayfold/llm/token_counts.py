@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, utf8_list
-from .encoder import ChunkEncoder
+from .encoder import kept
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
@@ -28,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
             count = lambda x: len(model.encode(x.decode(), num_threads=1))
         else:
-            count = ChunkEncoder(tokenizer).count
+            count = kept(tokenizer).count
         for batch in by_bytes(batches, "text", batch_bytes):
             texts = utf8_list(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(map(count, texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
