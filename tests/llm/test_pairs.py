@@ -297,3 +297,18 @@ def test_space_is_fitted_on_the_whole_benchmark(spark, monkeypatch):
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r["doc_id"]: r["bench_items"] for r in found.collect()} == {k: [k] * (k < 40) for k in range(80)}
     assert seen == [40]  # every passage of the benchmark, and no sample of the corpus
+
+
+def test_terms_are_hashes_and_no_words_are_remembered():
+    import pickle
+
+    import xxhash
+
+    from wayfold.llm import decontaminate
+
+    own = [b"one", "été".encode(), b"", b"one"]
+    assert decontaminate.terms_of(own, 4).tolist() == [xxhash.xxh32_intdigest(w) % decontaminate.TERMS for w in own]
+    retriever = decontaminate.Retriever(passages(1, "some words that stand in an item of a benchmark"), np.ones((decontaminate.TERMS, 2), np.float32), 0.48, 0.8, 0.6)
+    before = len(pickle.dumps(retriever))
+    assert retriever.matches(b" ".join(b"w%d" % i for i in range(5000))) == {}
+    assert len(pickle.dumps(retriever)) == before

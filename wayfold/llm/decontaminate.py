@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,17 +42,9 @@ def words(text: bytes) -> list[bytes]:
     return ascii_words(text if text.isascii() else text.decode().lower().encode())
 
 
-class TermIds(dict):
-    """word -> term; forgets all at two million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        self[word] = term = xxhash.xxh32_intdigest(word) % TERMS
-        return term
-
-    def of(self, parts: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
+def terms_of(parts: Iterable[bytes], n: int) -> np.ndarray:
+    """The terms of n words. A hash costs no more than to look a word up, and most words of a large corpus are new ones."""
+    return (np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, n) % TERMS).astype(np.int32)
 
 
 @dataclass
@@ -95,10 +87,11 @@ def survey(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, ids = np.zeros(TERMS, np.int64), 0, TermIds()
+        held, n = np.zeros(TERMS, np.int64), 0
         for batch in by_bytes(batches, "text"):
             for x in utf8_list(batch.column("text")):
-                held[ids.of(list(set(words(x))))] += 1  # once a term, however many of the words meet in it
+                own = set(words(x))
+                held[terms_of(own, len(own))] += 1  # once a term, however many of the words meet in it
                 n += 1
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *held[at].tolist()], pa.int64())], ["term", "n"])
@@ -185,37 +178,37 @@ class Retriever:
     """
 
     def __init__(self, found: list[Passage], basis: np.ndarray, cosine: float, sure: float, likely: float):
-        self.ids, self.basis, self.cosine, self.sure, self.likely = TermIds(), basis, cosine, sure, likely
-        self.sizes, least, terms, needs = [], SHORT, [], []
+        self.basis, self.cosine, self.sure, self.likely = basis, cosine, sure, likely
+        self.sizes, least, held, needs = [], SHORT, [], []
         for most, window, stride in SIZES:
             own = [p for p in found if least <= len(p.words) <= most]
             if own:
-                ids = [self.ids.of(p.words) for p in own]
+                ids = [terms_of(p.words, len(p.words)) for p in own]
                 latent = _unit(np.stack([basis[x].sum(axis=0) for x in ids]))
                 need = np.array([max(1, math.ceil(min(likely, sure) * len(p.words))) for p in own])
                 marks = np.stack([np.bitwise_or.reduce(MARKS[x % BITS], axis=0) for x in ids])
                 # each absent mark is an absent word at least, and no more words than these may be absent
                 least_marks = np.bitwise_count(marks).sum(axis=1) - (np.array(list(map(len, ids))) - need)
-                self.sizes.append((own, latent.T.copy(), marks, least_marks, window, stride, slice(len(terms), len(terms) + len(own))))
-                terms += ids
+                self.sizes.append((own, latent.T.copy(), marks, least_marks, window, stride, slice(len(held), len(held) + len(own))))
+                held += ids
                 needs += need.tolist()
             least = most + 1
-        self.short, self.short_from = [p for p in found if len(p.words) < SHORT], len(terms)
+        self.short, self.short_from = [p for p in found if len(p.words) < SHORT], len(held)
         self.short_needs = [max(1, math.ceil(sure * len(p.words) - 1e-9)) for p in self.short]
-        terms += [self.ids.of(p.words) for p in self.short]
+        held += [terms_of(p.words, len(p.words)) for p in self.short]
         needs += self.short_needs
-        self.short_terms = [np.unique(x) for x in terms[self.short_from :]]
+        self.short_terms = [np.unique(x) for x in held[self.short_from :]]
         # for each term the passages that hold it, once for each place
-        flat = np.concatenate([np.zeros(0, np.int32), *terms])
+        flat = np.concatenate([np.zeros(0, np.int32), *held])
         order = np.argsort(flat, kind="stable")
-        self.holders = np.repeat(np.arange(len(terms)), list(map(len, terms)))[order]
+        self.holders = np.repeat(np.arange(len(held)), list(map(len, held)))[order]
         self.at = np.searchsorted(flat[order], np.arange(TERMS + 1))
         self.needs = np.array(needs, np.int64)
 
     def possible(self, ids: np.ndarray) -> np.ndarray:
         """Which passages have enough of their words among `ids`: no text without them can hold enough in order."""
-        terms = np.unique(ids)
-        a, n = self.at[terms], self.at[terms + 1] - self.at[terms]
+        own = np.unique(ids)
+        a, n = self.at[own], self.at[own + 1] - self.at[own]
         spots = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return np.bincount(self.holders[spots], minlength=len(self.needs)) >= self.needs
 
@@ -225,7 +218,7 @@ class Retriever:
         found: dict[int, float] = {}
         if not parts or not len(self.needs):
             return found
-        ids = self.ids.of(parts)
+        ids = terms_of(parts, len(parts))
         for lo in range(0, len(parts), 1 << 10):  # slices that overlap by a window and its surroundings
             hi = min(len(parts), lo + (1 << 10) + 2 * PASSAGE)
             possible = self.possible(ids[max(0, lo - PASSAGE) : hi + PASSAGE])
@@ -328,9 +321,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     idf = inverse_frequencies(counted)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TermIds()
         for batch in batches:
-            own = [_weights(ids.of(x.split(b" ")), idf) for x in batch.column("words").to_pylist()]
+            own = [_weights(terms_of(x, len(x)), idf) for x in (x.split(b" ") for x in batch.column("words").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.list_(pa.int32())), pa.array([w for _, w in own], pa.list_(pa.float32()))], ["terms", "weights"])
 
     rows = persisted(table.select("words").mapInArrow(weigh, "terms array<int>, weights array<float>"), "bench-rows")
