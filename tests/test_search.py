@@ -163,3 +163,32 @@ def test_empty_seeds_turns_and_targets(spark):
         got = search.target_search(s, t, g.limit(0), small=small)
         assert got.targets.count() == 0
         assert {r["outcome"] for r in got.audit.collect()} == {"EXHAUSTED"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_requests_solved_together_have_the_labels_of_each_alone(seed):
+    """Zero costs, equal ways, times and limits, against relaxing all turns until nothing falls."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(30) * 7, rnd.randrange(30) * 7, rnd.choice((0, 1, 1, 2, 5)), rnd.choice((0, 0, 1, 3)) * (seed % 2), 0) for _ in range(90)]
+    net = search.Turns(pa.table(dict(zip(("key", "next_key", "next_mm", "next_ms", "reject"), map(list, zip(*rows, strict=True)), strict=True))))
+    seeds = [(r, rnd.choice(net.keys.tolist()), rnd.randrange(3), rnd.randrange(3) * (seed % 2)) for r in range(5) for _ in range(2)]
+    limit = (4, 9, search.FAR)[seed % 3]
+    want = {}
+    for r, k, d, t in seeds:
+        want[r, k] = min((d, t, -1), want.get((r, k), (d, t, -1)))
+    before = None
+    while before != want:
+        before = dict(want)
+        for (r, k), (d, t, _) in before.items():
+            for a, b, mm, ms, _ in rows:
+                if a == k and d + mm <= limit:
+                    want[r, b] = min((d + mm, t + ms, a), want.get((r, b), (d + mm, t + ms, a)))
+    reached = search.Reached(net, 5)
+    for _ in range(2):  # the arrays are used again
+        r, k, d, t = (np.array(c) for c in zip(*seeds, strict=True))
+        cell, *label = reached.labels(r * reached.width + net.place(k), d, t, limit)
+        found = {(c // reached.width, int(net.keys[c % reached.width])): x for c, *x in zip(cell.tolist(), *(y.tolist() for y in label), strict=True)}
+        assert {x: tuple(y) for x, y in found.items()} == want
