@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import graph, topology
@@ -34,6 +35,14 @@ def test_anchored_and_boundary_ways(spark):
     assert {tuple(r) for r in topology.boundary_transitions(starts, keys, turns, nodes).collect()} == {(7, 4, 2), (7, 6, 1)}
 
 
+def test_anchored_ways_look_no_further_than_their_ends(spark, monkeypatch):
+    keys = spark.createDataFrame([(2 * i, i, i, i + 1, 10) for i in range(30)], "key long, edge_id long, from_node long, to_node long, len_mm long")
+    turns = graph.adjacency(keys, spark.createDataFrame([], "from_edge long, via_node long, to_edge long"))
+    requests = spark.createDataFrame([(1, 0, 4), (1, 0, 6), (2, 8, 8), (3, 4, 0)], "request long, first_key long, last_key long")
+    monkeypatch.setattr(graph, "shortest_paths", lambda *a, **k: pytest.fail("labels of the whole network"))
+    assert sorted(tuple(r) for r in topology.anchored_ways(requests, turns, keys).collect()) == [(1, 30), (1, 40), (2, 10)]
+
+
 def test_rings_and_their_files(spark, tmp_path):
     square = [((0.0, 0.0), (1.0, 0.0)), ((1.0, 1.0), (1.0, 0.0)), ((1.0, 1.0), (0.0, 1.0)), ((0.0, 1.0), (0.0, 0.0))]
     loose = [((5.0, 5.0), (6.0, 5.0)), ((6.0, 5.0), (7.0, 5.0))]

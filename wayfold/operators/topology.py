@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import graph
+from wayfold.operators import graph, search
 
 
 def relation_ways(ways: DataFrame, members: DataFrame, relations: DataFrame, tags: dict[str, str]) -> DataFrame:
@@ -44,10 +44,14 @@ def checkpoint_bypasses(edges: DataFrame, limit_mm: int = 3_000_000) -> DataFram
 
 
 def anchored_ways(requests: DataFrame, turns: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(request, dist_mm): the shortest way from one directed key to another, both wholly used. requests: request, first_key, last_key."""
-    seeds = requests.join(lengths.select(F.col("key").alias("first_key"), "len_mm"), "first_key").select("request", F.col("first_key").alias("key"), F.col("len_mm").alias("dist_mm"))
-    found = graph.shortest_paths(seeds, turns)
-    return found.join(requests.select("request", F.col("last_key").alias("key")), ["request", "key"]).select("request", "dist_mm")
+    """(request, dist_mm): the shortest way from one directed key to another, both wholly used. requests: request, first_key, last_key.
+
+    Each row is a search of its own, for the end of its last key, and goes no further than that."""
+    rows = graph._cut(requests.select("request", "first_key", "last_key").withColumn("row", F.monotonically_increasing_id()), "anchored")
+    seeds = rows.join(lengths.select(F.col("key").alias("first_key"), "len_mm"), "first_key").select(F.col("row").alias("request"), F.col("first_key").alias("key"), F.col("len_mm").alias("dist_mm"))
+    ends = rows.select(F.col("row").cast("string").alias("target"), F.col("last_key").alias("key"), F.lit(0).alias("back_mm"), F.col("row").alias("request"))
+    found = search.target_search(seeds, turns, ends, step_mm=0, tiers=1).targets
+    return found.select(F.col("request").alias("row"), "dist_mm").join(rows, "row").select("request", "dist_mm")
 
 
 def boundary_transitions(starts: DataFrame, keys: DataFrame, turns: DataFrame, on_boundary: DataFrame) -> DataFrame:
