@@ -192,3 +192,22 @@ def test_requests_solved_together_have_the_labels_of_each_alone(seed):
         cell, *label = reached.labels(r * reached.width + net.place(k), d, t, limit)
         found = {(c // reached.width, int(net.keys[c % reached.width])): x for c, *x in zip(cell.tolist(), *(y.tolist() for y in label), strict=True)}
         assert {x: tuple(y) for x, y in found.items()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_searches_together_end_as_each_alone(seed):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(40), rnd.randrange(40), rnd.randrange(5, 9), rnd.randrange(3), rnd.choice((0, 0, 0, 1, 2))) for _ in range(130)]
+    net = search.Turns(pa.table(dict(zip(("key", "next_key", "next_mm", "next_ms", "reject"), map(list, zip(*rows, strict=True)), strict=True))))
+    on = {}
+    for i, k in enumerate(rnd.sample(net.keys.tolist(), 6)):
+        on.setdefault(k, []).append((f"t{i % 4}", rnd.randrange(5), rnd.randrange(2), None))
+    reached = search.Reached(net, 1)
+    for start in net.keys.tolist():
+        for step, tiers in ((4, 2), (1000, 1), (0, 1)):
+            want, audit = search._solve(net, on, 0, [(9, 1, start)], set(), step, tiers, None, None, False)
+            found, own = search._ended(net, on, *reached.labels(net.place(np.array([start])), np.array([9]), np.array([1])), step, tiers)
+            assert (sorted(found), own) == (sorted(want), audit)
