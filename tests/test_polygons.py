@@ -84,3 +84,29 @@ def test_boundary_file_of_four_roles_is_what_its_reader_wants(spark, tmp_path):
     assert back.where("role = 'controlled_area'").count() == rings.count()
     with pytest.raises(Exception, match="no ring of provincial_border"):
         topology.boundary_json(four.where("role <> 'provincial_border'"), "a" * 64, True, tuple(ROLES)).collect()
+
+
+def test_long_rings_are_numbered_in_few_rounds_and_without_a_group(spark, monkeypatch):
+    """A ring of 3,000 pieces, one of 4 and a single node: seq goes round from the least node, in rounds as the logarithm of the length."""
+    from wayfold.operators import graph
+
+    cut, rounds = graph._cut, []
+    monkeypatch.setattr(graph, "_cut", lambda df, name: rounds.append(name) or cut(df, name))
+    walks = [random.Random(3).sample(range(3000), 3000), [5003, 5001, 5002, 5000], [7000]]
+    links = [(n, w[(i + 1) % len(w)], n % 7) for w in walks for i, n in enumerate(w)]
+    found = {r["node"]: (r["first"], r["seq"]) for r in graph.cycles(spark.createDataFrame(links, "node long, next long, x long"), "x").collect()}
+    wanted = {}
+    for w in walks:
+        k = w.index(min(w, key=lambda n: (n % 7, n)))
+        wanted |= {n: (w[k], i) for i, n in enumerate(w[k:] + w[:k])}
+    assert found == wanted and len(rounds) <= 15
+    long = polygons.rings_of(spark.createDataFrame([(i, 0, i + 1, 0) for i in range(500)] + [(500, 0, 500, 9), (500, 9, 0, 9), (0, 9, 0, 0)], "x1 long, y1 long, x2 long, y2 long"))
+    assert [(r["seq"], round(r["lng"] * polygons.UNITS), round(r["lat"] * polygons.UNITS)) for r in long.orderBy("seq").collect()] == [*((i, i, 0) for i in range(501)), (501, 500, 9), (502, 0, 9), (503, 0, 0)]
+    assert "MapInPandas" not in long._jdf.queryExecution().toString() and "FlatMapGroups" not in long._jdf.queryExecution().toString()
+
+
+def test_sides_of_a_cell_are_dealt_and_met_by_their_boxes(spark):
+    rows = spark.createDataFrame([x for k in range(40) for x in sides(k, box(k * 0.01, 0.0, k * 0.01 + 0.01, 0.01))], SIDES)
+    plan = polygons.cut_borders(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [cell" in plan
+    assert polygons.union_border(rows).count() == 82

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +30,9 @@ def cut_borders(parts: DataFrame, cell: float = 0.02) -> DataFrame:
     own = sides.select("id", "ax", "ay", "bx", "by", *(c.alias(n) for n, c in box.items())).withColumn("cell", F.explode(spatial._cells({n: F.col(n) for n in box}, cell)))
     other = own.select("cell", *(F.col(c).alias(f"o_{c}") for c in own.columns if c != "cell"))
     first = (F.col("cell.cx") == F.greatest(at("min_lng"), at("o_min_lng"))) & (F.col("cell.cy") == F.greatest(at("min_lat"), at("o_min_lat")))
-    met = own.join(other, "cell").where((F.col("id") != F.col("o_id")) & first)
+    # a cell's sides are many pairs: they are dealt by cell, and only pairs whose boxes meet are measured
+    boxed = (F.col("o_min_lng") <= F.col("max_lng")) & (F.col("min_lng") <= F.col("o_max_lng")) & (F.col("o_min_lat") <= F.col("max_lat")) & (F.col("min_lat") <= F.col("o_max_lat"))
+    met = own.hint("merge").join(other, "cell").where((F.col("id") != F.col("o_id")) & first & boxed)
     ax, ay, bx, by, cx, cy, dx, dy = map(F.col, ("ax", "ay", "bx", "by", "o_ax", "o_ay", "o_bx", "o_by"))
     det = F.nullif((bx - ax) * (dy - cy) - (by - ay) * (dx - cx), F.lit(0.0))
     t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det
@@ -93,7 +94,7 @@ def rings_of(border: DataFrame) -> DataFrame:
     the left, and so do holes, whose signed area is negative.
 
     At a place where several rings meet, a piece goes on with the first one clockwise from where it came, so that each stretch of
-    inside has its own ring. A ring is walked in one group, so it should fit a task, as the boundaries of areas do."""
+    inside has its own ring. Rings are numbered by joins (graph.cycles()), so that they may be of any length."""
     rows = border.select("x1", "y1", "x2", "y2", F.xxhash64("x1", "y1", "x2", "y2").alias("h"))
     rows = graph._cut(rows, "border-pieces")
     on = rows.select(F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"), F.col("h").alias("next"))
@@ -102,31 +103,22 @@ def rings_of(border: DataFrame) -> DataFrame:
     turn = back - ahead
     clockwise = F.when(turn <= 1e-12, turn + 6.283185307179586).otherwise(turn)
     linked = rows.join(on, ["x2", "y2"]).groupBy("h", "x1", "y1").agg(F.min_by("next", clockwise).alias("next"))
-    linked = graph._cut(linked, "border-links")
-    parts = graph.components(linked.select(F.col("h").alias("a"), F.col("next").alias("b")))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after, place = dict(zip(pdf["h"], pdf["next"], strict=True)), dict(zip(pdf["h"], zip(pdf["x1"], pdf["y1"], strict=True), strict=True))
-        first = min(place, key=lambda h: (place[h], h))
-        order, at = [first], after[first]
-        while at != first:
-            order.append(at)
-            at = after[at]
-        order.append(first)
-        return pd.DataFrame({"ring": first, "seq": range(len(order)), "lng": [place[h][0] / UNITS for h in order], "lat": [place[h][1] / UNITS for h in order]})
-
-    met = linked.join(parts.withColumnRenamed("node", "h"), "h")
-    return met.groupBy("component").applyInPandas(walk, "ring bigint, seq int, lng double, lat double")
+    linked = graph._cut(linked.withColumnRenamed("h", "node"), "border-links")
+    at = graph._cut(graph.cycles(linked, "x1", "y1").join(linked, "node").select(F.col("first").alias("ring"), F.col("seq").cast("int").alias("seq"), (F.col("x1") / UNITS).alias("lng"), (F.col("y1") / UNITS).alias("lat")), "ring-places")
+    # a closed ring ends where it starts
+    sizes = at.groupBy("ring").agg(F.count("*").cast("int").alias("seq"))
+    return at.unionByName(at.where("seq = 0").drop("seq").join(sizes, "ring").select("ring", "seq", "lng", "lat"))
 
 
 def signed_areas(rings: DataFrame) -> DataFrame:
     """(ring, points, area): sides and signed area in square degrees of closed rings (ring, seq, lng, lat), measured from each ring's
     first point, so that small rings lose no digits."""
-    w = Window.partitionBy("ring").orderBy("seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x, y = F.col("lng") - F.first("lng").over(whole), F.col("lat") - F.first("lat").over(whole)
-    step = rings.select("ring", "seq", x.alias("x"), y.alias("y")).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("nx is not null")
-    return step.groupBy("ring").agg(F.count("*").alias("points"), (F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"))
+    first = rings.where("seq = 0").select("ring", F.col("lng").alias("x0"), F.col("lat").alias("y0"))
+    after = rings.select("ring", (F.col("seq") - 1).alias("seq"), F.col("lng").alias("nlng"), F.col("lat").alias("nlat"))
+    x, y, nx, ny = (F.col(c) - F.col(o) for c, o in (("lng", "x0"), ("lat", "y0"), ("nlng", "x0"), ("nlat", "y0")))
+    # rows meet by ring and place, and sums are begun before rings meet, so that a long ring is spread over tasks
+    step = rings.join(after, ["ring", "seq"]).join(first, "ring")
+    return step.groupBy("ring").agg(F.count("*").alias("points"), (F.sum(x * ny - nx * y) / 2).alias("area"))
 
 
 def union_report(parts: DataFrame, rings: DataFrame, tolerance: float = 1e-12) -> DataFrame:
