@@ -211,3 +211,26 @@ def test_searches_together_end_as_each_alone(seed):
             want, audit = search._solve(net, on, 0, [(9, 1, start)], set(), step, tiers, None, None, False)
             found, own = search._ended(net, on, *reached.labels(net.place(np.array([start])), np.array([9]), np.array([1])), step, tiers)
             assert (sorted(found), own) == (sorted(want), audit)
+
+
+def test_targets_from_one_search_over_parts_are_those_of_a_search_for_each_request(spark, monkeypatch):
+    """Against plain searches, with accepted targets too; a key keeps labels within the bound of its nearest target only."""
+    far, given = search.far_labels, []
+    monkeypatch.setattr(search, "far_labels", lambda *args, **kw: given.append(far(*args, **kw)) or given[-1])
+    turns, seeds, targets = city(5)
+    take = [(1, "t3"), (2, "t8"), (3, "t1")]
+    s, t, g = frames(spark, turns, seeds, targets)
+    found = search.nearest_targets(s, t, g, STEP, TIERS, spark.createDataFrame(take, "request long, target string"), part_turns=120)
+    wanted = set()
+    for request in (1, 2, 3, 4):
+        best, met = plain(turns, seeds, request), {}
+        for name, k, mm, _ in targets:
+            if k in best:
+                met[name] = min(best[k][0] - mm, met.get(name, 1 << 62))
+        low = min(met.values(), default=0)
+        tiers = {n: max(1, -(-(d - low) // STEP)) for n, d in met.items() if d <= low + STEP * TIERS}
+        last = min((tiers[n] for r, n in take if r == request and n in tiers), default=TIERS)
+        wanted |= {(request, n, met[n], k) for n, k in tiers.items() if k <= last}
+    assert {tuple(r) for r in found.select("request", "target", "dist_mm", "tier").collect()} == wanted and wanted
+    labels = given[0][0].groupBy("key").agg((F.max("dist_mm") - F.min("dist_mm")).alias("wide"))
+    assert labels.agg(F.max("wide")).first()[0] <= STEP * TIERS

@@ -420,7 +420,7 @@ def _ended(net: Turns, on: dict[int, list[tuple[str, int, int, int | None]]], pl
     return found, (len(settled), count(net.checks), count(net.banned), count(net.blocked), EXHAUSTED if done.all() else SETTLED)
 
 
-def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, part: Column | None = None, part_turns: int = 1_000_000, wave_mm: int | None = None, targets: DataFrame | None = None, enough_mm: int = 0, requests_a_group: int = 32) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[int]]:
+def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, part: Column | None = None, part_turns: int = 1_000_000, wave_mm: int | None = None, targets: DataFrame | None = None, enough_mm: int = 0, requests_a_group: int = 32, within_mm: int | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, list[int]]:
     """(labels, target labels, requests that ended before the network did, label counts of the rounds) over a network in parts, for networks of any size.
 
     Keys are dealt into parts, by default by even ranges of keys with about part_turns turns each (so keys should be numbered
@@ -432,6 +432,9 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     With targets (target, key, back_mm, back_ms) a request is left out of further rounds once all that costs up to enough_mm more
     than its best target is known. A task holds one part's turns and the labels of at most requests_a_group requests in it on
     average. A repeated task reads the same earlier versions of its files and writes the same ones.
+
+    With within_mm a key keeps only labels that cost at most so much more than its least one of any request: all requests of a part
+    are then searched together, and nothing spreads where another request is nearer by more than that.
     """
     spark = seeds.sparkSession
     blocks.ship(spark)
@@ -441,7 +444,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     parts = max(1, -(-stat["n"] // part_turns))
     width = max(1, -(-(stat["high"] - stat["low"] + 1) // parts)) if stat["n"] else 1
     of = part if part is not None else F.floor((F.col("key") - (stat["low"] or 0)) / width).cast("bigint")
-    groups = max(1, -(-seeds.select("request").distinct().count() // requests_a_group))
+    groups = 1 if within_mm is not None else max(1, -(-seeds.select("request").distinct().count() // requests_a_group))
     wave = wave_mm or int(64 * (stat["mean"] or 1)) + 1
     own = lambda df: df.withColumn("part", of)
     goal_rows = None if targets is None else own(targets.select("key", "target", "back_mm", "back_ms", "request"))
@@ -478,21 +481,28 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
                 folder = f"labels/{name}-{group}"
                 earlier = [v for v in blocks.versions(base, folder) if v < number]
                 labels: dict[int, dict[int, tuple[int, int, int]]] = {}
+                least: dict[int, int] = {}  # of each key, where labels have to lie within a bound of it
                 if earlier:
                     for r, k, *label in zip(*(blocks.get(base, f"{folder}/{earlier[-1]}").column(c).to_pylist() for c in _NAMES), strict=True):
                         labels.setdefault(r, {})[k] = tuple(label)
-                heaps: dict[int, list[tuple[int, int, int]]] = {}
+                        if within_mm is not None:
+                            least[k] = min(label[0], least.get(k, FAR))
+                heaps: dict[int | None, list[tuple[int, int, int, int]]] = {}
                 met: dict[tuple[int, str], tuple[int, int, int, int]] = {}
                 away: dict[tuple[int, int], tuple[int, int, int]] = {}
 
-                def better(r: int, key: int, label: tuple[int, int, int], labels=labels, heaps=heaps, met=met, on=on) -> None:
+                def better(r: int, key: int, label: tuple[int, int, int], labels=labels, heaps=heaps, met=met, on=on, least=least) -> None:
+                    if within_mm is not None:
+                        if label[0] > least.get(key, FAR) + within_mm:
+                            return
+                        least[key] = min(label[0], least.get(key, FAR))
                     held = labels.setdefault(r, {})
                     had = held.get(key)
                     if had is not None and had <= label:
                         return
                     held[key] = label
                     if had is None or label[:2] < had[:2]:
-                        heapq.heappush(heaps.setdefault(r, []), (*label[:2], key))
+                        heapq.heappush(heaps.setdefault(r if within_mm is None else None, []), (*label[:2], key, r))
                     for target, mm, ms, whose in on.get(key, ()):
                         at = (label[0] - mm, label[1] - ms, label[2], key)
                         if label[0] >= mm and (whose is None or whose == r) and ((r, target) not in met or at < met[r, target]):
@@ -500,11 +510,11 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
 
                 for r, k, *label in zip(*(rows.column(c).to_pylist() for c in _NAMES), strict=True):
                     better(r, k, tuple(label))
-                for r, heap in heaps.items():
-                    held = labels[r]
+                for heap in heaps.values():
                     while heap:
-                        d, t, key = heapq.heappop(heap)
-                        if (d, t) != held[key][:2] or key not in own_keys:
+                        d, t, key, r = heapq.heappop(heap)
+                        held = labels[r]
+                        if (d, t) != held[key][:2] or key not in own_keys or (within_mm is not None and d > least[key] + within_mm):
                             continue
                         for after, mm, ms in net.of(own_keys[key]):
                             k, label = int(net.keys[after]), (d + mm, t + ms, key)
@@ -514,7 +524,7 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
                                 better(r, k, label)
                             elif (k not in held or label < held[k]) and ((r, k) not in away or label < away[r, k]):
                                 away[r, k] = label
-                flat = [(r, k, *label) for r, own in labels.items() for k, label in own.items()]
+                flat = [(r, k, *label) for r, own in labels.items() for k, label in own.items() if within_mm is None or label[0] <= least[k] + within_mm]
                 blocks.put(base, f"{folder}/{number}", _table(flat))
                 for v in earlier[:-1]:  # a repeated task needs the last one
                     blocks.forget(base, f"{folder}/{v}")
@@ -572,6 +582,37 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     return labels, reached, ended, counts
 
 
+def nearest_targets(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, accepted: DataFrame | None = None, part_turns: int = 250_000) -> DataFrame:
+    """(request, target, dist_mm, tier): what target_search() tells of targets that all requests share, however many requests there are.
+
+    The network is searched once, from the targets against the direction of travel, in parts (far_labels()): of a key only targets
+    are kept within `tiers` * step_mm of its nearest one, since the way of a request to a target that counts leads only over such
+    keys. Requests then look up their first keys, so that work grows with the network and not with its product with the requests.
+    Parts are spread in any order, without a rising bound: a round for each part that the way from the targets leads through.
+    targets: target, key, back_mm, at most the key's length.
+    """
+    goals = graph._cut(targets.select(F.col("target").cast("string").alias("target"), *(F.col(c).cast("bigint").alias(c) for c in ("key", "back_mm"))), "goals")
+    named = graph._cut(goals.select("target").distinct().withColumn("id", F.monotonically_increasing_id()), "goal-names")
+    legal = prepared(turns).where("reject = 0")
+    legal = graph._cut(legal, "turns")
+    last = legal.join(goals.withColumnRenamed("key", "next_key"), "next_key").join(named, "target")
+    ends = last.select(F.col("id").alias("request"), "key", (F.col("next_mm") - F.col("back_mm")).alias("dist_mm"))
+    # a turn is searched from its end: the cost of a key is that of the way on from its own end
+    back = legal.select(F.col("next_key").alias("key"), F.col("key").alias("next_key"), "next_mm", F.lit(0).cast("bigint").alias("next_ms"), "reject")
+    ahead = far_labels(ends, back, part_turns=part_turns, wave_mm=FAR // 4, within_mm=step_mm * tiers)[0]
+    first = graph._cut(starts(seeds).select("request", "key", "dist_mm"), "first-keys")
+    far = first.join(ahead.select(F.col("request").alias("id"), "key", F.col("dist_mm").alias("rest")), "key").join(named, "id").select("request", "target", (F.col("dist_mm") + F.col("rest")).alias("dist_mm"))
+    on = first.join(goals, "key").where("dist_mm >= back_mm").select("request", "target", (F.col("dist_mm") - F.col("back_mm")).alias("dist_mm"))
+    met = graph._cut(far.unionByName(on).groupBy("request", "target").agg(F.min("dist_mm").alias("dist_mm")), "met-targets")
+    beyond = F.col("dist_mm") - F.col("best")
+    tier = F.greatest(F.lit(1), F.ceil(beyond / max(step_mm, 1))).cast("int")
+    near = met.join(met.groupBy("request").agg(F.min("dist_mm").alias("best")), "request").where(beyond <= tiers * step_mm).select("request", "target", "dist_mm", tier.alias("tier"))
+    if accepted is None:
+        return near
+    took = near.join(accepted.select("request", "target"), ["request", "target"], "left_semi").groupBy("request").agg(F.min("tier").alias("most"))
+    return near.join(took, "request", "left").where(F.col("most").isNull() | (F.col("tier") <= F.col("most"))).drop("most")
+
+
 def _table(rows: list[tuple], *more: str) -> pa.Table:
     names = [*_NAMES, *more]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
