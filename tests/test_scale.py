@@ -49,3 +49,16 @@ def test_like_routes_are_matched_once_and_told_for_all(spark, monkeypatch):
     routes = QUERIES["corridor_match"](spark, SF)
     kinds = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_custkey % 40 as k").distinct().count()
     assert given == [kinds] and routes.count() == routes.distinct().count() > 0
+
+
+def test_blocked_edges_measure_places_and_not_points(spark, monkeypatch):
+    """Three points at one place: one pair is measured, and all three are counted."""
+    from wayfold.plans import catalog
+    from wayfold.sources.fixtures import Network
+
+    meet, given = spatial.points_to_edges, []
+    monkeypatch.setattr(spatial, "points_to_edges", lambda points, *rest: given.append(points.count()) or meet(points, *rest))
+    net = Network(spark, SF)
+    net.points = spark.createDataFrame([(1, 116.015, 39.6), (2, 116.015, 39.6), (3, 116.015, 39.6)], "point_id long, lng double, lat double")
+    rows = catalog.blocked(net).select("edge_id", "n_points").collect()
+    assert given == [1] and [tuple(r) for r in rows] == [(2, 3)]
