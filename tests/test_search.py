@@ -234,3 +234,31 @@ def test_targets_from_one_search_over_parts_are_those_of_a_search_for_each_reque
     assert {tuple(r) for r in found.select("request", "target", "dist_mm", "tier").collect()} == wanted and wanted
     labels = given[0][0].groupBy("key").agg((F.max("dist_mm") - F.min("dist_mm")).alias("wide"))
     assert labels.agg(F.max("wide")).first()[0] <= STEP * TIERS
+
+
+@pytest.mark.parametrize("most", [100_000, 40])
+def test_near_searches_read_parts_of_the_network_and_leave_the_rest(spark, most, monkeypatch):
+    """Labels within a limit and targets of each request's own, by parts, as against relaxing all turns; those over `most` keys by rounds."""
+    turns, seeds, targets = city(4)
+    s, t, _ = frames(spark, turns, seeds, targets)
+    near, rounds = search.near_parts, []
+    monkeypatch.setattr(search, "near_parts", lambda *args, **kw: near(*args, **kw, most=most))
+    far = search.far_labels
+    monkeypatch.setattr(search, "far_labels", lambda *args, **kw: rounds.append(far(*args, **kw)) or rounds[-1])
+    found = graph.shortest_paths(s, t.where("reject = 0"), 9000, small=1, part_turns=100)
+    want = {(r, k, *label) for r in (1, 2, 3, 4) for k, label in plain(turns, seeds, r, 9000).items()}
+    assert {tuple(r) for r in found.collect()} == want
+    assert bool(rounds) == (most == 40)
+    own = [(1 + i % 4, f"t{i}", *x[1:]) for i, x in enumerate(targets)] + [(2, "nowhere", 10**7, 0, 0)]
+    g = spark.createDataFrame(own, "request long, target string, key long, back_mm long, back_ms long")
+    plainly = search.target_search(s, t, g, step_mm=STEP, tiers=TIERS, ways=True).targets
+    local = search.target_search(s, t, g, step_mm=STEP, tiers=TIERS, ways=True, local=True, small=1, part_turns=100).targets
+    rows = lambda df: {(*(r[c] for c in ("request", "target", "key", "dist_mm", "ms", "pred", "tier")), *r["keys"]) for r in df.collect()}
+    assert rows(local) == rows(plainly) and len(rows(local)) > 4
+
+
+def test_a_place_that_no_way_leads_to_is_told_from_its_side():
+    """The whole street isn't searched for a target that only two keys lead to."""
+    back = search.Parts("", 0, 1)
+    back.held = {k: ({k: [(k - 1, 1, 0)]} if k in (5, 6) else {}) for k in range(10)}
+    assert search._cut_off(back, {6}, {9}, 1000) and not search._cut_off(back, {6}, {4}, 1000) and not search._cut_off(back, {6}, {6}, 1000)

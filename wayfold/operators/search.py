@@ -1,8 +1,9 @@
 """Searches over directed edge keys that end early, report their outcome, and scale beyond what a task can hold.
 
 State is the directed key. A label is (dist_mm, ms, pred): cost is distance, then time, and of equal ways the smaller predecessor
-stands (-1 for a start). Two forms give the same rows: a heap for each request over a network that fits a task, and rounds over
-parts of a network that doesn't (see far_labels()).
+stands (-1 for a start). Three forms give the same rows: a heap for each request over a network that fits a task; over a larger
+one, a heap for each request whose answer is near, with the parts of the network that it comes to (see near_parts()), and rounds
+over parts for the others (see far_labels()).
 """
 
 from __future__ import annotations
@@ -71,11 +72,11 @@ class Found:
     request; rounds: the label counts of each round, if there were rounds."""
 
     targets: DataFrame
-    audit: DataFrame
+    audit: DataFrame | None
     rounds: list[int]
 
 
-def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, budget: int | None = None, accepted: DataFrame | None = None, guided: bool = False, ways: bool = False, small: int = 2_000_000, **far) -> Found:
+def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, budget: int | None = None, accepted: DataFrame | None = None, guided: bool = False, ways: bool = False, local: bool = False, small: int = 2_000_000, **far) -> Found:
     """Searches of requests for targets on edges, each ending as soon as its answer is known.
 
     seeds: request, key, dist_mm, ms if any (way to the end of a first key); turns: key, next_key, next_mm, next_ms and reject if
@@ -93,6 +94,9 @@ def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_m
     all requests share; a request then goes only where way and rest together stay within its reach, in that order. Targets,
     labels and tiers are the same (a label's predecessors are within reach too); settled, checks and the budget count what such
     a search settles, and it is SETTLED if it left anything out. Networks of over `small` turns are searched in rounds; `far` is for far_labels().
+
+    local: each request has targets of its own, no accepted ones and no budget, ways are wanted, and the audit isn't: then larger
+    networks are searched by near_parts(), and in rounds only for requests that have no answer there.
     """
     blocks.ship(seeds.sparkSession)
     turns = graph._cut(prepared(turns), "turns")
@@ -105,6 +109,8 @@ def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_m
     wanted = accepted.select(F.col("request").cast("bigint").alias("request"), F.col("target").cast("string").alias("target")) if accepted is not None else None
     rest = remaining(turns, goals, small, **far) if guided else None
     if turns.limit(small + 1).count() > small:
+        if local:
+            return Found(_local_targets(own, turns, goals, step_mm, tiers, **far), None, [])
         return _far_targets(own, turns, goals, wanted, step_mm, tiers, budget, ways, **far)
     spark = seeds.sparkSession
     # turns, targets and rests are at most as many rows as `small` allows turns
@@ -303,6 +309,186 @@ def near_labels(seeds: DataFrame, turns: DataFrame, limit: int | None) -> DataFr
     return blocks.spread(seeds, "request").mapInArrow(solve, _LABEL)
 
 
+class Parts:
+    """Turns in ranges of keys, each a file of the shared folder that is read when a search comes to it; the last ones are kept."""
+
+    def __init__(self, uri: str, low: int, width: int, most: int = 16):
+        self.uri, self.low, self.width, self.most = uri, low, width, most
+        self.held: dict[int, dict[int, list[tuple[int, ...]]]] = {}
+
+    def of(self, key: int) -> list[tuple[int, ...]]:
+        """(other key, mm, ms) of the turns from a key."""
+        part = (key - self.low) // self.width
+        own = self.held.get(part)
+        return (self.read(part) if own is None else own).get(key, ())
+
+    def read(self, part: int) -> dict[int, list[tuple[int, ...]]]:
+        if len(self.held) >= self.most:
+            del self.held[next(iter(self.held))]
+        own = self.held.setdefault(part, {})
+        fs, root = blocks.at(self.uri)
+        if fs.get_file_info(f"{root}/{part}").is_file:
+            table = blocks.get(self.uri, str(part))
+            for key, *turn in zip(*(table.column(c).to_pylist() for c in ("at", "to", "next_mm", "next_ms")), strict=True):
+                own.setdefault(key, []).append(tuple(turn))
+        return own
+
+
+def _near(net: Parts, firsts: list[tuple[int, int, int]], limit: int, goals: dict[int, list[tuple[str, int, int]]], beyond: int, most: int) -> tuple[dict, dict] | None:
+    """(labels of keys, labels of targets) of one request, up to `limit` and to `beyond` more than its best target; none if that
+    takes over `most` keys."""
+    held: dict[int, tuple[int, int, int]] = {}
+    met: dict[str, tuple[int, int, int, int]] = {}
+    heap: list[tuple[int, int, int]] = []
+    done: set[int] = set()
+    best = FAR
+
+    def reach(key: int, label: tuple[int, int, int]) -> None:
+        nonlocal best
+        for target, mm, ms in goals.get(key, ()):
+            at = (label[0] - mm, label[1] - ms, label[2], key)
+            if label[0] >= mm and (target not in met or at < met[target]):
+                met[target] = at
+                best = min(best, at[0])
+        had = held.get(key)
+        if had is None or label < had:
+            held[key] = label
+            if had is None or label[:2] < had[:2]:
+                heapq.heappush(heap, (*label[:2], key))
+
+    for d, t, key in firsts:
+        if d <= limit:
+            reach(key, (d, t, -1))
+    while heap:
+        d, t, key = heapq.heappop(heap)
+        if key in done or (d, t) > held[key][:2]:
+            continue
+        if best < FAR and d > best + beyond:
+            break
+        if len(done) >= most:
+            return None
+        done.add(key)
+        for after, mm, ms in net.of(key):
+            if d + mm <= limit:
+                reach(after, (d + mm, t + ms, key))
+    return held, {x: label for x, label in met.items() if label[0] <= best + beyond}
+
+
+def _cut_off(back: Parts, ends: set[int], firsts: set[int], most: int) -> bool:
+    """Whether no way leads from the first keys to the ends, as far as `most` keys before the ends can tell."""
+    seen, open_ = set(ends), list(ends)
+    if seen & firsts:
+        return False
+    while open_:
+        for before, *_ in back.of(open_.pop()):
+            if before in firsts or len(seen) > most:
+                return False
+            if before not in seen:
+                seen.add(before)
+                open_.append(before)
+    return True
+
+
+def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: DataFrame | None = None, beyond_mm: int = 0, step_mm: int = 0, part_turns: int = 20_000, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(found, left): searches that stay near their first keys, however large the network is, and the requests (request) that don't.
+
+    Turns are dealt into files of the shared folder by ranges of keys (so keys should be numbered such that neighbours are close),
+    requests into tasks by their first keys; a task reads the files that its requests come to, keeps 16 of them at a time, and
+    solves one request after the other by a heap. One that has no answer within `most` keys is left to other forms. So a task
+    holds a bounded part of the network and one request's labels, and work grows with what requests settle.
+
+    Without targets found has the labels (request, key, dist_mm, ms, pred) within `limit`; with targets of each request (request,
+    target, key, back_mm, back_ms) those up to beyond_mm more than its best one, with tiers and keys as of target_search(). A request
+    whose targets have few keys before them, none of them its own, has no way, and isn't searched through.
+    """
+    spark = seeds.sparkSession
+    blocks.ship(spark)
+    base = graph.shared(spark, "near-search")
+    stat = turns.agg(F.count("*").alias("n"), F.min(F.least("key", "next_key")).alias("low"), F.max(F.greatest("key", "next_key")).alias("high")).first()
+    low, width = stat["low"] or 0, max(1, -(-((stat["high"] or 0) - (stat["low"] or 0) + 1) // max(1, -(-stat["n"] // part_turns))))
+
+    def store(folder: str, at: str, to: str) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for (name,), table in blocks.sorted_groups(batches, "part"):
+                blocks.put(f"{base}/{folder}", str(name), table.drop_columns("part"))
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+        own = turns.select(F.expr(f"({at} - {low}L) div {width}L").alias("part"), F.col(at).alias("at"), F.col(to).alias("to"), "next_mm", "next_ms")
+        blocks.spread(own, "part").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+    store("on", "key", "next_key")
+    rows = seeds.groupBy("request").agg(F.min("key").alias("near"), F.array_sort(F.collect_list(F.struct("dist_mm", "ms", "key"))).alias("firsts"))
+    if targets is not None:
+        store("back", "next_key", "key")
+        rows = rows.join(targets.groupBy("request").agg(F.collect_list(F.struct("key", "target", "back_mm", "back_ms")).alias("goals")), "request")
+    rows = graph._cut(rows, "near-requests")
+    aimed = targets is not None
+    fields = _LABEL if not aimed else "request bigint, target string, key bigint, dist_mm bigint, ms bigint, pred bigint, tier int, keys array<bigint>"
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}
+    named = [x.split() for x in fields.split(", ")]
+    layout = pa.schema([(n, kinds[t]) for n, t in named])
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), layout.types, strict=True)], schema=layout)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, back, out = Parts(f"{base}/on", low, width), Parts(f"{base}/back", low, width), []
+        for given in batches:
+            for row in given.to_pylist():
+                request, firsts = row["request"], [(x["dist_mm"], x["ms"], x["key"]) for x in row["firsts"]]
+                goals: dict[int, list[tuple[str, int, int]]] = {}
+                for x in row.get("goals", ()):
+                    goals.setdefault(x["key"], []).append((x["target"], x["back_mm"], x["back_ms"]))
+                own = {k for *_, k in firsts}
+                if goals and _cut_off(back, set(goals), own, 1000):
+                    continue
+                found = _near(net, firsts, limit, goals, beyond_mm, most)
+                if found is None:
+                    if not goals or not _cut_off(back, set(goals), own, most):
+                        out.append((request, *[None] * (len(named) - 1)))
+                elif not aimed:
+                    out += [(request, k, *label) for k, label in found[0].items()]
+                else:
+                    best = min((x[0] for x in found[1].values()), default=0)
+                    for target, (d, t, pred, key) in found[1].items():
+                        way, at = [key], pred
+                        while at != -1:
+                            way.append(at)
+                            at = found[0][at][2]
+                        out.append((request, target, key, d, t, pred, max(1, -(-(d - best) // step_mm)) if step_mm else 1, way[::-1]))
+                if len(out) >= 20_000:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 500))
+    both = graph._cut(rows.repartitionByRange(tasks, "near", "request").sortWithinPartitions("near", "request").mapInArrow(solve, fields), "near-found")
+    blocks.clear(spark, base)
+    return both.where("key is not null"), both.where("key is null").select("request")
+
+
+def _local_targets(seeds: DataFrame, turns: DataFrame, goals: DataFrame, step: int, tiers: int, **far) -> DataFrame:
+    legal = turns.where("reject = 0")
+    own = {"part_turns": far["part_turns"]} if "part_turns" in far else {}
+    found, left = near_parts(seeds, legal, targets=goals, beyond_mm=step * tiers, step_mm=step, **own)
+    if left.isEmpty():
+        return found
+    rest = _far_targets(seeds.join(left, "request", "left_semi"), legal, goals.join(left, "request", "left_semi"), None, step, tiers, None, True, **far)
+    return found.unionByName(rest.targets.select(found.columns))
+
+
+def within(seeds: DataFrame, turns: DataFrame, limit: int, **far) -> DataFrame:
+    """Labels of every request within `limit` over a network of any size: by near_parts(), and by far_labels() for those left."""
+    own = {"part_turns": far["part_turns"]} if "part_turns" in far else {}
+    found, left = near_parts(seeds, turns, limit, **own)
+    if left.isEmpty():
+        return found
+    return found.unionByName(far_labels(seeds.join(left, "request", "left_semi"), turns, limit, **far)[0])
+
+
 def remaining(turns: DataFrame, goals: DataFrame, small: int, **far) -> DataFrame:
     """(key, dist_mm): from the end of each key the least way to a target, where there is one."""
     legal = turns.where("reject = 0")
