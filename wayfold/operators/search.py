@@ -95,8 +95,8 @@ def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_m
     labels and tiers are the same (a label's predecessors are within reach too); settled, checks and the budget count what such
     a search settles, and it is SETTLED if it left anything out. Networks of over `small` turns are searched in rounds; `far` is for far_labels().
 
-    local: each request has targets of its own, no accepted ones and no budget, ways are wanted, and the audit isn't: then larger
-    networks are searched by near_parts(), and in rounds only for requests that have no answer there.
+    local: each request has targets of its own, no accepted ones and no budget, ways are wanted, and the audit isn't: then networks
+    of any size are searched by near_parts(), where no task holds all targets, and in rounds only for requests without answer there.
     """
     blocks.ship(seeds.sparkSession)
     turns = graph._cut(prepared(turns), "turns")
@@ -108,9 +108,9 @@ def target_search(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_m
         raise ValueError("a guided search is for targets that all requests share")
     wanted = accepted.select(F.col("request").cast("bigint").alias("request"), F.col("target").cast("string").alias("target")) if accepted is not None else None
     rest = remaining(turns, goals, small, **far) if guided else None
+    if local:
+        return Found(_local_targets(own, turns, goals, step_mm, tiers, **far), None, [])
     if turns.limit(small + 1).count() > small:
-        if local:
-            return Found(_local_targets(own, turns, goals, step_mm, tiers, **far), None, [])
         return _far_targets(own, turns, goals, wanted, step_mm, tiers, budget, ways, **far)
     spark = seeds.sparkSession
     # turns, targets and rests are at most as many rows as `small` allows turns
