@@ -62,3 +62,18 @@ def test_blocked_edges_measure_places_and_not_points(spark, monkeypatch):
     net.points = spark.createDataFrame([(1, 116.015, 39.6), (2, 116.015, 39.6), (3, 116.015, 39.6)], "point_id long, lng double, lat double")
     rows = catalog.blocked(net).select("edge_id", "n_points").collect()
     assert given == [1] and [tuple(r) for r in rows] == [(2, 3)]
+
+
+def test_rounding_by_arithmetic_is_that_of_round(spark):
+    """Halves, values next to halves, signs, large values, NaN and null; the SQL of resample_20m says round()."""
+    import math
+    import random
+
+    from wayfold.functions import geo
+
+    rnd = random.Random(1)
+    halves = [(k + 0.5) / 1e7 for k in (rnd.randrange(4 * 10**9) for _ in range(3000))]
+    values = [rnd.uniform(-400, 400) for _ in range(20_000)] + halves + [math.nextafter(x, side) for x in halves for side in (-1e9, 1e9)] + [x + e for x in halves for e in (-2e-11, 2e-11)]
+    values += [-x for x in values] + [0.0, -0.0, -1e-9, 116.1, 1e300, -1e18, 123456.78901235, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", geo.rounded(F.col("x"), 7).alias("a"), F.round("x", 7).alias("b")).collect()
+    assert len(rows) == len(values) and [repr(r["x"]) for r in rows if repr(r["a"]) != repr(r["b"])] in ([], ["-0.0"])
