@@ -77,3 +77,20 @@ def test_rounding_by_arithmetic_is_that_of_round(spark):
     values += [-x for x in values] + [0.0, -0.0, -1e-9, 116.1, 1e300, -1e18, 123456.78901235, float("inf"), float("nan"), None]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", geo.rounded(F.col("x"), 7).alias("a"), F.round("x", 7).alias("b")).collect()
     assert len(rows) == len(values) and [repr(r["x"]) for r in rows if repr(r["a"]) != repr(r["b"])] in ([], ["-0.0"])
+
+
+def test_only_edges_around_an_area_are_cut_at_its_boundary(spark, monkeypatch):
+    """A row of edges through a box, and 200 far from it: the roles are those of cutting all."""
+    from wayfold.operators import areas
+
+    cut, given = areas.side_intervals, []
+    monkeypatch.setattr(areas, "side_intervals", lambda edges, segments: given.append(edges.count()) or cut(edges, segments))
+    box = lambda x: spark.createDataFrame([(x, 0.0, x + 1, 0.0), (x + 1, 0.0, x + 1, 1.0), (x + 1, 1.0, x, 1.0), (x, 1.0, x, 0.0)], "ax double, ay double, bx double, by double")
+    rows = [(k, k * 0.25 - 1, 0.5, k * 0.25 - 0.75, 0.5, "motorway", False, k % 2 == 0) for k in range(12)] + [(12, 2.5, 1.0, 2.75, 1.0, "motorway", False, False)]
+    rows += [(100 + k, 20.0 + k, 0.5, 20.5 + k, 0.5, "motorway", False, k % 2 == 0) for k in range(200)]
+    edges = spark.createDataFrame(rows, f"{LINES}, road_class string, is_link boolean, identity boolean")
+    kept = lambda: {tuple(r) for r in areas.classify_edges(edges, box(0.0), box(2.0)).select("edge_id", "in_inner", "in_second", "ring", "mismatch", "exempt", "forbidden", "second_main").collect()}
+    found = kept()
+    assert len(given) == 2 and max(given) < 13 and len(found) == 213
+    monkeypatch.setattr(areas, "around", lambda edges, segments: edges, raising=False)
+    assert kept() == found and {r[0] for r in found if r[1]} and {r[0] for r in found if r[2]} == {12}
