@@ -63,3 +63,15 @@ def test_timed_paths_over_more_than_a_day(spark, tmp_path):
     assert max(r[df.columns.index("ms")] for r in df.collect()) > 10**8
     con.execute(oracle_sql()["timed_paths"])
     assert canonical(con.fetchall(), [c[0] for c in con.description]) == found
+
+
+def test_points_within_radius_starts_from_every_node(spark):
+    near = {(r["node"], r["point_id"]) for r in QUERIES["points_within_radius"](spark, SF).collect()}
+    con = duckdb.connect()
+    for t in ("part", "customer"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    # by the same sphere, without cells
+    far = "2*6371008.8*asin(sqrt(least(1, pow(sin(radians(p.lat-n.lat)/2),2)+cos(radians(n.lat))*cos(radians(p.lat))*pow(sin(radians(p.lng-n.lng)/2),2))))"
+    rows = con.execute(f"select n.node, p.id, {far} from (select p_partkey as node, 116+(p_partkey%40)*0.01 as lng, 39.6+(p_partkey//40)*0.01 as lat from part) n, (select c_custkey as id, 116+(c_custkey*37%1000)*0.0004 as lng, 39.6+(c_custkey*91%1000)*0.0005 as lat from customer) p").fetchall()
+    assert {(n, p) for n, p, d in rows if d <= 1990} <= near <= {(n, p) for n, p, d in rows if d <= 2010}
+    assert any(n % 50 for n, _ in near)
