@@ -75,3 +75,12 @@ def test_points_within_radius_starts_from_every_node(spark):
     rows = con.execute(f"select n.node, p.id, {far} from (select p_partkey as node, 116+(p_partkey%40)*0.01 as lng, 39.6+(p_partkey//40)*0.01 as lat from part) n, (select c_custkey as id, 116+(c_custkey*37%1000)*0.0004 as lng, 39.6+(c_custkey*91%1000)*0.0005 as lat from customer) p").fetchall()
     assert {(n, p) for n, p, d in rows if d <= 1990} <= near <= {(n, p) for n, p, d in rows if d <= 2010}
     assert any(n % 50 for n, _ in near)
+
+
+@pytest.mark.parametrize("name", ["bbox_limit_guard", "bbox_shifted"])
+def test_boxes_of_more_points_than_one_answer_holds(spark, tmp_path, name):
+    """6,000 points at one place of the box: no box is small enough to hold fewer."""
+    k = QUERIES[name](spark, "/root/testdata/sf0.1").first()["point_id"] % 1000
+    duckdb.connect().execute(f"copy (select {k}+1000*i as c_custkey from range(6000) r(i)) to '{tmp_path}/customer.parquet' (format parquet)")
+    rows = QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["point_id"] for r in rows} == {k + 1000 * i for i in range(6000)} and len(rows) == 6000

@@ -65,6 +65,12 @@ def test_limit_is_an_error_not_a_cut(spark):
         spatial.limited(spark.range(5), "id", 4).collect()
 
 
+def test_pages_hold_all_rows_and_no_more_than_the_limit_each(spark):
+    rows = spatial.paged(spark.range(0, 2300, 1, 7), "id", 100).collect()
+    assert sorted((r["id"], r["page"]) for r in rows) == [(k, k // 100) for k in range(2300)]
+    assert spatial.paged(spark.range(0), "id", 4).count() == 0
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200), (301, 300)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
