@@ -31,6 +31,17 @@ def test_near_duplicate_stage_keeps_one_of_a_group_and_equal_rows_once(spark):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "7", "None"]
 
 
+def test_near_duplicate_stage_judges_rows_without_an_id_too(spark):
+    """Copies, near copies and empty texts among them leave one row each, and no row with an id goes or stays by them."""
+    base = [" ".join(f"{c}{k}" for k in range(200)) for c in "wz"]
+    step = [" ".join(f"s{k}" for k in range(i, i + 120)) for i in (0, 9, 18)]  # the ends are alike by the one between only
+    rows = [(None, base[0]), (None, base[0]), (None, base[0] + " end"), (None, base[1]), (None, ""), (None, None), (3, base[0]), (4, step[0]), (None, step[1]), (5, step[2])]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [3, 4, 5]
+    left = [r["text"] or "" for r in out if r["doc_id"] is None]
+    assert len(left) == 4 and {x[:1] for x in left} == {"w", "z", "s", ""}
+
+
 def test_near_duplicate_stage_judges_each_text_by_itself_where_ids_repeat(spark):
     base = " ".join(f"w{k}" for k in range(200))
     rows = [(4, base), (9, base + " end"), (9, " ".join(f"z{k}" for k in range(90)))]

@@ -301,48 +301,50 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same runs differ in print_limit() bits or fewer. Both follow from `similarity` alone, so candidates are as sure for cut or
     appended passages as for scattered words. Candidate groups are then checked exactly: every member with its group's pivot
     first, which settles a group of copies in linear time, then those that the pivot does not hold with all members, in blocks
-    of `block`; only links that pass count. Null, empty and wordless texts are one class. Rows with a null id belong to their
-    class but name no group; repeated ids keep their rows, each in its own text's group; other columns are not read; texts of
-    any length count whole; an empty table gives an empty result.
+    of `block`; only links that pass count. Null, empty and wordless texts are one class. Rows with a null id are grouped in the
+    same way, but among themselves: their group_id is null, and the least text_hash is first; repeated ids keep their rows, each
+    in its own text's group; other columns are not read; texts of any length count whole; an empty table gives an empty result.
     """
     mixes = [np.uint64((0x9E3779B97F4A7C15 * (r + 1)) % (1 << 64)) for r in range(prints)]
+    apart = (np.uint64(0), np.uint64(0xA5A5F00DC3C35EED))  # runs of rows without an id are other runs than those of rows with one
     common = common_buckets(docs, text_col, words, often)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             digests, fps, keys = [], [], []
-            for x in utf8_list(batch.column("text")):
-                digests.append(xxhash.xxh3_128_digest(b" ".join(x.lower().split())))
+            for x, nameless in zip(utf8_list(batch.column("text")), batch.column("id").is_null().to_pylist(), strict=True):
+                digests.append(xxhash.xxh3_128_digest(b" ".join(x.lower().split())) + bytes([nameless]))
                 flat = np.unique(np.array(shingle_hashes(x, words), np.uint64))
                 fps.append(np.array([fingerprint(_mixed(flat, m)) for m in mixes], np.uint64).view(np.int64))
                 ordered, n = rare_first(flat, common)
-                keys.append(ordered[: prefix_size(len(flat), similarity, n)].view(np.int64))
+                keys.append((ordered[: prefix_size(len(flat), similarity, n)] ^ apart[nameless]).view(np.int64))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(digests, pa.binary()), pa.array(fps, kind), pa.array(keys, kind)], ["id", "t", "digest", "fps", "keys"])
 
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     signed = persisted(own.mapInArrow(sign, "id bigint, t bigint, digest binary, fps array<bigint>, keys array<bigint>"), "near-sign")
-    row = F.when(F.col("id").isNotNull(), F.struct("id", "t"))
-    classes = signed.groupBy("digest").agg(F.min(row).alias("row"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
+    classes = signed.groupBy("digest").agg(F.min(F.struct("id", "t")).alias("row"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
     # numbers given once and read back ever after: two classes never share one
     classes = persisted(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("row").alias("least"), "fps", "keys"), "near-class")
-    met = components(prefix_links(classes.where("least is not null").select(F.col("node").alias("rep"), "fps", "keys"), print_limit(BITS * prints, similarity), 2048), name="near-link")
+    met = components(prefix_links(classes.select(F.col("node").alias("rep"), "fps", "keys"), print_limit(BITS * prints, similarity), 2048), name="near-link")
     met = persisted(met.join(classes.select("node", "least").hint("merge"), "node"), "near-met")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).view(np.int64) for x in utf8_list(batch.column("text"))]
+            marks = [apart[x] for x in batch.column("id").is_null().to_pylist()]
+            sets = [(np.unique(np.array(shingle_hashes(x, words), np.uint64)) ^ m).view(np.int64) for x, m in zip(utf8_list(batch.column("text")), marks, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "runs"])
 
-    texts = own.join(met.select("root", "node", "least.id", "least.t").hint("merge"), ["id", "t"]).dropDuplicates(["node"])
-    sets = persisted(texts.select("root", "node", "text").mapInArrow(runs, "root bigint, node bigint, runs array<bigint>"), "near-runs")
+    least = met.select("root", "node", F.col("least.id").alias("least_id"), F.col("least.t").alias("least_t")).hint("merge")
+    texts = own.join(least, (F.col("t") == F.col("least_t")) & F.col("id").eqNullSafe(F.col("least_id"))).dropDuplicates(["node"])
+    sets = persisted(texts.select("root", "node", "id", "text").mapInArrow(runs, "root bigint, node bigint, runs array<bigint>"), "near-runs")
     good = _checked(sets, similarity, block)
     found = components(good, name="near-checked")
     roots = persisted(least_ids(classes, found, "node").join(classes.select("node", "digest").hint("merge"), "node").select("digest", "group_id"), "near-root")
     for x in (classes, met, sets):
         discard(x)
-    first = F.coalesce((F.col("id") == F.col("group_id.id")) & (F.col("t") == F.col("group_id.t")), F.lit(False))
+    first = F.col("id").eqNullSafe(F.col("group_id.id")) & (F.col("t") == F.col("group_id.t"))
     out = signed.select("id", "t", "digest").join(roots.hint("merge"), "digest")
     return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("group_id.id").alias("group_id"), first.alias("first"))
 
