@@ -262,3 +262,38 @@ def test_a_place_that_no_way_leads_to_is_told_from_its_side():
     back = search.Parts("", 0, 1)
     back.held = {k: ({k: [(k - 1, 1, 0)]} if k in (5, 6) else {}) for k in range(10)}
     assert search._cut_off(back, {6}, {9}, 1000) and not search._cut_off(back, {6}, {4}, 1000) and not search._cut_off(back, {6}, {6}, 1000)
+
+
+def test_requests_without_a_way_are_told_by_regions(spark):
+    """Three rings, joined one way: back there is none, though more keys than a search may take lie on either side."""
+    n = 1500
+    turns = [(c * n + k, c * n + (k + 1) % n, 1000, 0) for c in range(3) for k in range(n)] + [(c * n, c * n + 2990, 1000, 0) for c in range(2)]
+    t = spark.createDataFrame(turns, "key long, next_key long, next_mm long, next_ms long")
+    s = spark.createDataFrame([(1, 1495, 500, 0), (2, 3010, 500, 0), (3, 1510, 500, 0)], "request long, key long, dist_mm long, ms long")
+    g = spark.createDataFrame([(1, "end", 4495, 0, 0), (2, "end", 20, 0, 0), (3, "end", 30, 0, 0)], "request long, target string, key long, back_mm long, back_ms long")
+    found, left = search.near_parts(s, t, targets=g, part_turns=400, most=1400, big=100)
+    assert [(r["request"], r["dist_mm"]) for r in found.collect()] == [(1, 500 + 22_000)]
+    assert left.count() == 0
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_local_searches_with_regions_find_what_plain_ones_do(spark, seed):
+    rnd = random.Random(seed)
+    turns, seeds, targets = city(seed, nodes=90, edges=150)
+    own = [(name, k, mm, ms, r) for name, k, mm, ms in targets for r in (1, 2, 3, 4) if rnd.random() < 0.3]
+    s, t, _ = frames(spark, turns, seeds, targets)
+    g = spark.createDataFrame(own, "target string, key long, back_mm long, back_ms long, request long")
+    got = search.target_search(s, t, g, step_mm=STEP, tiers=TIERS, ways=True, local=True, part_turns=40, big=4).targets.collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["request"], set()).add((r["target"], r["dist_mm"], r["ms"], r["pred"], r["tier"]))
+    for r in (1, 2, 3, 4):
+        assert found.get(r, set()) == expected(turns, seeds, [x[:4] for x in own if x[4] == r], r, (), None)[0]
+    regions, ahead = search.regions(t.where("reject = 0"), 0, 1000, big=4)
+    of = {r["key"]: r["region"] for r in regions.collect()}
+    legal = [(a, b) for a, b, *_, reject in turns if reject == 0]
+    reach = {k: set(plain(turns, [(0, k, 0, 0)], 0)) for k in of}
+    assert of and legal
+    for a, x in of.items():
+        for b, y in of.items():
+            assert (b in reach[a]) == bool(ahead[x] >> y & 1)

@@ -334,9 +334,157 @@ class Parts:
         return own
 
 
-def _near(net: Parts, firsts: list[tuple[int, int, int]], limit: int, goals: dict[int, list[tuple[str, int, int]]], beyond: int, most: int) -> tuple[dict, dict] | None:
+def strong(n: int, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The strongly connected set of each of n nodes, numbered such that links between sets lead to smaller numbers."""
+    order = np.argsort(source, kind="stable")
+    to, first = target[order].tolist(), np.searchsorted(source[order], np.arange(n + 1)).tolist()
+    found, low, group, held = [-1] * n, [0] * n, [-1] * n, []
+    count = groups = 0
+    for root in range(n):
+        if found[root] >= 0:
+            continue
+        found[root] = low[root] = count
+        count += 1
+        held.append(root)
+        walk = [(root, first[root])]
+        while walk:
+            at, i = walk.pop()
+            while i < first[at + 1]:
+                after = to[i]
+                i += 1
+                if found[after] < 0:
+                    walk.append((at, i))
+                    found[after] = low[after] = count
+                    count += 1
+                    held.append(after)
+                    at, i = after, first[after]
+                elif group[after] < 0:
+                    low[at] = min(low[at], found[after])
+            if low[at] == found[at]:
+                while group[at] < 0:
+                    group[held.pop()] = groups
+                groups += 1
+            if walk:
+                low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
+    return np.array(group, np.int64)
+
+
+def _regions(rows: pa.Table, big: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(nodes in regions, whether each is a set, its region, regions that can be reached from each region as bits) from nodes that
+    are sets (kind 0: a, of b keys) and links between nodes (kind 1)."""
+    kind, a, b = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "a", "b"))
+    sized, size, a, b = a[kind == 0], b[kind == 0], a[kind == 1], b[kind == 1]
+    for _ in range(64):  # keys of no set that nothing leads to, or that lead nowhere, join nothing
+        keep = (np.isin(a, b) | np.isin(a, sized)) & (np.isin(b, a) | np.isin(b, sized))
+        if keep.all():
+            break
+        a, b = a[keep], b[keep]
+    names, at = np.unique(np.concatenate([sized, a, b]), return_inverse=True)
+    source, target = at[len(sized) : len(sized) + len(a)], at[len(sized) + len(a) :]
+    group = strong(len(names), source, target)
+    keys = np.ones(len(names), np.int64)
+    keys[at[: len(sized)]] = size
+    weight = np.bincount(group, keys)
+    chosen = np.argsort(-weight, kind="stable")[:most]
+    chosen = chosen[weight[chosen] >= big]
+    region = np.full(len(weight), -1)
+    region[chosen] = np.arange(len(chosen))
+    ahead = [1 << r if r >= 0 else 0 for r in region.tolist()]
+    order = np.argsort(group[source], kind="stable")
+    for x, y in zip(group[source][order].tolist(), group[target][order].tolist(), strict=True):
+        ahead[x] |= ahead[y]
+    region = region[group]
+    inside, is_set = region >= 0, np.isin(names, sized)
+    return names[inside], is_set[inside], region[inside], [ahead[x] for x in chosen.tolist()]
+
+
+def regions(turns: DataFrame, low: int, width: int, big: int = 1000, most: int = 512) -> tuple[DataFrame, list[int]]:
+    """(key, region) of the keys of large regions, and as bits which regions can be reached from each.
+
+    A region is a part of a strongly connected set of the network: between its keys there always is a way. Ranges of keys (from
+    `low`, `width` each) are searched for such sets by tasks of their own; one task then puts together what is left of the network,
+    where each set is one node. Sets of under `big` keys, and beyond the `most` largest, are no regions.
+    """
+    part = lambda c: F.expr(f"({c} - {low}L) div {width}L")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in blocks.sorted_groups(batches, "part"):
+            key, after, inside = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("key", "next_key", "inside"))
+            names, at = np.unique(np.concatenate([key, after[inside]]), return_inverse=True)
+            group = strong(len(names), at[: len(key)][inside], at[len(key) :])
+            least = np.full(len(names), FAR)
+            np.minimum.at(least, group, names)
+            own = least[group]
+            held = np.bincount(group)[group] > 1
+            links = np.unique(np.stack([own[at[: len(key)][inside]], own[at[len(key) :]]]), axis=1)
+            links = links[:, links[0] != links[1]]
+            rows = [(0, names[held], own[held]), (1, *links), (2, own[at[: len(key)][~inside]], after[~inside])]
+            for kind, a, b in rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+
+    own = turns.select(part("key").alias("part"), "key", "next_key", (part("key") == part("next_key")).alias("inside"))
+    found = graph._cut(blocks.spread(own, "part").mapInArrow(sets, "kind int, a bigint, b bigint"), "key-sets")
+    of = found.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("set"))
+    across = found.where("kind = 2").select("a", F.col("b").alias("key")).join(of, "key", "left").select(F.lit(1).alias("kind"), "a", F.coalesce("set", "key").alias("b")).distinct()
+    sizes = of.groupBy("set").agg(F.count("*").alias("n")).select(F.lit(0).alias("kind"), F.col("set").alias("a"), F.col("n").alias("b"))
+
+    layout = ["set", "is_set", "region", "ahead"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            names, is_set, region, ahead = _regions(pa.Table.from_batches(held), big, most)
+            for r, bits in enumerate(ahead):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([r], pa.int32()), pa.array([bits.to_bytes(most // 8 + 1, "little")], pa.binary())], layout)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(is_set), pa.array(region, pa.int32()), pa.nulls(len(names), pa.binary())], layout)
+
+    one = sizes.unionByName(found.where("kind = 1")).unionByName(across).repartition(1)
+    named = graph._cut(one.mapInArrow(whole, "set bigint, is_set boolean, region int, ahead binary"), "key-regions")
+    ahead = [int.from_bytes(x["ahead"], "little") for x in named.where("ahead is not null").orderBy("region").collect()]
+    alone = named.where("not is_set").select(F.col("set").alias("key"), "region")
+    return of.join(named.where("is_set").select("set", "region"), "set").select("key", "region").unionByName(alone), ahead
+
+
+class Regions(Parts):
+    """The regions of keys, by the same ranges of keys."""
+
+    def of(self, key: int) -> int | None:
+        part = (key - self.low) // self.width
+        own = self.held.get(part)
+        return (self.read(part) if own is None else own).get(key)
+
+    def read(self, part: int) -> dict[int, int]:
+        if len(self.held) >= self.most:
+            del self.held[next(iter(self.held))]
+        own = self.held.setdefault(part, {})
+        fs, root = blocks.at(self.uri)
+        if fs.get_file_info(f"{root}/{part}").is_file:
+            table = blocks.get(self.uri, str(part))
+            own.update(zip(table.column("key").to_pylist(), table.column("region").to_pylist(), strict=True))
+        return own
+
+
+def _around(net: Parts, at: Regions, keys: set[int], most: int) -> tuple[set[int], int] | None:
+    """(keys, regions as bits) that can be reached from keys without a way through a region; none if these are over `most` keys."""
+    seen, open_, bits = set(keys), list(keys), 0
+    while open_:
+        key = open_.pop()
+        region = at.of(key)
+        if region is not None:
+            bits |= 1 << region
+            continue
+        for other, *_ in net.of(key):
+            if other not in seen:
+                if len(seen) >= most:
+                    return None
+                seen.add(other)
+                open_.append(other)
+    return seen, bits
+
+
+def _near(net: Parts, firsts: list[tuple[int, int, int]], limit: int, goals: dict[int, list[tuple[str, int, int]]], beyond: int, most: int, leads=None) -> tuple[dict, dict] | None:
     """(labels of keys, labels of targets) of one request, up to `limit` and to `beyond` more than its best target; none if that
-    takes over `most` keys."""
+    takes over `most` keys. Keys of which leads(), if given, tells that no way goes on from them to a target are left out."""
     held: dict[int, tuple[int, int, int]] = {}
     met: dict[str, tuple[int, int, int, int]] = {}
     heap: list[tuple[int, int, int]] = []
@@ -369,7 +517,7 @@ def _near(net: Parts, firsts: list[tuple[int, int, int]], limit: int, goals: dic
             return None
         done.add(key)
         for after, mm, ms in net.of(key):
-            if d + mm <= limit:
+            if d + mm <= limit and (leads is None or leads(after)):
                 reach(after, (d + mm, t + ms, key))
     return held, {x: label for x, label in met.items() if label[0] <= best + beyond}
 
@@ -389,7 +537,7 @@ def _cut_off(back: Parts, ends: set[int], firsts: set[int], most: int) -> bool:
     return True
 
 
-def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: DataFrame | None = None, beyond_mm: int = 0, step_mm: int = 0, part_turns: int = 20_000, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: DataFrame | None = None, beyond_mm: int = 0, step_mm: int = 0, part_turns: int = 20_000, most: int = 100_000, big: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(found, left): searches that stay near their first keys, however large the network is, and the requests (request) that don't.
 
     Turns are dealt into files of the shared folder by ranges of keys (so keys should be numbered such that neighbours are close),
@@ -398,8 +546,9 @@ def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: Da
     holds a bounded part of the network and one request's labels, and work grows with what requests settle.
 
     Without targets found has the labels (request, key, dist_mm, ms, pred) within `limit`; with targets of each request (request,
-    target, key, back_mm, back_ms) those up to beyond_mm more than its best one, with tiers and keys as of target_search(). A request
-    whose targets have few keys before them, none of them its own, has no way, and isn't searched through.
+    target, key, back_mm, back_ms) those up to beyond_mm more than its best one, with tiers and keys as of target_search(). Whether a
+    request has a way at all is told first, by the regions() (of `big` keys or more) that its first keys come to and that lead to its
+    targets; one without isn't searched through, however large both sides are, and no search enters regions that lead to no target.
     """
     spark = seeds.sparkSession
     blocks.ship(spark)
@@ -420,8 +569,19 @@ def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: Da
 
     store("on", "key", "next_key")
     rows = seeds.groupBy("request").agg(F.min("key").alias("near"), F.array_sort(F.collect_list(F.struct("dist_mm", "ms", "key"))).alias("firsts"))
+    ahead: list[int] = []
     if targets is not None:
         store("back", "next_key", "key")
+        region_of, ahead = regions(turns, low, width, big)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for (name,), table in blocks.sorted_groups(batches, "part"):
+                blocks.put(f"{base}/regions", str(name), table.drop_columns("part"))
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+        blocks.spread(region_of.withColumn("part", F.expr(f"(key - {low}L) div {width}L")), "part").mapInArrow(keep, "n bigint").agg(F.sum("n")).collect()
         rows = rows.join(targets.groupBy("request").agg(F.collect_list(F.struct("key", "target", "back_mm", "back_ms")).alias("goals")), "request")
     rows = graph._cut(rows, "near-requests")
     aimed = targets is not None
@@ -434,17 +594,24 @@ def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: Da
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), layout.types, strict=True)], schema=layout)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, back, out = Parts(f"{base}/on", low, width), Parts(f"{base}/back", low, width), []
+        net, back, marks, out = Parts(f"{base}/on", low, width), Parts(f"{base}/back", low, width), Regions(f"{base}/regions", low, width), []
         for given in batches:
             for row in given.to_pylist():
                 request, firsts = row["request"], [(x["dist_mm"], x["ms"], x["key"]) for x in row["firsts"]]
                 goals: dict[int, list[tuple[str, int, int]]] = {}
                 for x in row.get("goals", ()):
                     goals.setdefault(x["key"], []).append((x["target"], x["back_mm"], x["back_ms"]))
-                own = {k for *_, k in firsts}
-                if goals and _cut_off(back, set(goals), own, 1000):
-                    continue
-                found = _near(net, firsts, limit, goals, beyond_mm, most)
+                own, leads = {k for *_, k in firsts}, None
+                if goals and (before := _around(back, marks, set(goals), most)):
+                    after = _around(net, marks, own, most)
+                    if after and after[0].isdisjoint(before[0]) and not any(ahead[r] & before[1] for r in range(len(ahead)) if after[1] >> r & 1):
+                        continue
+
+                    def leads(key: int, bits: int = before[1]) -> bool:
+                        region = marks.of(key)
+                        return region is None or ahead[region] & bits != 0
+
+                found = _near(net, firsts, limit, goals, beyond_mm, most, leads)
                 if found is None:
                     if not goals or not _cut_off(back, set(goals), own, most):
                         out.append((request, *[None] * (len(named) - 1)))
@@ -472,10 +639,11 @@ def near_parts(seeds: DataFrame, turns: DataFrame, limit: int = FAR, targets: Da
 
 def _local_targets(seeds: DataFrame, turns: DataFrame, goals: DataFrame, step: int, tiers: int, **far) -> DataFrame:
     legal = turns.where("reject = 0")
-    own = {"part_turns": far["part_turns"]} if "part_turns" in far else {}
+    own = {k: far[k] for k in ("part_turns", "big") if k in far}
     found, left = near_parts(seeds, legal, targets=goals, beyond_mm=step * tiers, step_mm=step, **own)
     if left.isEmpty():
         return found
+    far = {k: x for k, x in far.items() if k != "big"}
     rest = _far_targets(seeds.join(left, "request", "left_semi"), legal, goals.join(left, "request", "left_semi"), None, step, tiers, None, True, **far)
     return found.unionByName(rest.targets.select(found.columns))
 

@@ -50,7 +50,7 @@ def anchored_ways(requests: DataFrame, turns: DataFrame, lengths: DataFrame) ->
     rows = graph._cut(requests.select("request", "first_key", "last_key").withColumn("row", F.monotonically_increasing_id()), "anchored")
     seeds = rows.join(lengths.select(F.col("key").alias("first_key"), "len_mm"), "first_key").select(F.col("row").alias("request"), F.col("first_key").alias("key"), F.col("len_mm").alias("dist_mm"))
     ends = rows.select(F.col("row").cast("string").alias("target"), F.col("last_key").alias("key"), F.lit(0).alias("back_mm"), F.col("row").alias("request"))
-    found = search.target_search(seeds, turns, ends, step_mm=0, tiers=1).targets
+    found = search.target_search(seeds, turns, ends, step_mm=0, tiers=1, local=True).targets
     return found.select(F.col("request").alias("row"), "dist_mm").join(rows, "row").select("request", "dist_mm")
 
 
