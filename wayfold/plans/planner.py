@@ -41,8 +41,8 @@ def crossing_legs(requests: DataFrame, outbound: bool, edges: DataFrame, keys: D
     places = requests.select(F.col("request").alias("place"), F.col(inner)["lng"].alias("lng"), F.col(inner)["lat"].alias("lat"))
     snaps = graph._cut(spatial.snapped(places, edges, "place", most), "leg-places")
     open_keys = keys.join(blocked.select("edge_id"), "edge_id", "left_anti")
-    free = open_keys.join(controlled.select("edge_id").distinct(), "edge_id", "left_semi")
-    points = releases.join(open_keys.select("key", "len_mm", "ms"), "key")
+    free = graph._cut(open_keys.join(controlled.select("edge_id").distinct(), "edge_id", "left_semi"), "leg-keys")
+    points = graph._cut(releases.join(open_keys.select("key", "len_mm", "ms"), "key"), "leg-points")
     part = lambda c, share: F.floor(F.col(c) * share).cast("bigint")
     share = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, 1 - F.col("fraction")).otherwise(F.col("fraction"))
     on = snaps.where("valid").join(free, "edge_id").select(F.col("place").alias("request"), "key", share.alias("share"), "len_mm", "ms")
