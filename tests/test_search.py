@@ -297,3 +297,13 @@ def test_local_searches_with_regions_find_what_plain_ones_do(spark, seed):
     for a, x in of.items():
         for b, y in of.items():
             assert (b in reach[a]) == bool(ahead[x] >> y & 1)
+
+
+def test_few_searches_of_a_whole_network_take_a_round_for_each_part(spark):
+    """A long street of long turns in four parts: it has hundreds of times 64 mean turns' reach, and each part is one round."""
+    n = 20_000
+    turns = spark.range(n).select(F.col("id").alias("key"), (F.col("id") + 1).alias("next_key"), F.lit(1000).alias("next_mm"))
+    seeds = spark.createDataFrame([(1, 0, 0)], "request long, key long, dist_mm long")
+    labels, _, _, counts = search.far_labels(seeds, search.prepared(turns), part_turns=n // 4)
+    assert len(counts) <= 5
+    assert labels.agg(F.count("*"), F.max("dist_mm")).first() == (n + 1, n * 1000)

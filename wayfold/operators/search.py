@@ -782,7 +782,8 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     are the labels of each group of requests in it: they stay where they are, however many rounds there are. A round takes the
     labels that reached a part from others, within a bound of distance, and spreads them in the part by a heap; only labels that
     cross into another part, or lie beyond the bound, are dealt out again. The bound rises by wave_mm (by default 64 mean
-    turns) when no label lies within it, which keeps work that is done twice small. Rounds end when no label is left.
+    turns; none where at most four requests search the whole network) when no label lies within it, which keeps work that is done
+    twice small. Rounds end when no label is left.
     With targets (target, key, back_mm, back_ms) a request is left out of further rounds once all that costs up to enough_mm more
     than its best target is known. A task holds one part's turns and the labels of at most requests_a_group requests in it on
     average. A repeated task reads the same earlier versions of its files and writes the same ones.
@@ -798,8 +799,11 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     parts = max(1, -(-stat["n"] // part_turns))
     width = max(1, -(-(stat["high"] - stat["low"] + 1) // parts)) if stat["n"] else 1
     of = part if part is not None else F.floor((F.col("key") - (stat["low"] or 0)) / width).cast("bigint")
-    groups = 1 if within_mm is not None else max(1, -(-seeds.select("request").distinct().count() // requests_a_group))
-    wave = wave_mm or int(64 * (stat["mean"] or 1)) + 1
+    requests = 0 if within_mm is not None else seeds.select("request").distinct().count()
+    groups = max(1, -(-requests // requests_a_group))
+    # a few searches of the whole network: a round for each part on the way costs less than one for each step of the bound
+    whole = requests <= 4 and targets is None and limit is None
+    wave = wave_mm or (FAR // 4 if whole else int(64 * (stat["mean"] or 1)) + 1)
     own = lambda df: df.withColumn("part", of)
     goal_rows = None if targets is None else own(targets.select("key", "target", "back_mm", "back_ms", "request"))
 
