@@ -307,3 +307,17 @@ def test_few_searches_of_a_whole_network_take_a_round_for_each_part(spark):
     labels, _, _, counts = search.far_labels(seeds, search.prepared(turns), part_turns=n // 4)
     assert len(counts) <= 5
     assert labels.agg(F.count("*"), F.max("dist_mm")).first() == (n + 1, n * 1000)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_nearest_targets_by_borders(spark, seed, monkeypatch):
+    turns, seeds, targets = city(seed)
+    s, t, g = frames(spark, turns, seeds, targets)
+    given = []
+    far = search.far_labels
+    monkeypatch.setattr(search, "far_labels", lambda *a, **k: given.append(far(*a, **k)) or given[-1])
+    rows = lambda small: sorted(map(tuple, search.nearest_targets(s, t, g, step_mm=STEP, tiers=TIERS, part_turns=60, small=small).collect()))
+    plainly, rounds = rows(10**9), len(given[-1][3])
+    assert rows(0) == plainly and plainly
+    # the last search stays within parts; keys that lead nowhere there get their labels a round later
+    assert len(given[-1][3]) <= 2 < rounds

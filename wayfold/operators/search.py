@@ -940,13 +940,72 @@ def far_labels(seeds: DataFrame, turns: DataFrame, limit: int | None = None, par
     return labels, reached, ended, counts
 
 
-def nearest_targets(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, accepted: DataFrame | None = None, part_turns: int = 250_000) -> DataFrame:
+def _border_arcs(turns: DataFrame, seeds: DataFrame, part) -> DataFrame:
+    """(request, key, next_key, dist_mm): least ways within parts to the keys of other parts that turns lead to: from each key that
+    turns of other parts lead to (request null), and from seeds (request, key, dist_mm; key null)."""
+    across = turns.where(part("key") != part("next_key"))
+    none = F.lit(None).cast("bigint")
+    rows = turns.select(part("key").alias("part"), F.lit(0).alias("kind"), none.alias("request"), "key", "next_key", "next_mm")
+    rows = rows.unionByName(across.select(F.col("next_key").alias("key")).distinct().select(part("key").alias("part"), F.lit(1).alias("kind"), none.alias("request"), "key", none.alias("next_key"), F.lit(0).cast("bigint").alias("next_mm")))
+    rows = rows.unionByName(seeds.select(part("key").alias("part"), F.lit(2).alias("kind"), "request", "key", none.alias("next_key"), F.col("dist_mm").alias("next_mm")))
+    inside = part("next_key") == F.col("part")
+    names = ["request", "key", "next_key", "dist_mm"]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in blocks.sorted_groups(batches, "part"):
+            kind, request, key, after, mm, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("kind", "request", "key", "next_key", "next_mm", "inside"))
+            turn = kind == 0
+            if not turn.any():
+                continue
+            zero = np.zeros(int(turn.sum()), np.int64)
+            net = Turns(pa.table({"key": key[turn], "next_key": after[turn].astype(np.int64), "next_mm": mm[turn], "next_ms": zero, "reject": zero}))
+            beyond = np.unique(after[turn & (own == False)].astype(np.int64))  # noqa: E712
+            columns = net.place(beyond)
+            reached = Reached(net, max(1, CELLS // len(net.keys)))
+            size = len(reached.dist) // reached.width
+            # a source is an entered key, or all seeds of a request
+            source = [(None, int(k), key[[i]], np.zeros(1, np.int64)) for i, k in zip(np.flatnonzero(kind == 1), key[kind == 1], strict=True)]
+            for r in np.unique(request[kind == 2].astype(np.int64)):
+                mine = (kind == 2) & (request == r)
+                source.append((int(r), None, key[mine], mm[mine]))
+            for at in range(0, len(source) if len(beyond) else 0, size):
+                some = source[at : at + size]
+                place = [net.place(k) for *_, k, _ in some]
+                cells = np.concatenate([i * reached.width + p[p >= 0] for i, p in enumerate(place)])
+                if not len(cells):
+                    continue
+                reached.distances(cells, np.concatenate([d[p >= 0] for (*_, d), p in zip(some, place, strict=True)]))
+                far = reached.dist.reshape(size, reached.width)[: len(some), columns]
+                i, j = np.nonzero(far < FAR)
+                yield pa.RecordBatch.from_arrays([pa.array([some[x][0] for x in i], pa.int64()), pa.array([some[x][1] for x in i], pa.int64()), pa.array(beyond[j]), pa.array(far[i, j])], names)
+
+    spread = blocks.spread(rows.withColumn("inside", F.coalesce(inside, F.lit(True))), "part")
+    return graph._cut(spread.mapInArrow(solve, "request bigint, key bigint, next_key bigint, dist_mm bigint"), "border-arcs")
+
+
+def _by_borders(ends: DataFrame, turns: DataFrame, count: int, within_mm: int, part_turns: int) -> DataFrame:
+    """Labels as of far_labels() with within_mm, without a round for each part on the way: least ways between the borders of every
+    part are found for all parts at once, labels of border keys from these alone, and then those within all parts at once."""
+    stat = turns.agg(F.min(F.least("key", "next_key")).alias("low"), F.max(F.greatest("key", "next_key")).alias("high")).first()
+    width = max(1, -(-(stat["high"] - stat["low"] + 1) // max(1, -(-count // part_turns))))
+    part = lambda c: F.expr(f"({c} - {stat['low']}L) div {width}L")
+    arcs = _border_arcs(turns, ends, part)
+    none = F.lit(0).cast("bigint")
+    over = arcs.where("request is null").select("key", "next_key", F.col("dist_mm").alias("next_mm"), none.alias("next_ms"), none.alias("reject"))
+    first = arcs.where("request is not null").select("request", F.col("next_key").alias("key"), "dist_mm")
+    borders = far_labels(first, over, wave_mm=FAR // 4, within_mm=within_mm)[0]
+    all_ = ends.unionByName(borders.select("request", "key", "dist_mm"))
+    return far_labels(all_, turns.where(part("key") == part("next_key")), part=part("key"), wave_mm=FAR // 4, within_mm=within_mm)[0]
+
+
+def nearest_targets(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step_mm: int = 1_000_000, tiers: int = 5, accepted: DataFrame | None = None, part_turns: int = 250_000, small: int = 2_000_000) -> DataFrame:
     """(request, target, dist_mm, tier): what target_search() tells of targets that all requests share, however many requests there are.
 
     The network is searched once, from the targets against the direction of travel, in parts (far_labels()): of a key only targets
     are kept within `tiers` * step_mm of its nearest one, since the way of a request to a target that counts leads only over such
     keys. Requests then look up their first keys, so that work grows with the network and not with its product with the requests.
-    Parts are spread in any order, without a rising bound: a round for each part that the way from the targets leads through.
+    Parts are spread in any order, without a rising bound: a round for each part that the way from the targets leads through. Over
+    `small` turns the parts' borders are searched first (_by_borders()), and rounds don't grow with the parts.
     targets: target, key, back_mm, at most the key's length.
     """
     goals = graph._cut(targets.select(F.col("target").cast("string").alias("target"), *(F.col(c).cast("bigint").alias(c) for c in ("key", "back_mm"))), "goals")
@@ -957,7 +1016,11 @@ def nearest_targets(seeds: DataFrame, turns: DataFrame, targets: DataFrame, step
     ends = last.select(F.col("id").alias("request"), "key", (F.col("next_mm") - F.col("back_mm")).alias("dist_mm"))
     # a turn is searched from its end: the cost of a key is that of the way on from its own end
     back = legal.select(F.col("next_key").alias("key"), F.col("key").alias("next_key"), "next_mm", F.lit(0).cast("bigint").alias("next_ms"), "reject")
-    ahead = far_labels(ends, back, part_turns=part_turns, wave_mm=FAR // 4, within_mm=step_mm * tiers)[0]
+    count = legal.count()
+    if count > small:
+        ahead = _by_borders(graph._cut(ends, "goal-ends"), back, count, step_mm * tiers, part_turns)
+    else:
+        ahead = far_labels(ends, back, part_turns=part_turns, wave_mm=FAR // 4, within_mm=step_mm * tiers)[0]
     first = graph._cut(starts(seeds).select("request", "key", "dist_mm"), "first-keys")
     far = first.join(ahead.select(F.col("request").alias("id"), "key", F.col("dist_mm").alias("rest")), "key").join(named, "id").select("request", "target", (F.col("dist_mm") + F.col("rest")).alias("dist_mm"))
     on = first.join(goals, "key").where("dist_mm >= back_mm").select("request", "target", (F.col("dist_mm") - F.col("back_mm")).alias("dist_mm"))
